@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +18,19 @@ def cut(df: DataFrame) -> DataFrame:
     The cluster names the folder in spark.checkpoint.dir; a temporary one is set
     only where there is no such setting, as in local tests.
     """
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Write `df` as a table in the shared checkpoint folder and read it; smaller than `cut` for texts."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
