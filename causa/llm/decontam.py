@@ -19,6 +19,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -163,16 +164,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     match; repeated rows each give their matches; without items or documents the
     result is empty. A null id is kept as it is.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    slim = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
-    total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = max(1, -(-total // slice_bytes))
     result = None
-    for k in range(slices):
-        part = slim.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k) if slices > 1 else slim
-        held = sorted(((r["item"], r["text"]) for r in part.toLocalIterator() if words(r["text"])), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        index = spark.sparkContext.broadcast(build_index(held))
+    for index in indexes(items, item_col, item_text_col, slice_bytes):
 
         def run(batches, index=index):
             ix = index.value
@@ -188,3 +182,32 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         found = rows.mapInArrow(run, "id long, item_id long, score double, question_overlap double, answer_overlap double")
         result = found if result is None else result.unionByName(found)
     return result.withColumnRenamed("id", id_col)
+
+
+def indexes(items: DataFrame, item_col: str = "item_id", item_text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> list:
+    """Broadcast indexes of the items, each of about slice_bytes of text at most; one at least."""
+    spark = items.sparkSession
+    slim = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
+    total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slices = max(1, -(-total // slice_bytes))
+    out = []
+    for k in range(slices):
+        part = slim.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k) if slices > 1 else slim
+        held = sorted(((r["item"], r["text"]) for r in part.toLocalIterator() if words(r["text"])), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        out.append(spark.sparkContext.broadcast(build_index(held)))
+    return out
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns and without a shuffle."""
+    for index in indexes(items):
+        docs = docs.where(~_holds(index, threshold, overlap)(F.col(text_col).cast("string")))
+    return docs
+
+
+def _holds(index, threshold: float, overlap: float):
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(x and index.value.ids and search(x, index.value, threshold, overlap)) for x in texts], dtype=bool)
+
+    return holds

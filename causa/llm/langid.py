@@ -13,8 +13,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BITS = 16
@@ -141,33 +142,39 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     return Model(labels, (w[:-1] * idf[:, None]).astype(np.float32), w[-1], min(losses, key=losses.get) if len(y) else 1.0)
 
 
+def identify(text: str | None, model: Model) -> tuple[str, float]:
+    """Label and calibrated probability of one text."""
+    codes = _codes(text) if text and model.labels else np.zeros(2, np.uint32)
+    if not codes.any():
+        return UNKNOWN, 0.0
+    total, n = np.zeros(len(model.labels)), 0
+    for at in range(0, max(1, len(codes) - 2), _CHUNK):  # the last two codes of a chunk begin the next
+        h = ngrams(codes[at : at + _CHUNK + 2])
+        total += model.weights[h].sum(axis=0, dtype=np.float64)
+        n += len(h)
+    p = _softmax((total / max(n, 1) + model.bias) / model.temperature)
+    return model.labels[int(p.argmax())], float(p.max())
+
+
+def scorer(spark: SparkSession, model: Model):
+    """A column function text -> struct(lang_pred, score); the model has a fixed size and is broadcast."""
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def score(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([identify(x, sent.value) for x in texts], columns=["lang_pred", "score"])
+
+    return score
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score) of every row, from its whole text only.
 
     Null texts and texts without a letter are `und` with score 0; so is every
     text when no label was learned. Rows are kept as they are, repeats included.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def label(text: str | None, m: Model) -> tuple[str, float]:
-        codes = _codes(text) if text and m.labels else np.zeros(2, np.uint32)
-        if not codes.any():
-            return UNKNOWN, 0.0
-        total, n = np.zeros(len(m.labels)), 0
-        for at in range(0, max(1, len(codes) - 2), _CHUNK):  # the last two codes of a chunk begin the next
-            h = ngrams(codes[at : at + _CHUNK + 2])
-            total += m.weights[h].sum(axis=0, dtype=np.float64)
-            n += len(h)
-        p = _softmax((total / max(n, 1) + m.bias) / m.temperature)
-        return m.labels[int(p.argmax())], float(p.max())
-
-    def run(batches):
-        for b in batches:
-            got = [label(x.as_py(), sent.value) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["id", "lang_pred", "score"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    score = scorer(docs.sparkSession, model)
+    return docs.select(F.col(id_col), score(F.col(text_col).cast("string")).alias("p")).select(id_col, "p.*")
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
