@@ -57,18 +57,20 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     # up: the ancestor 2^k above, or null above the root; depth: steps taken so far
     state = cut(start.withColumn("depth", F.when(F.col("up").isNotNull(), 1).otherwise(0)))
     most = state.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    jumps = [state.select("conv", "node", "up")]
+    jumps = [state.where("up is not null").select("conv", "node", "up")]
     leaves = state.join(state.select("conv", F.col("up").alias("node")).where("node is not null").distinct(), ["conv", "node"], "left_anti").select("conv", F.col("node").alias("leaf"))
     for _ in range(max(0, (most - 1).bit_length())):
+        # only messages that haven't reached their root are joined again
         over = state.select("conv", F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"), F.col("depth").alias("steps"))
-        state = cut(state.join(over, ["conv", "up"], "left").select("conv", "node", F.col("next").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("steps", F.lit(0))).alias("depth")))
-        jumps.append(state.select("conv", "node", "up"))
+        moved = state.where("up is not null").join(over, ["conv", "up"]).select("conv", "node", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score"), (F.col("depth") + F.col("steps")).alias("depth"))
+        state = cut(state.where("up is null").select("conv", "node", "up", "score", "depth").unionByName(moved))
+        jumps.append(state.where("up is not null").select("conv", "node", "up"))
     totals = state.select("conv", "node", "score", "depth")
     rank = Window.partitionBy("conv").orderBy(F.desc(F.col("score") / (F.col("depth") + 1)), F.desc("depth"), "leaf")
     ends = leaves.join(totals.withColumnRenamed("node", "leaf"), ["conv", "leaf"]).withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= branches)
     path = ends.select("conv", "branch", F.col("leaf").alias("node"))
     for k, jump in enumerate(jumps):
-        up = path.join(jump, ["conv", "node"]).where("up is not null").select("conv", "branch", F.col("up").alias("node"))
+        up = path.join(jump, ["conv", "node"]).select("conv", "branch", F.col("up").alias("node"))
         path = path.unionByName(up)
         if k + 1 < len(jumps):
             path = cut(path)
