@@ -1,0 +1 @@
+"""Case-document analytics on Spark: corpus jobs from page text to checked, compared and scored records."""
