@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from causa.plans import normalise  # noqa: F401
+from causa.plans import documents, normalise  # noqa: F401
