@@ -26,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ LENGTH = 100
 SEED = 40
 _CHUNK = 1 << 17  # bytes of texts that are handled together
 _BLOCK = 1 << 20
-_ROWS = 20_000
+_ROWS = 8_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_2 = 0xD1342543DE82EF95
 _MASK = (1 << 64) - 1
@@ -134,10 +135,10 @@ def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, group
 
 
-def repeated_windows(supers: list[bytes], places: np.ndarray, rank: np.ndarray, length: int = LENGTH, seed: int = SEED) -> list[np.ndarray]:
+def repeated_windows(supers: list[bytes], places: np.ndarray, length: int = LENGTH, seed: int = SEED) -> list[np.ndarray]:
     """For each super-window (the bytes of an anchor's windows; places: of the anchor in
-    it) the starts in it of the windows that an earlier one holds too. rank orders the
-    super-windows by document and place.
+    it) the starts in it of the windows that an earlier one holds too. The super-windows
+    come in order of document and place.
     """
     marked = [np.zeros(0, np.int64)] * len(supers)
     wide = -(-seed // 8) * 8
@@ -151,30 +152,48 @@ def repeated_windows(supers: list[bytes], places: np.ndarray, rank: np.ndarray,
         end = max(at + 1, int(np.searchsorted(total, total[at] - size[at] + _ROWS, "right")))
         n = size[at:end]
         rows = np.repeat(begin[at:end] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        _mark(order[rows], group[rows], supers, rank, length, marked)
+        _mark(order[rows], group[rows], supers, length, marked)
         at = end
     return marked
 
 
-def _mark(own: np.ndarray, group: np.ndarray, supers: list[bytes], rank: np.ndarray, length: int, marked: list[np.ndarray]) -> None:
+def _mark(own: np.ndarray, group: np.ndarray, supers: list[bytes], length: int, marked: list[np.ndarray]) -> None:
+    by = np.argsort(own)
+    own, group = own[by], group[by]
     sizes = np.array([len(supers[i]) for i in own], np.int64)
     data = np.frombuffer(b"".join(supers[i] for i in own), np.uint8)
-    hashes, other = rolling(data, length), rolling(data, length, _BASE_2)
     counts = sizes - length + 1
     row = np.repeat(np.arange(len(own)), counts)
     inside = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
     at = np.repeat(np.cumsum(sizes) - sizes, counts) + inside
-    run, a, b = group[row], hashes[at], other[at]
-    by = np.lexsort((inside, rank[own][row], b, a, run))
-    same = (a[by][1:] == a[by][:-1]) & (b[by][1:] == b[by][:-1]) & (run[by][1:] == run[by][:-1])
+    run, a, b = group[row].view(np.uint64), rolling(data, length)[at], rolling(data, length, _BASE_2)[at]
+    key = a ^ (b * np.uint64(_BASE)) ^ (run * np.uint64(_BASE_2))
+    by = np.argsort(key, kind="stable")  # windows stand in order, so the first of equal ones is the earliest
+    same = key[by[1:]] == key[by[:-1]]
+    pair = by[1:][same], by[:-1][same]
+    equal = (a[pair[0]] == a[pair[1]]) & (b[pair[0]] == b[pair[1]]) & (run[pair[0]] == run[pair[1]])
     later = np.zeros(len(row), bool)
-    later[by[1:][same]] = True
+    later[pair[0][equal]] = True
     hit = np.flatnonzero(later)
     ends = np.flatnonzero(np.diff(row[hit], append=-1)) + 1 if len(hit) else np.zeros(0, np.int64)
     for lo, hi in zip([0, *ends.tolist()], ends.tolist(), strict=False):
         marked[own[row[hit[lo]]]] = inside[hit[lo:hi]]
 
 
+def _order(place: tuple[int | None, int]) -> tuple[bool, int, int]:
+    return place[0] is not None, place[0] or 0, place[1]
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], hi)
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def intervals(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     """[start, end) of the bytes under windows that begin at sorted starts."""
     if not len(starts):
@@ -211,7 +230,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         return rows.mapInArrow(run, "h long, id long, pack long" if with_place else "h long, n long")
 
-    often = listed(False).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    # written, so that both sides of the join are dealt by it alone and AQE can split a hot seed
+    often = saved(listed(False).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
     places = listed(True).join(often, "h").groupBy("id").agg(F.collect_list("pack").alias("packs"))
     heads = slim.where("leads").select(F.col("id").alias("lead_id")).distinct()
     places = places.join(heads, F.col("id").eqNullSafe(F.col("lead_id"))).select("lead_id", "packs")
@@ -219,41 +239,73 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hit = saved(hit)
 
     def emit(batches):
+        """Super-windows, equal ones of a batch once: the later ones are marked here (rows without bytes, place: their length)."""
         for b in batches:
             out: list[list] = [[], [], [], [], []]
+            seen: dict[tuple[bytes, int], int] = {}
+            gone: dict[int | None, list[tuple[int, int]]] = {}
             for i, body, packs in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 text = body.as_py()
                 for pack in np.unique(np.array(packs.values, np.int64)).tolist():
                     a = pack >> 16
                     first = a - (pack >> 8 & 255)
                     own = text[first : first + (pack & 255) + length]
-                    if len(own) >= length:
+                    if len(own) < length:
+                        continue
+                    at = seen.setdefault((own, a - first), len(out[0]))
+                    if at == len(out[0]):
                         for column, v in zip(out, (text[a : a + seed], own, a - first, i, first), strict=True):
                             column.append(v)
+                        continue
+                    here, there = (i, first), (out[3][at], out[4][at])
+                    if _order(here) < _order(there):
+                        out[3][at], out[4][at] = here
+                        here, there = there, here
+                    if here != there:
+                        gone.setdefault(here[0], []).append((here[1], here[1] + len(own)))
+            for i, spans in gone.items():
+                for lo, hi in _merged(spans):
+                    head = (lo * 0x9E3779B97F4A7C15 ^ hash(i) * 0xD1342543DE82EF95) & _MASK
+                    for column, v in zip(out, (head.to_bytes(8, "big"), None, hi - lo, i, lo), strict=True):
+                        column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["head", "own", "place", "id", "first"])
 
     suffixes = hit.mapInArrow(emit, "head binary, own binary, place int, id long, first long")
     buckets = suffixes.repartitionByRange(F.col("head"))
 
     def compare(batches):
-        got = list(batches)
+        got, names = [], ["id", "lo", "hi"]
+        for b in batches:
+            known = pc.is_valid(b.column(1))
+            got.append(b.filter(known))
+            done = b.filter(pc.invert(known))
+            if done.num_rows:
+                yield pa.RecordBatch.from_arrays([done.column(3), done.column(4), pc.add(done.column(4), pc.cast(done.column(2), pa.int64()))], names)
         if not sum(b.num_rows for b in got):
             return
-        own = pa.Table.from_batches(got)
+        table = pa.Table.from_batches(got).select(["own", "place", "id", "first"])
+        del got
+        ids, first = table["id"].to_pandas(), table["first"].to_numpy()
+        known, ids = ids.notna().to_numpy(), ids.fillna(0).to_numpy(np.int64)
+        by = np.lexsort((first, ids, known))
+        own = table["own"].take(pa.array(by)).to_pylist()  # from here on in order of document and place
+        ids, known, first = ids[by], known[by], first[by]
+        places = table["place"].to_numpy()[by].astype(np.int64)
+        del table
         # rows with equal id and text are one document
-        once = list(dict(zip(zip(own["id"].to_pylist(), own["first"].to_pylist(), own["own"].to_pylist(), strict=True), range(own.num_rows), strict=True)).values())
-        own = own.take(pa.array(once)) if len(once) < own.num_rows else own
-        ids, first = own["id"].to_pandas(), own["first"].to_numpy()
-        known = ids.notna().to_numpy()
-        by = np.lexsort((first, ids.fillna(0).to_numpy(np.int64), known))
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.arange(len(by))
-        marked = repeated_windows(own["own"].to_pylist(), own["place"].to_numpy().astype(np.int64), rank, length, seed)
-        spans = [(i, s, e) for i, starts in enumerate(marked) for s, e in intervals(starts + first[i], length)]
-        at = pa.array([s[0] for s in spans], pa.int64())
-        for lo in range(0, len(spans), 50_000):
-            part = spans[lo : lo + 50_000]
-            yield pa.RecordBatch.from_arrays([own["id"].take(at[lo : lo + 50_000]).combine_chunks(), pa.array([s[1] for s in part], pa.int64()), pa.array([s[2] for s in part], pa.int64())], ["id", "lo", "hi"])
+        twin = np.flatnonzero((np.diff(ids) == 0) & (np.diff(first) == 0) & (known[1:] == known[:-1])) + 1
+        again = [int(t) for t in twin if own[t] == own[t - 1]]
+        if again:
+            keep = np.ones(len(own), bool)
+            keep[again] = False
+            own = [own[k] for k in np.flatnonzero(keep)]
+            ids, known, first, places = ids[keep], known[keep], first[keep], places[keep]
+        marked = repeated_windows(own, places, length, seed)
+        spans = [(k, lo, hi) for k, starts in enumerate(marked) for lo, hi in intervals(starts + first[k], length)]
+        for at in range(0, len(spans), 50_000):
+            part = spans[at : at + 50_000]
+            rows = np.array([x[0] for x in part], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows], mask=~known[rows]), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.int64())], names)
 
     marks = buckets.mapInArrow(compare, "id long, lo long, hi long").groupBy(F.col("id").alias("mark_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
     touched = hit.select("id", "body").join(marks, F.col("id").eqNullSafe(F.col("mark_id"))).select("id", "body", "marks")
@@ -262,12 +314,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for body, marks in zip(b.column(1), b.column(2), strict=True):
-                text, spans = body.as_py(), []
-                for lo, hi in sorted((m["lo"], m["hi"]) for m in marks.as_py()):
-                    if spans and lo <= spans[-1]["end"]:
-                        spans[-1]["end"] = max(spans[-1]["end"], hi)
-                    else:
-                        spans.append({"start": lo, "end": hi})
+                text = body.as_py()
+                spans = [{"start": lo, "end": hi} for lo, hi in _merged([(m["lo"], m["hi"]) for m in marks.as_py()])]
                 kept = cut_out(text, spans)
                 for column, v in zip(out, (hashlib.sha256(text).hexdigest(), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans), strict=True):
                     column.append(v)
