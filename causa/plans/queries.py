@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from causa.plans import cases, documents, normalise  # noqa: F401
+from causa.plans import cases, documents, normalise, reports, streams  # noqa: F401
