@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from causa import catalogs
 from causa.functions import derive, similarity, text
 from causa.operators import compare, fields, items, learning, pages, rules
-from causa.plans import legal_rules
+from causa.plans import legal_rules, queries  # noqa: F401
+from causa.plans.registry import QUERIES
 from causa.sources import files
 
 
@@ -36,9 +37,8 @@ def test_money_and_dates(spark):
 
 def test_check_digit(spark):
     assert values(spark, text.check_digit_ok(F.col("v")), ["0001234-58.2023.5.04.0001", "0001234-56.2023.5.04.0001", "nenhum"])[1:] == [False, None]
-    body, n = "0001234{}2023504" + "0001", 0
     digit = 98 - int("0001234" + "2023" + "5" + "04" + "0001" + "00") % 97
-    assert values(spark, text.check_digit_ok(F.col("v")), [f"0001234-{digit:02d}.2023.5.04.0001"]) == [True] and body and n == 0
+    assert values(spark, text.check_digit_ok(F.col("v")), [f"0001234-{digit:02d}.2023.5.04.0001"]) == [True]
 
 
 def test_canonical_names(spark):
@@ -173,8 +173,6 @@ def test_sinks(spark, tmp_path):
 
 
 def test_partitions_do_not_change_results(spark):
-    from causa.plans.registry import QUERIES
-
     one = spark.conf.get("spark.sql.shuffle.partitions")
     want = sorted(map(repr, QUERIES["item_dedup"](spark, "/root/testdata/sf0.001").collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "1")
