@@ -23,18 +23,39 @@ CELL_ROWS = 200_000
 
 
 def communication_matrix(counts: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
-    """One row per partition: rows that it sends to each shard. Column sums differ by one at most."""
+    """One row per partition: rows that it sends to each shard. Column sums differ by one at most.
+
+    The law is exact up to a thousand million rows; while more are left to deal
+    out, a normal law of the same mean and variance is drawn and the margins stay exact.
+    """
     rng, total = np.random.default_rng(seed), int(counts.sum())
     left = np.full(shards, total // shards, np.int64)
     left[: total % shards] += 1
     rng.shuffle(left)
     matrix = np.zeros((len(counts), shards), np.int64)
     for i, n in enumerate(counts):
-        matrix[i] = rng.multivariate_hypergeometric(left, int(n)) if n < left.sum() else left
+        matrix[i] = _draw(rng, left, int(n))
         left -= matrix[i]
     return matrix
 
 
+def _draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
+    total = int(left.sum())
+    if n >= total:
+        return left.copy()
+    if total < 1_000_000_000:
+        return rng.multivariate_hypergeometric(left, n, method="marginals")
+    out = np.zeros(len(left), np.int64)
+    for j, own in enumerate(map(int, left)):
+        if n:
+            mean, rest = n * own / total, total - own
+            spread = (mean * (rest / total) * (total - n) / max(1, total - 1)) ** 0.5
+            out[j] = min(max(round(rng.normal(mean, spread)), n - rest, 0), n, own)
+            n -= int(out[j])
+        total -= own
+    return out
+
+
 def shuffle_into_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, seed: int = SEED, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(id_col, size, text_crc32, shard, slot) of every row; slots run from 0 in each shard.
 

@@ -330,6 +330,9 @@ def test_matrix_has_exact_margins():
     counts = np.array([0, 5, 100, 1, 37])
     m = sharding.communication_matrix(counts, 9)
     assert (m.sum(axis=1) == counts).all() and m.sum(axis=0).max() - m.sum(axis=0).min() <= 1
+    counts = np.array([3_000_000_000, 7, 2_500_000_000, 400_000_000])
+    m = sharding.communication_matrix(counts, 9)
+    assert (m.sum(axis=1) == counts).all() and m.sum(axis=0).max() - m.sum(axis=0).min() <= 1 and (m >= 0).all()
 
 
 # repeated sentences
