@@ -129,11 +129,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
             yield pa.RecordBatch.from_arrays([pa.array([v[0].astype(np.int32) for v in vectors], pa.list_(pa.int32())), pa.array([v[1].astype(np.int32) for v in vectors], pa.list_(pa.int32())), b.column(1), b.column(2)], ["places", "counts", "label", "calibrate"])
 
     train, held = [], []
-    for r in sample.mapInArrow(run, "places array<int>, counts array<int>, label string, calibrate boolean").toLocalIterator():
-        at, counts = np.array(r["places"], np.int64), np.array(r["counts"], np.float64)
+    drawn = sample.mapInArrow(run, "places array<int>, counts array<int>, label string, calibrate boolean").toArrow()  # about train_rows rows
+    for places, counts, label, calibrate in zip(*(drawn[n] for n in ("places", "counts", "label", "calibrate")), strict=True):
+        at, n = places.values.to_numpy().astype(np.int64), counts.values.to_numpy().astype(np.float64)
         if len(at):
-            x = np.append(counts / counts.sum() * idf[at], 1.0)
-            (held if r["calibrate"] else train).append((np.append(at, PLACES), x, labels.index(r["label"])))
+            x = np.append(n / n.sum() * idf[at], 1.0)
+            (held if calibrate.as_py() else train).append((np.append(at, PLACES), x, labels.index(label.as_py())))
     w = ftrl(train, len(labels))
     held = held or train
     logits, y = np.array([x @ w[at] for at, x, _ in held]).reshape(-1, len(labels)), np.array([r[2] for r in held], np.int64)
