@@ -16,6 +16,7 @@ import os
 import re
 import zlib
 from array import array
+from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from causa.llm.common import cut
 
 CAPACITY = 2048
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
+NODES = 6000
 _ODD = re.compile("[\x1c-\x1f]")  # white space for str.split, not for the tokenizer
 _FAR = re.compile("[^\x00-\u012f]")
 _SIGNS = frozenset(".,;:!?")
@@ -102,21 +104,22 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
     """Best-fit decreasing of a histogram: patterns and how often each is used."""
     open_bins: list[list[list]] = [[] for _ in range(capacity + 1)]  # by room left: [pattern, bins]
     open_bins[capacity].append([(), int(counts.sum())])
-    rooms = {capacity}
+    rooms = [capacity]  # sorted
     for length in range(capacity, 0, -1):
         left = int(counts[length])
         while left:
-            room = min(r for r in rooms if r >= length)
+            room = rooms[bisect_left(rooms, length)]
             pattern, bins = open_bins[room].pop()
             each = min(room // length, left)
             used = min(bins, left // each)
             if bins > used:
                 open_bins[room].append([pattern, bins - used])
             if not open_bins[room]:
-                rooms.discard(room)
+                del rooms[bisect_left(rooms, room)]
             rest = room - each * length
+            if not open_bins[rest]:
+                insort(rooms, rest)
             open_bins[rest].append([(*pattern, (length, each)), used])
-            rooms.add(rest)
             left -= each * used
     return [(p, n) for group in open_bins for p, n in group if p]
 
@@ -160,32 +163,43 @@ def completions(first: int, counts: np.ndarray, capacity: int, most: int, tries:
     return sorted(found, key=found.get)[:most]
 
 
-def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 300) -> list[tuple[Pattern, int]]:
-    """Patterns with their numbers of bins. Lengths run from 1 to capacity; counts[0] must be 0."""
+def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Pattern, int]]:
+    """Patterns with their numbers of bins. Lengths run from 1 to capacity; counts[0] must be 0.
+
+    Depth first over fillings of the bin of the largest piece, the least waste
+    first. A node is cut if its waste can't lead below the incumbent; the rest of
+    the first, second, fourth, ... node is packed best-fit for an incumbent early.
+    """
     total = int((counts * np.arange(len(counts))).sum())
     least = max(-(-total // capacity), int(counts[capacity // 2 + 1 :].sum()))
     size = lambda plan: sum(n for _, n in plan)
     best = best_fit(counts, capacity)
+    bins = size(best)
+    stack: list[tuple] = [(counts.astype(np.int64), None, 0, 0)]  # pieces left, (pattern, times, parent), bins used, waste
     seen = 0
 
-    def search(left: np.ndarray, done: list[tuple[Pattern, int]], used: int, waste: int) -> None:
-        nonlocal best, seen
-        seen += 1
-        if size(best) <= least or seen > nodes:
-            return
+    def path(step) -> list[tuple[Pattern, int]]:
+        plan = []
+        while step is not None:
+            plan.append(step[:2])
+            step = step[2]
+        return plan[::-1]
+
+    while stack and bins > least and seen < nodes:
+        left, step, used, waste = stack.pop()
+        if waste > (bins - 1) * capacity - total:
+            continue
         if not left.any():
-            if used < size(best):
-                best = list(done)
-            return
-        if waste > (size(best) - 1) * capacity - total:
-            return
-        tail = best_fit(left, capacity)
-        if used + size(tail) < size(best):
-            best = [*done, *tail]
-            if size(best) <= least:
-                return
+            if used < bins:
+                best, bins = path(step), used
+            continue
+        seen += 1
+        if seen & (seen - 1) == 0:
+            tail = best_fit(left, capacity)
+            if used + size(tail) < bins:
+                best, bins = [*path(step), *tail], used + size(tail)
         first = int(np.flatnonzero(left)[-1])
-        for filling in completions(first, left, capacity, 3) or [()]:
+        for filling in reversed(completions(first, left, capacity, 3) or [()]):
             whole = dict(filling)
             whole[first] = whole.get(first, 0) + 1
             times = min(int(left[x]) // c for x, c in whole.items())
@@ -194,11 +208,7 @@ def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 30
                 rest[x] -= c * times
             pattern = tuple(sorted(whole.items(), reverse=True))
             lost = capacity - sum(x * c for x, c in pattern)
-            search(rest, [*done, (pattern, times)], used + times, waste + lost * times)
-            if size(best) <= least or seen > nodes:
-                return
-
-    search(counts, [], 0, 0)
+            stack.append((rest, (pattern, times, step), used + times, waste + lost * times))
     return best
 
 
