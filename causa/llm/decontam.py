@@ -131,6 +131,8 @@ def search(text: str, index: Index, threshold: float = THRESHOLD, overlap: float
     each place where an item can stand lies inside a passage.
     """
     own = words(text)
+    if not own:
+        return []
     unknown = len(index.terms)
     codes = np.fromiter((index.terms.get(w, unknown) for w in own), np.int64, len(own))
     step = index.longest
