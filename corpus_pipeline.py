@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from causa.llm import decontam, langid, packing, pii, simhash
 from causa.llm.common import saved, table
 
-#: Below this calibrated probability a document has no one language.
-LEAST_SCORE = 0.5
+#: Below this calibrated probability no language is told apart; texts in two languages stay.
+LEAST_SCORE = 0.4
 SHINGLE = 5
 
 
