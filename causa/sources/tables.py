@@ -11,8 +11,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from causa import reach_workers
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

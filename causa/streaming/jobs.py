@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType
 
+from causa import reach_workers
 from causa.operators import fields
 from causa.operators.learning import ACTIVE_AT, DELETED_AT
 from causa.sources import files
@@ -17,6 +18,7 @@ from causa.sources import files
 
 def landing(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the parquet files at a path, with the schema that they have now."""
+    reach_workers(spark)
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     return spark.readStream.schema(schema).parquet(f"{folder}/{name[:-1]}[{name[-1]}]")  # a pattern, as a stream reads no single file
