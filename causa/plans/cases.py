@@ -94,7 +94,7 @@ def near_percent(spark, sf_dir):
     return derived(spark, sf_dir, "items").select("case_id", "item_no", F.coalesce(items.percent_near(t, "hora extra"), items.percent_near(t, "fgts")).alias("surcharge"))
 
 
-@query("SELECT case_id, hired_on AS first_on, case when case_id % 4 <> 3 then filed_on else left_on end AS last_on FROM cases", "cases")
+@query("SELECT case_id, hired_on AS first_on, filed_on AS last_on FROM cases", "cases")
 def text_period(spark, sf_dir):
     found = F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"(\d{2}/\d{2}/\d{4})"), F.lit(1)), lambda d: F.try_to_date(d, "dd/MM/yyyy")), lambda d: d.isNotNull())
     return derived(spark, sf_dir, "texts").select("case_id", F.try_element_at(found, F.lit(1)).alias("first_on"), F.try_element_at(found, F.lit(-1)).alias("last_on"))

@@ -289,6 +289,13 @@ LEGAL_FIELDS = (
     ("notice", r"(?i)aviso prévio indenizado de (\d+)", "medium"),
     ("procedure", r"(?i)rito (ordinário|sumaríssimo)", "high"),
     ("weekly", r"(?i)(\d{2}) horas semanais", "medium"),
+    ("filed", r"(?i)distribuída em (\d{2}/\d{2}/\d{4})", "medium"),
+    ("judge", r"(?i)ju[íi]z[ao]? do trabalho: (?:dra?\. )?([a-zà-ú]+ [a-zà-ú ]{3,60})", "high"),
+    ("claimant_lawyer", r"(?i)advogad[oa] do reclamante: (?:dra?\. )?([a-zà-ú]+ [a-zà-ú ]{3,60})", "high"),
+    ("company_lawyer", r"(?i)advogad[oa] da reclamada: (?:dra?\. )?([a-zà-ú]+ [a-zà-ú ]{3,60})", "high"),
+    ("job", r"(?i)exercia a função de ([^,.;\n()]{3,40})", "medium"),
+    ("contract", r"(?i)contrato (de experiência|por prazo determinado)", "high"),
+    ("notice_kind", r"(?i)aviso prévio (indenizado|trabalhado)", "high"),
     ("schedule", r"(?i)jornada (das \d{1,2}[h:]\d{0,2} às \d{1,2}[h:]\d{0,2})", "medium"),
 )
 

@@ -61,6 +61,8 @@ SELECT case_id, cust_id,
   || '. Recebia salário de R$ ' || cast(reais as string) || ',00 por mês. ' || 'Salário contratual de R$ ' || cast(reais + 100 as string) || ',00. Última remuneração de R$ ' || cast(reais as string) || ',00. '
   || 'Jornada ' || schedule || '; ' || hours || '. Aviso prévio indenizado de ' || notice || '. '
   || case when cust_id % 3 = 0 then 'Defiro ao autor o benefício da justiça gratuita. ' when cust_id % 3 = 1 then 'Não faz jus à justiça gratuita. ' else '' end
+  || 'Distribuída em ' || {dmy("filed_on")} || '. Juíza do Trabalho: Dra. Ana Maria Lima; Advogado do reclamante: Dr. João Paulo Reis, Advogada da reclamada: Dra. Rita Nunes, exercia a função de ' || {pick("cust_id", _quoted("auxiliar", "vendedor", "motorista"))} || '. '
+  || case when cust_id % 5 = 0 then 'Contrato de experiência. ' when cust_id % 5 = 1 then 'Contrato por prazo determinado. ' else '' end
   || 'Atualização por ' || rate_index || ' e ' || interest || '. Rito ' || case when case_id % 2 = 0 then 'ordinário' else 'sumaríssimo' end || '. '
   || case when case_id % 4 <> 3 then 'Assinado eletronicamente por A em ' || {dmy("ruled_on")} || '. Assinado eletronicamente por B em ' || {dmy("filed_on")} || '. ' else 'Porto Alegre, 12 de março de 2024. ' end
   || 'Conforme Súmula n° 264 do TST e OJ n° 394; art. 477 da CLT. Lei n° 12.506.' AS text
