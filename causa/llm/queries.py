@@ -87,4 +87,16 @@ SELECT conv_id, count(*) AS n_turns,
 FROM parts GROUP BY conv_id
 """
 
-ORACLES = {"op5_chat": _OP5}
+_OP9 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents),
+b AS (SELECT doc_id, n, lo, substr(h, (2 * lo + 1)::BIGINT, 598) AS part FROM (SELECT doc_id, h, n, unnest(generate_series(0, n - 100, 200)) AS lo FROM d)),
+w AS (SELECT doc_id, lo + j AS i, md5(substr(part, (2 * j + 1)::BIGINT, 200)) AS s FROM (SELECT doc_id, lo, part, unnest(generate_series(0, least(199, n - 100 - lo))) AS j FROM b)),
+f AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+g AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true)::INT AS fresh FROM f),
+r AS (SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run),
+k AS (SELECT r.doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r.doc_id ORDER BY lo), 0) AS before, h FROM r JOIN d ON r.doc_id = d.doc_id),
+t AS (SELECT doc_id, sum(hi - lo)::BIGINT AS gone, count(*) AS runs, string_agg(substr(h, (2 * before + 1)::BIGINT, (2 * (lo - before))::BIGINT), '' ORDER BY lo) || substr(any_value(h), (2 * max(hi) + 1)::BIGINT) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(runs, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
+ORACLES = {"op5_chat": _OP5, "op9_suffix": _OP9}
