@@ -145,5 +145,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = member.where("linked")
     low = linked.groupBy("root").agg(F.min("first").alias("low"))
     named = linked.join(low, "root").select("fp", F.col("low").alias("name")).distinct()
-    class_of = first.join(named, "fp", "left").select("fp", F.coalesce("name", "first").alias("component"))
+    # cut, so that AQE can split a hot fingerprint in the last join
+    class_of = cut(first.join(named, "fp", "left").select("fp", F.coalesce("name", "first").alias("component")))
     return fps.join(class_of, "fp").select(F.col("id").alias(id_col), "fp", "component")
