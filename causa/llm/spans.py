@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causa.llm.common import saved
+
 SENTENCES = 3
 WORDS = 12
 LONG = 40
@@ -98,7 +100,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         return rows.mapInArrow(run, "hi long, lo long, id long, at long" if with_place else "hi long")
 
-    often = hashed(False).groupBy("hi").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hi")
+    # written, so that both sides of the join are dealt by it alone and AQE can split a hot run
+    often = saved(hashed(False).groupBy("hi").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hi"))
     repeated = hashed(True).join(often, "hi")
     first = repeated.groupBy("hi", "lo").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = repeated.join(first, ["hi", "lo"]).where(~F.struct("id", "at").eqNullSafe(F.col("first")))
