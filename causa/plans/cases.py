@@ -220,9 +220,11 @@ def rule_memorial(spark, sf_dir):
 @query(_alerts_sql("SELECT status, level, count(*) AS alerts, count(DISTINCT a.case_id) AS cases FROM alerts a JOIN cases c ON a.case_id = c.case_id GROUP BY status, level"), "cases items")
 def severity_counts(spark, sf_dir):
     """Alerts and cases by case status and level."""
-    status = full_cases(spark, sf_dir)
+    # a column of its own, so that the rules are evaluated once per case
     alerts = F.array_compact(F.array(*(rules.outcome(r, F.col("hired_on")) for r in legal_rules.RULES)))
-    rows = status.select("status", F.explode(F.transform(F.array_distinct(F.transform(alerts, lambda a: a["level"])), lambda v: F.struct(v.alias("level"), F.size(F.filter(alerts, lambda a: a["level"] == v)).alias("n")))).alias("l"))
+    levels = full_cases(spark, sf_dir).select("status", F.transform(alerts, lambda a: a["level"]).alias("levels"))
+    counted = F.transform(F.array_distinct("levels"), lambda v: F.struct(v.alias("level"), F.size(F.filter("levels", lambda x: x == v)).alias("n")))
+    rows = levels.select("status", F.explode(counted).alias("l"))
     return rows.groupBy("status", "l.level").agg(F.sum("l.n").alias("alerts"), F.count(F.lit(1)).alias("cases"))
 
 

@@ -97,7 +97,7 @@ def run_records(spark, sf_dir):
 
     alerts = F.array_compact(F.array(*(rules.outcome(r, F.col("hired_on")) for r in legal_rules.RULES)))
     ids = F.transform(F.array_sort(F.transform(alerts, lambda a: F.struct(a["priority"].alias("p"), a["rule_id"].alias("r")))), lambda a: a["r"])
-    return cases.full_cases(spark, sf_dir).select("case_id", "number", F.size(ids).cast("long").alias("n_rules"), F.array_join(ids, ",").alias("rule_ids"))
+    return cases.full_cases(spark, sf_dir).select("case_id", "number", ids.alias("ids")).select("case_id", "number", F.size("ids").cast("long").alias("n_rules"), F.array_join("ids", ",").alias("rule_ids"))
 
 
 @query("SELECT case_id, item_no, name, coalesce(nullif(status, ''), 'deferida') AS status, '[' || coalesce('\"' || nullif(replace(replace(reflexes, ' e ', ', '), ', ', '\",\"'), '') || '\"', '') || ']' AS reflexes FROM items", "items")
