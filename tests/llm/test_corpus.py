@@ -458,3 +458,26 @@ def test_few_and_no_vectors(spark):
     assert [(r["rank"], r.neighbour, r.score) for r in ann.nearest(few, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 0.0)]
     assert ann.nearest(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.nearest(few.where("vec_id = 20"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def recall(spark, rows, **limits):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(40)
+    found, want = defaultdict(set), plain_nearest(rows)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, **limits).collect():
+        found[r.query_id].add(r.neighbour)
+    return np.mean([len(found[q] & set(want[q])) / 20 for q in want])
+
+
+def test_queries_ascend_beyond_a_task_and_with_the_table(spark):
+    x = np.random.default_rng(4).standard_normal((4000, 32))
+    rows = [(i, [float(y) for y in v]) for i, v in enumerate(x)]
+    assert recall(spark, rows, candidates=4000, unit_rows=32) >= 0.9
+    assert recall(spark, rows, candidates=100, share=1.0, unit_rows=1 << 16) >= 0.9
+
+
+def test_copies_of_one_vector_do_not_crowd_out_neighbours(spark):
+    rng = np.random.default_rng(6)
+    hot = rng.standard_normal(32)
+    x = np.concatenate([hot + rng.standard_normal((2000, 32)), np.repeat(0.01 * hot[None], 4000, axis=0)])
+    rows = [(i if i < 2000 else 20 * i + 1, [float(y) for y in v]) for i, v in enumerate(x)]
+    assert recall(spark, rows, candidates=16_000) >= 0.9
