@@ -1,15 +1,21 @@
-"""Removal of repeated passages by sliding runs of sentences.
-
-A run is the shortest stretch of at least `sentences` consecutive sentences and
-`words` words that begins at a sentence, or that ends at one (both, so that a
-repeated passage is covered to its last sentence). Each run's hash is counted
-over the corpus; the earliest occurrence of a repeated run stays, and sentences
-that any later occurrence covers are removed.
+"""Removal of repeated passages by sliding runs of words.
+
+A run is the shortest stretch of whole sentences that begins at a sentence, or
+that ends at one (both, so that a repeated passage is covered to its last
+sentence), and has `sentences` sentences and `words` words, or REACH words in
+any number of sentences. Besides, REACH words form a run from each word whose
+hash is the least of some STRIDE words in a row, wherever sentences end; so any
+two copies of a passage of STRIDE + REACH - 1 words share a run. Texts are cut
+at sentences and at both ends of such runs. Each run's hash is counted over the
+corpus; the earliest occurrence of a repeated run stays, and pieces that any
+later occurrence covers are removed.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,59 +27,57 @@ from causa.llm.common import saved
 
 SENTENCES = 3
 WORDS = 12
-LONG = 40
+REACH = 25
+STRIDE = 20
 _END = re.compile(r"[.!?]+[\s]+|\n+")
-_WORD = re.compile(r"\S+\s*")
+_SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])  # no white space comes after U+3000
+
+
+@lru_cache(maxsize=2)
+def _layout(text: str) -> tuple[list[str], list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-case words, [start, end) of the pieces, the piece of each word, the words at which sentences begin and the number of all, and at which runs across sentences begin."""
+    norm = text.lower().split()
+    space = _SPACE[np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 0x3001)]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if text else np.zeros(0, np.int64)
+    ends = np.array([m.end() for m in _END.finditer(text)], np.int64)
+    bounds = np.unique(np.concatenate([[0, len(norm)], np.searchsorted(starts, ends)]))
+    begins = np.zeros(0, np.int64)
+    if len(norm) >= max(STRIDE, REACH):
+        hashes = np.fromiter(map(zlib.crc32, map(str.encode, norm)), np.uint32, len(norm))
+        least = np.lib.stride_tricks.sliding_window_view(hashes, STRIDE).argmin(axis=1)
+        begins = np.unique(np.arange(len(least)) + least)
+        begins = begins[begins + REACH <= len(norm)]
+    stops = begins + REACH
+    cuts = np.unique(np.concatenate([[0, len(text)], ends, starts[begins], starts[stops[stops < len(norm)]]])).astype(np.int64)
+    edges = cuts.tolist()
+    return norm, list(zip(edges, edges[1:], strict=False)), np.searchsorted(cuts, starts, "right") - 1, bounds, begins
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """[start, end) of the sentences that cover a text; they end at . ! ? before white space and at line feeds.
-
-    Stretches of over LONG words without such an end are cut after words that a
-    hash picks, about one in four, so that equal stretches are cut alike.
-    """
-    out, at = [], 0
-    for end in [m.end() for m in _END.finditer(text)] + [len(text)]:
-        if end - at > 2 * LONG and len(words := list(_WORD.finditer(text, at, end))) > LONG:
-            for m in words:
-                if xxhash.xxh3_64_intdigest(m.group().strip().lower()) % 4 == 0 and m.end() < end:
-                    out.append((at, m.end()))
-                    at = m.end()
-        if end > at:
-            out.append((at, end))
-        at = end
-    return out
-
-
-def _norm(text: str) -> list[str]:
-    return text.lower().split()
+    """[start, end) of the pieces that cover a text: sentences, which end at . ! ? before white space and at line feeds, cut where runs across them begin and end."""
+    return _layout(text)[1]
 
 
 def runs(text: str, spans: list[tuple[int, int]], least: int = SENTENCES, words: int = WORDS) -> list[tuple[int, int, bytes]]:
-    """(first, last, 16-byte hash) of each run; blank sentences belong to the run around them."""
-    norm = [_norm(text[a:b]) for a, b in spans]
-    full = [i for i, w in enumerate(norm) if w]
-    lens = np.cumsum([0] + [len(norm[i]) for i in full])
-    n = len(full)
-    found = set()
-    ahead = np.searchsorted(lens, lens[:-1] + words) - 1  # last sentence of the shortest stretch with enough words
-    behind = np.searchsorted(lens, lens[1:] - words, "right") - 1
-    for i in range(n):
-        j = max(i + least - 1, int(ahead[i]))
-        if j < n:
-            found.add((i, j))
-        j = min(i - least + 1, int(behind[i]))
-        if j >= 0:
-            found.add((j, i))
-    joined = [" ".join(norm[i]) for i in full]
-    return [(full[i], full[j], xxhash.xxh3_128_digest("\n".join(joined[i : j + 1]))) for i, j in sorted(found)]
+    """(first, last, 16-byte hash) of each run; blank pieces belong to the run around them."""
+    norm, _, piece, bounds, begins = _layout(text)
+    n = len(bounds) - 1
+    found = {(i, i + REACH) for i in begins.tolist()}
+    at, edges = np.arange(n), bounds.tolist()
+    # the sentence bound of the shortest stretch with enough sentences and words
+    ahead = np.minimum(np.maximum(at + least, np.searchsorted(bounds, bounds[:-1] + words)), np.searchsorted(bounds, bounds[:-1] + REACH))
+    behind = np.maximum(np.minimum(at + 1 - least, np.searchsorted(bounds, bounds[1:] - words, "right") - 1), np.searchsorted(bounds, bounds[1:] - REACH, "right") - 1)
+    found.update((edges[i], edges[j]) for i, j in enumerate(ahead.tolist()) if j <= n)
+    found.update((edges[j], edges[i + 1]) for i, j in enumerate(behind.tolist()) if j >= 0)
+    place = piece.tolist()
+    return [(place[i], place[j - 1], xxhash.xxh3_128_digest(" ".join(norm[i:j]))) for i, j in sorted(found)]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """(id_col, text, n_sentences, n_removed, n_spans, n_removed_words) of every row.
 
-    text is what is left, n_spans counts maximal stretches of removed sentences.
-    Earlier is the smaller id, then the earlier sentence. Null texts stay null
+    text is what is left, n_sentences counts its pieces (see sentences), n_spans
+    maximal stretches of removed ones. Earlier is the smaller id, then the earlier piece. Null texts stay null
     and count no sentence; texts shorter than a run are left alone. Rows with
     one id are told apart by their texts; rows equal in both are one document
     that is given back as often as it came. A null id comes before all others.

@@ -481,3 +481,17 @@ def test_copies_of_one_vector_do_not_crowd_out_neighbours(spark):
     x = np.concatenate([hot + rng.standard_normal((2000, 32)), np.repeat(0.01 * hot[None], 4000, axis=0)])
     rows = [(i if i < 2000 else 20 * i + 1, [float(y) for y in v]) for i, v in enumerate(x)]
     assert recall(spark, rows, candidates=16_000) >= 0.9
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_passages_of_over_50_words_are_found_across_sentences(spark, seed):
+    rng = random.Random(seed)
+    said = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    two, many = f"{said(26)}. {said(26)}.", f"{said(14)}. {said(12)}. {said(11)}. {said(14)}"
+    docs = [f"{said(9)}. {two} {said(9)}.", f"{said(15)}. {two} {said(20)}.", f"{said(9)} {many} {said(13)}.", f"{said(30)} {many} {said(5)}.", said(30), f"{said(50)}. {said(20)}."]
+    cuts = [set(spans.runs(t, spans.sentences(t))) for t in docs]
+    hashes = [{h for _, _, h in c} for c in cuts]
+    assert hashes[0] & hashes[1] and hashes[2] & hashes[3] and not hashes[1] & hashes[2] and not hashes[4] & hashes[5]
+    if seed == 0:
+        got = {r.doc_id: r for r in spans.remove_repeats(frame(spark, docs)).collect()}
+        assert [got[i].n_removed for i in (0, 2, 4, 5)] == [0] * 4 and got[1].n_removed_words == 52 and got[3].n_removed_words >= spans.REACH
