@@ -3,9 +3,9 @@
 Only the number of pieces of each length matters for the packing, and there are
 at most `capacity` lengths; so the search works on that histogram, whatever the
 number of documents. It fills one kind of bin at a time: the largest piece that
-is left, completed by an undominated filling, repeated as often as the counts
-allow. Best-fit decreasing gives the first incumbent; fillings are tried from
-the least waste, a branch is cut once its waste can't beat the incumbent, and
+is left, completed by an undominated filling, first repeated as often as the counts
+allow, then less often. Best-fit decreasing gives the first incumbent; some fillings of
+little waste are tried first, then all others; a branch is cut once its waste can't beat the incumbent, and
 the rest of each node is packed best-fit for further incumbents. Spark then
 ranks the pieces of each length and looks up their places.
 """
@@ -17,6 +17,8 @@ import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -125,12 +127,7 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
 
 
 def completions(first: int, counts: np.ndarray, capacity: int, most: int, tries: int = 4000) -> list[Pattern]:
-    """Undominated fillings beside one piece of length `first`, least waste first.
-
-    A filling is dominated if a piece of it could be swapped for one longer piece
-    that still fits, or if a further piece fits; the longest-first search with
-    maximal fillings leaves those out.
-    """
+    """A few good fillings beside one piece of length `first`, least waste first: those that the search tries before all others."""
     found: dict[Pattern, int] = {}
     lengths = np.flatnonzero(counts)[::-1]
     smallest = int(lengths[-1]) if len(lengths) else capacity + 1
@@ -163,20 +160,71 @@ def completions(first: int, counts: np.ndarray, capacity: int, most: int, tries:
     return sorted(found, key=found.get)[:most]
 
 
+def fillings(first: int, counts: np.ndarray, capacity: int) -> Iterator[Pattern | None]:
+    """All undominated fillings beside one piece of length `first`, longest pieces and most copies first; None after steps that give none.
+
+    A filling is dominated (Martello and Toth) if a further piece fits, or if a
+    longer piece that is left fits in place of one, or one as long as two of its
+    pieces or longer in place of both.
+    """
+    own = counts.copy()
+    own[first] -= 1
+    lengths = np.flatnonzero(own)[::-1].tolist()
+
+    def dominated(pattern: list[tuple[int, int]], room: int) -> bool:
+        used = dict(pattern)
+        left = [x for x in lengths if own[x] > used.get(x, 0)]
+        pairs = [x + y for i, (x, n) in enumerate(pattern) for y, m in pattern[i:] if x != y or n > 1]
+        longer = lambda low, high: any(low <= y <= high for y in left)
+        return longer(1, room) or any(longer(x + 1, x + room) for x in used) or any(longer(x, x + room) for x in pairs)
+
+    def grow(pattern: list[tuple[int, int]], room: int, at: int) -> Iterator[Pattern | None]:
+        while at < len(lengths) and lengths[at] > room:
+            at += 1
+        if at == len(lengths):
+            yield None if dominated(pattern, room) else tuple(pattern)
+            return
+        yield None
+        for i in range(at, len(lengths)):
+            for copies in range(min(room // lengths[i], int(own[lengths[i]])), 0, -1):
+                yield from grow([*pattern, (lengths[i], copies)], room - copies * lengths[i], i + 1)
+
+    yield from grow([], capacity - first, 0)
+
+
+def moves(left: np.ndarray, capacity: int) -> Iterator[tuple[dict[int, int], int] | None]:
+    """(whole pattern, times) of all ways to go on with the bin of the largest piece, most times first."""
+    first = int(np.flatnonzero(left)[-1])
+    early = completions(first, left, capacity, 3)
+    for filling in chain(early, fillings(first, left, capacity)):
+        if filling is None:
+            yield None
+            continue
+        whole = dict(filling)
+        whole[first] = whole.get(first, 0) + 1
+        for times in range(min(int(left[x]) // c for x, c in whole.items()), 0, -1):
+            yield whole, times
+
+
 def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Pattern, int]]:
     """Patterns with their numbers of bins. Lengths run from 1 to capacity; counts[0] must be 0.
 
-    Depth first over fillings of the bin of the largest piece, the least waste
-    first. A node is cut if its waste can't lead below the incumbent; the rest of
-    the first, second, fourth, ... node is packed best-fit for an incumbent early.
+    Depth first over all undominated fillings of the bin of the largest piece and
+    all numbers of such bins, a few of the least waste first. A node is cut if its
+    waste can't lead below the incumbent; the rest of the first, second, fourth,
+    ... node is packed best-fit for an incumbent early. Only `nodes`, the number
+    of steps, ends the search before the optimum is proven.
     """
     total = int((counts * np.arange(len(counts))).sum())
     least = max(-(-total // capacity), int(counts[capacity // 2 + 1 :].sum()))
     size = lambda plan: sum(n for _, n in plan)
     best = best_fit(counts, capacity)
     bins = size(best)
-    stack: list[tuple] = [(counts.astype(np.int64), None, 0, 0)]  # pieces left, (pattern, times, parent), bins used, waste
-    seen = 0
+    if bins <= least:
+        return best
+    counts = counts.astype(np.int64)
+    stack: list[tuple] = [(moves(counts, capacity), counts, None, 0, 0)]  # ways on, pieces left, (pattern, times, parent), bins used, waste
+    seen = steps = 0
 
     def path(step) -> list[tuple[Pattern, int]]:
         plan = []
@@ -185,30 +233,33 @@ def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NO
             step = step[2]
         return plan[::-1]
 
-    while stack and bins > least and seen < nodes:
-        left, step, used, waste = stack.pop()
+    while stack and bins > least and steps < nodes:
+        steps += 1
+        ways, left, parent, used, waste = stack[-1]
+        if waste > (bins - 1) * capacity - total or (way := next(ways, False)) is False:
+            stack.pop()
+            continue
+        if way is None:
+            continue
+        whole, times = way
+        rest = left.copy()
+        for x, c in whole.items():
+            rest[x] -= c * times
+        pattern = tuple(sorted(whole.items(), reverse=True))
+        used, waste = used + times, waste + (capacity - sum(x * c for x, c in pattern)) * times
         if waste > (bins - 1) * capacity - total:
             continue
-        if not left.any():
+        step = pattern, times, parent
+        if not rest.any():
             if used < bins:
                 best, bins = path(step), used
             continue
         seen += 1
         if seen & (seen - 1) == 0:
-            tail = best_fit(left, capacity)
+            tail = best_fit(rest, capacity)
             if used + size(tail) < bins:
                 best, bins = [*path(step), *tail], used + size(tail)
-        first = int(np.flatnonzero(left)[-1])
-        for filling in reversed(completions(first, left, capacity, 3) or [()]):
-            whole = dict(filling)
-            whole[first] = whole.get(first, 0) + 1
-            times = min(int(left[x]) // c for x, c in whole.items())
-            rest = left.copy()
-            for x, c in whole.items():
-                rest[x] -= c * times
-            pattern = tuple(sorted(whole.items(), reverse=True))
-            lost = capacity - sum(x * c for x, c in pattern)
-            stack.append((rest, (pattern, times, step), used + times, waste + lost * times))
+        stack.append((moves(rest, capacity), rest, step, used, waste))
     return best
 
 

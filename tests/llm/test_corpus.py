@@ -495,3 +495,10 @@ def test_passages_of_over_50_words_are_found_across_sentences(spark, seed):
     if seed == 0:
         got = {r.doc_id: r for r in spans.remove_repeats(frame(spark, docs)).collect()}
         assert [got[i].n_removed for i in (0, 2, 4, 5)] == [0] * 4 and got[1].n_removed_words == 52 and got[3].n_removed_words >= spans.REACH
+
+
+def test_bin_completion_takes_fewer_copies_than_fit():
+    counts = np.zeros(101, np.int64)
+    for x in (45, 44, 31, 25, 25, 20, 10):
+        counts[x] += 1
+    assert sum(n for _, n in packing.bin_completion(counts, 100)) == 2
