@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from causa import reach_workers
@@ -37,3 +38,24 @@ def shared_folder(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
+
+
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Spreads the bits of 64-bit words."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse modulo 2^64."""
+    if base not in _tables or len(_tables[base][0]) < n:
+        size = max(n, 1 << 17)
+        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _tables[base] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    up, down = _tables[base]
+    return up[:n], down[:n]

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causa.llm.common import cut, saved
+from causa.llm.common import cut, mix, powers, saved
 
 LENGTH = 100
 SEED = 40
@@ -40,24 +40,6 @@ _ROWS = 8_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_2 = 0xD1342543DE82EF95
 _MASK = (1 << 64) - 1
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _power(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, n of each at least."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        size = max(n, _CHUNK)
-        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _powers[base] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    up, down = _powers[base]
-    return up[:n], down[:n]
 
 
 def rolling(data: np.ndarray, width: int, base: int = _BASE) -> np.ndarray:
@@ -65,10 +47,10 @@ def rolling(data: np.ndarray, width: int, base: int = _BASE) -> np.ndarray:
     n = len(data)
     if n < width:
         return np.zeros(0, np.uint64)
-    up, down = _power(n, base)
+    up, down = powers(n, base)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-    return _mix((sums[width:] - sums[:-width]) * down[: n - width + 1])
+    return mix((sums[width:] - sums[:-width]) * down[: n - width + 1])
 
 
 def anchors(texts: list[bytes], length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, ...]:

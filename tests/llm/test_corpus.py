@@ -502,3 +502,15 @@ def test_bin_completion_takes_fewer_copies_than_fit():
     for x in (45, 44, 31, 25, 25, 20, 10):
         counts[x] += 1
     assert sum(n for _, n in packing.bin_completion(counts, 100)) == 2
+
+
+def test_spans_tell_rows_with_one_id_apart(spark):
+    other = " ".join(f"Sentence number {i} says {i * i} things here." for i in range(12))
+    rows = [(1, f"{PASSAGE} And x here."), (5, f"Some y first. {PASSAGE} Then z."), (5, other), (None, other[:200]), (None, f"{PASSAGE} None."), (5, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in spans.remove_repeats(docs).collect())
+    # the row without an id comes first, so its passage and sentences stay
+    assert got[None, rows[3][1]] == 1 and got[None, rows[4][1]] == 1
+    lost = {(i, t): n for (i, t), n in got.items() if i is not None}
+    assert sum(lost.values()) == 4 and {i for i, _ in lost} == {1, 5} and not any(PASSAGE in t for _, t in lost)
+    assert [n for (i, t), n in lost.items() if t.endswith("121 things here.")] == [2]
