@@ -13,8 +13,11 @@ compared at their anchors, which are a few per cent of the positions:
    with a common prefix of `seed` bytes lies across a boundary;
 3. each bucket is sorted by a multikey quicksort over 8-byte words, which leaves
    runs of equal seeds; the windows of a run are compared and all but the
-   earliest of equal ones are marked;
-4. marks are merged per document and the bytes removed.
+   earliest of equal ones are marked. A bucket is taken in parts of whole runs;
+4. the windows of seeds that occur more than `hot` times are not sorted: which
+   of equal ones is the earliest is found by minima over their hashes, combined
+   before the exchange, so no task holds such a run;
+5. marks are merged per document and the bytes removed.
 
 Whole copies of a text are found by digest beforehand: they don't repeat the
 sort, and a run never holds more than one copy of a text.
@@ -34,6 +37,8 @@ from causa.llm.common import cut, mix, powers, saved
 
 LENGTH = 100
 SEED = 40
+HOT = 20_000
+_PART = 50_000  # rows of a bucket that are compared together, and the rest of their last run
 _CHUNK = 1 << 17  # bytes of texts that are handled together
 _BLOCK = 1 << 20
 _ROWS = 8_000
@@ -162,8 +167,8 @@ def _mark(own: np.ndarray, group: np.ndarray, supers: list[bytes], length: int,
         marked[own[row[hit[lo]]]] = inside[hit[lo:hi]]
 
 
-def _order(place: tuple[int | None, int]) -> tuple[bool, int, int]:
-    return place[0] is not None, place[0] or 0, place[1]
+def _order(place: tuple[int | None, int, int]) -> tuple[bool, int, int, int]:
+    return place[0] is not None, place[0] or 0, *place[1:]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -184,113 +189,147 @@ def intervals(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, cut + 1)].tolist(), (starts[np.append(cut, len(starts) - 1)] + length).tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED, hot: int = HOT) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row.
 
     spans are the removed byte ranges [start, end) of the UTF-8 text; cut_out()
     applies them. A null text counts as empty; texts under `length` bytes stay
-    whole. Rows with equal id and text are one document and come back as often
-    as they came; a null id comes before all others. An empty table gives an
-    empty result.
+    whole. Rows with one id and different texts are different documents, in
+    order of a hash of the text; rows equal in both are one document and come
+    back as often as they came; a null id comes before all others. An empty
+    table gives an empty result.
     """
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), body.alias("body"))
-    slim = cut(rows.select("id", F.sha2("body", 256).alias("digest"), F.octet_length("body").cast("long").alias("n")))
-    lead = slim.groupBy("digest").agg(F.min(F.struct(F.col("id").isNotNull().alias("k"), "id")).alias("lead"))
-    slim = cut(slim.join(lead, "digest").select("id", "digest", "n", (F.col("id").eqNullSafe(F.col("lead.id"))).alias("leads")))
+    # key only finds a document's places; id and own name it exactly wherever bytes are removed
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), body.alias("body")).withColumns({"own": F.xxhash64("body"), "key": F.xxhash64("id", "body")})
+    slim = cut(rows.select("id", "key", F.sha2("body", 256).alias("digest"), F.octet_length("body").cast("long").alias("n")))
+    # what is joined to is written before, so that both sides are dealt by the join alone and AQE can split a hot key
+    lead = cut(slim.groupBy("digest").agg(F.min(F.struct(F.col("id").isNotNull().alias("k"), "id")).alias("lead")))
+    slim = cut(slim.join(lead, "digest").select("id", "key", "digest", "n", (F.col("id").eqNullSafe(F.col("lead.id"))).alias("leads")))
 
     def listed(with_place: bool):
         def run(batches):
             for b in batches:
-                number, h, a, first, last = anchors(b.column(1).to_pylist(), length, seed)
+                number, h, a, first, last = anchors(b.column(0).to_pylist(), length, seed)
                 if with_place:
                     pack = a << 16 | (a - first) << 8 | (last - first)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(pa.array(number)), pa.array(pack)], ["h", "id", "pack"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h), b.column(1).take(pa.array(number)), pa.array(pack)], ["h", "key", "pack"])
                 else:
                     h, n = np.unique(h, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
 
-        return rows.mapInArrow(run, "h long, id long, pack long" if with_place else "h long, n long")
+        return rows.select("body", "key").mapInArrow(run, "h long, key long, pack long" if with_place else "h long, n long")
 
-    # written, so that both sides of the join are dealt by it alone and AQE can split a hot seed
-    often = saved(listed(False).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
-    places = listed(True).join(often, "h").groupBy("id").agg(F.collect_list("pack").alias("packs"))
-    heads = slim.where("leads").select(F.col("id").alias("lead_id")).distinct()
-    places = places.join(heads, F.col("id").eqNullSafe(F.col("lead_id"))).select("lead_id", "packs")
-    hit = rows.join(places, F.col("id").eqNullSafe(F.col("lead_id"))).select("id", "body", "packs")
-    hit = saved(hit)
+    often = saved(listed(False).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("hot")))
+    # the sign marks the places of hot seeds
+    places = listed(True).join(often, "h").groupBy("key").agg(F.collect_list(F.when(F.col("hot"), -1 - F.col("pack")).otherwise(F.col("pack"))).alias("packs"))
+    heads = slim.where("leads").select(F.col("key").alias("lead_key")).distinct()
+    places = places.join(heads, F.col("key") == F.col("lead_key")).select("lead_key", "packs")
+    hit = saved(rows.join(places, F.col("key") == F.col("lead_key")).select("id", "own", "body", "packs"))
 
     def emit(batches):
         """Super-windows, equal ones of a batch once: the later ones are marked here (rows without bytes, place: their length)."""
+        kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             seen: dict[tuple[bytes, int], int] = {}
-            gone: dict[int | None, list[tuple[int, int]]] = {}
-            for i, body, packs in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                text = body.as_py()
-                for pack in np.unique(np.array(packs.values, np.int64)).tolist():
+            gone: dict[tuple[int | None, int], list[tuple[int, int]]] = {}
+            for i, own, body, packs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                text, packs = body.as_py(), np.unique(packs.values.to_numpy())
+                for pack in packs[packs >= 0].tolist():
                     a = pack >> 16
                     first = a - (pack >> 8 & 255)
-                    own = text[first : first + (pack & 255) + length]
-                    if len(own) < length:
+                    window = text[first : first + (pack & 255) + length]
+                    if len(window) < length:
                         continue
-                    at = seen.setdefault((own, a - first), len(out[0]))
+                    at = seen.setdefault((window, a - first), len(out[0]))
                     if at == len(out[0]):
-                        for column, v in zip(out, (text[a : a + seed], own, a - first, i, first), strict=True):
+                        for column, v in zip(out, (text[a : a + seed], window, a - first, i, own, first), strict=True):
                             column.append(v)
                         continue
-                    here, there = (i, first), (out[3][at], out[4][at])
+                    here, there = (i, own, first), (out[3][at], out[4][at], out[5][at])
                     if _order(here) < _order(there):
-                        out[3][at], out[4][at] = here
+                        out[3][at], out[4][at], out[5][at] = here
                         here, there = there, here
                     if here != there:
-                        gone.setdefault(here[0], []).append((here[1], here[1] + len(own)))
-            for i, spans in gone.items():
+                        gone.setdefault(here[:2], []).append((here[2], here[2] + len(window)))
+            for (i, own), spans in gone.items():
                 for lo, hi in _merged(spans):
-                    head = (lo * 0x9E3779B97F4A7C15 ^ hash(i) * 0xD1342543DE82EF95) & _MASK
-                    for column, v in zip(out, (head.to_bytes(8, "big"), None, hi - lo, i, lo), strict=True):
+                    head = (lo * 0x9E3779B97F4A7C15 ^ own * 0xD1342543DE82EF95) & _MASK
+                    for column, v in zip(out, (head.to_bytes(8, "big"), None, hi - lo, i, own, lo), strict=True):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["head", "own", "place", "id", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["head", "window", "place", "id", "own", "first"])
 
-    suffixes = hit.mapInArrow(emit, "head binary, own binary, place int, id long, first long")
-    buckets = suffixes.repartitionByRange(F.col("head"))
+    suffixes = hit.mapInArrow(emit, "head binary, window binary, place int, id long, own long, first long")
+    buckets = suffixes.repartitionByRange(F.col("head")).sortWithinPartitions("head")
+    names = ["id", "own", "lo", "hi"]
 
     def compare(batches):
-        got, names = [], ["id", "lo", "hi"]
+        held: list[pa.RecordBatch] = []
         for b in batches:
             known = pc.is_valid(b.column(1))
-            got.append(b.filter(known))
-            done = b.filter(pc.invert(known))
+            done, b = b.filter(pc.invert(known)), b.filter(known)
             if done.num_rows:
-                yield pa.RecordBatch.from_arrays([done.column(3), done.column(4), pc.add(done.column(4), pc.cast(done.column(2), pa.int64()))], names)
-        if not sum(b.num_rows for b in got):
-            return
-        table = pa.Table.from_batches(got).select(["own", "place", "id", "first"])
-        del got
-        ids, first = table["id"].to_pandas(), table["first"].to_numpy()
+                yield pa.RecordBatch.from_arrays([done.column(3), done.column(4), done.column(5), pc.add(done.column(5), pc.cast(done.column(2), pa.int64()))], names)
+            if not b.num_rows:
+                continue
+            held.append(b)
+            if sum(x.num_rows for x in held) >= _PART:
+                table = pa.Table.from_batches(held).combine_chunks()
+                rest = pc.sum(pc.equal(table["head"], table["head"][-1])).as_py()  # the last run may go on
+                held = table.slice(len(table) - rest).to_batches()
+                if rest < len(table):
+                    yield from compared(table.slice(0, len(table) - rest))
+        if held:
+            yield from compared(pa.Table.from_batches(held))
+
+    def compared(table):
+        ids, own, first = table["id"].to_pandas(), table["own"].to_numpy(), table["first"].to_numpy()
         known, ids = ids.notna().to_numpy(), ids.fillna(0).to_numpy(np.int64)
-        by = np.lexsort((first, ids, known))
-        own = table["own"].take(pa.array(by)).to_pylist()  # from here on in order of document and place
-        ids, known, first = ids[by], known[by], first[by]
+        by = np.lexsort((first, own, ids, known))
+        windows = table["window"].take(pa.array(by)).to_pylist()  # from here on in order of document and place
+        ids, own, known, first = ids[by], own[by], known[by], first[by]
         places = table["place"].to_numpy()[by].astype(np.int64)
-        del table
         # rows with equal id and text are one document
-        twin = np.flatnonzero((np.diff(ids) == 0) & (np.diff(first) == 0) & (known[1:] == known[:-1])) + 1
-        again = [int(t) for t in twin if own[t] == own[t - 1]]
+        twin = np.flatnonzero((np.diff(ids) == 0) & (np.diff(own) == 0) & (np.diff(first) == 0) & (known[1:] == known[:-1])) + 1
+        again = [int(t) for t in twin if windows[t] == windows[t - 1]]
         if again:
-            keep = np.ones(len(own), bool)
+            keep = np.ones(len(windows), bool)
             keep[again] = False
-            own = [own[k] for k in np.flatnonzero(keep)]
-            ids, known, first, places = ids[keep], known[keep], first[keep], places[keep]
-        marked = repeated_windows(own, places, length, seed)
+            windows = [windows[k] for k in np.flatnonzero(keep)]
+            ids, own, known, first, places = ids[keep], own[keep], known[keep], first[keep], places[keep]
+        marked = repeated_windows(windows, places, length, seed)
         spans = [(k, lo, hi) for k, starts in enumerate(marked) for lo, hi in intervals(starts + first[k], length)]
         for at in range(0, len(spans), 50_000):
             part = spans[at : at + 50_000]
             rows = np.array([x[0] for x in part], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows], mask=~known[rows]), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows], mask=~known[rows]), pa.array(own[rows]), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.int64())], names)
 
-    marks = buckets.mapInArrow(compare, "id long, lo long, hi long").groupBy(F.col("id").alias("mark_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
-    touched = hit.select("id", "body").join(marks, F.col("id").eqNullSafe(F.col("mark_id"))).select("id", "body", "marks")
+    def hashed(batches):
+        """Both hashes of each window of hot seeds."""
+        for b in batches:
+            for i, own, body, packs in zip(b.column(0), b.column(1), b.column(2), b.column(3), strict=True):
+                text, starts, hashes = body.as_py(), [], []
+                packs = packs.values.to_numpy()
+                for pack in (-1 - np.unique(packs[packs < 0])).tolist():
+                    first = (pack >> 16) - (pack >> 8 & 255)
+                    data = np.frombuffer(text[first : first + (pack & 255) + length], np.uint8)
+                    hashes.append([rolling(data, length), rolling(data, length, _BASE_2)])
+                    starts.append(first + np.arange(len(hashes[-1][0])))
+                if starts:
+                    first = np.concatenate(starts)
+                    alike = [pa.array(np.concatenate([h[k] for h in hashes]).view(np.int64)) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*alike, pa.array([i.as_py()] * len(first), pa.int64()), pa.array([own.as_py()] * len(first), pa.int64()), pa.array(first)], ["a", "b", "id", "own", "first"])
+
+    marks = buckets.mapInArrow(compare, "id long, own long, lo long, hi long")
+    if not often.where("hot").isEmpty():
+        windows = hit.where(F.exists("packs", lambda p: p < 0)).mapInArrow(hashed, "a long, b long, id long, own long, first long")
+        place = F.struct("id", "own", "first")
+        earliest = saved(windows.groupBy("a", "b").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "earliest"))
+        later = windows.join(earliest, ["a", "b"]).where(~place.eqNullSafe(F.col("earliest")))
+        marks = marks.unionByName(later.select("id", "own", F.col("first").alias("lo"), (F.col("first") + length).alias("hi")))
+    marks = marks.groupBy(F.col("id").alias("mark_id"), F.col("own").alias("mark_own")).agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
+    touched = hit.select("id", "own", "body").join(marks, F.col("id").eqNullSafe(F.col("mark_id")) & (F.col("own") == F.col("mark_own"))).select("id", "body", "marks")
 
     def apply(batches):
         for b in batches:

@@ -514,3 +514,21 @@ def test_spans_tell_rows_with_one_id_apart(spark):
     lost = {(i, t): n for (i, t), n in got.items() if i is not None}
     assert sum(lost.values()) == 4 and {i for i, _ in lost} == {1, 5} and not any(PASSAGE in t for _, t in lost)
     assert [n for (i, t), n in lost.items() if t.endswith("121 things here.")] == [2]
+
+
+def test_repeated_bytes_of_hot_seeds_match_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    parts = ["".join(rng.choices("ab é", k=rng.randint(60, 400))) for _ in range(5)]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 5))) + "".join(rng.choices("xyz", k=rng.randint(0, 150))) for _ in range(40)]
+    monkeypatch.setattr(suffix, "_PART", 7)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(frame(spark, texts).repartition(3), hot=8).collect()}
+    assert got == plain_repeats({i: t.encode() for i, t in enumerate(texts)})
+
+
+def test_repeated_bytes_tell_rows_with_one_id_apart(spark):
+    rng = random.Random(10)
+    p, x, y, z, own = ("".join(rng.choices("abcdefgh ", k=k)) for k in (210, 120, 90, 130, 699))
+    rows = [(1, p + x), (5, y + p + z), (5, own), (None, own[:300]), (None, z + "!"), (5, own)]
+    for hot in (1, suffix.HOT):
+        got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect())
+        assert got == {(1, 330, 0): 1, (5, 430, 340): 1, (5, 699, 300): 2, (None, 300, 0): 1, (None, 131, 0): 1}
