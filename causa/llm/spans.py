@@ -125,13 +125,10 @@ def runs(text: str, spans: list[tuple[int, int]], least: int = SENTENCES, words:
 
 def _dead(pieces: int, first: np.ndarray, last: np.ndarray, hi: np.ndarray, lo: np.ndarray, gone: np.ndarray) -> np.ndarray:
     """Which pieces a text loses: those under the runs in gone, and under all but the first of runs that come again in it."""
-    key = np.rec.fromarrays([hi, lo])
-    again = np.ones(len(key), bool)
-    again[np.unique(key, return_index=True)[1]] = False
-    again |= np.isin(hi, gone)
-    dead = np.zeros(pieces + 1, np.int64)
-    np.add.at(dead, first[again], 1)
-    np.add.at(dead, last[again] + 1, -1)
+    again = np.isin(hi, gone) if len(gone) else np.zeros(len(hi), bool)
+    by = np.argsort(hi, kind="stable")
+    again[by[1:][(hi[by[1:]] == hi[by[:-1]]) & (lo[by[1:]] == lo[by[:-1]])]] = True
+    dead = np.bincount(first[again], minlength=pieces + 1) - np.bincount(last[again] + 1, minlength=pieces + 1)
     return np.cumsum(dead)[:-1] > 0
 
 
