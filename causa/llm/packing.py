@@ -32,7 +32,7 @@ CACHE_WORDS = 1_200_000
 NODES = 6000
 _ODD = re.compile("[\x1c-\x1f]")  # white space for str.split, not for the tokenizer
 _FAR = re.compile("[^\x00-\u012f]")
-_SIGNS = frozenset(".,;:!?")
+_SIGNS = ".,;:!?*#$%&()+-=_/"
 _coders: dict[str, tuple] = {}
 
 Pattern = tuple[tuple[int, int], ...]  # (length, copies), longest first
@@ -44,38 +44,57 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def token_bytes(text: str, path: str) -> bytes:
-    """Little-endian unsigned 32-bit ids of a text.
-
-    This tokenizer splits at white space and between letters and other signs and
-    lower-cases, so words are encoded once, kept, and joined with the signs after them.
-    """
+def _coder(path: str) -> tuple:
+    """The tokenizer, its added tokens (text to id) and the ids of the words met so far."""
     if path not in _coders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         coder = Tokenizer.from_file(path)
-        coder.encode_special_tokens = True
-        _coders[path] = coder, {}
-    coder, known = _coders[path]
-    if _ODD.search(text):
+        _coders[path] = coder, {t.content: i for i, t in coder.get_added_tokens_decoder().items()}, {}
+    return _coders[path]
+
+
+def _encoded(words: list[str], coder, added: dict[str, int]) -> Iterator[bytes]:
+    """Ids of each word. None holds an added token, so one between all words tells where each one's ids end."""
+    if not added:
+        yield from (array("I", e.ids).tobytes() for e in coder.encode_batch(words, add_special_tokens=False))
+        return
+    mark, number = next(iter(added.items()))
+    ids = np.array(coder.encode_batch_fast([mark.join(words)], add_special_tokens=False)[0].ids, "<u4")
+    ends = [*(4 * np.flatnonzero(ids == number)).tolist(), 4 * len(ids)]
+    raw, at = ids.tobytes(), 0
+    for end in ends:
+        yield raw[at:end]
+        at = end + 4
+
+
+def token_bytes(text: str, path: str) -> bytes:
+    """Little-endian unsigned 32-bit ids of a text.
+
+    This tokenizer splits at white space and between letters and other signs and
+    lower-cases, so words are encoded once, kept, and joined with the signs after
+    them. Texts with an added token in them, in any case, are encoded as they are.
+    """
+    coder, added, known = _coder(path)
+    low = text.lower()
+    if _ODD.search(text) or any(t.lower() in low for t in added):
         return np.array(coder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     if not _FAR.search(text):  # below U+0130 lower case is one sign for one and nothing composes
-        text = text.lower()
+        text = low
     words = text.split()
     new = {w for w in words if w not in known}
     if new:
         if len(known) > CACHE_WORDS:
             known.clear()
             new = set(words)
-        ended = [w for w in new if w[-1] in _SIGNS and w[:-1].isalpha()]
-        new.difference_update(ended)
-        new.update(x for w in ended for x in (w[:-1], w[-1]) if x not in known)
-        for at in range(0, len(part := list(new)), 5000):
-            for w, e in zip(part[at : at + 5000], coder.encode_batch(part[at : at + 5000], add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-        for w in ended:
-            known[w] = known[w[:-1]] + known[w[-1]]
+        ended = [(w, head, w[len(head) :]) for w in new if w[-1] in _SIGNS and (head := w.rstrip(_SIGNS)).isalpha() and head.lower().isalpha()]
+        new.difference_update(w for w, _, _ in ended)
+        new.update(x for _, head, tail in ended for x in (head, tail) if x not in known)
+        for at in range(0, len(part := list(new)), 200):
+            known.update(zip(part[at : at + 200], _encoded(part[at : at + 200], coder, added), strict=True))
+        for w, head, tail in ended:
+            known[w] = known[head] + known[tail]
     return b"".join(map(known.__getitem__, words))
 
 

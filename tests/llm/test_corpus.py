@@ -532,3 +532,32 @@ def test_repeated_bytes_tell_rows_with_one_id_apart(spark):
     for hot in (1, suffix.HOT):
         got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect())
         assert got == {(1, 330, 0): 1, (5, 430, 340): 1, (5, 699, 300): 2, (None, 300, 0): 1, (None, 131, 0): 1}
+
+
+def test_bin_completion_reaches_the_optimum_that_best_fit_misses_on_many_small_histograms():
+    def optimum(sizes, most):
+        """Fewest bins by trying all bins for each piece, longest first."""
+        sizes = sorted(sizes, reverse=True)
+
+        def place(k, rooms, limit):
+            if k == len(sizes):
+                return True
+            if -(-(sum(sizes[k:]) - sum(rooms)) // 100) > limit - len(rooms):
+                return False
+            for j in sorted({r: j for j, r in enumerate(rooms) if r >= sizes[k]}.values()):
+                if place(k + 1, rooms[:j] + [rooms[j] - sizes[k]] + rooms[j + 1 :], limit):
+                    return True
+            return len(rooms) < limit and place(k + 1, [*rooms, 100 - sizes[k]], limit)
+
+        return next(n for n in range(-(-sum(sizes) // 100), most + 1) if n == most or place(0, [], n))
+
+    rng, missed, at = random.Random(12), 0, 0
+    while missed < 200 and at < 20_000:
+        at += 1
+        sizes = [rng.randint(10, 60) for _ in range(rng.randint(6, 11))]
+        counts = np.bincount(sizes, minlength=101)
+        greedy = sum(n for _, n in packing.best_fit(counts, 100))
+        if greedy > -(-sum(sizes) // 100) and (best := optimum(sizes, greedy)) < greedy:
+            missed += 1
+            assert sum(n for _, n in packing.bin_completion(counts, 100)) == best
+    assert missed == 200
