@@ -561,3 +561,35 @@ def test_bin_completion_reaches_the_optimum_that_best_fit_misses_on_many_small_h
             missed += 1
             assert sum(n for _, n in packing.bin_completion(counts, 100)) == best
     assert missed == 200
+
+
+def test_shingles_scattered_over_a_document_are_no_leak():
+    item = "What did the old keeper of the lamp write on the wall before the storm came in? He wrote the names of nine ships lost near the northern reef that year."
+    index = decontam.build_index([(1, item)])
+    own = decontam.words(item)
+    scattered = " ".join(" ".join(own[i : i + 6]) + " " + " ".join(f"f{i}x{j}" for j in range(90)) for i in range(0, len(own) - 4, 2))
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    assert grams(own) <= grams(decontam.words(scattered))
+    assert decontam.search(scattered, index) == []
+    mixed = " ".join(reversed(own))
+    for text in (item, f"{'x y z ' * 500}{item}{' a b c' * 500}", f"{mixed} {'pad ' * 200} {item}"):
+        assert [r[0] for r in decontam.search(text, index)] == [0]
+
+
+def test_the_index_grows_with_its_items():
+    rng = random.Random(5)
+    for n in (500, 4000):
+        items = [(i, " ".join(f"w{rng.randrange(n * 20)}" for _ in range(rng.randint(10, 60)))) for i in range(n)]
+        index = decontam.build_index(items)
+        held = index.postings.bytes() + index.bound.bytes() + index.first.nbytes + index.top.nbytes
+        assert held < 12 * sum(len(t) for _, t in items)
+
+
+def test_slices_share_one_set_of_counts(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices([f"v{k}" for k in range(400)], k=30)) + ". " + " ".join(rng.choices([f"u{k}" for k in range(400)], k=10)) + ".") for i in range(60)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    docs = frame(spark, [f"pad {t} pad" for _, t in rows])
+    whole = {tuple(r)[:2]: r.score for r in decontam.contaminated(docs, items).collect()}
+    sliced = {tuple(r)[:2]: r.score for r in decontam.contaminated(docs, items, slice_bytes=3000).collect()}
+    assert whole.keys() == sliced.keys() and len(whole) == 60 and all(abs(whole[k] - sliced[k]) < 1e-9 for k in whole)
