@@ -6,11 +6,15 @@ whole corpus: with document counts n(t), n(e), n(t, e) of N documents, the
 term discloses the share PMI(t; e) / IC(e) of the entity's information, where
 PMI = log(N n(t, e) / (n(t) n(e))) and IC = log(N / n(e)). Terms that disclose
 REMOVE of it or more are removed next to the entity, those above GENERALISE are
-replaced by a general word; a pair needs two different texts as evidence.
+replaced by a general word; a pair needs two different texts as evidence. Near
+means within WINDOW code points of the entity; a term is a word of four letters
+or more.
 
 Java's patterns get possessive loops and a start that is not inside the run
 before it, so their matches are those of the plain patterns but time is linear
-in the text and no stack grows.
+in the text and no stack grows. Places of matches are running sums by doubling,
+and parts of a text are taken from pieces of fixed length, so that time stays
+near linear in the number of matches too.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ SUPPORT = 2
 REMOVE = 0.95
 GENERALISE = 0.8
 TERM = r"\p{L}{4,}+"
+PIECE = 1024  # code points
+FEW_TERMS = 200_000  # hashes of candidate terms that are broadcast at most
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -45,20 +51,52 @@ _VALID = {
     "card": f"if(length({_DIGITS}) between 16 and 19, {_LUHN}, false)",
     "phone": f"length({_DIGITS}) between 8 and 15",
 }
-_SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
 def _quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\'") + "'"
 
 
+def _named(value: str, name: str, body: str) -> str:
+    """SQL: body with a value that is worked out once under a name."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _running(array: str, step: str) -> str:
+    """SQL: running sums or maxima of an array: each round combines entries twice as far apart. step: SQL of a and b."""
+    far = "r[i - int(shiftleft(1, j))]"
+    return f"aggregate(sequence(0, int(log2(size({array}) + 1))), {array}, (r, j) -> transform(r, (x, i) -> if(i >= int(shiftleft(1, j)), {step.format(a='x', b=far)}, x)))"
+
+
 def matches(text: str, pattern: str) -> str:
     """SQL: spans (s, e, v) of all matches of a pattern, in code points, from the lengths of what lies between and of what matches."""
     p = _quoted(pattern)
-    return f"""aggregate(zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (a, b) -> struct(length(a) as gap, b as v)),
-        struct(0 as at, cast(array() as {_SPAN}) as spans),
-        (a, x) -> if(x.v is null, a, struct(a.at + x.gap + length(x.v) as at, concat(a.spans, array(struct(a.at + x.gap as s, a.at + x.gap + length(x.v) as e, x.v as v))) as spans)),
-        a -> a.spans)"""
+    parts = f"zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (a, b) -> struct(length(a) as gap, b as v))"
+    spans = "filter(transform(z, (x, i) -> struct(ends[i] - length(x.v) as s, ends[i] as e, x.v as v)), x -> x.v is not null)"
+    return _named(parts, "z", _named("transform(z, x -> x.gap + coalesce(length(x.v), 0))", "sizes", _named(_running("sizes", "{a} + {b}"), "ends", spans)))
+
+
+def _pieces(text: str) -> str:
+    """SQL: a text in pieces of PIECE code points."""
+    return f"regexp_extract_all({text}, {_quoted(f'(?s).{{1,{PIECE}}}')}, 0)"
+
+
+def _part(pieces: str, lo: str, hi: str) -> str:
+    """SQL: the strings that make up the code points [lo, hi) of a text in pieces."""
+    a, b = f"int(({lo}) div {PIECE})", f"int(({hi}) div {PIECE})"
+    at = lambda k: f"coalesce(get({pieces}, {k}), '')"
+    return f"""if({a} = {b}, array(substr({at(a)}, ({lo}) % {PIECE} + 1, ({hi}) - ({lo}))),
+        concat(array(substr({at(a)}, ({lo}) % {PIECE} + 1)), slice({pieces}, {a} + 2, {b} - {a} - 1), array(substr({at(b)}, 1, ({hi}) % {PIECE}))))"""
+
+
+def _rebuilt(text: str, spans: str, mark: str) -> str:
+    """SQL: a text with marks in place of spans, an array of structs with s and e sorted by s. mark: SQL of the span y.x
+    and of y.at, the end of all spans before it."""
+    pairs = "transform(spans, (x, i) -> struct(x as x, if(i = 0, 0, reach[i - 1]) as at))"
+    parts = f"flatten(transform({pairs}, y -> concat(if(y.x.s > y.at, {_part('pieces', 'y.at', 'y.x.s')}, cast(array() as array<string>)), array({mark}))))"
+    whole = f"array_join(concat({parts}, {_part('pieces', 'reach[size(reach) - 1]', f'length({text})')}), '')"
+    body = _named("transform(spans, x -> x.e)", "ends", _named(_running("ends", "greatest({a}, {b})"), "reach", whole))
+    return _named(_pieces(text), "pieces", _named(spans, "spans", body))
 
 
 def entities(text: str) -> str:
@@ -71,19 +109,22 @@ def entities(text: str) -> str:
 
 
 def _context(text: str) -> str:
-    """SQL: array of (entity, term, s, e) of the whole terms within WINDOW of each entity, those inside entities left out."""
+    """SQL: array of (entity, term, s, e) of the terms that stand whole within WINDOW of each entity, outside all entities."""
     w = WINDOW
     sides = (
         (f"greatest(x.s - {w}, 0)", "x.s", f"t.s > 0 or x.s <= {w}", f"greatest(x.s - {w}, 0)"),
-        ("x.e", f"least(x.e + {w}, length({text}))", f"t.e < {w} or x.e + {w} >= length({text})", "x.e"),
+        ("x.e", f"least(x.e + {w}, n)", f"t.e < {w} or x.e + {w} >= n", "x.e"),
     )
     found = []
     for lo, hi, whole, base in sides:
-        cut_text = f"substr({text}, {lo} + 1, {hi} - {lo})"
-        found.append(f"transform(filter({matches(cut_text, TERM)}, t -> {whole}), t -> struct(lower(t.v) as term, t.s + {base} as s, t.e + {base} as e))")
+        near = _named(f"array_join({_part('masked', lo, hi)}, '')", "near", matches("near", TERM))
+        found.append(f"transform(filter({near}, t -> {whole}), t -> struct(lower(t.v) as term, t.s + {base} as s, t.e + {base} as e))")
     entity = "xxhash64(x.kind, if(x.kind = 0, lower(x.v), regexp_replace(x.v, '[^0-9.]', '')))"
-    return f"""flatten(transform(base, x -> transform(filter(concat({', '.join(found)}), t -> not exists(base, b -> t.s < b.e and b.s < t.e)),
-        t -> struct({entity} as entity, t.term as term, t.s as s, t.e as e))))"""
+    terms = f"flatten(transform(base, x -> transform(concat({', '.join(found)}), t -> struct({entity} as entity, t.term as term, t.s as s, t.e as e))))"
+    # entities as signs that are no letters
+    blank = "repeat(chr(1), greatest(0, y.x.e - greatest(y.x.s, y.at)))"
+    masked = _rebuilt(text, "array_sort(transform(base, x -> struct(x.s as s, x.e as e)))", blank)
+    return _named(_named(masked, "m", _pieces("m")), "masked", _named(f"length({text})", "n", terms))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,6 +146,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     pair = per_text.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= SUPPORT)
     entity = near.select("id", "text_hash", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("w"))
+    near_terms = pair.select(F.xxhash64("term").alias("c")).distinct()
+    if len(near_terms.limit(FEW_TERMS + 1).take(FEW_TERMS + 1)) <= FEW_TERMS:  # otherwise all words are counted, to the same end
+        words = words.join(F.broadcast(near_terms), F.xxhash64("w") == F.col("c"), "left_semi")
     term = words.groupBy(F.xxhash64("w").alias("h")).agg(F.count(F.lit(1)).alias("n_t"))
     known = pair.join(entity, "entity").join(term, F.xxhash64("term") == F.col("h"))
     share = F.log(n_docs * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log((n_docs + 1) / F.col("n_e"))
@@ -134,7 +178,6 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         transform(terms, x -> struct(x.s as s, x.e as e, if(x.general, '[WORD]', '[REMOVED]') as mark))))""").alias("__spans"))
     text = F.col(text_col)
     both = docs.join(found, text.isNotNull() & F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text.cast("string")) == F.col("__hash")), "left")
-    clean = F.expr(f"""aggregate(__spans, struct('' as done, 0 as at),
-        (a, x) -> struct(if(x.s >= a.at, concat(a.done, substr(`{text_col}`, a.at + 1, x.s - a.at), x.mark), a.done) as done, greatest(a.at, x.e) as at),
-        a -> concat(a.done, substr(`{text_col}`, a.at + 1)))""")
+    # a span that begins before the ones before it end is replaced with them
+    clean = F.expr(_rebuilt(f"`{text_col}`", "__spans", "if(y.x.s >= y.at, y.x.mark, '')"))
     return both.withColumn(text_col, F.when(F.col("__spans").isNotNull(), clean).otherwise(text)).drop("__id", "__hash", "__spans")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -593,3 +594,60 @@ def test_slices_share_one_set_of_counts(spark):
     whole = {tuple(r)[:2]: r.score for r in decontam.contaminated(docs, items).collect()}
     sliced = {tuple(r)[:2]: r.score for r in decontam.contaminated(docs, items, slice_bytes=3000).collect()}
     assert whole.keys() == sliced.keys() and len(whole) == 60 and all(abs(whole[k] - sliced[k]) < 1e-9 for k in whole)
+
+
+def plain_terms(texts, window=64):
+    """Term spans by text number: the definitions, one text and term after the other."""
+    kinds = {k: n for n, k in enumerate(PLAIN)}
+    entities, near, words = [], [], []
+    for t in texts:
+        base = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in plain_spans(t))]
+        masked = list(t)
+        for _, s, e in base:
+            masked[s:e] = "\x01" * (e - s)
+        masked, own = "".join(masked), []
+        for k, s, e in base:
+            name = kinds[k], t[s:e].lower() if k == "email" else re.sub("[^0-9.]", "", t[s:e])
+            for lo, hi in ((max(s - window, 0), s), (e, min(e + window, len(t)))):
+                for m in re.finditer(r"[^\W\d_]+", masked[lo:hi]):
+                    cut_left, cut_right = hi == s and lo > 0 and m.start() == 0, lo == e and hi < len(t) and m.end() == hi - lo
+                    if len(m.group()) >= 4 and not cut_left and not cut_right:
+                        own.append((name, m.group().lower(), lo + m.start(), lo + m.end()))
+        near.append(own)
+        entities.append({x[0] for x in own})
+        words.append({w for w in re.findall(r"[^\W\d_]+", t.lower()) if len(w) >= 4})
+    n, out = len(texts), []
+    for own in near:
+        hit = {}
+        for name, term, s, e in own:
+            both = [t for t, x in zip(texts, near, strict=True) if any(y[:2] == (name, term) for y in x)]
+            n_e, n_t = sum(name in x for x in entities), sum(term in x for x in words)
+            share = np.log(n * len(both) / (n_t * n_e)) / np.log((n + 1) / n_e)
+            if len(set(both)) >= 2 and share >= pii.GENERALISE:
+                hit[s, e] = hit.get((s, e), True) and bool(share < pii.REMOVE)
+        out.append(sorted((*k, v) for k, v in hit.items()))
+    return out
+
+
+def test_terms_match_a_plain_version(spark):
+    rng = random.Random(7)
+    common = ["river", "stone", "letter", "garden", "of", "the", "window"]
+    people = [(f"Name{chr(97 + i)}o".replace("0", ""), f"p{i}@mail{i}.org", f"+49 30 12345{i:03d}") for i in range(12)]
+    texts = []
+    for _ in range(160):
+        name, mail, phone = rng.choice(people)
+        near = [rng.choice([name, name, rng.choice(common), "é" + name.lower()]) for _ in range(2)]
+        texts.append(" ".join([*rng.choices(common, k=rng.randint(0, 14)), near[0], rng.choice([mail, mail.upper(), phone]), near[1], *rng.choices(common, k=rng.randint(0, 14)), rng.choice([mail, phone, ""])]))
+    texts += [" ".join(rng.choices(common, k=20)) for _ in range(60)]
+    got = {r.doc_id: [tuple(t) for t in r.terms] for r in pii.find(frame(spark, texts)).collect()}
+    want = plain_terms(texts)
+    assert got == dict(enumerate(want)) and sum(map(bool, want)) > 20
+
+
+def test_personal_data_in_very_long_texts_takes_time_in_proportion(spark):
+    numbers = ", ".join(str(100 + i % 900) for i in range(400_000))
+    people = ", ".join(f"word user{i}@mail.org, 4111 1111 1111 1111" for i in range(5000))
+    began = time.time()
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, [numbers, people])).collect()}
+    assert time.time() - began < 60
+    assert clean[0] == numbers and clean[1] == ", ".join(["word [EMAIL], [CARD]"] * 5000)
