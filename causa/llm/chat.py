@@ -45,26 +45,40 @@ def chain(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
     return rows.select("conv", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
 
 
+def one_each(messages: DataFrame) -> DataFrame:
+    """One row per (conv, node): of several, the least in order of parent, role, text and score, nulls first."""
+    rest = F.struct("parent", "role", "text", F.col("score").cast("double").alias("score"))
+    return messages.groupBy("conv", "node").agg(F.min(rest).alias("m")).select("conv", "node", "m.*")
+
+
 def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
-    """(conv, branch, depth, node) of the `branches` best root-to-leaf paths of each tree.
+    """(conv, branch, depth, node) of the `branches` best root-to-leaf paths of each conversation's trees.
 
     Branches are ranked by mean score along the path, then by length (longer
-    first), then by leaf. A parent that is missing makes its child a root.
+    first), then by leaf. A parent that is missing makes its child a root. A
+    circle of parents is cut at its smallest node, which becomes a root. A node
+    must stand in one row only (see one_each).
     """
     base = messages.select("conv", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = base.select("conv", F.col("node").alias("parent"), F.lit(True).alias("known"))
     start = base.join(known, ["conv", "parent"], "left").select("conv", "node", F.when(F.col("known"), F.col("parent")).alias("up"), "score", F.lit(0).alias("depth"))
     # up: the ancestor 2^k above, or null above the root; depth: steps taken so far
-    state = cut(start.withColumn("depth", F.when(F.col("up").isNotNull(), 1).otherwise(0)))
+    state = cut(start.withColumns({"depth": F.when(F.col("up").isNotNull(), 1).otherwise(0), "low": F.col("node")}))
     most = state.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
     jumps = [state.where("up is not null").select("conv", "node", "up")]
     leaves = state.join(state.select("conv", F.col("up").alias("node")).where("node is not null").distinct(), ["conv", "node"], "left_anti").select("conv", F.col("node").alias("leaf"))
     for _ in range(max(0, (most - 1).bit_length())):
         # only messages that haven't reached their root are joined again
-        over = state.select("conv", F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"), F.col("depth").alias("steps"))
-        moved = state.where("up is not null").join(over, ["conv", "up"]).select("conv", "node", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score"), (F.col("depth") + F.col("steps")).alias("depth"))
-        state = cut(state.where("up is null").select("conv", "node", "up", "score", "depth").unionByName(moved))
+        over = state.select("conv", F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"), F.col("depth").alias("steps"), F.col("low").alias("under"))
+        moved = state.where("up is not null").join(over, ["conv", "up"]).select("conv", "node", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score"), (F.col("depth") + F.col("steps")).alias("depth"), F.least("low", "under").alias("low"))
+        state = cut(state.where("up is null").select("conv", "node", "up", "score", "depth", "low").unionByName(moved))
         jumps.append(state.where("up is not null").select("conv", "node", "up"))
+    # whoever hasn't reached a root by now stands on a circle of parents or below one; low is the least node of the circle where up is on it
+    turning = state.where("up is not null")
+    if not turning.isEmpty():
+        ends = turning.select("conv", F.col("up").alias("node")).distinct().join(turning.select("conv", "node", "low"), ["conv", "node"]).where("node = low").select("conv", "node", F.lit(True).alias("ends"))
+        parted = messages.join(ends, ["conv", "node"], "left").withColumn("parent", F.when(F.col("ends").isNull(), F.col("parent"))).drop("ends")
+        return best_paths(cut(parted.select("conv", "node", "parent", "score")), branches)
     totals = state.select("conv", "node", "score", "depth")
     rank = Window.partitionBy("conv").orderBy(F.desc(F.col("score") / (F.col("depth") + 1)), F.desc("depth"), "leaf")
     ends = leaves.join(totals.withColumnRenamed("node", "leaf"), ["conv", "leaf"]).withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= branches)
@@ -77,13 +91,16 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     return path.join(totals, ["conv", "node"]).select("conv", "branch", "depth", "node")
 
 
-def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
+def format_trees(messages: DataFrame, branches: int = 1, unique: bool = False) -> DataFrame:
     """(conv, branch, formatted, loss_spans): one row per chosen path.
 
+    unique: each node is known to stand in one row, as chain() makes them; else see one_each.
+
     loss_spans are the code points [start, end) of the assistants' texts in
     formatted. A null role or text counts as empty; a conversation without rows
     gives no row. Messages of one conversation meet in one row, as the format asks.
     """
+    messages = messages if unique else cut(one_each(messages))
     path = best_paths(messages, branches).join(messages.select("conv", "node", "role", "text"), ["conv", "node"])
     empty = F.lit("")
     turn = F.struct("depth", escape(F.coalesce("role", empty)).alias("role"), escape(F.coalesce("text", empty)).alias("text"), (F.col("role") == "assistant").alias("loss"))

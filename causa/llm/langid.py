@@ -37,10 +37,10 @@ class Model:
 def _codes(text: str) -> np.ndarray:
     """Lower-cased code points with a zero for everything that isn't a letter, and at both ends."""
     if not _letters:
-        _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x30000)), bool, 0x30000))
+        _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
     c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     out = np.zeros(len(c) + 2, np.uint32)
-    out[1:-1] = np.where((c < 0x30000) & _letters[0][np.minimum(c, 0x2FFFF)], c, 0)
+    out[1:-1] = np.where(_letters[0][c], c, 0)
     return out
 
 
@@ -138,9 +138,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     w = ftrl(train, len(labels))
     held = held or train
     logits, y = np.array([x @ w[at] for at, x, _ in held]).reshape(-1, len(labels)), np.array([r[2] for r in held], np.int64)
-    # a grid reaches the best temperature within 2 per cent
-    losses = {t: -np.log(_softmax(logits / t)[np.arange(len(y)), y] + 1e-12).sum() for t in np.geomspace(0.05, 20, 300)}
-    return Model(labels, (w[:-1] * idf[:, None]).astype(np.float32), w[-1], min(losses, key=losses.get) if len(y) else 1.0)
+    return Model(labels, (w[:-1] * idf[:, None]).astype(np.float32), w[-1], temperature(logits, y) if len(y) else 1.0)
+
+
+def temperature(logits: np.ndarray, y: np.ndarray) -> float:
+    """The divisor of the logits that makes the labels y likeliest; a grid reaches it within 2 per cent."""
+    losses = {float(t): -np.log(_softmax(logits / t)[np.arange(len(y)), y] + 1e-12).sum() for t in np.geomspace(0.05, 20, 300)}
+    return min(losses, key=losses.get)
 
 
 def identify(text: str | None, model: Model) -> tuple[str, float]:

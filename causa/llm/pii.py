@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causa.llm.common import cut
+from causa.llm.common import cut, unused
 
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 64  # code points of context on either side of an entity
@@ -172,12 +172,13 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     general terms `[WORD]`, removed terms `[REMOVED]`. Overlapping spans are replaced
     together, by the first one's mark. Null texts stay null; all columns are kept.
     """
-    found = find(docs, id_col, text_col).where("size(base) > 0").select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash"), "base", "terms").dropDuplicates(["__id", "__hash"])
-    found = found.select("__id", "__hash", F.expr("""array_sort(concat(
+    own, digest, spans = (unused(docs, n) for n in ("id", "hash", "spans"))
+    found = find(docs, id_col, text_col).where("size(base) > 0").select(F.col(id_col).alias(own), F.col("text_hash").alias(digest), "base", "terms").dropDuplicates([own, digest])
+    found = found.select(own, digest, F.expr("""array_sort(concat(
         transform(base, x -> struct(x.s as s, x.e as e, element_at(array('[EMAIL]', '[IP]', '[CARD]', '[PHONE]'), x.kind + 1) as mark)),
-        transform(terms, x -> struct(x.s as s, x.e as e, if(x.general, '[WORD]', '[REMOVED]') as mark))))""").alias("__spans"))
+        transform(terms, x -> struct(x.s as s, x.e as e, if(x.general, '[WORD]', '[REMOVED]') as mark))))""").alias(spans))
     text = F.col(text_col)
-    both = docs.join(found, text.isNotNull() & F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text.cast("string")) == F.col("__hash")), "left")
+    both = docs.join(found, text.isNotNull() & F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(text.cast("string")) == F.col(digest)), "left")
     # a span that begins before the ones before it end is replaced with them
-    clean = F.expr(_rebuilt(f"`{text_col}`", "__spans", "if(y.x.s >= y.at, y.x.mark, '')"))
-    return both.withColumn(text_col, F.when(F.col("__spans").isNotNull(), clean).otherwise(text)).drop("__id", "__hash", "__spans")
+    clean = F.expr(_rebuilt(f"`{text_col}`", spans, "if(y.x.s >= y.at, y.x.mark, '')"))
+    return both.withColumn(text_col, F.when(F.col(spans).isNotNull(), clean).otherwise(text)).drop(own, digest, spans)

@@ -23,11 +23,7 @@ CELL_ROWS = 200_000
 
 
 def communication_matrix(counts: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
-    """One row per partition: rows that it sends to each shard. Column sums differ by one at most.
-
-    The law is exact up to a thousand million rows; while more are left to deal
-    out, a normal law of the same mean and variance is drawn and the margins stay exact.
-    """
+    """One row per partition: rows that it sends to each shard. Column sums differ by one at most."""
     rng, total = np.random.default_rng(seed), int(counts.sum())
     left = np.full(shards, total // shards, np.int64)
     left[: total % shards] += 1
@@ -45,17 +41,34 @@ def _draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
         return left.copy()
     if total < 1_000_000_000:
         return rng.multivariate_hypergeometric(left, n, method="marginals")
-    out = np.zeros(len(left), np.int64)
+    out = np.zeros(len(left), np.int64)  # numpy's draw ends at 10^9 rows
     for j, own in enumerate(map(int, left)):
-        if n:
-            mean, rest = n * own / total, total - own
-            spread = (mean * (rest / total) * (total - n) / max(1, total - 1)) ** 0.5
-            out[j] = min(max(round(rng.normal(mean, spread)), n - rest, 0), n, own)
-            n -= int(out[j])
+        out[j] = hypergeometric(rng, own, total - own, n)
+        n -= int(out[j])
         total -= own
     return out
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n rows drawn from good + bad ones are good, by inversion.
+
+    Probabilities are products of exact ratios outwards from the mode, to 14
+    standard deviations; what lies beyond is less than double precision.
+    """
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    total = good + bad
+    mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    spread = int(14 * (n / total * good / total * bad * ((total - n) / max(1, total - 1))) ** 0.5) + 30
+    up, down = np.arange(mode, min(high, mode + spread), dtype=np.float64), np.arange(mode, max(low, mode - spread), -1, dtype=np.float64)
+    more = np.cumprod((good - up) * (n - up) / ((up + 1) * (bad - n + up + 1)))
+    less = np.cumprod(down * (bad - n + down) / ((good - down + 1) * (n - down + 1)))
+    weights = np.concatenate([less[::-1], [1.0], more])
+    sums = np.cumsum(weights)
+    return mode - len(less) + min(int(np.searchsorted(sums, rng.random() * sums[-1], "right")), len(weights) - 1)
+
+
 def shuffle_into_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, seed: int = SEED, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(id_col, size, text_crc32, shard, slot) of every row; slots run from 0 in each shard.
 

@@ -50,15 +50,15 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id_col, fp): one row per row of docs. Null, empty and blank texts have fingerprint 0."""
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
+    """(id_col, own, fp): one row per row of docs; own is a hash of the text. Null, empty and blank texts have fingerprint 0."""
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body")).withColumn("own", F.xxhash64("body"))
 
     def run(batches):
         for b in batches:
             fps = [fingerprint(x.as_py(), shingle) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.int64())], ["id", "own", "fp"])
 
-    return slim.mapInArrow(run, "id long, fp long").withColumnRenamed("id", id_col)
+    return slim.mapInArrow(run, "id long, own long, fp long").withColumnRenamed("id", id_col)
 
 
 def _anchors(fp: str) -> F.Column:
@@ -108,9 +108,10 @@ def links(distinct_fps: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the (a, b) edges reaches.
 
-    Alternating large-star and small-star rounds: each is two joins on a node,
-    skewed ones are split by AQE, and minima are combined before the shuffle.
-    Edges stay linear in the nodes; the rounds grow with the logarithm squared.
+    Alternating large-star and small-star rounds: each is two joins on a node.
+    Minima are combined before the shuffle and written before they are joined, so
+    that AQE can split a node with very many edges. Edges stay linear in the
+    nodes; the rounds grow with the logarithm squared.
     """
     state = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
@@ -120,17 +121,18 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = now
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = cut(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         state = cut(small.select("e.*").where("a <> b").distinct())
     return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id_col, fp, component): component is the smallest id reachable over links of
-    at most two differing bits.
+    """(id_col, own, fp, root, component): component is the smallest id reachable over
+    links of at most two differing bits, root a fingerprint that names the group.
+    Groups of rows that share an id have the same component but not the same root.
 
     Null, empty and blank texts share fingerprint 0 and link like any other.
     Repeated rows give repeated rows with one component; a null id takes part as
@@ -143,8 +145,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"), F.col("node").isNotNull().alias("linked"))
     member = cut(member.unionByName(roots.select("root").distinct().join(first, F.col("root") == F.col("fp")).select("fp", "first", "root", F.lit(True).alias("linked"))))
     linked = member.where("linked")
-    low = linked.groupBy("root").agg(F.min("first").alias("low"))
-    named = linked.join(low, "root").select("fp", F.col("low").alias("name")).distinct()
+    low = cut(linked.groupBy("root").agg(F.min("first").alias("low")))
+    named = linked.join(low, "root").select("fp", "root", F.col("low").alias("name")).distinct()
     # cut, so that AQE can split a hot fingerprint in the last join
-    class_of = cut(first.join(named, "fp", "left").select("fp", F.coalesce("name", "first").alias("component")))
-    return fps.join(class_of, "fp").select(F.col("id").alias(id_col), "fp", "component")
+    class_of = cut(first.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNotNull(), F.col("name")).otherwise(F.col("first")).alias("component")))
+    return fps.join(class_of, "fp").select(F.col("id").alias(id_col), "own", "fp", "root", "component")

@@ -651,3 +651,86 @@ def test_personal_data_in_very_long_texts_takes_time_in_proportion(spark):
     clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, [numbers, people])).collect()}
     assert time.time() - began < 60
     assert clean[0] == numbers and clean[1] == ", ".join(["word [EMAIL], [CARD]"] * 5000)
+
+
+def test_letters_of_all_planes_are_letters():
+    model = langid.Model(["a", "b"], np.zeros((langid.PLACES, 2), np.float32), np.zeros(2), 1.0)
+    assert langid.identify(chr(0x30001), model)[0] != langid.UNKNOWN and langid.identify("\U0001f600 12", model)[0] == langid.UNKNOWN
+
+
+def test_training_matches_plain_ftrl():
+    rng = np.random.default_rng(1)
+    rows = []
+    for _ in range(40):
+        at = np.append(np.sort(rng.choice(50, 6, replace=False)), langid.PLACES)
+        rows.append((at, np.append(rng.random(6), 1.0), int(rng.integers(3))))
+    z, n = defaultdict(float), defaultdict(float)
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.01, 0.02
+
+    def weight(i, c):
+        if abs(z[i, c]) <= l1:
+            return 0.0
+        return -(z[i, c] - np.sign(z[i, c]) * l1) / ((beta + n[i, c] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        for k in order.permutation(len(rows)):
+            at, x, y = rows[k]
+            w = {(i, c): weight(i, c) for i in at for c in range(3)}
+            logits = [sum(v * w[i, c] for i, v in zip(at, x, strict=True)) for c in range(3)]
+            p = np.exp(logits) / np.exp(logits).sum()
+            for i, v in zip(at, x, strict=True):
+                for c in range(3):
+                    g = v * (p[c] - (c == y))
+                    z[i, c] += g - ((n[i, c] + g * g) ** 0.5 - n[i, c] ** 0.5) / alpha * w[i, c]
+                    n[i, c] += g * g
+    got = langid.ftrl(rows, 3, epochs=3, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    assert all(abs(got[i, c] - weight(i, c)) < 1e-9 for i in [*range(50), langid.PLACES] for c in range(3)) and not got[50:-1].any()
+
+
+def test_document_frequencies_and_temperature_match_plain_ones(spark):
+    texts = ["abc abd", "Abc", "", "xyz é", "abc abd"]
+    df, total = langid.document_frequencies(frame(spark, texts).select("text"))
+    want = Counter(p for t in texts for p in set(langid._places(t).tolist()))
+    assert total == 5 and {i: int(n) for i, n in enumerate(df) if n} == want
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 3, 400)
+    logits = 6 * rng.standard_normal((400, 3)) + 4 * np.eye(3)[y]
+    loss = lambda t: -np.mean([row[k] / t - np.log(np.exp(row / t).sum()) for row, k in zip(logits, y, strict=True)])
+    best = min(np.arange(0.5, 15, 0.01), key=loss)
+    assert abs(langid.temperature(logits, y) / best - 1) < 0.03
+
+
+def test_large_draws_follow_the_hypergeometric_law():
+    from math import comb
+
+    for good, bad, n in ((7, 12, 6), (30, 5, 20), (3, 400, 50), (40, 40, 79)):
+        rng = np.random.default_rng(good)
+        drawn = Counter(sharding.hypergeometric(rng, good, bad, n) for _ in range(6000))
+        law = {k: comb(good, k) * comb(bad, n - k) / comb(good + bad, n) for k in range(max(0, n - bad), min(n, good) + 1)}
+        assert set(drawn) <= set(law)
+        likely = {k: p for k, p in law.items() if 6000 * p >= 5}
+        chi = sum((drawn[k] - 6000 * p) ** 2 / (6000 * p) for k, p in likely.items())
+        assert chi < len(likely) + 5 * (2 * len(likely)) ** 0.5 + 5
+    rng, (good, bad, n) = np.random.default_rng(0), (3_000_000_000, 5_000_000_000, 2_000_000_000)
+    x = np.array([sharding.hypergeometric(rng, good, bad, n) for _ in range(200)])
+    mean, spread = n * good / (good + bad), (n * good / (good + bad) * bad / (good + bad) * (1 - n / (good + bad))) ** 0.5
+    assert abs(x.mean() - mean) < 5 * spread / 200**0.5 and 0.8 < x.std() / spread < 1.2
+
+
+def test_matrices_follow_the_law_of_a_uniform_shuffle():
+    from math import comb
+
+    counts, seen = np.array([4, 3, 2]), Counter()
+    for seed in range(6000):
+        m = sharding.communication_matrix(counts, 3, seed)
+        seen[int(m[0, 0]), int(m[0, 1])] += 1
+    law = {(a, b): comb(3, a) * comb(3, b) * comb(3, 4 - a - b) / comb(9, 4) for a in range(4) for b in range(4) if 0 <= 4 - a - b <= 3}
+    assert sum((seen[k] - 6000 * p) ** 2 / (6000 * p) for k, p in law.items()) < 40 and set(seen) <= set(law)
+
+
+def test_circles_of_parents_and_repeated_nodes(spark):
+    rows = [(1, 1, 2, "user", "a", 0.5), (1, 2, 1, "assistant", "b", 0.5), (1, 3, 2, "user", "c", 0.5), (2, 1, 1, "user", "self", 0.1), (3, 1, None, "user", "q", 0.1), (3, 2, 1, "assistant", "yes", 0.2), (3, 2, 1, "assistant", "yes", 0.2), (3, 2, 1, "assistant", "no", 0.9)]
+    tree = spark.createDataFrame(rows, "conv long, node long, parent long, role string, text string, score double")
+    got = {r.conv: [t.text for t in r.turns] for r in chat.read_back(chat.format_trees(tree)).collect()}
+    assert got == {1: ["a", "b", "c"], 2: ["self"], 3: ["q", "no"]}
