@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from causa import reach_workers
 from causa.llm import decontam, langid, packing, pii, simhash
-from causa.llm.common import saved, table
+from causa.llm.common import saved, table, unused
 
 #: Below this calibrated probability no language is told apart; texts in two languages stay.
 LEAST_SCORE = 0.4
@@ -23,22 +23,31 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = langid.fit(docs.where(~langid.held_out()))
     if not model.labels:
         return docs
-    found = docs.withColumn("__lang", langid.scorer(spark, model)(F.col("text").cast("string")))
-    return found.where((F.col("__lang.lang_pred") != langid.UNKNOWN) & (F.col("__lang.score") >= LEAST_SCORE)).drop("__lang")
+    name = unused(docs, "found")
+    found = docs.withColumn(name, langid.scorer(spark, model)(F.col("text").cast("string")))
+    return found.where((F.col(f"{name}.lang_pred") != langid.UNKNOWN) & (F.col(f"{name}.score") >= LEAST_SCORE)).drop(name)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group. Rows without an id can't be named and stay."""
+    """The document with the smallest id of each near-duplicate group, of several with that id the one with the
+    smallest hash of its text, of rows equal in both the one with the smallest hash of all columns. Rows with one id
+    in different groups each stay. Rows without an id can't be named and stay, but don't count for their group.
+    """
     found = simhash.near_duplicates(docs, shingle=SHINGLE)
-    first = found.where("doc_id = component").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    first = found.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "own")).alias("first")).select("first.*")
+    own = F.xxhash64(F.col("text").cast("string"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), own.alias("own"), F.xxhash64(*docs.columns).alias("whole"))
+    kept = rows.join(first, ["doc_id", "own"], "left_semi").groupBy("doc_id", "own").agg(F.min_by("row", "whole").alias("row"))
+    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold no benchmark item; texts that are null or have no word stay, as do all rows where there is no item."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with personal data and what reveals it replaced by marks; n_chars follows, null texts stay null."""
     names = docs.columns
     clean = pii.sanitise(docs)
     if "n_chars" in names:
@@ -47,6 +56,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of every document; a null or empty text is one piece, repeated rows give repeated pieces."""
     return packing.pack(docs)
 
 
