@@ -78,3 +78,12 @@ def test_odd_rows_pass_through(spark, rows):
         if name == "near_duplicates" and rows:
             assert sorted((r.doc_id is None, r.doc_id or 0) for r in docs.collect()) == [(False, 3), (True, 0)]
     assert docs.count() == (2 if rows else 0)
+
+
+def test_rows_with_one_id_in_different_groups_each_stay(spark):
+    said = [" ".join(f"{w}{i}" for i in range(30)) for w in ("alpha", "beta", "gamma")]
+    rows = [(5, said[0], "en", "s", 1, "x"), (5, said[1], "en", "s", 1, "x"), (6, said[2], "en", "s", 1, "x"), (7, said[1], "en", "s", 1, "x"), (5, said[1], "en", "t", 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, own string")
+    kept = corpus_pipeline.one_of_each(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(5, said[0]), (5, said[1]), (6, said[2])])
