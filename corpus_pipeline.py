@@ -33,12 +33,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     smallest hash of its text, of rows equal in both the one with the smallest hash of all columns. Rows with one id
     in different groups each stay. Rows without an id can't be named and stay, but don't count for their group.
     """
-    found = simhash.near_duplicates(docs, shingle=SHINGLE)
-    first = found.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "own")).alias("first")).select("first.*")
+    found = simhash.near_duplicates(docs, shingle=SHINGLE).where("doc_id is not null")
+    same = found.groupBy("root", "doc_id", "own").agg(F.count(F.lit(1)).alias("rows"))
+    first = saved(same.groupBy("root").agg(F.min(F.struct("doc_id", "own", "rows")).alias("first")).select("first.doc_id", "first.own", "first.rows"))
     own = F.xxhash64(F.col("text").cast("string"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), own.alias("own"), F.xxhash64(*docs.columns).alias("whole"))
-    kept = rows.join(first, ["doc_id", "own"], "left_semi").groupBy("doc_id", "own").agg(F.min_by("row", "whole").alias("row"))
-    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), own.alias("own"))
+    alone, again = (rows.join(first.where(n), ["doc_id", "own"], "left_semi") for n in ("rows = 1", "rows > 1"))
+    again = again.groupBy("doc_id", "own").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return alone.select("row.*").unionByName(again.select("row.*")).unionByName(docs.where("doc_id is null"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
