@@ -22,27 +22,38 @@ class Rule:
     title: str
     basis: str
     priority: int
-    outcomes: Sequence[tuple[str, str, str]]  # SQL condition on the case, level, message; the first that holds counts
+    outcomes: Sequence[tuple[str, str, str]]  # SQL condition on the case, level, message SQL; the first that holds counts
     since: str | None = None  # of the hiring date
     undated_applies: bool = True
+    every: bool = False  # all outcomes that hold count
+    #: SQL array of messages for the item i with the index k in the case's array items, level; an alert for each message
+    item_outcomes: Sequence[tuple[str, str]] = ()
 
 
-def outcome(rule: Rule, hired: Column) -> Column:
-    """Struct of (rule_id, level, message, priority), or null if the rule is silent or doesn't apply."""
-    alert = None
-    for condition, level, message in rule.outcomes:
-        made = F.struct(F.lit(rule.id).alias("rule_id"), F.lit(level).alias("level"), F.lit(message).alias("message"), F.lit(rule.priority).alias("priority"))
-        alert = F.when(F.expr(condition), made) if alert is None else alert.when(F.expr(condition), made)
+def _alert(rule: Rule, level: str, message: str) -> str:
+    return f"named_struct('rule_id', '{rule.id}', 'level', '{level}', 'message', {message}, 'priority', {rule.priority})"
+
+
+def alerts(rule: Rule, hired: Column) -> Column:
+    """Array of (rule_id, level, message, priority) of a rule; empty if the rule is silent or doesn't apply."""
+    made = [f"when {condition} then {_alert(rule, level, message)}" for condition, level, message in rule.outcomes]
+    parts = [f"array(case {w} end)" for w in (made if rule.every else [" ".join(made)] if made else [])]
+    parts += [f"transform(flatten(transform(items, (i, k) -> {messages})), m -> {_alert(rule, level, 'm')})" for messages, level in rule.item_outcomes]
+    found = F.array_compact(F.expr(f"concat({', '.join(parts)})"))
     if rule.since is None:
-        return alert
-    return F.when(F.coalesce(hired >= F.lit(rule.since).cast("date"), F.lit(rule.undated_applies)), alert)
+        return found
+    applies = F.coalesce(hired >= F.lit(rule.since).cast("date"), F.lit(rule.undated_applies))
+    return F.filter(found, lambda a: applies)
+
+
+def all_alerts(rules: Sequence[Rule], hired_col: str = "hired_on") -> Column:
+    """Alerts of all rules in order of priority, in one array."""
+    return F.flatten(F.array(*(alerts(r, F.col(hired_col)) for r in sorted(rules, key=lambda r: r.priority))))
 
 
 def apply(cases: DataFrame, rules: Sequence[Rule], id_col: str = "case_id", hired_col: str = "hired_on") -> DataFrame:
-    """(id_col, rule_id, level, message, priority), a row per alert."""
-    ordered = sorted(rules, key=lambda r: r.priority)
-    alerts = F.array_compact(F.array(*(outcome(r, F.col(hired_col)) for r in ordered)))
-    return cases.select(id_col, F.explode(alerts).alias("a")).select(id_col, "a.*")
+    """(id_col, rule_id, level, message, priority), a row per alert; items must stand in the case's order."""
+    return cases.select(id_col, F.explode(all_alerts(rules, hired_col)).alias("a")).select(id_col, "a.*")
 
 
 def metadata(spark, rules: Sequence[Rule]) -> DataFrame:

@@ -155,9 +155,10 @@ def item_counts(spark, sf_dir):
 
 
 def full_cases(spark, sf_dir):
-    """Cases with their items nested; one shuffle by case."""
-    item = F.struct("item_no", "name", "period", "reflexes", "integrates", "amount", text.canonical_name(F.col("name")).alias("canonical"), text.canonical_key(F.col("name")).alias("canonical_key"))
-    nested = derived(spark, sf_dir, "items").groupBy("case_id").agg(F.collect_list(item).alias("items"))
+    """Cases with their items nested in order; one shuffle by case."""
+    reflex = F.transform(F.filter(F.split("reflexes", ", | e "), lambda x: x != ""), text.canonical_name)
+    item = F.struct("item_no", "name", "status", "period", reflex.alias("reflex"), "integrates", "amount", text.canonical_name(F.col("name")).alias("canonical"), text.canonical_key(F.col("name")).alias("canonical_key"))
+    nested = derived(spark, sf_dir, "items").groupBy("case_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     rows = derived(spark, sf_dir, "cases").withColumn("number_ok", text.check_digit_ok(F.col("number"))).join(nested, "case_id", "left")
     return rows.withColumn("items", F.coalesce("items", F.array().cast(nested.schema["items"].dataType)))
 
@@ -166,26 +167,53 @@ def _flag(p: str) -> str:
     return f"coalesce(bool_or(regexp_matches(name, '(?i){p}')), false)"
 
 
-_FACTS = f"""SELECT c.*, f.* EXCLUDE (case_id) FROM cases c LEFT JOIN (SELECT case_id, {_flag('horas?\\s*extras?')} AS has_overtime, {_flag('dsr')} AS has_dsr, {_flag('f[eé]rias')} AS has_vacation,
-  {_flag('aviso\\s*pr[eé]vio')} AS has_notice, {_flag('467')} AS has_467, {_flag('477')} AS has_477, {_flag('transporte')} AS has_transport, {_flag('horas?\\s*extras?|noturno|f[eé]rias|13')} AS has_base, {_flag('dano\\s*moral')} AS has_damage,
-  bool_or(regexp_matches(name, '(?i)dsr') AND regexp_matches(reflexes, '(?i)horas extras|f[eé]rias|13|aviso|fgts')) AS dsr_forbidden, bool_or(integrates AND reflexes = '') AS unused,
-  bool_or(contains(lower(reflexes), lower({CANON}))) AS own_reflex, max(amount) FILTER (WHERE regexp_matches(name, '(?i)dano\\s*moral')) AS damage, max(amount) FILTER (WHERE contains(name, '477')) AS fine,
-  count(*) > count(DISTINCT {CANON} || '|' || period) AS repeats, count(*) > count(DISTINCT {CANON_KEY} || '|' || period) AS repeats_key FROM items GROUP BY case_id) f ON c.case_id = f.case_id"""
+_FACTS = f"""SELECT c.*, f.* EXCLUDE (case_id), coalesce(own_vacation, false) AS paid_vacation, coalesce(own_notice, false) AS paid_notice FROM cases c LEFT JOIN (SELECT case_id,
+  {_flag('aviso\\s*pr[eé]vio')} AS has_notice, {_flag('467')} AS has_467, {_flag('477')} AS has_477, {_flag('transporte')} AS has_transport, {_flag(legal_rules.BASE)} AS has_base, {_flag('dano\\s*moral')} AS has_damage,
+  bool_or(lower(name) LIKE '%indenizada%' AND lower(name) LIKE '%férias%') AS own_vacation, bool_or(lower(name) LIKE '%indenizado%' AND lower(name) LIKE '%aviso%') AS own_notice, max(amount) FILTER (WHERE contains(name, '477')) AS fine FROM items GROUP BY case_id) f ON c.case_id = f.case_id"""
+
+_REFLEX = sql_first("part", catalogs.CANONICAL_ITEMS, "trim(part)")
+_values = lambda names: ", ".join(f"({n}, {q(x)})" for n, x in enumerate(names))
+#: Items, reflexes as they stand (r0), are added (radd), are removed (rdel) and are left (r).
+_ITEM_FACTS = f"""i AS (SELECT case_id, item_no, name, lower(status) AS status, lower(trim(period)) AS period, reflexes, integrates, amount, {CANON} AS canonical, {CANON_KEY} AS canonical_key FROM items),
+r0 AS (SELECT DISTINCT case_id, item_no, {_REFLEX} AS reflex FROM (SELECT case_id, item_no, unnest(string_split(replace(reflexes, ' e ', ', '), ', ')) AS part FROM i) WHERE part <> ''),
+radd AS (SELECT i.case_id, i.item_no, d.reflex, d.n FROM i CROSS JOIN (VALUES {_values(legal_rules.DUE)}) d(n, reflex) ANTI JOIN r0 ON r0.case_id = i.case_id AND r0.item_no = i.item_no AND r0.reflex = d.reflex WHERE lower(i.name) LIKE '%horas extras%'),
+rdel AS (SELECT i.case_id, i.item_no, d.reflex, d.n FROM i JOIN r0 USING (case_id, item_no) JOIN (VALUES {_values(legal_rules.NOT_OF_REST)}) d(n, reflex) ON d.reflex = r0.reflex WHERE lower(i.name) LIKE '%dsr%' OR lower(i.name) LIKE '%repouso semanal%'),
+r AS (SELECT case_id, item_no, reflex FROM (SELECT * FROM r0 UNION ALL SELECT case_id, item_no, reflex FROM radd) u ANTI JOIN rdel USING (case_id, item_no, reflex)),
+twice AS (SELECT *, row_number() OVER (PARTITION BY case_id, canonical, period ORDER BY item_no) AS nth, row_number() OVER (PARTITION BY case_id, canonical_key, period ORDER BY item_no) AS nth_key FROM i)"""
+
+_PAIRS = ", ".join(f"({q(n)}, {q(x)})" for n, xs in legal_rules.BARRED.items() for x in xs)
+_BAND = "case when amount IS NULL OR reais IS NULL OR reais <= 0 then 'verificar faixa' when amount / reais <= 3 then 'leve' when amount / reais <= 5 then 'médio' when amount / reais <= 20 then 'grave' when amount / reais <= 50 then 'gravíssimo' else 'acima de gravíssimo' end"
+#: Rule: SQL of (case_id, level, message) over the item facts.
+_ITEM_SQL = {
+    "SUMULA_264_TST": "SELECT case_id, 'INFO' AS level, any_value(name) || ' + ' || string_agg(reflex, ', ' ORDER BY n) AS message FROM radd JOIN i USING (case_id, item_no) GROUP BY case_id, item_no",
+    "OJ_394_SDI1_TST": """SELECT case_id, 'AVISO' AS level, any_value(name) || ' - ' || string_agg(reflex, ', ' ORDER BY n) AS message FROM rdel JOIN i USING (case_id, item_no) GROUP BY case_id, item_no
+      UNION ALL SELECT case_id, 'INFO', name || ' verificado' FROM i ANTI JOIN rdel USING (case_id, item_no) WHERE lower(name) LIKE '%dsr%' OR lower(name) LIKE '%repouso semanal%'""",
+    "OJ_394_SDI1_TST_REFLEXOS_PROIBIDOS": f"SELECT case_id, 'ERRO' AS level, i.canonical || ' não reflete em ' || r.reflex AS message FROM i JOIN r USING (case_id, item_no) JOIN (VALUES {_PAIRS}) p(item, reflex) ON p.item = i.canonical AND p.reflex = r.reflex",
+    "ART_223G_DANO_EXTRAPATRIMONIAL": f"SELECT case_id, case when band LIKE 'acima%' then 'AVISO' else 'INFO' end AS level, name || ': ' || band AS message FROM (SELECT i.case_id, name, {_BAND} AS band FROM i JOIN cases USING (case_id) WHERE regexp_matches(name, '(?i){legal_rules.DAMAGE}') AND i.status IN ('deferida', 'deferido', ''))",
+    "CONSISTENCIA_BIS_IN_IDEM_REFLEXOS": "SELECT case_id, 'ERRO' AS level, canonical || ' sobre si' AS message FROM i SEMI JOIN r ON r.case_id = i.case_id AND r.item_no = i.item_no AND r.reflex = i.canonical",
+    "CONSISTENCIA_INTEGRACAO_SEM_REFLEXOS": "SELECT case_id, 'AVISO' AS level, canonical || ' sem reflexos' AS message FROM i ANTI JOIN r USING (case_id, item_no) WHERE integrates",
+    "CONSISTENCIA_VERBAS_DUPLICADAS": "SELECT case_id, 'AVISO' AS level, name || ' repetida' AS message FROM twice WHERE nth > 1",
+    "S9_VERBA_DEDUPLICATOR": "SELECT case_id, 'AVISO' AS level, name || ' repetida' AS message FROM twice WHERE nth_key > 1",
+    "BIS_IN_IDEM_VERBAS": "SELECT case_id, 'ERRO' AS level, name || ' sobre si' AS message FROM i SEMI JOIN r ON r.case_id = i.case_id AND r.item_no = i.item_no AND lower(r.reflex) = lower(i.canonical)",
+}
 
 
 def _rule_sql() -> str:
     parts = []
     for i, _, _, p, since, outs in legal_rules.CATALOG:
-        which = "case " + " ".join(f"when {s} then {n}" for n, (_, s, _, _) in enumerate(outs)) + " end"
-        level = "case o " + " ".join(f"when {n} then {q(lv)}" for n, (_, _, lv, _) in enumerate(outs)) + " end"
-        message = "case o " + " ".join(f"when {n} then {q(m)}" for n, (_, _, _, m) in enumerate(outs)) + " end"
         valid = f"hired_on >= date '{since}'" if since else "true"
-        parts.append(f"SELECT case_id, {q(i)} AS rule_id, {level} AS level, {message} AS message, {p} AS priority FROM (SELECT case_id, {which} AS o FROM facts WHERE {valid}) WHERE o IS NOT NULL")
+        if i in _ITEM_SQL:
+            parts.append(f"SELECT x.case_id, {q(i)} AS rule_id, level, message, {p} AS priority FROM ({_ITEM_SQL[i]}) x SEMI JOIN (SELECT case_id FROM cases WHERE {valid}) v ON v.case_id = x.case_id")
+            continue
+        before = "false"
+        for _, s, level, m in outs:  # the first that holds, or all that do
+            parts.append(f"SELECT case_id, {q(i)} AS rule_id, {q(level)} AS level, {legal_rules.message(m)} AS message, {p} AS priority FROM facts WHERE {valid} AND ({s}) AND NOT coalesce({before}, false)")
+            before = before if i in legal_rules.EVERY else f"coalesce({before}, false) OR ({s})"
     return " UNION ALL ".join(parts)
 
 
 def _alerts_sql(rest: str) -> str:
-    return f"WITH facts AS ({_FACTS}), alerts AS ({_rule_sql()}) {rest}"
+    return f"WITH facts AS ({_FACTS}), {_ITEM_FACTS}, alerts AS ({_rule_sql()}) {rest}"
 
 
 _META = "(VALUES " + ", ".join(f"({q(r.id)}, {q(r.title)}, {q(r.basis)})" for r in legal_rules.RULES) + ") m(rule_id, title, basis)"
@@ -221,8 +249,7 @@ def rule_memorial(spark, sf_dir):
 def severity_counts(spark, sf_dir):
     """Alerts and cases by case status and level."""
     # a column of its own, so that the rules are evaluated once per case
-    alerts = F.array_compact(F.array(*(rules.outcome(r, F.col("hired_on")) for r in legal_rules.RULES)))
-    levels = full_cases(spark, sf_dir).select("status", F.transform(alerts, lambda a: a["level"]).alias("levels"))
+    levels = full_cases(spark, sf_dir).select("status", F.transform(rules.all_alerts(legal_rules.RULES), lambda a: a["level"]).alias("levels"))
     counted = F.transform(F.array_distinct("levels"), lambda v: F.struct(v.alias("level"), F.size(F.filter("levels", lambda x: x == v)).alias("n")))
     rows = levels.select("status", F.explode(counted).alias("l"))
     return rows.groupBy("status", "l.level").agg(F.sum("l.n").alias("alerts"), F.count(F.lit(1)).alias("cases"))
@@ -234,21 +261,25 @@ def rules_up_to(spark, sf_dir):
     return rules.apply(full_cases(spark, sf_dir), chosen).groupBy("rule_id").agg(F.count(F.lit(1)).alias("alerts"))
 
 
-@query(f"""WITH f AS ({_FACTS}) SELECT case_id, case when notice = '' then 'SIM' else notice end AS fund_on_notice, case when coalesce(has_vacation, false) then 'NAO_INCIDE' else 'NAO_APLICAVEL' end AS fund_on_vacation, case when coalesce(has_notice, false) then 'NAO_INCIDE' else 'INCIDE' end AS fine_on_notice,
-  coalesce(try_cast(nullif(regexp_extract(notice, '^([0-9]+)', 1), '') AS INT), cast(least(90, 30 + 3 * least(20, floor((left_on - hired_on) / 365))) as int)) AS notice_days FROM f""", "cases items")
+@query(f"""WITH f AS ({_FACTS}), {_ITEM_FACTS} SELECT case_id, coalesce(fund_on_notice, 'SIM') AS fund_on_notice, coalesce(fund_on_vacation, case when paid_vacation then 'NAO_INCIDE' else 'NAO_APLICAVEL' end) AS fund_on_vacation, coalesce(fine_on_notice, case when paid_notice then 'NAO_INCIDE' else 'INCIDE' end) AS fine_on_notice,
+  coalesce(try_cast(nullif(regexp_extract(notice, '^([0-9]+)', 1), '') AS INT), cast(least(90, 30 + 3 * least(20, floor((left_on - hired_on) / 365))) as int)) AS notice_days,
+  coalesce(n_added, 0) AS n_added, coalesce(n_removed, 0) AS n_removed FROM f LEFT JOIN (SELECT case_id, count(*) AS n_added FROM radd GROUP BY case_id) USING (case_id) LEFT JOIN (SELECT case_id, count(*) AS n_removed FROM rdel GROUP BY case_id) USING (case_id)""", "cases items")
 def rule_effects(spark, sf_dir):
-    """Values that rules set, layer by layer of priority, before later rules read them."""
+    """Values and reflexes that rules set, layer by layer of priority, before later rules read them."""
     from causa.functions import derive
 
-    has = lambda p: F.exists("items", lambda i: i["name"].rlike(f"(?iu){p}"))
-    rows = full_cases(spark, sf_dir)
-    rows = rows.withColumn("fund_on_notice", F.when(F.col("notice") == "", "SIM").otherwise(F.col("notice")))
-    rows = rows.withColumns({"fund_on_vacation": F.when(has("f[eé]rias"), "NAO_INCIDE").otherwise("NAO_APLICAVEL"), "fine_on_notice": F.when(has(r"aviso\s*pr[eé]vio"), "NAO_INCIDE").otherwise("INCIDE")})
-    rows = rows.withColumn("notice_days", F.coalesce(F.regexp_extract("notice", r"^([0-9]+)", 1).try_cast("int"), derive.notice_days(F.col("hired_on"), F.col("left_on"))))
-    return rows.select("case_id", "fund_on_notice", "fund_on_vacation", "fine_on_notice", "notice_days")
+    holds = lambda a, b: F.exists("items", lambda i: F.contains(F.lower(i["name"]), F.lit(a)) & F.contains(F.lower(i["name"]), F.lit(b)))
+    count = lambda e: F.expr(f"cast(aggregate(items, 0, (n, i) -> n + size({e})) as bigint)")
+    return full_cases(spark, sf_dir).select(
+        "case_id", F.coalesce("fund_on_notice", F.lit("SIM")).alias("fund_on_notice"),
+        F.coalesce("fund_on_vacation", F.when(holds("indenizada", "férias"), "NAO_INCIDE").otherwise("NAO_APLICAVEL")).alias("fund_on_vacation"),
+        F.coalesce("fine_on_notice", F.when(holds("indenizado", "aviso"), "NAO_INCIDE").otherwise("INCIDE")).alias("fine_on_notice"),
+        F.coalesce(F.regexp_extract("notice", r"^([0-9]+)", 1).try_cast("int"), derive.notice_days(F.col("hired_on"), F.col("left_on"))).alias("notice_days"),
+        count(legal_rules._ADDED).alias("n_added"), count(legal_rules._REMOVED).alias("n_removed"),
+    )
 
 
-@query(_alerts_sql(f"SELECT case_id, string_agg('[' || level || '] ' || title || ': ' || message, chr(10) ORDER BY priority, a.rule_id) AS explanation FROM alerts a JOIN {_META} ON a.rule_id = m.rule_id GROUP BY case_id"), "cases items")
+@query(_alerts_sql(f"SELECT case_id, string_agg('[' || level || '] ' || title || ': ' || message, chr(10) ORDER BY priority, a.rule_id, '[' || level || '] ' || title || ': ' || message) AS explanation FROM alerts a JOIN {_META} ON a.rule_id = m.rule_id GROUP BY case_id"), "cases items")
 def explanations(spark, sf_dir):
     meta = rules.metadata(spark, legal_rules.RULES).select("rule_id", "title")
     line = F.format_string("[%s] %s: %s", "level", "title", "message")

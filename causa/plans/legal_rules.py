@@ -1,7 +1,11 @@
-"""The built-in rules as data, each condition beside the SQL that it is compared with.
+"""The built-in rules as data, each condition of a case beside the SQL that it is compared with.
 
 Spark conditions read the case with its nested items; the others read flags that
-the comparison aggregates from the item table.
+the comparison aggregates from the item table. Conditions of items are compared
+with joins over the item and reflex rows (see cases).
+
+Rules of a higher rank change what later ones read: overtime gets the reflexes
+that are due, weekly rest loses those that it may not have.
 """
 
 from __future__ import annotations
@@ -19,55 +23,126 @@ _FEE = "try_cast(regexp_extract(fee, r'^([0-9]+)', 1) as int)"
 _FEE_SQL = "try_cast(nullif(regexp_extract(fee, '^([0-9]+)', 1), '') AS INT)"
 _DAYS = "try_cast(regexp_extract(notice, r'^([0-9]+)', 1) as int)"
 _DAYS_SQL = "try_cast(nullif(regexp_extract(notice, '^([0-9]+)', 1), '') AS INT)"
-_FORBIDDEN = "exists(items, i -> i.name rlike r'(?iu)dsr' and i.reflexes rlike r'(?iu)horas extras|f[eé]rias|13|aviso|fgts')"
-_OWN = "exists(items, i -> contains(lower(i.reflexes), lower(i.canonical)))"
-_DAMAGE = "array_max(transform(filter(items, i -> i.name rlike r'(?iu)dano\\s*moral'), i -> i.amount))"
+# Reflexes that overtime must have, that weekly rest may not have, and pairs of items and reflexes that are barred.
+DUE = ("DSR", "Férias", "13º Salário", "FGTS")
+NOT_OF_REST = ("Férias", "13º Salário", "Aviso Prévio", "FGTS")
+_NOT_OF_FINES = ("DSR", "Férias", "13º Salário", "FGTS", "Aviso Prévio")
+BARRED = {
+    "DSR": ("Férias", "13º Salário", "FGTS"),
+    "Multa Art. 467 CLT": _NOT_OF_FINES,
+    "Multa Art. 477 CLT": _NOT_OF_FINES,
+    "Dano Moral": _NOT_OF_FINES,
+    "Dano Material": _NOT_OF_FINES,
+    "Aviso Prévio": ("Aviso Prévio",),
+}
+BASE = r"horas?\s*extras?|adicional\s*noturno|insalubridade|periculosidade|intervalo\s*intrajornada"
+DAMAGE = r"danos?\s*mora(l|is)|danos?\s*extrapatrimonia(l|is)"
+
+
+def _array(names) -> str:
+    return "array(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+_OVERTIME = "contains(lower(i.name), 'horas extras')"
+_REST = "(contains(lower(i.name), 'dsr') or contains(lower(i.name), 'repouso semanal'))"
+_ADDED = f"if({_OVERTIME}, array_except({_array(DUE)}, i.reflex), cast(array() as array<string>))"
+_REMOVED = f"if({_REST}, array_intersect({_array(NOT_OF_REST)}, i.reflex), cast(array() as array<string>))"
+_LEFT = f"array_except(concat(i.reflex, {_ADDED}), {_REMOVED})"
+_BARRED = f"array_intersect(case i.canonical {' '.join(f"when '{n}' then {_array(r)}" for n, r in BARRED.items())} else cast(array() as array<string>) end, {_LEFT})"
+_EARLIER = "exists(slice(items, 1, k), j -> j.{0} = i.{0} and lower(trim(j.period)) = lower(trim(i.period)))"
+_TIMES = "i.amount / reais"
+
+
+def _when(condition: str, message: str) -> str:
+    return f"if({condition}, array({message}), cast(array() as array<string>))"
+
+
 _FINE = "array_max(transform(filter(items, i -> contains(i.name, '477')), i -> i.amount))"
-_TWICE = "size(items) > size(array_distinct(transform(items, i -> i.{0} || '|' || i.period)))"
 _ALWAYS = "true"
 
-#: id, title, basis, priority, applies to hirings since, outcomes of (condition, comparison, level, message)
+#: id, title, basis, priority, applies to hirings since, outcomes of (condition, comparison, level, message);
+#: a message that begins with a quote is SQL
 CATALOG = (
     ("ADC_58_STF", "Índice de correção", "ADC 58 STF", SUPREME, "2020-12-18", (
         (r"rate_index rlike r'\bTR\b' and not contains(rate_index, 'IPCA')", r"regexp_matches(rate_index, '\bTR\b') AND NOT contains(rate_index, 'IPCA')", "AVISO", "TR afastada"),
         ("contains(rate_index, 'IPCA') and contains(rate_index, 'SELIC')", "contains(rate_index, 'IPCA') AND contains(rate_index, 'SELIC')", "INFO", "IPCA-E e SELIC"))),
-    ("SUMULA_305_TST", "FGTS sobre aviso prévio", "Súmula 305 TST", STATUTE_CASES, None, (("notice = ''", "notice = ''", "INFO", "FGTS incide sobre o aviso"),)),
-    ("SUMULA_264_TST", "Reflexos de horas extras", "Súmula 264 TST", STATUTE_CASES, None, ((_has(r"horas?\s*extras?"), "has_overtime", "INFO", "reflexos obrigatórios"),)),
+    ("SUMULA_305_TST", "FGTS sobre aviso prévio", "Súmula 305 TST", STATUTE_CASES, None, (("fund_on_notice is null", "fund_on_notice IS NULL", "INFO", "FGTS incide sobre o aviso"),)),
+    ("SUMULA_264_TST", "Reflexos de horas extras", "Súmula 264 TST", STATUTE_CASES, None, ()),
     ("SUMULA_91_TST", "Salário complessivo", "Súmula 91 TST", STATUTE_CASES, None, (("contains(hours, 'divisor')", "contains(hours, 'divisor')", "AVISO", "parcela sem discriminação"),)),
-    ("OJ_394_SDI1_TST", "DSR sem repercussão", "OJ 394 SDI-1 TST", GUIDANCE, None, ((_FORBIDDEN, "dsr_forbidden", "AVISO", "reflexo removido"), (_has("dsr"), "has_dsr", "INFO", "DSR sem reflexos"))),
-    ("OJ_195_SDI1_TST", "FGTS sobre férias indenizadas", "OJ 195 SDI-1 TST", GUIDANCE, None, ((_has("f[eé]rias"), "has_vacation", "AVISO", "não incide"), (_ALWAYS, "true", "INFO", "não aplicável"))),
-    ("OJ_42_SDI1_TST", "Multa de 40% e aviso", "OJ 42 SDI-1 TST", GUIDANCE, None, ((_has(r"aviso\s*pr[eé]vio"), "has_notice", "AVISO", "não incide"), (_ALWAYS, "true", "INFO", "incide"))),
-    ("OJ_394_SDI1_TST_REFLEXOS_PROIBIDOS", "Reflexos proibidos", "OJ 394 SDI-1 TST", GUIDANCE, None, ((_FORBIDDEN, "dsr_forbidden", "ERRO", "reflexo proibido"),)),
+    ("OJ_394_SDI1_TST", "DSR sem repercussão", "OJ 394 SDI-1 TST", GUIDANCE, None, ()),
+    ("OJ_195_SDI1_TST", "FGTS sobre férias indenizadas", "OJ 195 SDI-1 TST", GUIDANCE, None, (
+        ("fund_on_vacation is null and exists(items, i -> contains(lower(i.name), 'indenizada') and contains(lower(i.name), 'férias'))", "fund_on_vacation IS NULL AND paid_vacation", "AVISO", "não incide"),
+        ("fund_on_vacation is null", "fund_on_vacation IS NULL", "INFO", "não aplicável"))),
+    ("OJ_42_SDI1_TST", "Multa de 40% e aviso", "OJ 42 SDI-1 TST", GUIDANCE, None, (
+        ("fine_on_notice is null and exists(items, i -> contains(lower(i.name), 'indenizado') and contains(lower(i.name), 'aviso'))", "fine_on_notice IS NULL AND paid_notice", "AVISO", "não incide"),
+        ("fine_on_notice is null", "fine_on_notice IS NULL", "INFO", "incide"))),
+    ("OJ_394_SDI1_TST_REFLEXOS_PROIBIDOS", "Reflexos proibidos", "OJ 394 SDI-1 TST", GUIDANCE, None, ()),
     ("ART_487_CLT_LEI_12506", "Aviso proporcional", "Art. 487 CLT", LAW, None, ((f"{_DAYS} is null", f"{_DAYS_SQL} IS NULL", "INFO", "aviso calculado"),)),
     ("ART_791A_CLT", "Honorários", "Art. 791-A CLT", LAW, REFORM, (
         (f"{_FEE} is null", f"{_FEE_SQL} IS NULL", "INFO", "sem percentual"), (f"{_FEE} < 5", f"{_FEE_SQL} < 5", "AVISO", "abaixo de 5%"),
         (f"{_FEE} > 15", f"{_FEE_SQL} > 15", "AVISO", "acima de 15%"), (_ALWAYS, "true", "INFO", "entre 5% e 15%"))),
     ("ART_467_CLT", "Multa do art. 467", "Art. 467 CLT", LAW, None, ((_has("467"), "has_467", "AVISO", "multa deferida"), (_ALWAYS, "true", "INFO", "sem multa"))),
     ("ART_477_CLT", "Multa do art. 477", "Art. 477 CLT", LAW, None, ((_has("477"), "has_477", "AVISO", "multa deferida"), (_ALWAYS, "true", "INFO", "sem multa"))),
-    ("ART_223G_DANO_EXTRAPATRIMONIAL", "Faixa do dano", "Art. 223-G CLT", LAW, REFORM, (
-        (f"{_DAMAGE} > 50 * reais", "damage > 50 * reais", "ERRO", "acima da faixa"), (f"{_DAMAGE} > 20 * reais", "damage > 20 * reais", "AVISO", "faixa gravíssima"),
-        (f"{_DAMAGE} is not null", "damage IS NOT NULL", "INFO", "dentro da faixa"))),
+    ("ART_223G_DANO_EXTRAPATRIMONIAL", "Faixa do dano", "Art. 223-G CLT", LAW, REFORM, ()),
     ("ART_477A_HOMOLOGACAO", "Homologação sindical", "Art. 477-A CLT", LAW, REFORM, (("contains(reason, 'pedido')", "contains(reason, 'pedido')", "AVISO", "homologação dispensada"),)),
     ("ART_58_ITINERE_REFORMA", "Horas in itinere", "Art. 58 CLT", LAW, REFORM, ((_has("transporte"), "has_transport", "ERRO", "deslocamento não é jornada"),)),
     ("LEI_12506_2011", "Limites do aviso", "Lei 12.506/2011", LAW, None, ((f"{_DAYS} < 30", f"{_DAYS_SQL} < 30", "AVISO", "menos de 30 dias"), (f"{_DAYS} > 90", f"{_DAYS_SQL} > 90", "AVISO", "mais de 90 dias"))),
     ("CONSISTENCIA_AVISO_PREVIO_DIAS", "Dias de aviso", "Consistência", CONSISTENCY, None, ((f"{_DAYS} < 30 or {_DAYS} > 90", f"{_DAYS_SQL} < 30 OR {_DAYS_SQL} > 90", "AVISO", "dias fora dos limites"),)),
     ("CONSISTENCIA_AVISO_PREVIO_SEM_JUSTA_CAUSA", "Aviso sem justa causa", "Consistência", CONSISTENCY, None, (
         ("reason = 'sem justa causa' and notice = '' and not " + _has(r"aviso\s*pr[eé]vio"), "reason = 'sem justa causa' AND notice = '' AND NOT coalesce(has_notice, false)", "AVISO", "aviso ausente"),)),
-    ("CONSISTENCIA_BASE_CALCULO_ART_457", "Base de cálculo", "Art. 457 CLT", CONSISTENCY, None, ((_has(r"horas?\s*extras?|noturno|f[eé]rias|13"), "has_base", "INFO", "base conforme art. 457"),)),
-    ("CONSISTENCIA_BIS_IN_IDEM_REFLEXOS", "Reflexo sobre si", "Consistência", CONSISTENCY, None, ((_OWN, "own_reflex", "ERRO", "reflexo sobre a própria verba"),)),
+    ("CONSISTENCIA_BASE_CALCULO_ART_457", "Base de cálculo", "Art. 457 CLT", CONSISTENCY, None, ((_has(BASE), "has_base", "INFO", "base conforme art. 457"),)),
+    ("CONSISTENCIA_BIS_IN_IDEM_REFLEXOS", "Reflexo sobre si", "Consistência", CONSISTENCY, None, ()),
     ("CONSISTENCIA_DATAS", "Ordem das datas", "Consistência", CONSISTENCY, None, (
-        ("left_on < hired_on", "left_on < hired_on", "ERRO", "demissão antes da admissão"), ("ruled_on < filed_on", "ruled_on < filed_on", "ERRO", "sentença antes do ajuizamento"),
-        ("filed_on > add_months(left_on, 12)", "filed_on > left_on + INTERVAL 12 MONTH", "AVISO", "ajuizamento tardio"))),
+        ("book_exit_on < left_on", "book_exit_on < left_on", "ERRO", "saída na CTPS antes da demissão"), ("hired_on > left_on", "hired_on > left_on", "ERRO", "admissão depois da demissão"),
+        ("ruled_on < left_on", "ruled_on < left_on", "AVISO", "sentença antes da demissão"), ("filed_on > ruled_on", "filed_on > ruled_on", "ERRO", "ajuizamento depois da sentença"),
+        ("filed_on < hired_on", "filed_on < hired_on", "AVISO", "ajuizamento antes da admissão"))),
     ("CONSISTENCIA_DANO_MORAL_EM_VERBAS", "Dano moral entre verbas", "Consistência", CONSISTENCY, None, ((_has(r"dano\s*moral"), "has_damage", "AVISO", "dano moral entre verbas"),)),
-    ("CONSISTENCIA_DEDUCAO_AUTORIZADA", "Dedução", "Consistência", CONSISTENCY, None, (("status = 'P'", "status = 'P'", "INFO", "dedução autorizada"),)),
-    ("CONSISTENCIA_INTEGRACAO_SEM_REFLEXOS", "Integração sem reflexos", "Consistência", CONSISTENCY, None, (("exists(items, i -> i.integrates and i.reflexes = '')", "unused", "AVISO", "integra sem reflexos"),)),
+    ("CONSISTENCIA_DEDUCAO_AUTORIZADA", "Dedução", "Consistência", CONSISTENCY, None, (
+        ("deduction and trim(deduction_note) <> ''", "deduction AND trim(deduction_note) <> ''", "INFO", "'dedução autorizada: ' || trim(deduction_note)"), ("deduction", "deduction", "INFO", "dedução autorizada"))),
+    ("CONSISTENCIA_INTEGRACAO_SEM_REFLEXOS", "Integração sem reflexos", "Consistência", CONSISTENCY, None, ()),
     ("CONSISTENCIA_MULTA_477_VALOR", "Valor da multa", "Art. 477 CLT", CONSISTENCY, None, ((f"abs({_FINE} - reais) > 0.05 * reais", "abs(fine - reais) > 0.05 * reais", "AVISO", "multa difere do salário"),)),
     ("CONSISTENCIA_SALARIO_BASE_MINIMO", "Salário mínimo", "Consistência", CONSISTENCY, None, (("reais <= 0", "reais <= 0", "ERRO", "salário não positivo"), ("reais < 1518", "reais < 1518", "AVISO", "abaixo do mínimo"))),
-    ("CONSISTENCIA_VERBAS_DUPLICADAS", "Verbas repetidas", "Consistência", CONSISTENCY, None, ((_TWICE.format("canonical"), "repeats", "AVISO", "verba repetida"),)),
+    ("CONSISTENCIA_VERBAS_DUPLICADAS", "Verbas repetidas", "Consistência", CONSISTENCY, None, ()),
     ("CONSISTENCIA_SALARIO", "Salário plausível", "Consistência", CONSISTENCY, None, (("reais <= 0", "reais <= 0", "ERRO", "não positivo"), ("reais < 1518", "reais < 1518", "AVISO", "baixo"), ("reais > 100000", "reais > 100000", "AVISO", "alto"))),
     ("CNJ_DIGITO_VERIFICADOR", "Dígito verificador", "Numeração única", CONSISTENCY, None, (("number_ok is null", "number IS NULL", "INFO", "número ausente"), ("not number_ok", "case_id % 7 = 0", "ERRO", "dígito inválido"))),
-    ("S9_VERBA_DEDUPLICATOR", "Chaves repetidas", "Consistência", CONSISTENCY, None, ((_TWICE.format("canonical_key"), "repeats_key", "AVISO", "chave repetida"),)),
-    ("BIS_IN_IDEM_VERBAS", "Bis in idem", "Consistência", CONSISTENCY, None, ((_OWN, "own_reflex", "ERRO", "bis in idem"),)),
+    ("S9_VERBA_DEDUPLICATOR", "Chaves repetidas", "Consistência", CONSISTENCY, None, ()),
+    ("BIS_IN_IDEM_VERBAS", "Bis in idem", "Consistência", CONSISTENCY, None, ()),
 )
 
-RULES = tuple(Rule(i, t, b, p, tuple((c, level, m) for c, _, level, m in outs), since) for i, t, b, p, since, outs in CATALOG)
+#: Rules of which all outcomes that hold count.
+EVERY = ("CONSISTENCIA_DATAS",)
+#: Rule: outcomes of (messages of the item i, level), an alert per message.
+ITEM_OUTCOMES = {
+    "SUMULA_264_TST": ((_when(f"size({_ADDED}) > 0", f"i.name || ' + ' || array_join({_ADDED}, ', ')"), "INFO"),),
+    "OJ_394_SDI1_TST": (
+        (_when(f"size({_REMOVED}) > 0", f"i.name || ' - ' || array_join({_REMOVED}, ', ')"), "AVISO"),
+        (_when(f"{_REST} and size({_REMOVED}) = 0", "i.name || ' verificado'"), "INFO"),
+    ),
+    "OJ_394_SDI1_TST_REFLEXOS_PROIBIDOS": ((f"transform({_BARRED}, r -> i.canonical || ' não reflete em ' || r)", "ERRO"),),
+    "ART_223G_DANO_EXTRAPATRIMONIAL": tuple(
+        (_when(f"lower(i.status) in ('deferida', 'deferido', '') and i.name rlike r'(?iu){DAMAGE}' and {condition}", f"i.name || ': {band}'"), level)
+        for condition, band, level in (
+            ("(i.amount is null or reais is null or reais <= 0)", "verificar faixa", "INFO"),
+            (f"reais > 0 and {_TIMES} <= 3", "leve", "INFO"),
+            (f"reais > 0 and {_TIMES} > 3 and {_TIMES} <= 5", "médio", "INFO"),
+            (f"reais > 0 and {_TIMES} > 5 and {_TIMES} <= 20", "grave", "INFO"),
+            (f"reais > 0 and {_TIMES} > 20 and {_TIMES} <= 50", "gravíssimo", "INFO"),
+            (f"reais > 0 and {_TIMES} > 50", "acima de gravíssimo", "AVISO"),
+        )
+    ),
+    "CONSISTENCIA_BIS_IN_IDEM_REFLEXOS": ((_when(f"array_contains({_LEFT}, i.canonical)", "i.canonical || ' sobre si'"), "ERRO"),),
+    "CONSISTENCIA_INTEGRACAO_SEM_REFLEXOS": ((_when(f"i.integrates and size({_LEFT}) = 0", "i.canonical || ' sem reflexos'"), "AVISO"),),
+    "CONSISTENCIA_VERBAS_DUPLICADAS": ((_when(_EARLIER.format("canonical"), "i.name || ' repetida'"), "AVISO"),),
+    "S9_VERBA_DEDUPLICATOR": ((_when(_EARLIER.format("canonical_key"), "i.name || ' repetida'"), "AVISO"),),
+    "BIS_IN_IDEM_VERBAS": ((_when(f"exists({_LEFT}, r -> lower(r) = lower(i.canonical))", "i.name || ' sobre si'"), "ERRO"),),
+}
+
+
+def message(m: str) -> str:
+    """SQL of a catalog message."""
+    return m if m.startswith("'") else f"'{m}'"
+
+
+RULES = tuple(
+    Rule(i, t, b, p, tuple((c, level, message(m)) for c, _, level, m in outs), since, every=i in EVERY, item_outcomes=ITEM_OUTCOMES.get(i, ())) for i, t, b, p, since, outs in CATALOG
+)

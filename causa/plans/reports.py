@@ -95,7 +95,7 @@ def run_records(spark, sf_dir):
     """One audit record per case, as it is written to the audit sink."""
     from causa.operators import rules
 
-    alerts = F.array_compact(F.array(*(rules.outcome(r, F.col("hired_on")) for r in legal_rules.RULES)))
+    alerts = rules.all_alerts(legal_rules.RULES)
     ids = F.transform(F.array_sort(F.transform(alerts, lambda a: F.struct(a["priority"].alias("p"), a["rule_id"].alias("r")))), lambda a: a["r"])
     return cases.full_cases(spark, sf_dir).select("case_id", "number", ids.alias("ids")).select("case_id", "number", F.size("ids").cast("long").alias("n_rules"), F.array_join("ids", ",").alias("rule_ids"))
 
@@ -242,7 +242,7 @@ def rule_catalog_check(spark, sf_dir):
 def case_counters(spark, sf_dir):
     from causa.operators import rules
 
-    alerts = F.array_compact(F.array(*(rules.outcome(r, F.col("hired_on")) for r in legal_rules.RULES)))
+    alerts = rules.all_alerts(legal_rules.RULES)
     return cases.full_cases(spark, sf_dir).select("case_id", F.size("items").cast("long").alias("n_items"), F.size(alerts).cast("long").alias("n_alerts"), text.clean_null(F.col("rate_index")).alias("first_index"))
 
 

@@ -52,7 +52,10 @@ SELECT case_id, cust_id, status, price, filed_on, hired_on, left_on, ruled_on, r
   {pick("case_id", _quoted("10%", "15%", "20%", "3%", "null"))} AS fee,
   {pick("cust_id + 2", _quoted("sim", "não", "true", "False", "talvez", " SIM "))} AS free_justice,
   {pick("case_id + cust_id", _quoted("das 08:00 às 18:00 com 1 h de intervalo", "das 9h às 18h", "das 22:00 às 06:00", "livre"))} AS schedule,
-  {pick("case_id", _quoted("44 horas semanais", "40 horas semanais", "36 horas semanais", "divisor de 200", "-"))} AS hours
+  {pick("case_id", _quoted("44 horas semanais", "40 horas semanais", "36 horas semanais", "divisor de 200", "-"))} AS hours,
+  {pick("case_id + 2", ["'SIM'", "'NAO'", "cast(null as string)", "cast(null as string)"])} AS fund_on_notice, {pick("cust_id", ["'NAO_INCIDE'", "cast(null as string)", "cast(null as string)"])} AS fund_on_vacation,
+  {pick("case_id + cust_id", ["'INCIDE'", "cast(null as string)", "cast(null as string)", "cast(null as string)"])} AS fine_on_notice,
+  case_id % 3 = 0 AS deduction, {pick("cust_id", _quoted("recibos de férias", "", " valores pagos "))} AS deduction_note, left_on + cast(case_id % 40 - 5 as int) AS book_exit_on
 FROM case_dates"""
 
 _TEXTS = f"""
@@ -70,7 +73,7 @@ FROM cases"""
 
 _ITEMS = f"""
 SELECT l_orderkey AS case_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS item_no,
-  {pick("l_partkey", _quoted("Horas Extras", "hora extra 50%", "Férias + 1/3", "13º salário", "FGTS + multa de 40%", "DSR", "Aviso Prévio", "adicional noturno", "Multa do art. 477", "Dano moral", "Saldo de salário", " Vale transporte "))} AS name,
+  {pick("l_partkey", _quoted("Horas Extras", "hora extra 50%", "Férias + 1/3", "13º salário", "FGTS + multa de 40%", "DSR", "Aviso Prévio", "adicional noturno", "Multa do art. 477", "Dano moral", "Saldo de salário", " Vale transporte ", "Aviso Prévio Indenizado", "Férias indenizadas + 1/3"))} AS name,
   case l_returnflag when 'A' then 'deferida' when 'R' then 'indeferida' when 'N' then case when l_partkey % 2 = 0 then 'parcialmente deferida' else '' end end AS status,
   lpad(cast(month(l_shipdate) % 3 + 1 as string), 2, '0') || '/2020' AS period,
   cast(l_discount * 100 as int) AS percent, cast(l_quantity as int) AS quantity, l_extendedprice AS amount, l_tax AS tax,

@@ -125,31 +125,98 @@ def test_rule_lives(spark):
     assert got == {"a": (3, "active"), "b": (-1, "deleted"), "c": (-1, "deleted"), "d": (3, "active"), "e": (1, "shadow")}
 
 
-CASE = "case_id long, status string, hired_on date, left_on date, filed_on date, ruled_on date, reais long, number_ok boolean, rate_index string, hours string, notice string, fee string, reason string, items array<struct<name:string,period:string,reflexes:string,integrates:boolean,amount:double,canonical:string,canonical_key:string>>"
-
-
-def item(name, reflexes="", integrates=False, amount=1.0, canonical=None, period="p"):
-    return (name, period, reflexes, integrates, amount, canonical or name, canonical or name)
+CASE = """case_id long, hired_on date, left_on date, filed_on date, ruled_on date, book_exit_on date, reais long, number_ok boolean, rate_index string, hours string, notice string, fee string, reason string,
+ fund_on_notice string, fund_on_vacation string, fine_on_notice string, deduction boolean, deduction_note string,
+ items array<struct<item_no:int,name:string,status:string,period:string,reflex:array<string>,integrates:boolean,amount:double,canonical:string,canonical_key:string>>"""
+
+
+def day(text):
+    return dt.date.fromisoformat(text)
+
+
+QUIET = {
+    "hired_on": day("2018-05-01"), "left_on": day("2020-01-01"), "filed_on": day("2020-06-01"), "ruled_on": day("2021-01-01"), "book_exit_on": day("2020-02-03"), "reais": 5000, "number_ok": True, "rate_index": "IPCA-E", "hours": "44 horas",
+    "notice": "30 dias", "fee": "10%", "reason": "com justa causa", "fund_on_notice": "SIM", "fund_on_vacation": "NAO_INCIDE", "fine_on_notice": "INCIDE", "deduction": False, "deduction_note": None, "items": [],
+}
+
+
+def item(name, canonical=None, reflex=(), integrates=False, amount=None, status="deferida", period="p", key=None):
+    return (name, status, period, list(reflex), integrates, amount, canonical or name, key or canonical or name)
+
+
+def alerts_of(spark, cases):
+    """(level, message) of each case and rule, in order."""
+    names = ["case_id", *QUIET]
+    rows = []
+    for n, own in enumerate(cases):
+        v = {**QUIET, **own, "case_id": n}
+        rows.append(tuple([(k, *i) for k, i in enumerate(v[c], 1)] if c == "items" else v[c] for c in names))
+    found = [{} for _ in cases]
+    for r in rules.apply(spark.createDataFrame(rows, CASE), legal_rules.RULES).collect():
+        found[r.case_id].setdefault(r.rule_id, []).append((r.level, r.message))
+    return found
+
+
+REST4, ALL4 = ["Férias", "13º Salário", "Aviso Prévio", "FGTS"], ["DSR", "Férias", "13º Salário", "FGTS"]
+#: Rule: a case that it fires on with the levels and parts of messages that are due, and a case that it is silent on.
+PAIRS = {
+    "ADC_58_STF": ({"rate_index": "TR", "hired_on": day("2021-01-01"), "left_on": day("2021-06-01"), "book_exit_on": None, "filed_on": None, "ruled_on": None}, [("AVISO", "TR")], {"rate_index": "SELIC"}),
+    "SUMULA_305_TST": ({"fund_on_notice": None}, [("INFO", "incide")], {"fund_on_notice": "NAO"}),
+    "SUMULA_264_TST": ({"items": [item("Horas extras 50%", "Horas Extras", ["DSR"]), item("Horas Extras", period="q")]}, [("INFO", "Férias, 13º Salário, FGTS"), ("INFO", "DSR, Férias, 13º Salário, FGTS")], {"items": [item("Horas Extras", reflex=ALL4)]}),
+    "SUMULA_91_TST": ({"hours": "divisor de 200"}, [("AVISO", "")], {}),
+    "OJ_394_SDI1_TST": ({"items": [item("DSR", reflex=["FGTS", "Férias"]), item("Repouso semanal", period="q")]}, [("AVISO", "Férias, FGTS"), ("INFO", "Repouso")], {"items": [item("Saldo de Salário")]}),
+    "OJ_195_SDI1_TST": ({"fund_on_vacation": None, "items": [item("Férias indenizadas", "Férias")]}, [("AVISO", "não incide")], {"items": [item("Férias indenizadas", "Férias")]}),
+    "OJ_42_SDI1_TST": ({"fine_on_notice": None, "items": [item("Aviso prévio indenizado", "Aviso Prévio")]}, [("AVISO", "não incide")], {"items": [item("Aviso prévio indenizado", "Aviso Prévio")]}),
+    "OJ_394_SDI1_TST_REFLEXOS_PROIBIDOS": ({"items": [item("Dano moral", "Dano Moral", ["FGTS", "DSR", "X"])]}, [("ERRO", "DSR"), ("ERRO", "FGTS")], {"items": [item("DSR", reflex=REST4), item("Dano moral", "Dano Moral", ["X"])]}),
+    "ART_487_CLT_LEI_12506": ({"notice": ""}, [("INFO", "")], {}),
+    "ART_791A_CLT": ({"fee": "3%"}, [("AVISO", "abaixo")], {"fee": "10%", "hired_on": day("2015-01-01")}),
+    "ART_467_CLT": ({"items": [item("Multa do art. 467")]}, [("AVISO", "")], None),
+    "ART_477_CLT": ({"items": [item("Multa do art. 477", amount=5000.0)]}, [("AVISO", "")], None),
+    "ART_223G_DANO_EXTRAPATRIMONIAL": ({"reais": 2000, "items": [item("Dano moral", "Dano Moral", amount=a, period=str(a), status=s) for a, s in ((100_001.0, ""), (6000.0, "Deferido"), (None, "deferida"), (9.0, "indeferida"))]}, [("AVISO", "acima"), ("INFO", "leve"), ("INFO", "verificar")], {"items": [item("Dano moral", "Dano Moral", amount=9e9)], "hired_on": day("2017-11-10")}),
+    "ART_477A_HOMOLOGACAO": ({"reason": "pedido de demissão"}, [("AVISO", "")], {}),
+    "ART_58_ITINERE_REFORMA": ({"items": [item("Vale transporte")]}, [("ERRO", "")], {}),
+    "LEI_12506_2011": ({"notice": "120 dias"}, [("AVISO", "mais de 90")], {}),
+    "CONSISTENCIA_AVISO_PREVIO_DIAS": ({"notice": "15 dias"}, [("AVISO", "")], {}),
+    "CONSISTENCIA_AVISO_PREVIO_SEM_JUSTA_CAUSA": ({"reason": "sem justa causa", "notice": ""}, [("AVISO", "")], {"reason": "sem justa causa", "notice": "", "items": [item("Aviso Prévio")]}),
+    "CONSISTENCIA_BASE_CALCULO_ART_457": ({"items": [item("Intervalo intrajornada"), item("Insalubridade")]}, [("INFO", "")], {"items": [item("Férias"), item("13º salário")]}),
+    "CONSISTENCIA_BIS_IN_IDEM_REFLEXOS": ({"items": [item("FGTS", reflex=["FGTS"]), item("DSR", reflex=["DSR"])]}, [("ERRO", "DSR"), ("ERRO", "FGTS")], {"items": [item("FGTS", reflex=["DSR"])]}),
+    "CONSISTENCIA_DATAS": ({"hired_on": day("2022-01-01"), "book_exit_on": day("2019-01-01"), "ruled_on": day("2019-12-31")}, [("AVISO", "ajuizamento antes"), ("AVISO", "sentença antes"), ("ERRO", "admissão"), ("ERRO", "ajuizamento depois"), ("ERRO", "CTPS")], {"book_exit_on": None}),
+    "CONSISTENCIA_DANO_MORAL_EM_VERBAS": ({"items": [item("Dano moral", "Dano Moral")]}, [("AVISO", "")], {}),
+    "CONSISTENCIA_DEDUCAO_AUTORIZADA": ({"deduction": True, "deduction_note": " recibos "}, [("INFO", "autorizada: recibos")], {"deduction_note": "recibos"}),
+    "CONSISTENCIA_INTEGRACAO_SEM_REFLEXOS": ({"items": [item("Adicional", integrates=True), item("DSR", reflex=["FGTS"], integrates=True)]}, [("AVISO", "Adicional"), ("AVISO", "DSR")], {"items": [item("Horas Extras", integrates=True), item("Saldo")]}),
+    "CONSISTENCIA_MULTA_477_VALOR": ({"items": [item("Multa do art. 477", amount=9.0)]}, [("AVISO", "")], {"items": [item("Multa do art. 477", amount=5100.0)]}),
+    "CONSISTENCIA_SALARIO_BASE_MINIMO": ({"reais": 1000}, [("AVISO", "mínimo")], {}),
+    "CONSISTENCIA_VERBAS_DUPLICADAS": ({"items": [item("Férias", period="a"), item("férias", "Férias", period=" A "), item("Férias", period="b"), item("FÉRIAS", "Férias", period="a")]}, [("AVISO", "FÉRIAS"), ("AVISO", "férias")], {"items": [item("Férias", period="a"), item("Férias", period="b")]}),
+    "CONSISTENCIA_SALARIO": ({"reais": 0}, [("ERRO", "positivo")], {}),
+    "CNJ_DIGITO_VERIFICADOR": ({"number_ok": False}, [("ERRO", "inválido")], {}),
+    "S9_VERBA_DEDUPLICATOR": ({"items": [item("Multa 467 a", "x", key="multa_467"), item("Multa 467 b", "y", key="multa_467")]}, [("AVISO", "Multa 467 b")], {}),
+    "BIS_IN_IDEM_VERBAS": ({"items": [item("Horas Extras", reflex=["Horas Extras"])]}, [("ERRO", "Horas Extras")], {"items": [item("Horas Extras")]}),
+}
 
 
 def test_every_rule_fires_and_stays_silent(spark):
-    d = dt.date
-    loud = (1, "P", d(2021, 5, 1), d(2020, 1, 1), d(2023, 1, 1), d(2022, 1, 1), 0, False, "TR", "divisor de 200", "120 dias", "3%", "pedido de demissão", [item("DSR", "FGTS e DSR", canonical="DSR"), item("Horas Extras", "", True), item("Multa 477", amount=9.0), item("Multa 467"), item("Dano moral", amount=9.0, canonical="Dano Moral"), item("Férias"), item("Férias"), item("Aviso Prévio"), item("Vale transporte")])
-    plain = (2, "O", d(2015, 5, 1), d(2020, 1, 1), d(2020, 6, 1), d(2021, 1, 1), 5000, True, "IPCA-E", "44 horas", "30 dias", "10%", "sem justa causa", [])
-    bare = (3, "O", d(2015, 5, 1), d(2020, 1, 1), d(2020, 6, 1), d(2021, 1, 1), 5000, True, "IPCA-E", "44 horas", "", "10%", "sem justa causa", [])
-    found = {}
-    for r in rules.apply(spark.createDataFrame([loud, plain, bare], CASE), legal_rules.RULES).collect():
-        found.setdefault(r.case_id, {})[r.rule_id] = r.level
-    ids = {r.id for r in legal_rules.RULES}
-    assert len(ids) == 31 == len(legal_rules.RULES)
-    assert ids == set(found[1]) | set(found[3])
-    always = {"OJ_195_SDI1_TST", "OJ_42_SDI1_TST", "ART_467_CLT", "ART_477_CLT"}
-    assert set(found[2]) == always
-    assert found[1]["OJ_195_SDI1_TST"] == "AVISO" and found[2]["OJ_195_SDI1_TST"] == "INFO" and found[1]["CONSISTENCIA_SALARIO"] == "ERRO"
+    assert {r.id for r in legal_rules.RULES} == set(PAIRS) and len(legal_rules.RULES) == 31
+    found = alerts_of(spark, [x if x is not None else {} for fires, _, silent in PAIRS.values() for x in (fires, silent)])
+    for n, (rule, (_, due, silent)) in enumerate(PAIRS.items()):
+        got = sorted(found[2 * n].get(rule, []))
+        assert [g[0] for g in got] == [d[0] for d in sorted(due)] and all(any(level == a and part in b for a, b in got) for level, part in due), (rule, got)
+        if silent is None:  # says INFO where it has nothing to warn of
+            assert [x[0] for x in found[2 * n + 1][rule]] == ["INFO"]
+        else:
+            assert rule not in found[2 * n + 1], (rule, found[2 * n + 1])
+    # what is silent on a case without faults
+    quiet = alerts_of(spark, [{}])[0]
+    assert set(quiet) == {"ART_467_CLT", "ART_477_CLT", "ART_791A_CLT"}
+
+
+def test_higher_rules_change_what_later_ones_read(spark):
+    got = alerts_of(spark, [{"items": [item("DSR", reflex=REST4, integrates=True), item("Horas Extras", integrates=True)]}])[0]
+    assert [x[0] for x in got["OJ_394_SDI1_TST"]] == ["AVISO"] and "OJ_394_SDI1_TST_REFLEXOS_PROIBIDOS" not in got
+    assert [m for _, m in got["CONSISTENCIA_INTEGRACAO_SEM_REFLEXOS"]] == ["DSR sem reflexos"]
 
 
 def test_rules_are_date_bounded(spark):
-    rule = rules.Rule("R", "t", "b", 10, (("true", "INFO", "m"),), since="2020-01-01")
+    rule = rules.Rule("R", "t", "b", 10, (("true", "INFO", "'m'"),), since="2020-01-01")
     cases = spark.createDataFrame([(1, dt.date(2019, 12, 31)), (2, dt.date(2020, 1, 1)), (3, None)], "case_id long, hired_on date")
     assert {r.case_id for r in rules.apply(cases, [rule]).collect()} == {2, 3}
 
