@@ -45,29 +45,84 @@ CANONICAL_KEYS = (
     (r"multa.*477", "multa_477"),
     (r"seguro.desemprego", "seguro_desemprego"),
 )
-#: Phrases of the item names that occur in the case tables, with their keys, in rank order.
+#: Phrases with their keys, in rank order. Keys are defined by these spellings and by their order.
 PHRASES = (
+    ("décimo terceiro salário proporcional", "decimo_terceiro_proporcional"),
+    ("décimo terceiro proporcional", "decimo_terceiro_proporcional"),
+    ("13° proporcional", "decimo_terceiro_proporcional"),
+    ("13º proporcional", "decimo_terceiro_proporcional"),
+    ("gratificação natalina proporcional", "decimo_terceiro_proporcional"),
     ("décimo terceiro salário", "decimo_terceiro"),
+    ("13° salário", "decimo_terceiro"),
     ("13º salário", "decimo_terceiro"),
+    ("gratificação natalina", "decimo_terceiro"),
     ("férias proporcionais + 1/3", "ferias_proporcionais_com_terco"),
+    ("férias proporcionais mais um terço", "ferias_proporcionais_com_terco"),
     ("férias + um terço", "ferias_proporcionais_com_terco"),
+    ("férias proporcionais", "ferias_proporcionais"),
+    ("férias vencidas em dobro", "ferias_dobro"),
+    ("férias em dobro", "ferias_dobro"),
     ("férias vencidas", "ferias_vencidas"),
+    ("férias indenizadas", "ferias_indenizadas"),
+    ("abono pecuniário", "abono_pecuniario_ferias"),
+    ("abono de férias", "abono_pecuniario_ferias"),
+    ("horas extras acima da 8ª diária", "horas_extras_diarias"),
+    ("horas extras acima da oitava diária", "horas_extras_diarias"),
+    ("labor em sobrejornada", "horas_extras_diarias"),
+    ("sobrejornada", "horas_extras_diarias"),
+    ("horas extras acima da 44ª semanal", "horas_extras_semanais"),
+    ("horas extras acima da quadragésima quarta", "horas_extras_semanais"),
     ("horas extras", "horas_extras_diarias"),
+    ("horas extraordinárias", "horas_extras_diarias"),
     ("descanso semanal remunerado", "dsr"),
+    ("repouso semanal remunerado", "dsr"),
     ("dsr", "dsr"),
+    ("rsr", "dsr"),
     ("fgts + multa de 40%", "fgts_com_multa"),
+    ("fgts e multa rescisória de 40%", "fgts_com_multa"),
+    ("fgts com multa", "fgts_com_multa"),
+    ("depósitos do fgts", "fgts_depositos"),
     ("fgts", "fgts_depositos"),
+    ("multa rescisória de 40%", "multa_fgts_40"),
+    ("multa de 40% do fgts", "multa_fgts_40"),
     ("aviso prévio indenizado", "aviso_previo_indenizado"),
+    ("aviso prévio trabalhado", "aviso_previo_trabalhado"),
+    ("aviso prévio proporcional", "aviso_previo_proporcional"),
     ("aviso prévio", "aviso_previo_indenizado"),
     ("saldo de salário", "saldo_salario"),
+    ("saldo salarial", "saldo_salario"),
     ("multa do artigo 467", "multa_art_467"),
-    ("multa do art. 477", "multa_art_477"),
+    ("multa art. 467", "multa_art_467"),
+    ("multa art 467", "multa_art_467"),
+    ("multa do artigo 477", "multa_art_477"),
+    ("multa art. 477", "multa_art_477"),
+    ("multa art 477", "multa_art_477"),
     ("dano moral", "dano_moral"),
+    ("indenização por danos morais", "dano_moral"),
+    ("dano material", "dano_material"),
+    ("indenização por danos materiais", "dano_material"),
+    ("dano existencial", "dano_existencial"),
+    ("honorários advocatícios", "honorarios_advocaticios"),
+    ("honorários sucumbenciais", "honorarios_advocaticios"),
+    ("honorários de sucumbência", "honorarios_advocaticios"),
+    ("adicional de insalubridade", "adicional_insalubridade"),
+    ("insalubridade", "adicional_insalubridade"),
+    ("adicional de periculosidade", "adicional_periculosidade"),
+    ("periculosidade", "adicional_periculosidade"),
     ("adicional noturno", "adicional_noturno"),
-    ("taxa selic", "SELIC"),
-    ("selic", "SELIC"),
+    ("adicional de transferência", "adicional_transferencia"),
     ("ipca-e", "IPCAE"),
+    ("ipca e", "IPCAE"),
     ("tr", "TR"),
+    ("taxa referencial", "TR"),
+    ("selic", "SELIC"),
+    ("taxa selic", "SELIC"),
+    ("salário base", "salario_base"),
+    ("salário contratual", "salario_base"),
+    ("última remuneração", "ultima_remuneracao"),
+    ("remuneração", "ultima_remuneracao"),
+    ("salário hora", "salario_hora"),
+    ("valor hora", "salario_hora"),
 )
 #: Official names by alias, in order.
 ALIASES = (
@@ -108,8 +163,6 @@ SIGNED_ON = r"(?is)assinado eletronicamente.*?em\s+(\d{2}/\d{2}/\d{4})"
 #: Hours a week to the divisor of monthly pay.
 DIVISORS = {30: 150, 35: 175, 36: 180, 40: 200, 44: 220}
 MONTHS = ("janeiro", "fevereiro", "março", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro")
-#: Priority of weights: evidence parts and their share of completeness.
-COMPLETENESS = (30, 20, 15, 10, 10, 7, 5, 3)
 PLANS = (("free", 5), ("basic", 50), ("pro", 200), ("firm", -1))
 MINIMUM_WAGE = 1518
 #: base from, base to, rate, deduction

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 
 def _common(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence; a step per letter of b, all of a at once in the bits of a number."""
+    masks: dict[str, int] = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hit = row & masks.get(y, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
 
 
 def ratio(a: str, b: str) -> float:
@@ -49,5 +52,14 @@ def _pairwise(score, name: str):
     return column
 
 
+def may_resemble(line, phrase, least: int = 85):
+    """False only where partial_ratio is below `least`: a window that reaches it lacks few letters of the shorter string,
+    and each that is lacking or put in between spoils two or one of its pairs of letters."""
+    short, long = F.when(F.length(line) < F.length(phrase), line).otherwise(phrase), F.when(F.length(line) < F.length(phrase), phrase).otherwise(line)
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(short) - 1)), lambda i: F.substr(short, i, F.lit(2)))
+    shared = F.size(F.filter(pairs, lambda p: F.contains(long, p)))
+    return (F.length(line) > 0) & (shared >= F.length(short) - 1 - 3 * F.floor(F.length(short) * (100 - least) / 100))
+
+
 token_set_ratio = _pairwise(token_set, "token_set_ratio")
 partial_ratio = _pairwise(partial, "partial_ratio")

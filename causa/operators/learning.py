@@ -15,12 +15,37 @@ def step(state: Column, delta: Column) -> Column:
     frozen = ((state["status"] == "active") & (delta < 0)) | ((state["status"] == "deleted") & (delta < 0))
     score = F.when(reborn, 1).when(frozen, state["score"]).otherwise(state["score"] + delta)
     status = F.when(frozen, state["status"]).when(score >= ACTIVE_AT, "active").when(score <= DELETED_AT, "deleted").otherwise(F.when(reborn, "shadow").otherwise(state["status"]))
-    return F.struct(score.cast("int").alias("score"), status.alias("status"), (state["hits"] + F.when(delta > 0, 1).otherwise(0)).cast("int").alias("hits"), (state["punished"] + F.when(delta < 0, 1).otherwise(0)).cast("int").alias("punished"))
+    return F.struct(score.cast("int").alias("score"), status.alias("status"))
 
 
-def replay(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """(keys, score, status, hits, punished) after all events of a key, in order. events: keys, order columns and delta."""
+def _state(score, status: str) -> Column:
+    return F.struct(F.lit(score).cast("int").alias("score"), F.lit(status).alias("status"))
+
+
+#: States that a rule can be in before a stretch of its log: a shadow's scores lie between the limits.
+_STARTS = [*((s, "shadow") for s in range(DELETED_AT + 1, ACTIVE_AT)), (DELETED_AT, "deleted")]
+
+
+def _after(state: Column, stretch: Column) -> Column:
+    """State after a stretch: an active rule gains its hits, a deleted one stays where there is none, all else is looked up."""
+    at = F.when(state["status"] == "deleted", len(_STARTS) - 1).otherwise(state["score"] - (DELETED_AT + 1))
+    grown = F.struct((state["score"] + stretch["gain"]).cast("int").alias("score"), state["status"].alias("status"))
+    return F.when(state["status"] == "active", grown).when((state["status"] == "deleted") & (stretch["hits"] == 0), state).otherwise(F.get(stretch["ends"], at))
+
+
+def replay(events: DataFrame, keys: list[str], order: list[str], stretch: Column | None = None) -> DataFrame:
+    """(keys, score, status, hits, punished) after all events of a key, in order. events: keys, order columns and delta.
+
+    stretch: a value that ascends with the order, such as the day. The log of a key is replayed stretch by stretch,
+    from each state that a rule can be in, and the stretches' effects are put together afterwards; so a row holds
+    the events of one stretch at most, and a hot key is spread over as many tasks as it has stretches.
+    """
+    rows = events.withColumn("stretch", F.lit(0) if stretch is None else stretch)
     log = F.transform(F.array_sort(F.collect_list(F.struct(*order, "delta"))), lambda e: e["delta"])
-    start = F.struct(F.lit(0).alias("score"), F.lit("shadow").alias("status"), F.lit(0).alias("hits"), F.lit(0).alias("punished"))
-    rows = events.groupBy(*keys).agg(log.alias("log"))
-    return rows.select(*keys, F.aggregate("log", start, step).alias("s")).select(*keys, "s.*")
+    parts = rows.groupBy(*keys, "stretch").agg(
+        log.alias("log"), F.count_if(F.col("delta") > 0).alias("hits"), F.count_if(F.col("delta") < 0).alias("punished"), F.sum(F.when(F.col("delta") > 0, F.col("delta")).otherwise(0)).alias("gain")
+    )
+    ends = F.array(*(F.aggregate("log", _state(*s), step) for s in _STARTS))
+    parts = parts.select(*keys, F.struct("stretch", ends.alias("ends"), "hits", "gain").alias("part"), "hits", "punished")
+    whole = parts.groupBy(*keys).agg(F.array_sort(F.collect_list("part")).alias("parts"), F.sum("hits").cast("int").alias("hits"), F.sum("punished").cast("int").alias("punished"))
+    return whole.select(*keys, F.aggregate("parts", _state(0, "shadow"), _after).alias("s"), "hits", "punished").select(*keys, "s.*", "hits", "punished")

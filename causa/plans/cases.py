@@ -9,7 +9,7 @@ from causa import catalogs
 from causa.functions import text
 from causa.operators import compare, items, rules
 from causa.plans import legal_rules
-from causa.plans.normalise import CANON, CANON_KEY, q, sql_first
+from causa.plans.normalise import CANON, CANON_KEY, q, sql_first, sql_norm
 from causa.plans.registry import query
 from causa.sources.tables import derived, table
 
@@ -300,20 +300,29 @@ def rules_from_fields(spark, sf_dir):
 
 # learned rules
 
-#: Learned rules: id, condition kind, argument, status. In production a table; here a short list.
-LEARNED = (("L1", "item_absent", "Horas Extras", "active"), ("L2", "item_present", "Dano Moral", "active"), ("L3", "index_absent", "", "shadow"), ("L4", "field_absent", "fee", "shadow"), ("L5", "item_present", "FGTS", "shadow"))
-_LEARNED_SQL = f"""WITH n AS (SELECT DISTINCT case_id, {CANON} AS canonical FROM items)
-  SELECT case_id, 'L1' AS rule_id, 'active' AS status FROM cases WHERE case_id NOT IN (SELECT case_id FROM n WHERE canonical = 'Horas Extras') UNION ALL
-  SELECT case_id, 'L2', 'active' FROM n WHERE canonical = 'Dano Moral' UNION ALL SELECT case_id, 'L3', 'shadow' FROM cases WHERE rate_index = 'n/a' UNION ALL
-  SELECT case_id, 'L4', 'shadow' FROM cases WHERE fee = 'null' UNION ALL SELECT case_id, 'L5', 'shadow' FROM n WHERE canonical = 'FGTS'"""
+#: Learned rules: id, condition kind, argument, value that is expected, status. In production a table; here a short list.
+LEARNED = (
+    ("L1", "item_absent", "Horas Extras", "", "active"), ("L2", "item_present", "Dano Moral", "", "active"), ("L3", "index_absent", "", "", "shadow"), ("L4", "field_absent", "fee", "", "shadow"),
+    ("L5", "item_present", "FGTS", "", "shadow"), ("L6", "field_differs", "reason", "Justa Causa", "shadow"), ("L7", "item_present", "Férias vencidas + 1/3 e reflexos", "", "active"),
+)
+_within = lambda a: f"(contains({sql_norm('name')}, {q(text._plain(a))}) OR contains({q(text._plain(a))}, {sql_norm('name')}))"
+_LEARNED_SQL = f"""SELECT case_id, 'L1' AS rule_id, 'active' AS status FROM cases WHERE case_id NOT IN (SELECT case_id FROM items WHERE {_within('Horas Extras')}) UNION ALL
+  SELECT DISTINCT case_id, 'L2', 'active' FROM items WHERE {_within('Dano Moral')} UNION ALL SELECT case_id, 'L3', 'shadow' FROM cases WHERE rate_index = 'n/a' UNION ALL
+  SELECT case_id, 'L4', 'shadow' FROM cases WHERE fee = 'null' UNION ALL SELECT DISTINCT case_id, 'L5', 'shadow' FROM items WHERE {_within('FGTS')} UNION ALL
+  SELECT case_id, 'L6', 'shadow' FROM cases WHERE reason IN ('rescisão indireta', 'pedido de demissão') UNION ALL SELECT DISTINCT case_id, 'L7', 'active' FROM items WHERE {_within('Férias vencidas + 1/3 e reflexos')}"""
 
 
 def learned_hits(spark, sf_dir):
-    """Hits of all learned rules, active and shadow, in one pass over the cases."""
+    """Hits of all learned rules, active and shadow, in one pass over the cases. Items and values match by containment of normalised names."""
     rows = full_cases(spark, sf_dir)
-    has = lambda name: F.exists("items", lambda i: i["canonical"] == name)
-    test = {"item_absent": lambda a: ~has(a), "item_present": has, "index_absent": lambda a: text.clean_null(F.col("rate_index")).isNull(), "field_absent": lambda a: text.clean_null(F.col(a)).isNull()}
-    hits = F.array_compact(F.array(*(F.when(test[kind](arg), F.struct(F.lit(i).alias("rule_id"), F.lit(status).alias("status"))) for i, kind, arg, status in LEARNED)))
+    rows = rows.withColumn("names", F.transform("items", lambda i: text.norm_text(i["name"])))
+    has = lambda name: F.exists("names", lambda n: F.contains(n, F.lit(text._plain(name))) | F.contains(F.lit(text._plain(name)), n))
+    given = lambda c: text.clean_null(F.col(c))
+    test = {
+        "item_absent": lambda a, v: ~has(a), "item_present": lambda a, v: has(a), "index_absent": lambda a, v: given("rate_index").isNull(), "field_absent": lambda a, v: given(a).isNull(),
+        "field_differs": lambda a, v: ~F.contains(text.norm_text(given(a)), F.lit(text._plain(v))),
+    }
+    hits = F.array_compact(F.array(*(F.when(test[kind](arg, value), F.struct(F.lit(i).alias("rule_id"), F.lit(status).alias("status"))) for i, kind, arg, value, status in LEARNED)))
     return rows.select("case_id", F.explode(hits).alias("h")).select("case_id", "h.*")
 
 

@@ -183,10 +183,14 @@ def content_dedup(spark, sf_dir):
     return docs.join(first, "content").select("doc_id", "first_id", (F.col("first_id") != F.col("doc_id")).alias("dropped"))
 
 
-@query("SELECT source, sha256(string_agg(lpad(cast(doc_id as string), 12, '0') || sha256(text), '' ORDER BY doc_id)) AS dossier FROM documents GROUP BY source")
+_STRETCH = "SELECT source, doc_id // 100 AS stretch, sha256(string_agg(sha256(text), '' ORDER BY sha256(text))) AS h FROM documents GROUP BY ALL"
+
+
+@query(f"SELECT source, stretch, h AS dossier FROM ({_STRETCH})")
 def dossier_hash(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("source", F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.sha2("text", 256)).alias("part"))
-    return rows.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("part")), ""), 256).alias("dossier"))
+    """Hash of the sorted hashes of a dossier's files, whatever their order: a source's documents of one hundred ids."""
+    rows = table(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / 100).alias("stretch"), F.sha2("text", 256).alias("part"))
+    return rows.groupBy("source", "stretch").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("part")), ""), 256).alias("dossier"))
 
 
 @query("""WITH t AS (SELECT user_id, case event_type when 'view' then 1 when 'click' then 2 when 'purchase' then 3 else 4 end AS level, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1)

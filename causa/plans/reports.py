@@ -107,14 +107,18 @@ def report_items(spark, sf_dir):
     return derived(spark, sf_dir, "items").select("case_id", "item_no", "name", F.coalesce(F.nullif("status", F.lit("")), F.lit("deferida")).alias("status"), F.to_json(parts).alias("reflexes"))
 
 
-@query()
+@query("""SELECT suffix, sum(length(reason))::BIGINT AS chars, sum(length(reason) - length(translate(reason, 'ãí', '')))::BIGINT AS accents FROM cases CROSS JOIN (VALUES ('csv'), ('txt'), ('xml')) s(suffix) GROUP BY suffix""", "cases")
 def scan_mixed(spark, sf_dir):
-    """Files of two kinds written from the pages and read by suffix."""
+    """A field of all cases written as Latin-1 lines, UTF-8 text and XML in files of bounded size, read back by suffix: its letters and the accents among them."""
     path = files.scratch(spark, "mixed")
-    docs = table(spark, sf_dir, "pages").select("page_id", "html")
-    docs.select("html").write.mode("overwrite").text(f"{path}/text", lineSep="\n\x00\n")
-    found = files.read_mixed(spark, f"{path}/text")
-    return found.groupBy("suffix").agg(F.count(F.lit(1)).alias("files"), F.max(F.length("text")).alias("longest"))
+    rows = derived(spark, sf_dir, "cases").select("reason")
+    rows.write.option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1000).csv(f"{path}/latin")
+    rows.write.option("maxRecordsPerFile", 1000).text(f"{path}/plain")
+    rows.write.option("maxRecordsPerFile", 1000).option("rowTag", "case").option("rootTag", "cases").format("xml").save(f"{path}/marked")
+    found = files.read_mixed(spark, f"{path}/*")
+    values = F.when(F.col("suffix") == "xml", F.regexp_extract_all("text", F.lit("<reason>([^<]*)</reason>"), F.lit(1))).otherwise(F.split("text", "\n"))
+    said = found.select("suffix", F.array_join(values, "").alias("said"))
+    return said.groupBy("suffix").agg(F.sum(F.length("said")).alias("chars"), F.sum(F.length("said") - F.length(F.translate("said", "ãí", ""))).alias("accents"))
 
 
 def calc_xml(spark, sf_dir):
@@ -197,11 +201,11 @@ def fill_count(spark, sf_dir):
 
 
 @query("""SELECT case_id, missing = '' AND n >= 3 AS ok, concat_ws('; ', nullif(missing, ''), case when n < 3 then 'itens: ' || n end) AS why FROM (SELECT c.case_id, coalesce(n, 0) AS n,
-  concat_ws(',', case when rate_index = 'n/a' then 'rate_index' end, case when interest = '-' then 'interest' end, case when notice = '' then 'notice' end) AS missing FROM cases c LEFT JOIN (SELECT case_id, count(*) AS n FROM items GROUP BY case_id) i USING (case_id))""", "cases items")
+  concat_ws(',', case when rate_index = 'n/a' then 'rate_index' end, case when interest = '-' then 'interest' end, case when notice = '' then 'notice' end, case when fee = 'null' then 'fee' end, case when hours = '-' then 'hours' end) AS missing FROM cases c LEFT JOIN (SELECT case_id, count(*) AS n FROM items GROUP BY case_id) i USING (case_id))""", "cases items")
 def quality_gate(spark, sf_dir):
     n = derived(spark, sf_dir, "items").groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
     rows = derived(spark, sf_dir, "cases").join(n, "case_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    missing = F.array_compact(F.array(*(F.when(text.clean_null(F.col(c)).isNull(), c) for c in ("rate_index", "interest", "notice"))))
+    missing = F.array_compact(F.array(*(F.when(text.clean_null(F.col(c)).isNull(), c) for c in ("rate_index", "interest", "notice", "fee", "hours"))))
     why = F.concat_ws("; ", F.nullif(F.array_join(missing, ","), F.lit("")), F.when(F.col("n") < 3, F.concat(F.lit("itens: "), F.col("n").cast("string"))))
     return rows.select("case_id", ((F.size(missing) == 0) & (F.col("n") >= 3)).alias("ok"), why.alias("why"))
 
@@ -264,12 +268,12 @@ _REPLAY = """WITH RECURSIVE log AS (SELECT user_id AS tenant, event_type AS rule
 
 @query(_REPLAY)
 def kb_replay(spark, sf_dir):
-    return learning.replay(deltas(spark, sf_dir), ["tenant", "rule_key"], ["ts", "event_id"])
+    return learning.replay(deltas(spark, sf_dir), ["tenant", "rule_key"], ["ts", "event_id"], F.date_trunc("day", "ts"))
 
 
 @query(f"SELECT status, count(*) AS rules, sum(hits)::BIGINT AS hits FROM ({_REPLAY}) GROUP BY status")
 def kb_apply(spark, sf_dir):
-    state = learning.replay(deltas(spark, sf_dir), ["tenant", "rule_key"], ["ts", "event_id"])
+    state = learning.replay(deltas(spark, sf_dir), ["tenant", "rule_key"], ["ts", "event_id"], F.date_trunc("day", "ts"))
     return state.groupBy("status").agg(F.count(F.lit(1)).alias("rules"), F.sum("hits").alias("hits"))
 
 
@@ -278,12 +282,16 @@ _NAMES = "SELECT DISTINCT lower(trim(name)) AS name FROM items"
 
 @query(f"WITH n AS ({_NAMES}) SELECT a.name, min(b.name) AS similar FROM n a JOIN n b ON contains(a.name, b.name) OR contains(b.name, a.name) GROUP BY a.name", "items")
 def kb_similar(spark, sf_dir):
-    """First known rule whose item contains, or is contained in, another's; names are distinct first, so few are compared."""
+    """First known rule whose item contains, or is contained in, another's; names are distinct first, so few are compared.
+
+    A name that is contained begins with three letters (or all it has) that the other has somewhere, so an equi-join finds it.
+    """
     names = derived(spark, sf_dir, "items").select(F.lower(F.trim("name")).alias("name")).distinct()
-    words = names.select("name", F.explode(F.split("name", " ")).alias("w"))
-    pairs = words.join(words.select(F.col("name").alias("other"), "w"), "w").select("name", "other").distinct()
-    near = F.contains("name", "other") | F.contains("other", "name")
-    return pairs.where(near).groupBy("name").agg(F.min("other").alias("similar"))
+    grams = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substr("name", i, n)))))
+    holds = names.select("name", F.explode(grams).alias("gram"))
+    inside = names.select(F.col("name").alias("part"), F.substring("name", 1, 3).alias("gram")).join(holds, "gram").where(F.contains("name", "part")).select("name", "part")
+    pairs = inside.select("name", F.col("part").alias("other")).unionByName(inside.select(F.col("part").alias("name"), F.col("name").alias("other")))
+    return pairs.groupBy("name").agg(F.min("other").alias("similar"))
 
 
 _SHADOW = f"SELECT h.rule_id, count(*) FILTER (WHERE m.case_id IS NOT NULL) AS confirmed, count(*) FILTER (WHERE m.case_id IS NULL) AS punished FROM ({cases._LEARNED_SQL}) h LEFT JOIN (SELECT DISTINCT case_id FROM ({cases._MISSING})) m ON h.case_id = m.case_id WHERE h.status = 'shadow' GROUP BY h.rule_id"

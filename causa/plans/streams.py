@@ -20,7 +20,7 @@ def stream_extract(spark, sf_dir):
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, sf_dir):
     events = jobs.landing(spark, f"{sf_dir}/events.parquet").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    return jobs.drain(jobs.first_seen(events, ["user_id", "event_type"]), "dedup").select("user_id", "event_type").distinct()
+    return jobs.drain(jobs.first_seen(events, ["user_id", "event_type"]), "dedup").select("user_id", "event_type")
 
 
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -46,10 +46,10 @@ def stream_kb(spark, sf_dir):
 
 @query()
 def section_fuzzy(spark, sf_dir):
-    """First line of each document that resembles a synonym; similarity is scored on distinct pairs of short lines only."""
+    """First line of each document that resembles a synonym; similarity is scored on distinct pairs that can reach the threshold."""
     synonyms = spark.createDataFrame([("terms", "licensed under the terms"), ("notice", "all rights reserved")], "section string, synonym string")
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", text.norm_text(F.col("line")).alias("line"))
-    near = lines.where("length(line) between 10 and 120").join(F.broadcast(synonyms), F.exists(F.split("synonym", " "), lambda w: (F.length(w) > 5) & F.contains(F.col("line"), w)))
+    near = lines.join(F.broadcast(synonyms), similarity.may_resemble(F.col("line"), F.col("synonym")))
     scored = near.select("line", "section", "synonym").distinct().where(similarity.partial_ratio("line", "synonym") >= 85)
     hit = near.join(scored, ["line", "section", "synonym"])
     return hit.groupBy("doc_id", "section").agg(F.min("line_no").alias("line_no"))

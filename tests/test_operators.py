@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -247,3 +248,55 @@ def test_partitions_do_not_change_results(spark):
         assert sorted(map(repr, QUERIES["item_dedup"](spark, "/root/testdata/sf0.001").collect())) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", one)
+
+
+def test_replay_by_stretches_is_replay_as_a_whole(spark):
+    rng = random.Random(1)
+    rows = [(k, i, rng.choice([1, 1, -1, -1, -1] if k % 2 else [1, -1])) for k in range(60) for i in range(rng.randint(1, 40))] + [(99, i, d) for i, d in enumerate([1, -99, -1, 1, 1])]
+    df = spark.createDataFrame(rows, "k long, ts int, delta int")
+    want = {}
+    for k, _, d in rows:
+        score, status, hits, bad = want.get(k, (0, "shadow", 0, 0))
+        hits, bad = hits + (d > 0), bad + (d < 0)
+        if not (d < 0 and status in ("active", "deleted")):
+            born = status == "deleted"
+            score = 1 if born else score + d
+            status = "active" if score >= 3 else "deleted" if score <= -1 else "shadow" if born else status
+        want[k] = score, status, hits, bad
+    for width in (1, 3, 1000):
+        got = {r.k: (r.score, r.status, r.hits, r.punished) for r in learning.replay(df, ["k"], ["ts"], F.floor(F.col("ts") / width)).collect()}
+        assert got == want
+
+
+def test_common_subsequences_match_a_table():
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ("".join(rng.choices("abcd ", k=rng.randint(0, 30))) for _ in range(2))
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+        assert similarity._common(a, b) == rows[-1][-1]
+
+
+def test_no_resembling_line_is_sorted_out(spark):
+    rng, phrase = random.Random(3), "all rights reserved"
+    lines = ["", "a", "all", "al rigths reservd", "x" * 500 + " all rights reserved " + "y" * 900, "ALL".lower(), "rights reserve", "nothing like it"]
+    for _ in range(400):
+        own = list(phrase[: rng.randint(8, 19)])
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randint(0, 1)] = rng.choices("abre ", k=rng.randint(0, 1))
+            own = own or ["a"]
+        lines.append("".join(rng.choices("xyz ", k=rng.randint(0, 40))) + "".join(own) + "".join(rng.choices("xyz ", k=rng.randint(0, 40))))
+    df = spark.createDataFrame([(x, phrase) for x in lines], "line string, phrase string")
+    kept = {r.line for r in df.where(similarity.may_resemble(F.col("line"), F.col("phrase"))).collect()}
+    due = {x for x in lines if similarity.partial(x, phrase) >= 85}
+    assert due <= kept and len(due) > 50 and "nothing like it" not in kept
+
+
+def test_only_xml_is_cut(spark, tmp_path, monkeypatch):
+    for name in ("a.xml", "b.txt", "c.html", "d.csv"):
+        (tmp_path / name).write_text("é" * 50, encoding="latin-1" if name == "d.csv" else "utf-8")
+    monkeypatch.setattr(files, "LONGEST", 10)
+    assert {r.suffix: r.text for r in files.read_mixed(spark, str(tmp_path)).collect()} == {"xml": "é" * 10, "txt": "é" * 50, "html": "é" * 50, "csv": "é" * 50}
