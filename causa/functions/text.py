@@ -62,9 +62,14 @@ def _plain(p: str) -> str:
     return " ".join(p.lower().translate(str.maketrans(*catalogs.ACCENTS)).split())
 
 
-def parse_money(c: Column) -> Column:
-    """First Brazilian amount of a text (1.234,56) as decimal(18,2)."""
-    found = F.regexp_extract(c, r"(-?\d[\d.]*(?:,\d{1,2})?)", 1)
+#: What counts as an amount: the first number; one marked as money, with cents; a signed one with cents that is the whole text; all digits, points and commas of a text.
+MONEY = {"first": r"(-?\d[\d.]*(?:,\d{1,2})?)", "marked": r"R\$\s*(\d[\d.]*,\d{2})", "signed": r"^\s*(?:R\$\s*)?(-?\d[\d.]*,\d{2})\s*$", "digits": None}
+
+
+def parse_money(c: Column, variant: str = "first") -> Column:
+    """Brazilian amount of a text (1.234,56) as decimal(18,2), by a variant of MONEY."""
+    pattern = MONEY[variant]
+    found = F.regexp_replace(c, r"[^\d,.]", "") if pattern is None else F.regexp_extract(c, pattern, 1)
     return F.replace(F.replace(found, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("decimal(18,2)")
 
 
@@ -74,12 +79,14 @@ def format_money(c: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """DD/MM/YYYY, DD-MM-YYYY, ISO, or `d de month de yyyy`."""
+    """DD/MM/YYYY, DD-MM-YYYY, ISO, `d de month de yyyy`, or DD/MM/YY, where years from 69 on are of the 20th century."""
     text = F.trim(c)
     words = F.regexp_extract(F.lower(text), r"^(\d{1,2}) de ([a-zç]+) de (\d{4})$", 2)
     month = reduce(lambda w, e: w.when(words == e[1], e[0]), enumerate(catalogs.MONTHS, 1), F.when(words == "marco", 3))
     spelled = F.concat_ws("-", F.regexp_extract(text, r"(\d{4})$", 1), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(text, r"^(\d{1,2}) de", 1), 2, "0"))
-    return F.coalesce(F.try_to_date(text, "d/M/yyyy"), F.try_to_date(text, "d-M-yyyy"), F.try_to_date(text, "yyyy-M-d"), F.when(month.isNotNull(), F.try_to_date(spelled, "yyyy-MM-dd")))
+    short = F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), F.try_to_date(text, "d/M/yy"))
+    short = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)
+    return F.coalesce(short, F.try_to_date(text, "d/M/yyyy"), F.try_to_date(text, "d-M-yyyy"), F.try_to_date(text, "yyyy-M-d"), F.when(month.isNotNull(), F.try_to_date(spelled, "yyyy-MM-dd")))
 
 
 def dmy(c: Column) -> Column:

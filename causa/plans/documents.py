@@ -311,10 +311,21 @@ def extract_case_fields(spark, sf_dir):
     return t.select("case_id", *(fields.field(F.col("text"), p.replace("(?i)", "(?iu)", 1)).alias(n) for n, p, _ in LEGAL_FIELDS), free.alias("free_justice"))
 
 
-@query(r"SELECT case_id, nullif(regexp_extract(text, '(?i)\b(IPCAE|SELIC|TR|IPCA[_\-]?E|TRD)\b', 1), '') AS idx, nullif(regexp_extract(text, '(?i)(juros\s+de\s+\d[\d,.]*\s*%|SELIC\s*simples)', 1), '') AS interest, nullif(regexp_extract(text, '\b(150|180|200|220)\b', 1), '') AS divisor FROM texts", "texts")
+_INTEREST_LABELS = ((r"(?i)juros pela SELIC", "SELIC"), (r"(?i)juros de 1% ao m", "1% ao mês"), (r"(?i)juros legais", "Juros legais"))
+
+
+@query("SELECT case_id, case interest when 'juros pela SELIC' then 'SELIC' when 'juros de 1% ao mês' then '1% ao mês' when 'juros legais' then 'Juros legais' end AS label FROM cases", "cases")
+def extract_interest(spark, sf_dir):
+    """Interest that a ruling grants, by priority of three wordings."""
+    return derived(spark, sf_dir, "texts").select("case_id", fields.priority_label(F.col("text"), _INTEREST_LABELS).alias("label"))
+
+
+@query(r"""SELECT case_id, nullif(regexp_extract(text, '(?i)\b(IPCAE|SELIC|TR|IPCA[_\-]?E|TRD)\b', 1), '') AS idx, nullif(regexp_extract(text, '(?i)(juros\s+de\s+\d[\d,.]*\s*%|SELIC\s*simples)', 1), '') AS interest, nullif(regexp_extract(text, '\b(150|180|200|220)\b', 1), '') AS divisor, """ + f"nullif(concat_ws('|', {', '.join(f"case when regexp_matches(text, {q('(?i)' + p)}) then {q(n)} end" for p, n in catalogs.CANONICAL_ITEMS)}), '') AS items" + """ FROM texts""", "texts")
 def extract_settlement(spark, sf_dir):
+    """Index, interest, divisor and the items that a text names, in the order of the catalog."""
     t = F.col("text")
-    return derived(spark, sf_dir, "texts").select("case_id", fields.field(t, r"(?i)\b(IPCAE|SELIC|TR|IPCA[_\-]?E|TRD)\b").alias("idx"), fields.field(t, r"(?i)(juros\s+de\s+\d[\d,.]*\s*%|SELIC\s*simples)").alias("interest"), fields.field(t, r"\b(150|180|200|220)\b").alias("divisor"))
+    items = F.nullif(F.concat_ws("|", *(F.when(t.rlike(f"(?iu){p}"), n) for p, n in catalogs.CANONICAL_ITEMS)), F.lit(""))
+    return derived(spark, sf_dir, "texts").select("case_id", items.alias("items"), fields.field(t, r"(?i)\b(IPCAE|SELIC|TR|IPCA[_\-]?E|TRD)\b").alias("idx"), fields.field(t, r"(?i)(juros\s+de\s+\d[\d,.]*\s*%|SELIC\s*simples)").alias("interest"), fields.field(t, r"\b(150|180|200|220)\b").alias("divisor"))
 
 
 @query(f"""SELECT case_id, number, {dmy('hired_on')} AS hired, case when case_id % 2 = 0 then 'manual' else reason end AS reason FROM cases""", "cases")

@@ -64,9 +64,13 @@ def coerce_fields(spark, sf_dir):
     return derived(spark, sf_dir, "cases").select("case_id", F.when(flag, "Deferida").when(~flag, "Indeferida").otherwise(F.col("free_justice")).alias("free_justice"), F.coalesce(text.clean_null(F.col("interest")), F.lit("não informado")).alias("interest"))
 
 
-@query(r"SELECT case_id, try_cast(replace(replace(regexp_extract(text, 'R\$ (\d[\d.]*(?:,\d{1,2})?)', 1), '.', ''), ',', '.') AS decimal(18,2)) AS amount FROM texts", "texts")
+@query("SELECT case_id, cast(reais as decimal(18,2)) AS amount, cast(reais as decimal(18,2)) AS marked, cast(-round(price, 2) as decimal(18,2)) AS signed, cast(reais as decimal(18,2)) AS digits FROM cases", "cases")
 def parse_money(spark, sf_dir):
-    return derived(spark, sf_dir, "texts").select("case_id", text.parse_money(F.regexp_extract("text", r"R\$ (\d[\d.]*(?:,\d{1,2})?)", 1)).alias("amount"))
+    """The first amount of a text, the first that is marked, a signed one and all digits of a phrase, against the numbers that they were made of."""
+    rows = derived(spark, sf_dir, "cases").select("case_id", F.replace((-F.round("price", 2)).cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(",")).alias("signed"))
+    pay = F.regexp_extract("text", r"(R\$ \d[\d.]*(?:,\d{1,2})?) por", 1)
+    found = derived(spark, sf_dir, "texts").select("case_id", text.parse_money(pay).alias("amount"), text.parse_money(F.col("text"), "marked").alias("marked"), text.parse_money(pay, "digits").alias("digits"))
+    return found.join(rows, "case_id").select("case_id", "amount", "marked", text.parse_money(F.col("signed"), "signed").alias("signed"), "digits")
 
 
 @query("SELECT case_id, 'R$ ' || translate(format('{:,.2f}', price), ',.', '.,') AS price_text FROM cases", "cases")
@@ -74,13 +78,13 @@ def format_money(spark, sf_dir):
     return derived(spark, sf_dir, "cases").select("case_id", text.format_money(F.col("price")).alias("price_text"))
 
 
-@query(f"SELECT case_id, hired_on AS from_slash, left_on AS from_dash, filed_on AS from_iso, case when case_id % 4 = 3 then date '2024-03-12' end AS from_words FROM cases", "cases")
+@query(f"SELECT case_id, hired_on AS from_slash, left_on AS from_dash, filed_on AS from_iso, ruled_on AS from_short, case when case_id % 4 = 3 then date '2024-03-12' end AS from_words FROM cases", "cases")
 def parse_dates(spark, sf_dir):
     d = text.parse_date
     words = F.regexp_extract("text", r"Porto Alegre, (\d{1,2} de [a-zç]+ de \d{4})", 1)
-    rows = derived(spark, sf_dir, "cases").select("case_id", "hired_on", "left_on", "filed_on")
+    rows = derived(spark, sf_dir, "cases").select("case_id", "hired_on", "left_on", "filed_on", "ruled_on")
     both = rows.join(derived(spark, sf_dir, "texts").select("case_id", words.alias("words")), "case_id")
-    return both.select("case_id", d(text.dmy(F.col("hired_on"))).alias("from_slash"), d(F.date_format("left_on", "dd-MM-yyyy")).alias("from_dash"), d(F.col("filed_on").cast("string")).alias("from_iso"), d(F.col("words")).alias("from_words"))
+    return both.select("case_id", d(text.dmy(F.col("hired_on"))).alias("from_slash"), d(F.date_format("left_on", "dd-MM-yyyy")).alias("from_dash"), d(F.col("filed_on").cast("string")).alias("from_iso"), d(F.date_format("ruled_on", "dd/MM/yy")).alias("from_short"), d(F.col("words")).alias("from_words"))
 
 
 @query("SELECT case_id, number, substr(number, 1, 7) AS seq, substr(number, 12, 4) AS year, case_id % 7 <> 0 AS valid FROM cases", "cases")

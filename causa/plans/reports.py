@@ -107,6 +107,25 @@ def report_items(spark, sf_dir):
     return derived(spark, sf_dir, "items").select("case_id", "item_no", "name", F.coalesce(F.nullif("status", F.lit("")), F.lit("deferida")).alias("status"), F.to_json(parts).alias("reflexes"))
 
 
+@query("""SELECT c.case_id, number, rate_index, interest, fee, coalesce(granted, 0) AS granted, coalesce(denied, 0) AS denied FROM cases c LEFT JOIN (SELECT case_id,
+  count(*) FILTER (WHERE coalesce(nullif(status, ''), 'deferida') = 'deferida') AS granted, count(*) FILTER (WHERE status = 'indeferida') AS denied FROM items GROUP BY case_id) i ON i.case_id = c.case_id""", "cases items")
+def report_summary(spark, sf_dir):
+    """Summary sheet: a row per case."""
+    counts = cases.item_counts(spark, sf_dir)
+    rows = derived(spark, sf_dir, "cases").select("case_id", "number", "rate_index", "interest", "fee").join(counts, "case_id", "left")
+    return rows.withColumns({n: F.coalesce(n, F.lit(0)) for n in ("granted", "denied")})
+
+
+_PARAMETERS = ("hours", "notice", "schedule", "free_justice")
+
+
+@query(cases._alerts_sql("SELECT case_id, 'alert' AS name, '[' || level || '] ' || message AS value FROM alerts UNION ALL " + " UNION ALL ".join(f"SELECT case_id, {q(p)}, {p} FROM cases" for p in _PARAMETERS)), "cases items")
+def report_parameters(spark, sf_dir):
+    """Sheet of parameters and alerts: a row per value."""
+    alerts = cases.alerts_of(spark, sf_dir).select("case_id", F.lit("alert").alias("name"), F.format_string("[%s] %s", "level", "message").alias("value"))
+    return alerts.unionByName(derived(spark, sf_dir, "cases").select("case_id", *_PARAMETERS).unpivot("case_id", list(_PARAMETERS), "name", "value"))
+
+
 @query("""SELECT suffix, sum(length(reason))::BIGINT AS chars, sum(length(reason) - length(translate(reason, 'ãí', '')))::BIGINT AS accents FROM cases CROSS JOIN (VALUES ('csv'), ('txt'), ('xml')) s(suffix) GROUP BY suffix""", "cases")
 def scan_mixed(spark, sf_dir):
     """A field of all cases written as Latin-1 lines, UTF-8 text and XML in files of bounded size, read back by suffix: its letters and the accents among them."""

@@ -300,3 +300,12 @@ def test_only_xml_is_cut(spark, tmp_path, monkeypatch):
         (tmp_path / name).write_text("é" * 50, encoding="latin-1" if name == "d.csv" else "utf-8")
     monkeypatch.setattr(files, "LONGEST", 10)
     assert {r.suffix: r.text for r in files.read_mixed(spark, str(tmp_path)).collect()} == {"xml": "é" * 10, "txt": "é" * 50, "html": "é" * 50, "csv": "é" * 50}
+
+
+def test_amounts_by_variant_and_short_years(spark):
+    said = ["pago R$ 1.234,56 em 3 vezes", "-10,50", "R$ 7", "nada"]
+    got = {v: [None if x is None else float(x) for x in values(spark, text.parse_money(F.col("v"), v), said)] for v in ("first", "marked", "signed")}
+    assert got == {"first": [1234.56, -10.5, 7.0, None], "marked": [1234.56, None, None, None], "signed": [None, -10.5, None, None]}
+    assert float(values(spark, text.parse_money(F.col("v"), "digits"), ["R$ 1.234,56 !"])[0]) == 1234.56
+    dates = values(spark, text.parse_date(F.col("v")), ["01/02/95", "1/2/20", "31/12/68", "01/01/69", "01/02/1995"])
+    assert dates == [dt.date(1995, 2, 1), dt.date(2020, 2, 1), dt.date(2068, 12, 31), dt.date(1969, 1, 1), dt.date(1995, 2, 1)]
