@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from causa.llm.common import cut
 
 CAPACITY = 2048
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 600_000
 NODES = 6000
 _ODD = re.compile("[\x1c-\x1f]")  # white space for str.split, not for the tokenizer
 _FAR = re.compile("[^\x00-\u012f]")
