@@ -98,7 +98,7 @@ CATALOG = (
         ("filed_on < hired_on", "filed_on < hired_on", "AVISO", "ajuizamento antes da admissão"))),
     ("CONSISTENCIA_DANO_MORAL_EM_VERBAS", "Dano moral entre verbas", "Consistência", CONSISTENCY, None, ((_has(r"dano\s*moral"), "has_damage", "AVISO", "dano moral entre verbas"),)),
     ("CONSISTENCIA_DEDUCAO_AUTORIZADA", "Dedução", "Consistência", CONSISTENCY, None, (
-        ("deduction and trim(deduction_note) <> ''", "deduction AND trim(deduction_note) <> ''", "INFO", "'dedução autorizada: ' || trim(deduction_note)"), ("deduction", "deduction", "INFO", "dedução autorizada"))),
+        ("deducts and trim(deduction_note) <> ''", "deducts AND trim(deduction_note) <> ''", "INFO", "'dedução autorizada: ' || trim(deduction_note)"), ("deducts", "deducts", "INFO", "dedução autorizada"))),
     ("CONSISTENCIA_INTEGRACAO_SEM_REFLEXOS", "Integração sem reflexos", "Consistência", CONSISTENCY, None, ()),
     ("CONSISTENCIA_MULTA_477_VALOR", "Valor da multa", "Art. 477 CLT", CONSISTENCY, None, ((f"abs({_FINE} - reais) > 0.05 * reais", "abs(fine - reais) > 0.05 * reais", "AVISO", "multa difere do salário"),)),
     ("CONSISTENCIA_SALARIO_BASE_MINIMO", "Salário mínimo", "Consistência", CONSISTENCY, None, (("reais <= 0", "reais <= 0", "ERRO", "salário não positivo"), ("reais < 1518", "reais < 1518", "AVISO", "abaixo do mínimo"))),

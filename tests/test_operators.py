@@ -127,7 +127,7 @@ def test_rule_lives(spark):
 
 
 CASE = """case_id long, hired_on date, left_on date, filed_on date, ruled_on date, book_exit_on date, reais long, number_ok boolean, rate_index string, hours string, notice string, fee string, reason string,
- fund_on_notice string, fund_on_vacation string, fine_on_notice string, deduction boolean, deduction_note string,
+ fund_on_notice string, fund_on_vacation string, fine_on_notice string, deducts boolean, deduction_note string,
  items array<struct<item_no:int,name:string,status:string,period:string,reflex:array<string>,integrates:boolean,amount:double,canonical:string,canonical_key:string>>"""
 
 
@@ -137,7 +137,7 @@ def day(text):
 
 QUIET = {
     "hired_on": day("2018-05-01"), "left_on": day("2020-01-01"), "filed_on": day("2020-06-01"), "ruled_on": day("2021-01-01"), "book_exit_on": day("2020-02-03"), "reais": 5000, "number_ok": True, "rate_index": "IPCA-E", "hours": "44 horas",
-    "notice": "30 dias", "fee": "10%", "reason": "com justa causa", "fund_on_notice": "SIM", "fund_on_vacation": "NAO_INCIDE", "fine_on_notice": "INCIDE", "deduction": False, "deduction_note": None, "items": [],
+    "notice": "30 dias", "fee": "10%", "reason": "com justa causa", "fund_on_notice": "SIM", "fund_on_vacation": "NAO_INCIDE", "fine_on_notice": "INCIDE", "deducts": False, "deduction_note": None, "items": [],
 }
 
 
@@ -183,7 +183,7 @@ PAIRS = {
     "CONSISTENCIA_BIS_IN_IDEM_REFLEXOS": ({"items": [item("FGTS", reflex=["FGTS"]), item("DSR", reflex=["DSR"])]}, [("ERRO", "DSR"), ("ERRO", "FGTS")], {"items": [item("FGTS", reflex=["DSR"])]}),
     "CONSISTENCIA_DATAS": ({"hired_on": day("2022-01-01"), "book_exit_on": day("2019-01-01"), "ruled_on": day("2019-12-31")}, [("AVISO", "ajuizamento antes"), ("AVISO", "sentença antes"), ("ERRO", "admissão"), ("ERRO", "ajuizamento depois"), ("ERRO", "CTPS")], {"book_exit_on": None}),
     "CONSISTENCIA_DANO_MORAL_EM_VERBAS": ({"items": [item("Dano moral", "Dano Moral")]}, [("AVISO", "")], {}),
-    "CONSISTENCIA_DEDUCAO_AUTORIZADA": ({"deduction": True, "deduction_note": " recibos "}, [("INFO", "autorizada: recibos")], {"deduction_note": "recibos"}),
+    "CONSISTENCIA_DEDUCAO_AUTORIZADA": ({"deducts": True, "deduction_note": " recibos "}, [("INFO", "autorizada: recibos")], {"deduction_note": "recibos"}),
     "CONSISTENCIA_INTEGRACAO_SEM_REFLEXOS": ({"items": [item("Adicional", integrates=True), item("DSR", reflex=["FGTS"], integrates=True)]}, [("AVISO", "Adicional"), ("AVISO", "DSR")], {"items": [item("Horas Extras", integrates=True), item("Saldo")]}),
     "CONSISTENCIA_MULTA_477_VALOR": ({"items": [item("Multa do art. 477", amount=9.0)]}, [("AVISO", "")], {"items": [item("Multa do art. 477", amount=5100.0)]}),
     "CONSISTENCIA_SALARIO_BASE_MINIMO": ({"reais": 1000}, [("AVISO", "mínimo")], {}),
