@@ -159,6 +159,14 @@ PAGE_FLAGS = {
     "motion": r"(?i)(embargos\s+de\s+declara[çc][aã]o|efeito\s+infringente)",
     "order": r"(?i)(cumpra-?se|requisi[çc][aã]o\s+de\s+pagamento|\bRPV\b|planilha\s+de\s+d[eé]bito)",
 }
+# What begins the repeated tail of a text.
+REPEAT_NOTICE = (
+    r"(?iu)(Fica V\. Sa\. intimado para tomar ciência da Senten[çc]a|Fica V\. Sa\. intimado para tomar ciência do Ac[oó]rd[aã]o|Certidão de Disponibilização e Publicação|INTIMAÇÃO\s*\nFica V\. Sa\. intimado)"
+)
+REPEAT_RULING = (
+    r"(?iu)(DISPOSITIVO\s*\n|ANTE O EXPOSTO[,.]|ISTO POSTO[,.]|PELO EXPOSTO[,.]|DIANTE DO EXPOSTO[,.]|JULGO PROCEDENTE|JULGO PARCIALMENTE|JULGO IMPROCEDENTE|CONDENO A RECLAMADA|ACORDAM\b)"
+)
+PAGE_LABEL = "--- PÁGINA"
 SIGNED_ON = r"(?is)assinado eletronicamente.*?em\s+(\d{2}/\d{2}/\d{4})"
 #: Hours a week to the divisor of monthly pay.
 DIVISORS = {30: 150, 35: 175, 36: 180, 40: 200, 44: 220}

@@ -127,3 +127,22 @@ def status_bucket(c: Column) -> Column:
     """Denial is tested first, as its words contain those of a grant."""
     s = F.lower(F.trim(c))
     return F.when(s.contains("indefer") | s.contains("improced"), "denied").when(s.contains("parcial"), "partial").when(s.contains("defer") | s.contains("proced"), "granted").otherwise("unknown")
+
+
+def cut_repeat(c: Column, notice: str, ruling: str, label: str, near: int = 300) -> Column:
+    """Text before its repeated tail, without white space at its end; null stays null.
+
+    The tail begins at the first notice. Where there is none it begins at the
+    second ruling marker, or at the last page label if one begins at most near
+    characters before that marker. A text with neither stays as it is.
+    """
+    first = F.regexp_instr(c, F.lit(notice))
+    one = F.regexp_instr(c, F.lit(ruling))
+    after = one + F.length(F.regexp_extract(c, ruling, 0))
+    two = F.regexp_instr(F.substring(c, after, F.length(c)), F.lit(ruling))
+    at = after + two - 1
+    start = F.greatest(at - near, F.lit(1))
+    back = F.locate(label[::-1], F.reverse(F.substring(c, start, at - start)))
+    snapped = F.when(back > 0, at - back + 1 - len(label)).otherwise(at)
+    head = lambda end: F.regexp_replace(F.substring(c, F.lit(1), end - 1), r"\s+$", "")
+    return F.when(first > 0, head(first)).when((one > 0) & (two > 0), head(snapped)).otherwise(c)

@@ -198,12 +198,12 @@ _ITEM_SQL = {
 }
 
 
-def _rule_sql() -> str:
+def _rule_sql(catalog=legal_rules.CATALOG, item_sql=_ITEM_SQL) -> str:
     parts = []
-    for i, _, _, p, since, outs in legal_rules.CATALOG:
+    for i, _, _, p, since, outs in catalog:
         valid = f"hired_on >= date '{since}'" if since else "true"
-        if i in _ITEM_SQL:
-            parts.append(f"SELECT x.case_id, {q(i)} AS rule_id, level, message, {p} AS priority FROM ({_ITEM_SQL[i]}) x SEMI JOIN (SELECT case_id FROM cases WHERE {valid}) v ON v.case_id = x.case_id")
+        if i in item_sql:
+            parts.append(f"SELECT x.case_id, {q(i)} AS rule_id, level, message, {p} AS priority FROM ({item_sql[i]}) x SEMI JOIN (SELECT case_id FROM cases WHERE {valid}) v ON v.case_id = x.case_id")
             continue
         before = "false"
         for _, s, level, m in outs:  # the first that holds, or all that do
@@ -228,6 +228,21 @@ def rule_alerts(spark, sf_dir):
     return alerts_of(spark, sf_dir)
 
 
+_STRICT_REST = "|".join(legal_rules.STRICT_NOT_OF_REST)
+_STRICT_SQL = {
+    "SUMULA_264_TST": r"""SELECT case_id, 'AVISO' AS level, name || ' sem DSR' AS message FROM i ANTI JOIN (SELECT * FROM r0 WHERE regexp_matches(lower(reflex), 'dsr|descanso\s*semanal')) d USING (case_id, item_no)
+      WHERE regexp_matches(name, '(?i)horas?\s*extras?') AND integrates IS DISTINCT FROM false""",
+    "OJ_394_SDI1_TST": f"""SELECT case_id, 'ERRO' AS level, 'DSR não reflete em ' || lower(reflex) AS message FROM i JOIN r0 USING (case_id, item_no)
+      WHERE regexp_matches(lower(name), 'dsr|descanso semanal') AND regexp_matches(lower(reflex), '{_STRICT_REST}')""",
+}
+
+
+@query(f"WITH facts AS ({_FACTS}), {_ITEM_FACTS} {_rule_sql(legal_rules.STRICT_CATALOG, _STRICT_SQL)}", "cases items")
+def rule_alerts_strict(spark, sf_dir):
+    """Alerts of the strict variants, which are off unless asked for; no rule changes what another reads."""
+    return rules.apply(full_cases(spark, sf_dir), legal_rules.STRICT_RULES)
+
+
 _DATED = ", ".join(f"({q(r.id)}, date '{r.since or '1900-01-01'}')" for r in legal_rules.RULES)
 
 

@@ -131,6 +131,25 @@ def cut_repeats(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.length(kept).cast("long").alias("kept_chars"))
 
 
+_LABELLED = "SELECT doc_id, string_agg(case when page_no % 4 = 3 then repeat('- ', 160) else '--- PÁGINA ' || page_no || ' ---' || chr(10) end || text || case when page_no % 5 = 4 then chr(10) || 'Certidão de Disponibilização e Publicação' else '' end, chr(10) ORDER BY page_no) AS text FROM case_pages GROUP BY doc_id"
+_R = catalogs.REPEAT_RULING.replace("(?iu)", "")
+
+
+@query(f"""WITH t AS ({_LABELLED}), n AS (SELECT doc_id, text, regexp_matches(text, {q(catalogs.REPEAT_NOTICE.replace("(?iu)", "(?i)"))}) AS noticed,
+    regexp_extract(text, {q("(?is)^(.*?)" + catalogs.REPEAT_NOTICE.replace("(?iu)", ""))}, 1) AS before, regexp_extract(text, {q(f"(?is)^(.*?{_R}.*?){_R}")}, 1) AS once FROM t),
+  c AS (SELECT doc_id, case when noticed then before when once = '' then text when regexp_matches(once, '(?s)--- PÁGINA.{{0,290}}$') then regexp_extract(once, '(?s)^(.*)--- PÁGINA', 1) else once end AS kept, noticed OR once <> '' AS cut FROM n)
+  SELECT doc_id, cut, length(k) AS kept_chars, md5(k) AS kept_md5 FROM (SELECT doc_id, cut, case when cut then regexp_replace(kept, '\\s+$', '') else kept end AS k FROM c)""".replace("\\\\", "\\"), "case_pages")
+def cut_repeat_pages(spark, sf_dir):
+    """Labelled pages of a document without the repeated tail: up to a notice, else up to the page of the second ruling."""
+    n = F.col("page_no")
+    label = F.when(n % 4 == 3, "- " * 160).otherwise(F.concat(F.lit(f"{catalogs.PAGE_LABEL} "), n.cast("string"), F.lit(" ---\n")))
+    page = F.concat(label, "text", F.when(n % 5 == 4, "\nCertidão de Disponibilização e Publicação").otherwise(""))
+    pages_of = derived(spark, sf_dir, "case_pages").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", page.alias("page")))).alias("p"))
+    whole = pages_of.select("doc_id", F.array_join(F.transform("p", lambda p: p["page"]), "\n").alias("whole"))
+    kept = whole.withColumn("kept", text.cut_repeat(F.col("whole"), catalogs.REPEAT_NOTICE, catalogs.REPEAT_RULING, catalogs.PAGE_LABEL))
+    return kept.select("doc_id", (F.col("kept") != F.col("whole")).alias("cut"), F.length("kept").cast("long").alias("kept_chars"), F.md5("kept").alias("kept_md5"))
+
+
 @query("""WITH d AS (SELECT doc_id, text, length(text) AS n, strpos(lower(text), 'license') AS pos FROM documents)
   SELECT doc_id, md5(case when n <= 2500 then text else substr(text, 1, 1000) || case when pos > 0 then substr(text, greatest(1000, pos - 500) + 1, 1500) else substr(text, n - 1499) end end) AS excerpt_md5 FROM d""")
 def excerpt_budget(spark, sf_dir):

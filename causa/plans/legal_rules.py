@@ -143,6 +143,52 @@ def message(m: str) -> str:
     return m if m.startswith("'") else f"'{m}'"
 
 
-RULES = tuple(
-    Rule(i, t, b, p, tuple((c, level, message(m)) for c, _, level, m in outs), since, every=i in EVERY, item_outcomes=ITEM_OUTCOMES.get(i, ())) for i, t, b, p, since, outs in CATALOG
-)
+# Strict variants: other readings of seven of the rules, not part of RULES. They say nothing of a value that is missing.
+
+#: Reflexes that weekly rest may not have, as parts of their lower-cased names.
+STRICT_NOT_OF_REST = ("férias", "ferias", "13º", "13 salario", "fgts")
+_PERCENT = r"([0-9]+(?:[.,][0-9]+)?)\s*%"
+_RATE = f"try_cast(replace(nullif(regexp_extract(fee, r'{_PERCENT}', 1), ''), ',', '.') as double)"
+_RATE_SQL = f"try_cast(replace(nullif(regexp_extract(fee, '{_PERCENT}', 1), ''), ',', '.') AS DOUBLE)"
+
+
+def _denies(field: str) -> str:
+    return f"(contains(lower({field}), 'não') or contains(lower({field}), 'nao'))"
+
+
+def _falls_due(field: str) -> str:
+    return f"(contains(lower({field}), 'sim') or contains(lower({field}), 'incide')) and not {_denies(field)}"
+
+
+_NO_FUND = f"contains(lower(fund_on_notice), 'incide') and {_denies('fund_on_notice')}"
+
+STRICT_CATALOG = (
+    ("SUMULA_305_TST", "FGTS sobre aviso prévio", "Súmula 305 TST", STATUTE_CASES, None, ((_NO_FUND, _NO_FUND, "AVISO", "FGTS deve incidir sobre o aviso"),)),
+    ("SUMULA_264_TST", "DSR entre os reflexos de horas extras", "Súmula 264 TST", STATUTE_CASES, None, ()),
+    ("OJ_394_SDI1_TST", "DSR sem repercussão", "OJ 394 SDI-1 TST", GUIDANCE, None, ()),
+    ("OJ_195_SDI1_TST", "FGTS sobre férias indenizadas", "OJ 195 SDI-1 TST", GUIDANCE, None, ((_falls_due("fund_on_vacation"), _falls_due("fund_on_vacation"), "ERRO", "FGTS não incide sobre férias indenizadas"),)),
+    ("OJ_42_SDI1_TST", "Multa de 40% e aviso", "OJ 42 SDI-1 TST", GUIDANCE, None, ((_falls_due("fine_on_notice"), _falls_due("fine_on_notice"), "ERRO", "multa não incide sobre o aviso"),)),
+    ("ART_791A_CLT", "Honorários", "Art. 791-A CLT", LAW, REFORM, ((f"{_RATE} < 5", f"{_RATE_SQL} < 5", "AVISO", "abaixo de 5%"), (f"{_RATE} > 15", f"{_RATE_SQL} > 15", "AVISO", "acima de 15%"))),
+    ("CONSISTENCIA_DATAS", "Ordem das datas", "Consistência", CONSISTENCY, None, (
+        ("hired_on > left_on", "hired_on > left_on", "ERRO", "admissão depois da demissão"), ("left_on > filed_on", "left_on > filed_on", "AVISO", "demissão depois do ajuizamento"),
+        ("filed_on > ruled_on", "filed_on > ruled_on", "ERRO", "ajuizamento depois da sentença"), ("hired_on > filed_on", "hired_on > filed_on", "AVISO", "admissão depois do ajuizamento"))),
+)
+
+_ANY_REST = "(contains(lower(i.name), 'dsr') or contains(lower(i.name), 'descanso semanal'))"
+_NAMED = " or ".join(f"contains(lower(r), '{x}')" for x in STRICT_NOT_OF_REST)
+STRICT_ITEM_OUTCOMES = {
+    "SUMULA_264_TST": (
+        (_when(r"i.name rlike r'(?iu)horas?\s*extras?' and i.integrates is distinct from false and not exists(i.reflex, r -> r rlike r'(?iu)dsr|descanso\s*semanal')", "i.name || ' sem DSR'"), "AVISO"),
+    ),
+    "OJ_394_SDI1_TST": ((f"if({_ANY_REST}, transform(filter(i.reflex, r -> {_NAMED}), r -> 'DSR não reflete em ' || lower(r)), cast(array() as array<string>))", "ERRO"),),
+}
+
+
+def _rules(catalog, item_outcomes) -> tuple[Rule, ...]:
+    return tuple(
+        Rule(i, t, b, p, tuple((c, level, message(m)) for c, _, level, m in outs), since, every=i in EVERY, item_outcomes=item_outcomes.get(i, ())) for i, t, b, p, since, outs in catalog
+    )
+
+
+RULES = _rules(CATALOG, ITEM_OUTCOMES)
+STRICT_RULES = _rules(STRICT_CATALOG, STRICT_ITEM_OUTCOMES)

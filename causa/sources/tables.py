@@ -53,7 +53,7 @@ SELECT case_id, cust_id, status, price, filed_on, hired_on, left_on, ruled_on, r
   {pick("cust_id + 2", _quoted("sim", "não", "true", "False", "talvez", " SIM "))} AS free_justice,
   {pick("case_id + cust_id", _quoted("das 08:00 às 18:00 com 1 h de intervalo", "das 9h às 18h", "das 22:00 às 06:00", "livre"))} AS schedule,
   {pick("case_id", _quoted("44 horas semanais", "40 horas semanais", "36 horas semanais", "divisor de 200", "-"))} AS hours,
-  {pick("case_id + 2", ["'SIM'", "'NAO'", "cast(null as string)", "cast(null as string)"])} AS fund_on_notice, {pick("cust_id", ["'NAO_INCIDE'", "cast(null as string)", "cast(null as string)"])} AS fund_on_vacation,
+  {pick("case_id + 2", ["'SIM'", "'NAO_INCIDE'", "cast(null as string)", "cast(null as string)"])} AS fund_on_notice, {pick("cust_id", ["'NAO_INCIDE'", "cast(null as string)", "cast(null as string)", "'INCIDE'"])} AS fund_on_vacation,
   {pick("case_id + cust_id", ["'INCIDE'", "cast(null as string)", "cast(null as string)", "cast(null as string)"])} AS fine_on_notice,
   case_id % 3 = 0 AS deducts, {pick("cust_id", _quoted("recibos de férias", "", " valores pagos "))} AS deduction_note, left_on + cast(case_id % 40 - 5 as int) AS book_exit_on
 FROM case_dates"""

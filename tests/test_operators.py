@@ -145,7 +145,7 @@ def item(name, canonical=None, reflex=(), integrates=False, amount=None, status=
     return (name, status, period, list(reflex), integrates, amount, canonical or name, key or canonical or name)
 
 
-def alerts_of(spark, cases):
+def alerts_of(spark, cases, catalog=legal_rules.RULES):
     """(level, message) of each case and rule, in order."""
     names = ["case_id", *QUIET]
     rows = []
@@ -153,7 +153,7 @@ def alerts_of(spark, cases):
         v = {**QUIET, **own, "case_id": n}
         rows.append(tuple([(k, *i) for k, i in enumerate(v[c], 1)] if c == "items" else v[c] for c in names))
     found = [{} for _ in cases]
-    for r in rules.apply(spark.createDataFrame(rows, CASE), legal_rules.RULES).collect():
+    for r in rules.apply(spark.createDataFrame(rows, CASE), catalog).collect():
         found[r.case_id].setdefault(r.rule_id, []).append((r.level, r.message))
     return found
 
@@ -210,6 +210,54 @@ def test_every_rule_fires_and_stays_silent(spark):
     assert set(quiet) == {"ART_467_CLT", "ART_477_CLT", "ART_791A_CLT"}
 
 
+#: Strict rule: a case with the alerts that are due, and cases that it is silent on.
+STRICT = {
+    "SUMULA_305_TST": ({"fund_on_notice": "Não incide"}, [("AVISO", "deve incidir")], [{"fund_on_notice": None}, {"fund_on_notice": "NAO"}, {}]),
+    "SUMULA_264_TST": (
+        {"items": [item("Horas extras 50%", "Horas Extras", ["FGTS"]), item("hora extra", "Horas Extras", integrates=None), item("horas extras", reflex=["Descanso semanal"], integrates=True)]},
+        [("AVISO", "hora extra sem DSR")],
+        [{"items": [item("Horas extras", integrates=True, reflex=["DSR"])]}, {"items": [item("Horas extras", integrates=False)]}, {"items": [item("Férias", integrates=True)]}],
+    ),
+    "OJ_394_SDI1_TST": (
+        {"items": [item("Descanso semanal remunerado", reflex=["Férias", "Aviso Prévio", "FGTS"])]},
+        [("ERRO", "em fgts"), ("ERRO", "em férias")],
+        [{"items": [item("DSR", reflex=["Aviso Prévio"]), item("Horas Extras", reflex=["FGTS"])]}],
+    ),
+    "OJ_195_SDI1_TST": ({"fund_on_vacation": "Incide"}, [("ERRO", "férias")], [{"fund_on_vacation": "NAO_INCIDE"}, {"fund_on_vacation": None}]),
+    "OJ_42_SDI1_TST": ({"fine_on_notice": "sim"}, [("ERRO", "aviso")], [{"fine_on_notice": "não incide"}, {"fine_on_notice": None}]),
+    "ART_791A_CLT": ({"fee": "honorários de 15,5 %"}, [("AVISO", "acima")], [{"fee": "20%", "hired_on": day("2017-11-10")}, {"fee": "15"}, {"fee": "5%"}, {"fee": None}]),
+    "CONSISTENCIA_DATAS": (
+        {"hired_on": day("2022-01-01"), "left_on": day("2021-06-01"), "filed_on": day("2021-05-01")},
+        [("AVISO", "admissão depois do ajuizamento"), ("AVISO", "demissão depois"), ("ERRO", "admissão depois da demissão"), ("ERRO", "ajuizamento depois")],
+        [{}, {"hired_on": None, "left_on": None}],
+    ),
+}
+
+
+def test_strict_rules_fire_and_stay_silent(spark):
+    assert {r.id for r in legal_rules.STRICT_RULES} == set(STRICT)
+    clear = {"fine_on_notice": None}
+    for rule, (fires, due, silent) in STRICT.items():
+        found = alerts_of(spark, [{**clear, **x} for x in (fires, *silent)], legal_rules.STRICT_RULES)
+        got = sorted(found[0][rule])
+        assert [g[0] for g in got] == [d[0] for d in due] and all(any(level == a and part in b for a, b in got) for level, part in due), (rule, got)
+        assert all(rule not in f for f in found[1:]), (rule, found)
+
+
+def test_repeated_tails(spark):
+    notice, ruling, label = catalogs.REPEAT_NOTICE, catalogs.REPEAT_RULING, catalogs.PAGE_LABEL
+    far = "x" * 400
+    rows = [
+        "corpo JULGO PROCEDENTE \n CERTIDÃO de disponibilização e publicação JULGO PROCEDENTE",
+        "--- PÁGINA 1\nante o exposto, a\n\n--- PÁGINA 2\nb JULGO PROCEDENTE c",
+        f"--- PÁGINA 1\nante o exposto, a {far} JULGO PROCEDENTE c",
+        "--- PÁGINA 1 ANTE O EXPOSTO, fim ",
+        "", None, "JULGO PROCEDENTEISTO POSTO,",
+    ]
+    want = ["corpo JULGO PROCEDENTE", "--- PÁGINA 1\nante o exposto, a", f"--- PÁGINA 1\nante o exposto, a {far}", rows[3], "", None, "JULGO PROCEDENTE"]
+    assert values(spark, text.cut_repeat(F.col("v"), notice, ruling, label), rows) == want
+
+
 def test_higher_rules_change_what_later_ones_read(spark):
     got = alerts_of(spark, [{"items": [item("DSR", reflex=REST4, integrates=True), item("Horas Extras", integrates=True)]}])[0]
     assert [x[0] for x in got["OJ_394_SDI1_TST"]] == ["AVISO"] and "OJ_394_SDI1_TST_REFLEXOS_PROIBIDOS" not in got
