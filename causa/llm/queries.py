@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causa.llm import ann, chat, decontam, langid, packing, pii, sharding, simhash, spans, suffix
+from causa.llm import ann, chat, decontam, langid, packing, pii, quality, sharding, simhash, spans, suffix
 from causa.llm.common import table
 
 
@@ -66,9 +66,15 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("neighbour").alias("vec_id"), "score")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = quality.cascade(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality.*")
+    failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
+    return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_langid, op3_packing, op4_pii, op5_chat, op6_decontamination, op7_sharding, op8_spans, op9_suffix, op10_ann)
+    for f in (op1_simhash, op2_langid, op3_packing, op4_pii, op5_chat, op6_decontamination, op7_sharding, op8_spans, op9_suffix, op10_ann, op11_quality)
 }
 
 _OP5 = r"""
@@ -99,4 +105,20 @@ t AS (SELECT doc_id, sum(hi - lo)::BIGINT AS gone, count(*) AS runs, string_agg(
 SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(runs, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN t ON d.doc_id = t.doc_id
 """
 
-ORACLES = {"op5_chat": _OP5, "op9_suffix": _OP9}
+_OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM s)),
+c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM (SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1)) GROUP BY r),
+n AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines,
+  len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{L}'))) AS no_letter,
+  len(list_filter(l, lambda x: regexp_matches(x, '^[ \t]*[-*\x{2022}][ \t]'))) AS items,
+  len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[ \t\r]*$'))) AS broken FROM s LEFT JOIN c ON s.r = c.r),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM n)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 5 * n_symbols <= n_words AND 10 * n_dup_lines <= 5 * n_lines
+  AND 5 * no_letter <= 2 * n_words AND 10 * items <= 9 * n_lines AND 10 * broken <= 5 * n_lines AS kept FROM b
+"""
+
+ORACLES = {"op5_chat": _OP5, "op9_suffix": _OP9, "op11_quality": _OP11}
