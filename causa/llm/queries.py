@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causa.llm import ann, chat, decontam, langid, packing, pii, quality, sharding, simhash, spans, suffix
+from causa.llm import ann, chat, decontam, langid, packing, pii, quality, sharding, simhash, spans, suffix, trie
 from causa.llm.common import table
 
 
@@ -72,9 +72,13 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(*trie.with_shared_heads(trie.numbered(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_langid, op3_packing, op4_pii, op5_chat, op6_decontamination, op7_sharding, op8_spans, op9_suffix, op10_ann, op11_quality)
+    for f in (op1_simhash, op2_langid, op3_packing, op4_pii, op5_chat, op6_decontamination, op7_sharding, op8_spans, op9_suffix, op10_ann, op11_quality, op12_trie)
 }
 
 _OP5 = r"""
@@ -121,4 +125,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND 5 * no_letter <= 2 * n_words AND 10 * items <= 9 * n_lines AND 10 * broken <= 5 * n_lines AS kept FROM b
 """
 
-ORACLES = {"op5_chat": _OP5, "op9_suffix": _OP9, "op11_quality": _OP11}
+# crc32 of the decimal id: each byte is taken in, then eight steps of one bit
+_OP12 = """
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT c, count(*) AS n, c - c % 100 AS base,
+    xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(c::VARCHAR, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 6 AS h FROM t GROUP BY c),
+m AS (SELECT s.c, s.base, s.h, least(s.h, coalesce(b.n, 0)) AS m FROM s LEFT JOIN s b ON s.base = b.c),
+r AS (SELECT m.c, t.pos AS d, role, text FROM m JOIN t ON t.c = m.base AND t.pos <= m.m UNION ALL SELECT m.c, t.pos - m.h + m.m, role, text FROM m JOIN t ON t.c = m.c AND t.pos > m.h),
+p AS (SELECT c, d, md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY c ORDER BY d)) AS k, length(text) AS chars FROM r UNION ALL SELECT c, 0, '', 0 FROM s),
+q AS (SELECT *, lag(k) OVER (PARTITION BY c ORDER BY d) AS up, max(d) OVER (PARTITION BY c) AS n FROM p),
+g AS (SELECT d, k, min(c) AS c, count(*) AS n, any_value(up) AS up, any_value(chars) AS chars, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = n), '') AS ends FROM q GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, up AS k, count(*) AS kids FROM g WHERE d > 0 GROUP BY 1, 2),
+f AS (SELECT g.*, coalesce(kids, 0) AS kids FROM g LEFT JOIN kids ON g.d = kids.d AND g.k = kids.k),
+below AS (SELECT a.d, a.k, sum((f.kids = 0)::INT) AS leaves, sum((f.n - 1) * f.chars) AS saved FROM f JOIN p a ON a.c = f.c AND a.d <= f.d GROUP BY a.d, a.k)
+SELECT f.c AS conv_id, f.d::BIGINT AS depth, u.c AS parent_conv_id, f.n AS n_convs, f.kids AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN below ON f.d = below.d AND f.k = below.k LEFT JOIN g u ON u.d = f.d - 1 AND u.k = f.up
+"""
+
+ORACLES = {"op5_chat": _OP5, "op9_suffix": _OP9, "op11_quality": _OP11, "op12_trie": _OP12}
