@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causa.llm import ann, chat, decontam, langid, packing, pii, quality, sharding, simhash, spans, suffix, trie
+from causa.llm import ann, chat, decontam, langid, negatives, packing, pii, quality, sharding, simhash, spans, suffix, trie
 from causa.llm.common import table
 
 
@@ -76,9 +76,15 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.nodes(*trie.with_shared_heads(trie.numbered(table(spark, sf_dir, "conversations"))))
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
+    return negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_langid, op3_packing, op4_pii, op5_chat, op6_decontamination, op7_sharding, op8_spans, op9_suffix, op10_ann, op11_quality, op12_trie)
+    for f in (op1_simhash, op2_langid, op3_packing, op4_pii, op5_chat, op6_decontamination, op7_sharding, op8_spans, op9_suffix, op10_ann, op11_quality, op12_trie, op13_negatives)
 }
 
 _OP5 = r"""
@@ -144,4 +150,14 @@ SELECT f.c AS conv_id, f.d::BIGINT AS depth, u.c AS parent_conv_id, f.n AS n_con
 FROM f JOIN below ON f.d = below.d AND f.k = below.k LEFT JOIN g u ON u.d = f.d - 1 AND u.k = f.up
 """
 
-ORACLES = {"op5_chat": _OP5, "op9_suffix": _OP9, "op11_quality": _OP11, "op12_trie": _OP12}
+_OP13 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS other, a.label = c.label AS same, list_inner_product(a.q, c.q)::BIGINT AS score FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INT AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 3
+"""
+
+ORACLES = {"op5_chat": _OP5, "op9_suffix": _OP9, "op11_quality": _OP11, "op12_trie": _OP12, "op13_negatives": _OP13}
