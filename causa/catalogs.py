@@ -159,6 +159,26 @@ PAGE_FLAGS = {
     "motion": r"(?i)(embargos\s+de\s+declara[çc][aã]o|efeito\s+infringente)",
     "order": r"(?i)(cumpra-?se|requisi[çc][aã]o\s+de\s+pagamento|\bRPV\b|planilha\s+de\s+d[eé]bito)",
 }
+# Names of pieces in a table of contents, the first that a line holds counts.
+CONTENTS_KINDS = (
+    ("petition", r"(?iu)(peti[çc][aã]o\s+inicial|reclama[çc][aã]o\s+trabalhista|inicial)"),
+    ("defence", r"(?iu)(contesta[çc][aã]o|defesa\s+do\s+reclamado)"),
+    ("sentence", r"(?iu)(senten[çc]a|decis[aã]o\s+de\s+1[°º]?\s*grau)"),
+    ("appeal", r"(?iu)(ac[oó]rd[aã]o|recurso\s+ordin[aá]rio|recurso\s+de\s+revista|trt|tst)"),
+    ("settlement", r"(?iu)(liquida[çc][aã]o|c[aá]lculos?\s+de\s+liquida[çc][aã]o|resumo\s+do\s+c[aá]lculo|pje[- ]?calc)"),
+    ("objection", r"(?iu)(impugna[çc][aã]o\s+aos?\s+c[aá]lculos?|manifesta[çc][aã]o\s+sobre\s+os\s+c[aá]lculos?)"),
+    ("opinion", r"(?iu)(parecer\s+t[eé]cnico|esclarecimentos\s+periciais|manifesta[çc][aã]o\s+pericial)"),
+)
+CONTENTS_HEADING = r"(?iu)SUM[ÁA]RIO"
+CONTENTS_PAGE = r"(?i)\b(?:p[aáÁ]g\.?)?\s*(\d{1,4})\s*$"
+# Where a piece begins and ends in the text of a file without contents.
+ANCHORS = (
+    ("petition", r"(?iu)(EXCELENT[ÍI]SSIMO|RECLAMA[ÇC][AÃ]O\s+TRABALHISTA|Vara\s+do\s+Trabalho)", r"(?iu)(D[aá]-se\s+[àa]\s+causa\s+o\s+valor|Termos\s+em\s+que[,.]\s*Pede\s+deferimento|Nestes\s+termos)"),
+    ("defence", r"(?iu)(CONTESTA[ÇC][AÃ]O|DEFESA|PRELIMINARMENTE|NO\s+M[EÉ]RITO)", r"(?iu)(Requer\s+a\s+improced[eê]ncia|Termos\s+em\s+que[,.]\s*Pede\s+deferimento)"),
+    ("settlement", r"(?iu)(C[AÁ]LCULOS?\s+DE\s+LIQUIDA[ÇC][AÃ]O|RESUMO\s+DO\s+C[AÁ]LCULO|PJe[- ]?Calc)", None),
+    ("objection", r"(?iu)(IMPUGNA[ÇC][AÃ]O\s+AOS?\s+C[AÁ]LCULOS?|MANIFESTA[ÇC][AÃ]O\s+SOBRE\s+OS\s+C[AÁ]LCULOS?)", r"(?iu)(Requer\s+a\s+retifica[çc][aã]o|Pede\s+deferimento)"),
+    ("opinion", r"(?iu)(PARECER\s+T[EÉ]CNICO|ESCLARECIMENTOS\s+PERICIAIS|Vem\s+respeitosamente\s+apresentar)", None),
+)
 # What begins the repeated tail of a text.
 REPEAT_NOTICE = (
     r"(?iu)(Fica V\. Sa\. intimado para tomar ciência da Senten[çc]a|Fica V\. Sa\. intimado para tomar ciência do Ac[oó]rd[aã]o|Certidão de Disponibilização e Publicação|INTIMAÇÃO\s*\nFica V\. Sa\. intimado)"

@@ -6,13 +6,15 @@ page numbers only, and texts are joined back for the pages that a block keeps.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causa import catalogs
 
+Anchors = Sequence[tuple[str, str, str | None]]
+
 
 def page_flags(pages: DataFrame, catalog: Mapping[str, str] = catalogs.PAGE_FLAGS) -> DataFrame:
     """(doc_id, page_no, signed_on, one boolean per catalog entry)."""
@@ -44,14 +46,23 @@ def decision_block(flags: DataFrame) -> DataFrame:
 
 
 def fallback_block(flags: DataFrame, longest: int = 60) -> DataFrame:
-    """The last stretch from an opening or ruling page to the next pure envelope that holds a ruling, `longest` pages at most."""
+    """The last block that holds a ruling, of those that a walk through the pages makes without signatures.
+
+    A block begins at an opening or ruling page that is no envelope and runs on to the page before the next pure
+    envelope, `longest` pages at most; the walk then looks for the next beginning after it. Stretches between pure
+    envelopes are walked by folding their pages' flags, so that a stretch of any length has all its restarts.
+    """
     pure = F.col("envelope") & ~F.col("ruling")
-    w = Window.partitionBy("doc_id").orderBy("page_no")
-    cut = flags.withColumn("part", F.sum(pure.cast("int")).over(w)).where(~pure)
-    start = F.min(F.when((F.col("opening") | F.col("ruling")) & ~F.col("envelope"), F.col("page_no")))
-    cut = cut.withColumn("first_page", start.over(Window.partitionBy("doc_id", "part"))).where("page_no >= first_page and page_no < first_page + " + str(longest))
-    found = cut.groupBy("doc_id", "first_page").agg(F.max("page_no").alias("last_page"), F.bool_or("ruling").alias("has_ruling")).where("has_ruling")
-    return found.groupBy("doc_id").agg(F.max_by("last_page", "first_page").alias("last_page"), F.max("first_page").alias("first_page")).select("doc_id", "first_page", "last_page")
+    begins = (F.col("opening") | F.col("ruling")) & ~F.col("envelope")
+    part = F.sum(pure.cast("int")).over(Window.partitionBy("doc_id").orderBy("page_no"))
+    page = F.struct("page_no", begins.alias("begins"), "ruling")
+    parts = flags.withColumn("part", part).where(~pure).groupBy("doc_id", "part").agg(F.array_sort(F.collect_list(page)).alias("pages"))
+    at = lambda flag: F.filter(F.transform("pages", lambda x, i: F.when(x[flag], i)), lambda i: i.isNotNull())
+    walk = F.aggregate(at("begins"), F.array().cast("array<int>"), lambda a, i: F.when((F.size(a) == 0) | (i >= F.element_at(a, -1) + longest), F.concat(a, F.array(i))).otherwise(a))
+    ruled = F.filter(walk, lambda h: F.exists("rulings", lambda r: (r >= h) & (r < h + longest)))
+    found = parts.withColumn("rulings", at("ruling")).select("doc_id", "pages", F.try_element_at(ruled, F.lit(-1)).alias("h")).where("h is not null")
+    ends = found.select("doc_id", F.get("pages", F.col("h"))["page_no"].alias("first_page"), F.get("pages", F.least(F.col("h") + longest, F.size("pages")) - 1)["page_no"].alias("last_page"))
+    return ends.groupBy("doc_id").agg(F.max(F.struct("first_page", "last_page")).alias("b")).select("doc_id", "b.*")
 
 
 def last_ruling_block(flags: DataFrame, back: int = 25, ahead: int = 5) -> DataFrame:
@@ -79,19 +90,74 @@ def block_text(block: DataFrame, pages: DataFrame, before: int = 3, cover: int =
     return rows.groupBy("doc_id").agg(joined.alias("text"))
 
 
-def anchor_ranges(pages: DataFrame, start: str, end: str, reach: int = 80, default: int = 30) -> DataFrame:
-    """From the first page that matches start to the first later one, within reach, that matches end."""
-    marks = pages.select("doc_id", "page_no", F.col("text").rlike(start).alias("starts"), F.col("text").rlike(end).alias("ends"))
-    all_docs = Window.partitionBy("doc_id")
-    first = marks.withColumn("first_page", F.min(F.when(F.col("starts"), F.col("page_no"))).over(all_docs)).withColumn("pages", F.max("page_no").over(all_docs)).where("first_page is not null")
-    later = F.min(F.when(F.col("ends") & (F.col("page_no") > F.col("first_page")) & (F.col("page_no") <= F.col("first_page") + reach), F.col("page_no")))
-    return first.groupBy("doc_id", "first_page", "pages").agg(later.alias("found")).select("doc_id", "first_page", F.coalesce("found", F.least(F.col("first_page") + default - 1, F.col("pages"))).alias("last_page"))
-
-
-def toc_slices(lines: DataFrame, kinds: tuple[tuple[str, str], ...], reach: int = 8) -> DataFrame:
-    """Slices from a table of contents: lines (doc_id, pages, line) that end in a page number."""
-    page = F.regexp_extract("line", r"(\d{1,4})\s*$", 1).try_cast("int")
-    kind = F.coalesce(*(F.when(F.col("line").rlike(p), k) for p, k in kinds))
-    found = lines.select("doc_id", "pages", kind.alias("kind"), page.alias("start")).where("kind is not null and start is not null").groupBy("doc_id", "pages", "kind").agg(F.min("start").alias("first_page"))
-    following = F.lead("first_page").over(Window.partitionBy("doc_id").orderBy("first_page", "kind"))
-    return found.select("doc_id", "kind", "first_page", F.least(F.col("first_page") + reach, F.coalesce(F.greatest(following - 1, F.col("first_page")), F.col("pages")), F.col("pages")).alias("last_page"))
+def anchors(pages: DataFrame, catalog: Anchors = catalogs.ANCHORS, reach: int = 80, open_end: int = 30) -> DataFrame:
+    """(doc_id, kind, first_page, last_page): each kind from the first page that matches its start.
+
+    It ends at the first later page of the `reach` pages that matches its end, or with the last of them; a kind without
+    an end pattern runs on for `open_end` pages more. All kinds come from one pass over the texts.
+    """
+    doc = Window.partitionBy("doc_id")
+    marks = pages.select("doc_id", "page_no", *(F.col("text").rlike(p).alias(f"{side}_{k}") for k, start, end in catalog for side, p in (("start", start), ("end", end)) if p))
+    first = {f"first_{k}": F.min(F.when(F.col(f"start_{k}"), F.col("page_no"))).over(doc) for k, _, _ in catalog}
+    seen = marks.withColumns({**first, "pages": F.max("page_no").over(doc)})
+
+    def end(k: str, pattern: str | None):
+        f = F.col(f"first_{k}")
+        if pattern is None:
+            return F.max(F.least(f + open_end, "pages"))
+        return F.coalesce(F.min(F.when(F.col(f"end_{k}") & (F.col("page_no") > f) & (F.col("page_no") < f + reach), F.col("page_no"))), F.max(F.least(f + reach - 1, "pages")))
+
+    found = seen.groupBy("doc_id").agg(*(F.struct(F.lit(k).alias("kind"), F.max(f"first_{k}").alias("first_page"), end(k, p).alias("last_page")).alias(k) for k, _, p in catalog))
+    return found.select("doc_id", F.explode(F.array(*(k for k, _, _ in catalog))).alias("a")).select("doc_id", "a.*").where("first_page is not null")
+
+
+def anchor_ranges(pages: DataFrame, start: str, end: str, reach: int = 80) -> DataFrame:
+    """(doc_id, first_page, last_page) of one kind of piece."""
+    return anchors(pages, (("piece", start, end),), reach).drop("kind")
+
+
+def toc_slices(lines: DataFrame, kinds: Sequence[tuple[str, str]], reach: int = 8) -> DataFrame:
+    """(doc_id, kind, first_page, last_page) from lines (doc_id, pages, at, line) of a table of contents; `at` orders them.
+
+    A line of five characters or more that ends in a page number is an entry of the first kind that it names. A kind
+    begins where its first entry says and ends `reach` pages after its last one, before the next kind's beginning and
+    with the file, but never before it begins. Of kinds that begin together, the one that is named first comes first.
+    """
+    line = F.trim(F.col("line"), F.lit(" \t\r\x0b\x0c"))
+    page = F.regexp_extract(line, catalogs.CONTENTS_PAGE, 1).try_cast("int")
+    kind = F.coalesce(*(F.when(line.rlike(p), k) for k, p in kinds))
+    entries = lines.where(F.length(line) >= 5).select("doc_id", "pages", "at", kind.alias("kind"), page.alias("page")).where("kind is not null and page >= 1")
+    found = entries.groupBy("doc_id", "pages", "kind").agg(F.min(F.struct("at", "page")).alias("first"), F.max("page").alias("last"))
+    following = F.lead("first.page").over(Window.partitionBy("doc_id").orderBy("first.page", "first.at"))
+    end = F.greatest(F.least(F.col("last") + reach, F.coalesce(following - 1, F.col("pages")), F.col("pages")), F.col("first.page"))
+    return found.select("doc_id", "kind", F.col("first.page").alias("first_page"), end.alias("last_page"))
+
+
+def contents(pages: DataFrame, kinds: Sequence[tuple[str, str]] = catalogs.CONTENTS_KINDS, first: int = 15, reach: int = 8) -> DataFrame:
+    """Slices from the table of contents within the first pages; a document whose first pages have no such heading gives none."""
+    doc = Window.partitionBy("doc_id")
+    head = pages.select("doc_id", "page_no", F.when(F.col("page_no") <= first, F.col("text")).alias("text")).withColumn("pages", F.max("page_no").over(doc)).where(F.col("page_no") <= first)
+    head = head.withColumn("headed", F.bool_or(F.col("text").rlike(catalogs.CONTENTS_HEADING)).over(doc)).where("headed")
+    lines = head.select("doc_id", "pages", "page_no", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return toc_slices(lines.select("doc_id", "pages", F.struct("page_no", "line_no").alias("at"), "line"), kinds, reach)
+
+
+def decisions(pages: DataFrame) -> DataFrame:
+    """(doc_id, kind, first_page, last_page): the signed decision block, else the one by structure, else the surroundings of the last ruling."""
+    flags = page_flags(pages)
+    block = F.struct("first_page", "last_page")
+    signed, built, last = (b.select("doc_id", block.alias(n)) for n, b in (("signed", decision_block(flags)), ("built", fallback_block(flags)), ("last", last_ruling_block(flags))))
+    best = last.join(built, "doc_id", "left").join(signed, "doc_id", "left").select("doc_id", F.coalesce("signed", "built", "last").alias("b")).select("doc_id", "b.*")
+    within = flags.join(best, "doc_id").where("page_no between first_page and last_page")
+    kind = F.when(F.col("kind") == "appeal", "appeal").otherwise("sentence")
+    return best.join(document_kind(within), "doc_id").select("doc_id", kind.alias("kind"), "first_page", "last_page")
+
+
+def timeline(pages: DataFrame) -> DataFrame:
+    """(doc_id, kind, origin, first_page, last_page): pieces by contents; by anchors where a document has none; the decision by its pages where neither names one."""
+    listed = contents(pages).withColumn("origin", F.lit("contents"))
+    found = anchors(pages).join(listed.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("origin", F.lit("anchor"))
+    named = listed.unionByName(found)
+    decided = named.where("kind in ('sentence', 'appeal')").select("doc_id").distinct()
+    block = decisions(pages.join(decided, "doc_id", "left_anti")).withColumn("origin", F.lit("block"))
+    return named.unionByName(block).select("doc_id", "kind", "origin", "first_page", "last_page")

@@ -14,7 +14,11 @@ from causa.sources.tables import derived, dmy, table
 
 _FLAGS = ", ".join(f"regexp_matches(text, {q(p)}) AS \"{n}\"" for n, p in catalogs.PAGE_FLAGS.items())
 _SIGNED = f"CAST(try_strptime(nullif(regexp_extract(text, {q(catalogs.SIGNED_ON)}, 1), ''), '%d/%m/%Y') AS DATE)"
-_PAGES = f"SELECT doc_id, page_no, {_SIGNED} AS signed_on, {_FLAGS} FROM case_pages"
+def _pages_of(source: str) -> str:
+    return f"SELECT doc_id, page_no, {_SIGNED} AS signed_on, {_FLAGS} FROM {source}"
+
+
+_PAGES = _pages_of("case_pages")
 
 
 def flags(spark, sf_dir):
@@ -31,7 +35,11 @@ def page_sigdate(spark, sf_dir):
     return flags(spark, sf_dir).select("doc_id", "page_no", "signed_on")
 
 
-_RUNS = f"SELECT *, page_no - row_number() OVER (PARTITION BY doc_id, signed_on ORDER BY page_no) AS run FROM ({_PAGES})"
+def _runs_of(source: str) -> str:
+    return f"SELECT *, page_no - row_number() OVER (PARTITION BY doc_id, signed_on ORDER BY page_no) AS run FROM ({_pages_of(source)})"
+
+
+_RUNS = _runs_of("case_pages")
 
 
 @query(f"SELECT doc_id, page_no, signed_on, min(page_no) OVER (PARTITION BY doc_id, signed_on, run) AS block FROM ({_RUNS})", "case_pages")
@@ -39,26 +47,40 @@ def page_islands(spark, sf_dir):
     return pages.islands(flags(spark, sf_dir)).select("doc_id", "page_no", "signed_on", "block")
 
 
-_BLOCK = f"""SELECT doc_id, signed_on, min(page_no) AS first_page, max(page_no) AS last_page FROM ({_RUNS}) WHERE signed_on IS NOT NULL GROUP BY doc_id, signed_on, run
+def _block_of(source: str) -> str:
+    return f"""SELECT doc_id, signed_on, min(page_no) AS first_page, max(page_no) AS last_page FROM ({_runs_of(source)}) WHERE signed_on IS NOT NULL GROUP BY doc_id, signed_on, run
   HAVING bool_or(ruling) AND NOT arg_min(envelope, page_no) AND avg(CAST(envelope AS INT)) <= 0.5 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY signed_on DESC, first_page) = 1"""
 
 
+_BLOCK = _block_of("case_pages")
+
+
+def _fallback_of(source: str) -> str:
+    """A walk: each step finds the next beginning that lies behind the block before it."""
+    return f"""WITH RECURSIVE p AS ({_pages_of(source)}), c AS (SELECT *, envelope AND NOT ruling AS pure, sum(CAST(envelope AND NOT ruling AS INT)) OVER (PARTITION BY doc_id ORDER BY page_no) AS part FROM p),
+  k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, part ORDER BY page_no) AS i FROM c WHERE NOT pure), s AS (SELECT doc_id, part, i FROM k WHERE (opening OR ruling) AND NOT envelope),
+  h AS (SELECT doc_id, part, min(i) AS i FROM s GROUP BY ALL UNION ALL SELECT h.doc_id, h.part, min(s.i) AS i FROM h JOIN s ON s.doc_id = h.doc_id AND s.part = h.part AND s.i >= h.i + 60 GROUP BY h.doc_id, h.part, h.i),
+  b AS (SELECT h.doc_id, min(page_no) AS first_page, max(page_no) AS last_page FROM h JOIN k ON k.doc_id = h.doc_id AND k.part = h.part AND k.i >= h.i AND k.i < h.i + 60 GROUP BY h.doc_id, h.part, h.i HAVING bool_or(ruling))
+  SELECT doc_id, max(first_page) AS first_page, arg_max(last_page, first_page) AS last_page FROM b GROUP BY doc_id"""
+
+
+def _last_of(source: str) -> str:
+    return f"""WITH p AS (SELECT *, max(page_no) FILTER (WHERE opening AND NOT envelope) OVER (PARTITION BY doc_id ORDER BY page_no ROWS UNBOUNDED PRECEDING) AS opened FROM ({_pages_of(source)})),
+  e AS (SELECT doc_id, min(page_no) AS low, max(page_no) AS high, max(page_no) FILTER (WHERE ruling) AS lastp, arg_max(opened, page_no) FILTER (WHERE ruling AND opened IS NOT NULL) AS x, max(opened) FILTER (WHERE ruling) AS opened FROM p GROUP BY doc_id)
+  SELECT doc_id, coalesce(case when opened >= lastp - 25 then opened end, lastp, low) AS first_page, coalesce(least(lastp + 5, high), high) AS last_page FROM e"""
+
+
 @query(_BLOCK, "case_pages")
 def decision_block(spark, sf_dir):
     return pages.decision_block(flags(spark, sf_dir))
 
 
-@query(f"""WITH p AS ({_PAGES}), c AS (SELECT *, sum(CAST(envelope AND NOT ruling AS INT)) OVER (PARTITION BY doc_id ORDER BY page_no) AS part FROM p),
-  s AS (SELECT *, min(page_no) FILTER (WHERE (opening OR ruling) AND NOT envelope) OVER (PARTITION BY doc_id, part) AS first_page FROM c WHERE NOT (envelope AND NOT ruling)),
-  b AS (SELECT doc_id, first_page, max(page_no) AS last_page FROM s WHERE page_no >= first_page AND page_no < first_page + 60 GROUP BY ALL HAVING bool_or(ruling))
-  SELECT doc_id, max(first_page) AS first_page, arg_max(last_page, first_page) AS last_page FROM b GROUP BY doc_id""", "case_pages")
+@query(_fallback_of("case_pages"), "case_pages")
 def block_fallback(spark, sf_dir):
     return pages.fallback_block(flags(spark, sf_dir))
 
 
-@query(f"""WITH p AS (SELECT *, max(page_no) FILTER (WHERE opening AND NOT envelope) OVER (PARTITION BY doc_id ORDER BY page_no ROWS UNBOUNDED PRECEDING) AS opened FROM ({_PAGES})),
-  e AS (SELECT doc_id, min(page_no) AS low, max(page_no) AS high, max(page_no) FILTER (WHERE ruling) AS lastp, arg_max(opened, page_no) FILTER (WHERE ruling AND opened IS NOT NULL) AS x, max(opened) FILTER (WHERE ruling) AS opened FROM p GROUP BY doc_id)
-  SELECT doc_id, coalesce(case when opened >= lastp - 25 then opened end, lastp, low) AS first_page, coalesce(least(lastp + 5, high), high) AS last_page FROM e""", "case_pages")
+@query(_last_of("case_pages"), "case_pages")
 def block_last_ruling(spark, sf_dir):
     return pages.last_ruling_block(flags(spark, sf_dir))
 
@@ -86,19 +108,24 @@ def section_exact(spark, sf_dir):
     return hits.groupBy("doc_id", "section").agg(F.min_by("word", "rank").alias("word"), F.min_by("pos", "rank").cast("long").alias("pos"))
 
 
-@query("""WITH l AS (SELECT doc_id, max(page_no) OVER (PARTITION BY doc_id) AS pages, page_no, case page_no % 3 when 0 then 'Petição inicial' when 1 then 'Sentença' else 'Laudo' end AS kind FROM case_pages),
-  s AS (SELECT doc_id, pages, kind, min(page_no) AS first_page FROM l GROUP BY ALL)
-  SELECT doc_id, kind, first_page, least(first_page + 8, coalesce(greatest(lead(first_page) OVER (PARTITION BY doc_id ORDER BY first_page, kind) - 1, first_page), pages), pages) AS last_page FROM s""", "case_pages")
+_CONTENTS = f"""SELECT doc_id, kind, first_page, greatest(least(last_entry + 8, coalesce(lead(first_page) OVER (PARTITION BY doc_id ORDER BY first_page, seen) - 1, pages), pages), first_page) AS last_page FROM (
+  SELECT doc_id, pages, kind, arg_min(page, (page_no, line_no)) AS first_page, min((page_no, line_no)) AS seen, max(page) AS last_entry FROM (
+    SELECT doc_id, pages, page_no, line_no, case {' '.join(f"when regexp_matches(line, {q(p.replace('(?iu)', '(?i)'))}) then '{k}'" for k, p in catalogs.CONTENTS_KINDS)} end AS kind,
+      try_cast(regexp_extract(line, '(?i)\\b(?:p[aáÁ]g\\.?)?\\s*(\\d{{1,4}})\\s*$', 1) AS INT) AS page
+    FROM (SELECT doc_id, pages, page_no, unnest(range(len(l))) AS line_no, trim(unnest(l)) AS line FROM (
+      SELECT doc_id, page_no, max(page_no) OVER (PARTITION BY doc_id) AS pages, string_split(text, chr(10)) AS l, bool_or(page_no <= 15 AND upper(text) LIKE '%SUMÁRIO%') OVER (PARTITION BY doc_id) AS headed FROM dossier_pages) WHERE headed AND page_no <= 15)
+    WHERE length(line) >= 5) WHERE kind IS NOT NULL AND page >= 1 GROUP BY doc_id, pages, kind)"""
+
+
+@query(_CONTENTS, "dossier_pages")
 def toc_slices(spark, sf_dir):
-    rows = derived(spark, sf_dir, "case_pages").select("doc_id", "page_no", F.max("page_no").over(Window.partitionBy("doc_id")).alias("pages"))
-    name = F.when(F.col("page_no") % 3 == 0, "Petição inicial").when(F.col("page_no") % 3 == 1, "Sentença").otherwise("Laudo")
-    lines = rows.select("doc_id", "pages", F.concat(name, F.lit("  01/02/2020  "), F.col("page_no").cast("string")).alias("line"))
-    return pages.toc_slices(lines, ((r"^Peti", "Petição inicial"), (r"^Senten", "Sentença"), (r"^Laudo", "Laudo")))
+    """Pieces of a file by its table of contents."""
+    return pages.contents(derived(spark, sf_dir, "dossier_pages"))
 
 
 _RANGES = """WITH m AS (SELECT doc_id, page_no, text LIKE '%FUNDAMENTA%' AS s, text LIKE '%Continua%' AS e, max(page_no) OVER (PARTITION BY doc_id) AS pages FROM case_pages),
   f AS (SELECT *, min(page_no) FILTER (WHERE s) OVER (PARTITION BY doc_id) AS first_page FROM m)
-  SELECT doc_id, first_page, coalesce(min(page_no) FILTER (WHERE e AND page_no > first_page AND page_no <= first_page + 80), least(first_page + 29, pages)) AS last_page FROM f WHERE first_page IS NOT NULL GROUP BY doc_id, first_page, pages"""
+  SELECT doc_id, first_page, coalesce(min(page_no) FILTER (WHERE e AND page_no > first_page AND page_no < first_page + 80), least(first_page + 79, pages)) AS last_page FROM f WHERE first_page IS NOT NULL GROUP BY doc_id, first_page, pages"""
 
 
 @query(_RANGES, "case_pages")
@@ -113,13 +140,22 @@ def slice_text(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda p: p["text"]), "\n"), 1, 120000).alias("text"))
 
 
-@query(f"""WITH r AS ({_RANGES}), b AS ({_BLOCK}) SELECT doc_id, 'anchor' AS origin, first_page, last_page FROM r
-  UNION ALL SELECT doc_id, 'block' AS origin, first_page, last_page FROM b WHERE doc_id NOT IN (SELECT doc_id FROM r)""", "case_pages")
+def _anchor_sql(kind: str, start: str, end: str | None) -> str:
+    last = "least(max(first_page) + 30, max(pages))" if end is None else f"coalesce(min(page_no) FILTER (WHERE regexp_matches(text, {q(end.replace('(?iu)', '(?i)'))}) AND page_no > first_page AND page_no < first_page + 80), least(max(first_page) + 79, max(pages)))"
+    first = f"min(page_no) FILTER (WHERE regexp_matches(text, {q(start.replace('(?iu)', '(?i)'))})) OVER (PARTITION BY doc_id)"
+    return f"SELECT doc_id, '{kind}' AS kind, max(first_page) AS first_page, {last} AS last_page FROM (SELECT *, max(page_no) OVER (PARTITION BY doc_id) AS pages, {first} AS first_page FROM dossier_pages) WHERE first_page IS NOT NULL GROUP BY doc_id"
+
+
+@query(f"""WITH c AS ({_CONTENTS}), a AS ({' UNION ALL '.join(_anchor_sql(*x) for x in catalogs.ANCHORS)}),
+  n AS (SELECT *, 'contents' AS origin FROM c UNION ALL SELECT *, 'anchor' AS origin FROM a WHERE doc_id NOT IN (SELECT doc_id FROM c)),
+  b AS (SELECT doc_id, arg_min(first_page, rank) AS first_page, arg_min(last_page, rank) AS last_page FROM (
+    SELECT 0 AS rank, doc_id, first_page, last_page FROM ({_block_of("dossier_pages")}) UNION ALL SELECT 1, * FROM ({_fallback_of("dossier_pages")}) UNION ALL SELECT 2, * FROM ({_last_of("dossier_pages")})) GROUP BY doc_id),
+  k AS (SELECT p.doc_id, case when bool_or(motion) or bool_or(settlement) or bool_or("order") or not bool_or(appeal) then 'sentence' else 'appeal' end AS kind, b.first_page, b.last_page
+    FROM ({_pages_of("dossier_pages")}) p JOIN b ON p.doc_id = b.doc_id AND page_no BETWEEN first_page AND last_page GROUP BY ALL)
+  SELECT doc_id, kind, origin, first_page, last_page FROM n UNION ALL SELECT doc_id, kind, 'block', first_page, last_page FROM k WHERE doc_id NOT IN (SELECT doc_id FROM n WHERE kind IN ('sentence', 'appeal'))""", "dossier_pages")
 def timeline(spark, sf_dir):
-    """Anchor slices, else the decision block."""
-    ranges = pages.anchor_ranges(derived(spark, sf_dir, "case_pages"), "FUNDAMENTA", "Continua").select("doc_id", F.lit("anchor").alias("origin"), "first_page", "last_page")
-    block = pages.decision_block(flags(spark, sf_dir)).select("doc_id", F.lit("block").alias("origin"), "first_page", "last_page")
-    return ranges.unionByName(block.join(ranges.select("doc_id"), "doc_id", "left_anti"))
+    """Pieces by contents, else by anchors; the decision block where neither names a decision."""
+    return pages.timeline(derived(spark, sf_dir, "dossier_pages"))
 
 
 @query(r"""SELECT doc_id, case when n = 0 then length(text) when n1 > 0 then n1 - 1 else length(text) end AS kept_chars FROM (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,9 @@ def query(sql: str | None = None, ctes: str = "") -> Callable[[Query], Query]:
         if sql is not None:
             parts = [f"{n} AS ({tables.DERIVED[n]})" for n in tables.with_needs(ctes.split())]
             body = sql.strip()
-            if parts and body[:5].upper() == "WITH ":
-                body = f"WITH {', '.join(parts)}, {body[5:]}"
+            head = re.match(r"(?i)WITH (RECURSIVE )?", body)
+            if parts and head:
+                body = f"{head[0]}{', '.join(parts)}, {body[head.end():]}"
             elif parts:
                 body = f"WITH {', '.join(parts)} {body}"
             ORACLES[f.__name__] = body

@@ -91,8 +91,14 @@ SELECT case_id AS doc_id, item_no AS page_no,
   || case when supp_id % 4 <> 0 then ' Assinado eletronicamente por X em ' || {dmy("(date '2021-01-01' + cast(case_id % 300 + case when supp_id % 3 = 0 then 45 else 0 end as int))")} else '' end AS text
 FROM items"""
 
+_DOSSIER_PAGES = f"""
+SELECT doc_id, page_no, case when doc_id % 3 = 0 and page_no = 1 then 'SUMÁRIO' || chr(10) || 'Petição inicial  01/02/2020  Pág. 2' || chr(10) || 'Contestação  05/02/2020  ' || cast(2 + doc_id % 2 as string) || chr(10)
+    || case when doc_id % 4 <> 3 then 'Sentença  10/03/2020  pag 4' || chr(10) || 'Sentença de embargos  11/04/2020  ' || cast(3 + doc_id % 5 as string) || chr(10) else '' end || 'Ofício  123456' || chr(10) || 'Cálculos de liquidação ' || cast(5 + doc_id % 60 as string)
+  else text || ' ' || {pick("doc_id + page_no", _quoted("EXCELENTÍSSIMO SENHOR JUIZ", "Nestes termos", "CONTESTAÇÃO da reclamada", "Requer a improcedência", "RESUMO DO CÁLCULO", "PARECER TÉCNICO", "folha", "verso"))} end AS text
+FROM case_pages"""
+
 #: Name -> SQL over the supplied tables and other derived ones.
-DERIVED = {"case_dates": _CASE_DATES, "cases": _CASES, "texts": _TEXTS, "items": _ITEMS, "calc": _CALC, "case_pages": _CASE_PAGES}
+DERIVED = {"case_dates": _CASE_DATES, "cases": _CASES, "texts": _TEXTS, "items": _ITEMS, "calc": _CALC, "case_pages": _CASE_PAGES, "dossier_pages": _DOSSIER_PAGES}
 _SUPPLIED = ("orders", "lineitem")
 
 
