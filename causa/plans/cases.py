@@ -168,7 +168,7 @@ def _flag(p: str) -> str:
 
 
 _FACTS = f"""SELECT c.*, f.* EXCLUDE (case_id), coalesce(own_vacation, false) AS paid_vacation, coalesce(own_notice, false) AS paid_notice FROM cases c LEFT JOIN (SELECT case_id,
-  {_flag('aviso\\s*pr[eé]vio')} AS has_notice, {_flag('467')} AS has_467, {_flag('477')} AS has_477, {_flag('transporte')} AS has_transport, {_flag(legal_rules.BASE)} AS has_base, {_flag('dano\\s*moral')} AS has_damage,
+  {_flag('aviso\\s*pr[eé]vio')} AS has_notice, {_flag('467')} AS has_467, {_flag('477')} AS has_477, {_flag(legal_rules.BASE)} AS has_base, {_flag('dano\\s*moral')} AS has_damage,
   bool_or(lower(name) LIKE '%indenizada%' AND lower(name) LIKE '%férias%') AS own_vacation, bool_or(lower(name) LIKE '%indenizado%' AND lower(name) LIKE '%aviso%') AS own_notice, max(amount) FILTER (WHERE contains(name, '477')) AS fine FROM items GROUP BY case_id) f ON c.case_id = f.case_id"""
 
 _REFLEX = sql_first("part", catalogs.CANONICAL_ITEMS, "trim(part)")
@@ -190,6 +190,7 @@ _ITEM_SQL = {
       UNION ALL SELECT case_id, 'INFO', name || ' verificado' FROM i ANTI JOIN rdel USING (case_id, item_no) WHERE lower(name) LIKE '%dsr%' OR lower(name) LIKE '%repouso semanal%'""",
     "OJ_394_SDI1_TST_REFLEXOS_PROIBIDOS": f"SELECT case_id, 'ERRO' AS level, i.canonical || ' não reflete em ' || r.reflex AS message FROM i JOIN r USING (case_id, item_no) JOIN (VALUES {_PAIRS}) p(item, reflex) ON p.item = i.canonical AND p.reflex = r.reflex",
     "ART_223G_DANO_EXTRAPATRIMONIAL": f"SELECT case_id, case when band LIKE 'acima%' then 'AVISO' else 'INFO' end AS level, name || ': ' || band AS message FROM (SELECT i.case_id, name, {_BAND} AS band FROM i JOIN cases USING (case_id) WHERE regexp_matches(name, '(?i){legal_rules.DAMAGE}') AND i.status IN ('deferida', 'deferido', ''))",
+    "ART_58_ITINERE_REFORMA": f"SELECT case_id, 'ERRO' AS level, name || ' não é jornada' AS message FROM i WHERE coalesce(status, '') IN ('deferida', 'deferido', '') AND regexp_matches(name, '(?i){legal_rules.COMMUTE}')",
     "CONSISTENCIA_BIS_IN_IDEM_REFLEXOS": "SELECT case_id, 'ERRO' AS level, canonical || ' sobre si' AS message FROM i SEMI JOIN r ON r.case_id = i.case_id AND r.item_no = i.item_no AND r.reflex = i.canonical",
     "CONSISTENCIA_INTEGRACAO_SEM_REFLEXOS": "SELECT case_id, 'AVISO' AS level, canonical || ' sem reflexos' AS message FROM i ANTI JOIN r USING (case_id, item_no) WHERE integrates",
     "CONSISTENCIA_VERBAS_DUPLICADAS": "SELECT case_id, 'AVISO' AS level, name || ' repetida' AS message FROM twice WHERE nth > 1",
@@ -278,12 +279,15 @@ def rules_up_to(spark, sf_dir):
 
 @query(f"""WITH f AS ({_FACTS}), {_ITEM_FACTS} SELECT case_id, coalesce(fund_on_notice, 'SIM') AS fund_on_notice, coalesce(fund_on_vacation, case when paid_vacation then 'NAO_INCIDE' else 'NAO_APLICAVEL' end) AS fund_on_vacation, coalesce(fine_on_notice, case when paid_notice then 'NAO_INCIDE' else 'INCIDE' end) AS fine_on_notice,
   coalesce(try_cast(nullif(regexp_extract(notice, '^([0-9]+)', 1), '') AS INT), cast(least(90, 30 + 3 * least(20, floor((left_on - hired_on) / 365))) as int)) AS notice_days,
-  coalesce(n_added, 0) AS n_added, coalesce(n_removed, 0) AS n_removed FROM f LEFT JOIN (SELECT case_id, count(*) AS n_added FROM radd GROUP BY case_id) USING (case_id) LEFT JOIN (SELECT case_id, count(*) AS n_removed FROM rdel GROUP BY case_id) USING (case_id)""", "cases items")
+  coalesce(n_added, 0) AS n_added, coalesce(n_removed, 0) AS n_removed, case when hired_on >= date '2020-12-18' AND contains(rate_index, 'IPCA') AND contains(rate_index, 'SELIC') then 'IPCA-E' end AS index_before_filing,
+  case when hired_on >= date '2020-12-18' AND contains(rate_index, 'SELIC') then 'SELIC' end AS index_from_filing, case when hired_on >= date '2020-12-18' AND contains(rate_index, 'SELIC') then 'sem_juros_separados' end AS interest_from_filing FROM f LEFT JOIN (SELECT case_id, count(*) AS n_added FROM radd GROUP BY case_id) USING (case_id) LEFT JOIN (SELECT case_id, count(*) AS n_removed FROM rdel GROUP BY case_id) USING (case_id)""", "cases items")
 def rule_effects(spark, sf_dir):
     """Values and reflexes that rules set, layer by layer of priority, before later rules read them."""
     from causa.functions import derive
 
     holds = lambda a, b: F.exists("items", lambda i: F.contains(F.lower(i["name"]), F.lit(a)) & F.contains(F.lower(i["name"]), F.lit(b)))
+    ipca, selic = (F.contains(F.lower("rate_index"), F.lit(x)) for x in ("ipca", "selic"))
+    in_force = F.coalesce(F.col("hired_on") >= F.lit("2020-12-18").cast("date"), F.lit(True))
     count = lambda e: F.expr(f"cast(aggregate(items, 0, (n, i) -> n + size({e})) as bigint)")
     return full_cases(spark, sf_dir).select(
         "case_id", F.coalesce("fund_on_notice", F.lit("SIM")).alias("fund_on_notice"),
@@ -291,6 +295,7 @@ def rule_effects(spark, sf_dir):
         F.coalesce("fine_on_notice", F.when(holds("indenizado", "aviso"), "NAO_INCIDE").otherwise("INCIDE")).alias("fine_on_notice"),
         F.coalesce(F.regexp_extract("notice", r"^([0-9]+)", 1).try_cast("int"), derive.notice_days(F.col("hired_on"), F.col("left_on"))).alias("notice_days"),
         count(legal_rules._ADDED).alias("n_added"), count(legal_rules._REMOVED).alias("n_removed"),
+        *(F.when(in_force & c, v).alias(n) for n, v, c in (("index_before_filing", "IPCA-E", ipca & selic), ("index_from_filing", "SELIC", selic), ("interest_from_filing", "sem_juros_separados", selic))),
     )
 
 
@@ -318,13 +323,13 @@ def rules_from_fields(spark, sf_dir):
 #: Learned rules: id, condition kind, argument, value that is expected, status. In production a table; here a short list.
 LEARNED = (
     ("L1", "item_absent", "Horas Extras", "", "active"), ("L2", "item_present", "Dano Moral", "", "active"), ("L3", "index_absent", "", "", "shadow"), ("L4", "field_absent", "fee", "", "shadow"),
-    ("L5", "item_present", "FGTS", "", "shadow"), ("L6", "field_differs", "reason", "Justa Causa", "shadow"), ("L7", "item_present", "Férias vencidas + 1/3 e reflexos", "", "active"),
+    ("L5", "item_present", "FGTS", "", "shadow"), ("L8", "item_absent", "Férias", "", "shadow"), ("L6", "field_differs", "reason", "Justa Causa", "shadow"), ("L7", "item_present", "Férias vencidas + 1/3 e reflexos", "", "active"),
 )
 _within = lambda a: f"(contains({sql_norm('name')}, {q(text._plain(a))}) OR contains({q(text._plain(a))}, {sql_norm('name')}))"
 _LEARNED_SQL = f"""SELECT case_id, 'L1' AS rule_id, 'active' AS status FROM cases WHERE case_id NOT IN (SELECT case_id FROM items WHERE {_within('Horas Extras')}) UNION ALL
   SELECT DISTINCT case_id, 'L2', 'active' FROM items WHERE {_within('Dano Moral')} UNION ALL SELECT case_id, 'L3', 'shadow' FROM cases WHERE rate_index = 'n/a' UNION ALL
   SELECT case_id, 'L4', 'shadow' FROM cases WHERE fee = 'null' UNION ALL SELECT DISTINCT case_id, 'L5', 'shadow' FROM items WHERE {_within('FGTS')} UNION ALL
-  SELECT case_id, 'L6', 'shadow' FROM cases WHERE reason IN ('rescisão indireta', 'pedido de demissão') UNION ALL SELECT DISTINCT case_id, 'L7', 'active' FROM items WHERE {_within('Férias vencidas + 1/3 e reflexos')}"""
+  SELECT case_id, 'L6', 'shadow' FROM cases WHERE reason IN ('rescisão indireta', 'pedido de demissão') UNION ALL SELECT case_id, 'L8', 'shadow' FROM cases WHERE case_id NOT IN (SELECT case_id FROM items WHERE {_within('Férias')}) UNION ALL SELECT DISTINCT case_id, 'L7', 'active' FROM items WHERE {_within('Férias vencidas + 1/3 e reflexos')}"""
 
 
 def learned_hits(spark, sf_dir):

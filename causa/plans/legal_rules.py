@@ -59,16 +59,29 @@ def _when(condition: str, message: str) -> str:
 
 _FINE = "array_max(transform(filter(items, i -> contains(i.name, '477')), i -> i.amount))"
 _ALWAYS = "true"
+# Wordings of all-in pay, of a demand for union approval, and of commuting time.
+ALL_IN_PAY = ("salario complessivo", "remuneracao global", "salario global", "tudo incluído", "ja incluidas todas", "engloba todos")
+APPROVAL = r"homologa[çc][aã]o\s+sindical\s+(é\s+|e\s+)?obrigat[oó]ria|homologa[çc][ãa]o\s+sindical\s+exigida|rescis[aã]o\s+condicionada\s+a\s+homologa[çc][aã]o|validade\s+da\s+rescis[aã]o\s+depende\s+de\s+homologa[çc][aã]o|nulidade\s+(da\s+rescis[aã]o\s+)?por\s+falta\s+de\s+homologa[çc][aã]o|homologa[çc][aã]o\s+sindical\s+(é\s+|e\s+)?necess[aá]ria"
+COMMUTE = r"in\s*itinere|horas?\s*de\s*deslocamento|percurso\s*casa\s*trabalho|tempo\s*de\s*deslocamento|horas?\s*trajet"
+_ALL_IN = f"concat_ws(' ', pay, hours) rlike r'(?iu){'|'.join(ALL_IN_PAY)}'"
+_ALL_IN_SQL = f"regexp_matches(concat_ws(' ', pay, hours), '(?i){'|'.join(ALL_IN_PAY)}')"
+_NOTES = ("reason", "book_note", "fund_note")
+_APPROVAL = " or ".join(f"coalesce({n}, '') rlike r'(?iu){APPROVAL}'" for n in _NOTES)
+_APPROVAL_SQL = " OR ".join(f"regexp_matches(coalesce({n}, ''), '(?i){APPROVAL}')" for n in _NOTES)
+#: SQL of the amount that a salary text names: digits with points between thousands and a comma before cents.
+PAID = "try_cast(replace(replace(nullif(regexp_extract(pay, r'([0-9][0-9.]*(?:,[0-9]+)?)', 1), ''), '.', ''), ',', '.') as double)"
+_UNREAD = f"trim(pay) <> '' and {PAID} is null"
+_UNREAD_SQL = _UNREAD.replace("r'", "'")
+_TR = "contains(lower(rate_index), 'tr') and not contains(lower(rate_index), 'ipca')"
 
 #: id, title, basis, priority, applies to hirings since, outcomes of (condition, comparison, level, message);
 #: a message that begins with a quote is SQL
 CATALOG = (
     ("ADC_58_STF", "Índice de correção", "ADC 58 STF", SUPREME, "2020-12-18", (
-        (r"rate_index rlike r'\bTR\b' and not contains(rate_index, 'IPCA')", r"regexp_matches(rate_index, '\bTR\b') AND NOT contains(rate_index, 'IPCA')", "AVISO", "TR afastada"),
-        ("contains(rate_index, 'IPCA') and contains(rate_index, 'SELIC')", "contains(rate_index, 'IPCA') AND contains(rate_index, 'SELIC')", "INFO", "IPCA-E e SELIC"))),
+        (_TR, _TR, "AVISO", "TR afastada"),)),
     ("SUMULA_305_TST", "FGTS sobre aviso prévio", "Súmula 305 TST", STATUTE_CASES, None, (("fund_on_notice is null", "fund_on_notice IS NULL", "INFO", "FGTS incide sobre o aviso"),)),
     ("SUMULA_264_TST", "Reflexos de horas extras", "Súmula 264 TST", STATUTE_CASES, None, ()),
-    ("SUMULA_91_TST", "Salário complessivo", "Súmula 91 TST", STATUTE_CASES, None, (("contains(hours, 'divisor')", "contains(hours, 'divisor')", "AVISO", "parcela sem discriminação"),)),
+    ("SUMULA_91_TST", "Salário complessivo", "Súmula 91 TST", STATUTE_CASES, None, ((_ALL_IN, _ALL_IN_SQL, "AVISO", "parcela sem discriminação"),)),
     ("OJ_394_SDI1_TST", "DSR sem repercussão", "OJ 394 SDI-1 TST", GUIDANCE, None, ()),
     ("OJ_195_SDI1_TST", "FGTS sobre férias indenizadas", "OJ 195 SDI-1 TST", GUIDANCE, None, (
         ("fund_on_vacation is null and exists(items, i -> contains(lower(i.name), 'indenizada') and contains(lower(i.name), 'férias'))", "fund_on_vacation IS NULL AND paid_vacation", "AVISO", "não incide"),
@@ -77,15 +90,16 @@ CATALOG = (
         ("fine_on_notice is null and exists(items, i -> contains(lower(i.name), 'indenizado') and contains(lower(i.name), 'aviso'))", "fine_on_notice IS NULL AND paid_notice", "AVISO", "não incide"),
         ("fine_on_notice is null", "fine_on_notice IS NULL", "INFO", "incide"))),
     ("OJ_394_SDI1_TST_REFLEXOS_PROIBIDOS", "Reflexos proibidos", "OJ 394 SDI-1 TST", GUIDANCE, None, ()),
-    ("ART_487_CLT_LEI_12506", "Aviso proporcional", "Art. 487 CLT", LAW, None, ((f"{_DAYS} is null", f"{_DAYS_SQL} IS NULL", "INFO", "aviso calculado"),)),
+    ("ART_487_CLT_LEI_12506", "Aviso proporcional", "Art. 487 CLT", LAW, None, (
+        (f"{_DAYS} is null and (hired_on is null or left_on is null)", f"{_DAYS_SQL} IS NULL AND (hired_on IS NULL OR left_on IS NULL)", "AVISO", "datas ausentes"), (f"{_DAYS} is null", f"{_DAYS_SQL} IS NULL", "INFO", "aviso calculado"))),
     ("ART_791A_CLT", "Honorários", "Art. 791-A CLT", LAW, REFORM, (
         (f"{_FEE} is null", f"{_FEE_SQL} IS NULL", "INFO", "sem percentual"), (f"{_FEE} < 5", f"{_FEE_SQL} < 5", "AVISO", "abaixo de 5%"),
         (f"{_FEE} > 15", f"{_FEE_SQL} > 15", "AVISO", "acima de 15%"), (_ALWAYS, "true", "INFO", "entre 5% e 15%"))),
     ("ART_467_CLT", "Multa do art. 467", "Art. 467 CLT", LAW, None, ((_has("467"), "has_467", "AVISO", "multa deferida"), (_ALWAYS, "true", "INFO", "sem multa"))),
     ("ART_477_CLT", "Multa do art. 477", "Art. 477 CLT", LAW, None, ((_has("477"), "has_477", "AVISO", "multa deferida"), (_ALWAYS, "true", "INFO", "sem multa"))),
     ("ART_223G_DANO_EXTRAPATRIMONIAL", "Faixa do dano", "Art. 223-G CLT", LAW, REFORM, ()),
-    ("ART_477A_HOMOLOGACAO", "Homologação sindical", "Art. 477-A CLT", LAW, REFORM, (("contains(reason, 'pedido')", "contains(reason, 'pedido')", "AVISO", "homologação dispensada"),)),
-    ("ART_58_ITINERE_REFORMA", "Horas in itinere", "Art. 58 CLT", LAW, REFORM, ((_has("transporte"), "has_transport", "ERRO", "deslocamento não é jornada"),)),
+    ("ART_477A_HOMOLOGACAO", "Homologação sindical", "Art. 477-A CLT", LAW, REFORM, ((_APPROVAL, _APPROVAL_SQL, "AVISO", "homologação dispensada"),)),
+    ("ART_58_ITINERE_REFORMA", "Horas in itinere", "Art. 58 CLT", LAW, REFORM, ()),
     ("LEI_12506_2011", "Limites do aviso", "Lei 12.506/2011", LAW, None, ((f"{_DAYS} < 30", f"{_DAYS_SQL} < 30", "AVISO", "menos de 30 dias"), (f"{_DAYS} > 90", f"{_DAYS_SQL} > 90", "AVISO", "mais de 90 dias"))),
     ("CONSISTENCIA_AVISO_PREVIO_DIAS", "Dias de aviso", "Consistência", CONSISTENCY, None, ((f"{_DAYS} < 30 or {_DAYS} > 90", f"{_DAYS_SQL} < 30 OR {_DAYS_SQL} > 90", "AVISO", "dias fora dos limites"),)),
     ("CONSISTENCIA_AVISO_PREVIO_SEM_JUSTA_CAUSA", "Aviso sem justa causa", "Consistência", CONSISTENCY, None, (
@@ -103,7 +117,7 @@ CATALOG = (
     ("CONSISTENCIA_MULTA_477_VALOR", "Valor da multa", "Art. 477 CLT", CONSISTENCY, None, ((f"abs({_FINE} - reais) > 0.05 * reais", "abs(fine - reais) > 0.05 * reais", "AVISO", "multa difere do salário"),)),
     ("CONSISTENCIA_SALARIO_BASE_MINIMO", "Salário mínimo", "Consistência", CONSISTENCY, None, (("reais <= 0", "reais <= 0", "ERRO", "salário não positivo"), ("reais < 1518", "reais < 1518", "AVISO", "abaixo do mínimo"))),
     ("CONSISTENCIA_VERBAS_DUPLICADAS", "Verbas repetidas", "Consistência", CONSISTENCY, None, ()),
-    ("CONSISTENCIA_SALARIO", "Salário plausível", "Consistência", CONSISTENCY, None, (("reais <= 0", "reais <= 0", "ERRO", "não positivo"), ("reais < 1518", "reais < 1518", "AVISO", "baixo"), ("reais > 100000", "reais > 100000", "AVISO", "alto"))),
+    ("CONSISTENCIA_SALARIO", "Salário plausível", "Consistência", CONSISTENCY, None, ((_UNREAD, _UNREAD_SQL, "AVISO", "'não interpretável: ' || pay"), ("reais <= 0", "reais <= 0", "ERRO", "não positivo"), ("reais < 1518", "reais < 1518", "AVISO", "baixo"), ("reais > 100000", "reais > 100000", "AVISO", "alto"))),
     ("CNJ_DIGITO_VERIFICADOR", "Dígito verificador", "Numeração única", CONSISTENCY, None, (("number_ok is null", "number IS NULL", "INFO", "número ausente"), ("not number_ok", "case_id % 7 = 0", "ERRO", "dígito inválido"))),
     ("S9_VERBA_DEDUPLICATOR", "Chaves repetidas", "Consistência", CONSISTENCY, None, ()),
     ("BIS_IN_IDEM_VERBAS", "Bis in idem", "Consistência", CONSISTENCY, None, ()),
@@ -130,6 +144,7 @@ ITEM_OUTCOMES = {
             (f"reais > 0 and {_TIMES} > 50", "acima de gravíssimo", "AVISO"),
         )
     ),
+    "ART_58_ITINERE_REFORMA": ((_when(f"lower(coalesce(i.status, '')) in ('deferida', 'deferido', '') and i.name rlike r'(?iu){COMMUTE}'", "i.name || ' não é jornada'"), "ERRO"),),
     "CONSISTENCIA_BIS_IN_IDEM_REFLEXOS": ((_when(f"array_contains({_LEFT}, i.canonical)", "i.canonical || ' sobre si'"), "ERRO"),),
     "CONSISTENCIA_INTEGRACAO_SEM_REFLEXOS": ((_when(f"i.integrates and size({_LEFT}) = 0", "i.canonical || ' sem reflexos'"), "AVISO"),),
     "CONSISTENCIA_VERBAS_DUPLICADAS": ((_when(_EARLIER.format("canonical"), "i.name || ' repetida'"), "AVISO"),),

@@ -35,9 +35,9 @@ def _quoted(*texts: str) -> list[str]:
 
 
 _CASE_DATES = """
-SELECT o_orderkey AS case_id, o_custkey AS cust_id, o_orderstatus AS status, o_totalprice AS price, cast(o_orderdate as date) AS filed_on,
-  cast(o_orderdate as date) - cast(430 + o_orderkey % 2900 as int) AS hired_on, cast(o_orderdate as date) - cast(o_orderkey % 420 as int) AS left_on,
-  cast(o_orderdate as date) + cast(150 + o_orderkey % 600 as int) AS ruled_on, cast(round(o_totalprice / 100) as bigint) AS reais,
+SELECT o_orderkey AS case_id, o_custkey AS cust_id, o_orderstatus AS status, o_totalprice AS price, cast(o_orderdate as date) + 8036 AS filed_on,
+  cast(o_orderdate as date) + 8036 - cast(430 + o_orderkey % 2900 as int) AS hired_on, cast(o_orderdate as date) + 8036 - cast(o_orderkey % 420 as int) AS left_on,
+  cast(o_orderdate as date) + 8036 + cast(150 + o_orderkey % 600 as int) AS ruled_on, cast(round(o_totalprice / 100) as bigint) AS reais,
   lpad(cast(o_orderkey % 10000000 as string), 7, '0') AS seq, lpad(cast(o_custkey % 10000 as string), 4, '0') AS origin
 FROM orders"""
 
@@ -55,7 +55,9 @@ SELECT case_id, cust_id, status, price, filed_on, hired_on, left_on, ruled_on, r
   {pick("case_id", _quoted("44 horas semanais", "40 horas semanais", "36 horas semanais", "divisor de 200", "-"))} AS hours,
   {pick("case_id + 2", ["'SIM'", "'NAO_INCIDE'", "cast(null as string)", "cast(null as string)"])} AS fund_on_notice, {pick("cust_id", ["'NAO_INCIDE'", "cast(null as string)", "cast(null as string)", "'INCIDE'"])} AS fund_on_vacation,
   {pick("case_id + cust_id", ["'INCIDE'", "cast(null as string)", "cast(null as string)", "cast(null as string)"])} AS fine_on_notice,
-  case_id % 3 = 0 AS deducts, {pick("cust_id", _quoted("recibos de férias", "", " valores pagos "))} AS deduction_note, left_on + cast(case_id % 40 - 5 as int) AS book_exit_on
+  case_id % 3 = 0 AS deducts, {pick("cust_id", _quoted("recibos de férias", "", " valores pagos "))} AS deduction_note, left_on + cast(case_id % 40 - 5 as int) AS book_exit_on,
+  case case_id % 13 when 0 then 'R$ ' || cast(reais as string) || ',00 de Salario complessivo' when 1 then 'a apurar' when 2 then '' else 'R$ ' || cast(reais as string) || ',00' end AS pay,
+  {pick("cust_id + 1", _quoted("", "homologação sindical é obrigatória", "homologação sindical realizada", "Nulidade por falta de homologacao", ""))} AS book_note, {pick("case_id", _quoted("", "depósitos em dia", "rescisão condicionada a homologação"))} AS fund_note
 FROM case_dates"""
 
 _TEXTS = f"""
@@ -73,7 +75,7 @@ FROM cases"""
 
 _ITEMS = f"""
 SELECT l_orderkey AS case_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS item_no,
-  {pick("l_partkey", _quoted("Horas Extras", "hora extra 50%", "Férias + 1/3", "13º salário", "FGTS + multa de 40%", "DSR", "Aviso Prévio", "adicional noturno", "Multa do art. 477", "Dano moral", "Saldo de salário", " Vale transporte ", "Aviso Prévio Indenizado", "Férias indenizadas + 1/3"))} AS name,
+  {pick("l_partkey", _quoted("Horas Extras", "hora extra 50%", "Férias + 1/3", "13º salário", "FGTS + multa de 40%", "DSR", "Aviso Prévio", "adicional noturno", "Multa do art. 477", "Dano moral", "Saldo de salário", " Vale transporte ", "Aviso Prévio Indenizado", "Férias indenizadas + 1/3", "Horas In Itinere", "Tempo de deslocamento"))} AS name,
   case l_returnflag when 'A' then 'deferida' when 'R' then 'indeferida' when 'N' then case when l_partkey % 2 = 0 then 'parcialmente deferida' else '' end end AS status,
   lpad(cast(month(l_shipdate) % 3 + 1 as string), 2, '0') || '/2020' AS period,
   cast(l_discount * 100 as int) AS percent, cast(l_quantity as int) AS quantity, l_extendedprice AS amount, l_tax AS tax,

@@ -127,7 +127,7 @@ def test_rule_lives(spark):
 
 
 CASE = """case_id long, hired_on date, left_on date, filed_on date, ruled_on date, book_exit_on date, reais long, number_ok boolean, rate_index string, hours string, notice string, fee string, reason string,
- fund_on_notice string, fund_on_vacation string, fine_on_notice string, deducts boolean, deduction_note string,
+ fund_on_notice string, fund_on_vacation string, fine_on_notice string, deducts boolean, deduction_note string, pay string, book_note string, fund_note string,
  items array<struct<item_no:int,name:string,status:string,period:string,reflex:array<string>,integrates:boolean,amount:double,canonical:string,canonical_key:string>>"""
 
 
@@ -137,7 +137,7 @@ def day(text):
 
 QUIET = {
     "hired_on": day("2018-05-01"), "left_on": day("2020-01-01"), "filed_on": day("2020-06-01"), "ruled_on": day("2021-01-01"), "book_exit_on": day("2020-02-03"), "reais": 5000, "number_ok": True, "rate_index": "IPCA-E", "hours": "44 horas",
-    "notice": "30 dias", "fee": "10%", "reason": "com justa causa", "fund_on_notice": "SIM", "fund_on_vacation": "NAO_INCIDE", "fine_on_notice": "INCIDE", "deducts": False, "deduction_note": None, "items": [],
+    "notice": "30 dias", "fee": "10%", "reason": "com justa causa", "fund_on_notice": "SIM", "fund_on_vacation": "NAO_INCIDE", "fine_on_notice": "INCIDE", "deducts": False, "deduction_note": None, "pay": "R$ 5.000,00", "book_note": None, "fund_note": "", "items": [],
 }
 
 
@@ -161,21 +161,21 @@ def alerts_of(spark, cases, catalog=legal_rules.RULES):
 REST4, ALL4 = ["Férias", "13º Salário", "Aviso Prévio", "FGTS"], ["DSR", "Férias", "13º Salário", "FGTS"]
 #: Rule: a case that it fires on with the levels and parts of messages that are due, and a case that it is silent on.
 PAIRS = {
-    "ADC_58_STF": ({"rate_index": "TR", "hired_on": day("2021-01-01"), "left_on": day("2021-06-01"), "book_exit_on": None, "filed_on": None, "ruled_on": None}, [("AVISO", "TR")], {"rate_index": "SELIC"}),
+    "ADC_58_STF": ({"rate_index": "TR", "hired_on": day("2021-01-01"), "left_on": day("2021-06-01"), "book_exit_on": None, "filed_on": None, "ruled_on": None}, [("AVISO", "TR")], {"rate_index": "IPCA-E e SELIC", "hired_on": day("2021-01-01"), "left_on": day("2021-06-01"), "book_exit_on": None, "filed_on": None, "ruled_on": None}),
     "SUMULA_305_TST": ({"fund_on_notice": None}, [("INFO", "incide")], {"fund_on_notice": "NAO"}),
     "SUMULA_264_TST": ({"items": [item("Horas extras 50%", "Horas Extras", ["DSR"]), item("Horas Extras", period="q")]}, [("INFO", "Férias, 13º Salário, FGTS"), ("INFO", "DSR, Férias, 13º Salário, FGTS")], {"items": [item("Horas Extras", reflex=ALL4)]}),
-    "SUMULA_91_TST": ({"hours": "divisor de 200"}, [("AVISO", "")], {}),
+    "SUMULA_91_TST": ({"pay": "R$ 5.000,00, Remuneracao global"}, [("AVISO", "")], {"hours": "divisor de 200", "pay": None}),
     "OJ_394_SDI1_TST": ({"items": [item("DSR", reflex=["FGTS", "Férias"]), item("Repouso semanal", period="q")]}, [("AVISO", "Férias, FGTS"), ("INFO", "Repouso")], {"items": [item("Saldo de Salário")]}),
     "OJ_195_SDI1_TST": ({"fund_on_vacation": None, "items": [item("Férias indenizadas", "Férias")]}, [("AVISO", "não incide")], {"items": [item("Férias indenizadas", "Férias")]}),
     "OJ_42_SDI1_TST": ({"fine_on_notice": None, "items": [item("Aviso prévio indenizado", "Aviso Prévio")]}, [("AVISO", "não incide")], {"items": [item("Aviso prévio indenizado", "Aviso Prévio")]}),
     "OJ_394_SDI1_TST_REFLEXOS_PROIBIDOS": ({"items": [item("Dano moral", "Dano Moral", ["FGTS", "DSR", "X"])]}, [("ERRO", "DSR"), ("ERRO", "FGTS")], {"items": [item("DSR", reflex=REST4), item("Dano moral", "Dano Moral", ["X"])]}),
-    "ART_487_CLT_LEI_12506": ({"notice": ""}, [("INFO", "")], {}),
+    "ART_487_CLT_LEI_12506": ({"notice": "", "hired_on": None}, [("AVISO", "datas")], {"hired_on": None}),
     "ART_791A_CLT": ({"fee": "3%"}, [("AVISO", "abaixo")], {"fee": "10%", "hired_on": day("2015-01-01")}),
     "ART_467_CLT": ({"items": [item("Multa do art. 467")]}, [("AVISO", "")], None),
     "ART_477_CLT": ({"items": [item("Multa do art. 477", amount=5000.0)]}, [("AVISO", "")], None),
     "ART_223G_DANO_EXTRAPATRIMONIAL": ({"reais": 2000, "items": [item("Dano moral", "Dano Moral", amount=a, period=str(a), status=s) for a, s in ((100_001.0, ""), (6000.0, "Deferido"), (None, "deferida"), (9.0, "indeferida"))]}, [("AVISO", "acima"), ("INFO", "leve"), ("INFO", "verificar")], {"items": [item("Dano moral", "Dano Moral", amount=9e9)], "hired_on": day("2017-11-10")}),
-    "ART_477A_HOMOLOGACAO": ({"reason": "pedido de demissão"}, [("AVISO", "")], {}),
-    "ART_58_ITINERE_REFORMA": ({"items": [item("Vale transporte")]}, [("ERRO", "")], {}),
+    "ART_477A_HOMOLOGACAO": ({"book_note": "A homologacao sindical é NECESSÁRIA"}, [("AVISO", "")], {"reason": "pedido de demissão", "fund_note": "homologação sindical realizada"}),
+    "ART_58_ITINERE_REFORMA": ({"items": [item("Horas In Itinere"), item("Tempo de deslocamento", status=""), item("horas trajeto", status="indeferida")]}, [("ERRO", "In Itinere"), ("ERRO", "deslocamento")], {"items": [item("Vale transporte"), item("in itinere", status="indeferida")]}),
     "LEI_12506_2011": ({"notice": "120 dias"}, [("AVISO", "mais de 90")], {}),
     "CONSISTENCIA_AVISO_PREVIO_DIAS": ({"notice": "15 dias"}, [("AVISO", "")], {}),
     "CONSISTENCIA_AVISO_PREVIO_SEM_JUSTA_CAUSA": ({"reason": "sem justa causa", "notice": ""}, [("AVISO", "")], {"reason": "sem justa causa", "notice": "", "items": [item("Aviso Prévio")]}),
@@ -188,7 +188,7 @@ PAIRS = {
     "CONSISTENCIA_MULTA_477_VALOR": ({"items": [item("Multa do art. 477", amount=9.0)]}, [("AVISO", "")], {"items": [item("Multa do art. 477", amount=5100.0)]}),
     "CONSISTENCIA_SALARIO_BASE_MINIMO": ({"reais": 1000}, [("AVISO", "mínimo")], {}),
     "CONSISTENCIA_VERBAS_DUPLICADAS": ({"items": [item("Férias", period="a"), item("férias", "Férias", period=" A "), item("Férias", period="b"), item("FÉRIAS", "Férias", period="a")]}, [("AVISO", "FÉRIAS"), ("AVISO", "férias")], {"items": [item("Férias", period="a"), item("Férias", period="b")]}),
-    "CONSISTENCIA_SALARIO": ({"reais": 0}, [("ERRO", "positivo")], {}),
+    "CONSISTENCIA_SALARIO": ({"pay": "a apurar", "reais": 0}, [("AVISO", "a apurar")], {"pay": ""}),
     "CNJ_DIGITO_VERIFICADOR": ({"number_ok": False}, [("ERRO", "inválido")], {}),
     "S9_VERBA_DEDUPLICATOR": ({"items": [item("Multa 467 a", "x", key="multa_467"), item("Multa 467 b", "y", key="multa_467")]}, [("AVISO", "Multa 467 b")], {}),
     "BIS_IN_IDEM_VERBAS": ({"items": [item("Horas Extras", reflex=["Horas Extras"])]}, [("ERRO", "Horas Extras")], {"items": [item("Horas Extras")]}),
