@@ -59,6 +59,16 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     circle of parents is cut at its smallest node, which becomes a root. A node
     must stand in one row only (see one_each).
     """
+    found = _best_paths(_keyed(messages), branches)
+    return found.withColumn("conv", F.col("conv.id"))
+
+
+def _keyed(messages: DataFrame) -> DataFrame:
+    """The conversation's id within a struct: as a part of a join key a null is equal to a null there."""
+    return messages.withColumn("conv", F.struct(F.col("conv").alias("id")))
+
+
+def _best_paths(messages: DataFrame, branches: int) -> DataFrame:
     base = messages.select("conv", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = base.select("conv", F.col("node").alias("parent"), F.lit(True).alias("known"))
     start = base.join(known, ["conv", "parent"], "left").select("conv", "node", F.when(F.col("known"), F.col("parent")).alias("up"), "score", F.lit(0).alias("depth"))
@@ -78,7 +88,7 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     if not turning.isEmpty():
         ends = turning.select("conv", F.col("up").alias("node")).distinct().join(turning.select("conv", "node", "low"), ["conv", "node"]).where("node = low").select("conv", "node", F.lit(True).alias("ends"))
         parted = messages.join(ends, ["conv", "node"], "left").withColumn("parent", F.when(F.col("ends").isNull(), F.col("parent"))).drop("ends")
-        return best_paths(cut(parted.select("conv", "node", "parent", "score")), branches)
+        return _best_paths(cut(parted.select("conv", "node", "parent", "score")), branches)
     totals = state.select("conv", "node", "score", "depth")
     rank = Window.partitionBy("conv").orderBy(F.desc(F.col("score") / (F.col("depth") + 1)), F.desc("depth"), "leaf")
     ends = leaves.join(totals.withColumnRenamed("node", "leaf"), ["conv", "leaf"]).withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= branches)
@@ -97,11 +107,12 @@ def format_trees(messages: DataFrame, branches: int = 1, unique: bool = False) -
     unique: each node is known to stand in one row, as chain() makes them; else see one_each.
 
     loss_spans are the code points [start, end) of the assistants' texts in
-    formatted. A null role or text counts as empty; a conversation without rows
-    gives no row. Messages of one conversation meet in one row, as the format asks.
+    formatted. A null role or text counts as empty; rows with a null conversation
+    are one conversation, with a null id; a conversation without rows gives no row. Messages of one conversation meet in one row, as the format asks.
     """
     messages = messages if unique else cut(one_each(messages))
-    path = best_paths(messages, branches).join(messages.select("conv", "node", "role", "text"), ["conv", "node"])
+    messages = _keyed(messages)
+    path = _best_paths(messages, branches).join(messages.select("conv", "node", "role", "text"), ["conv", "node"])
     empty = F.lit("")
     turn = F.struct("depth", escape(F.coalesce("role", empty)).alias("role"), escape(F.coalesce("text", empty)).alias("text"), (F.col("role") == "assistant").alias("loss"))
     rows = path.groupBy("conv", "branch").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
@@ -111,7 +122,7 @@ def format_trees(messages: DataFrame, branches: int = 1, unique: bool = False) -
             'spans', if(t.loss, concat(a.spans, array(named_struct('start', a.at + {head} + length(t.role), 'end', a.at + {head} + length(t.role) + length(t.text)))), a.spans)),
         a -> a.spans)""")
     text = F.array_join(F.transform("turns", lambda t: F.concat(F.lit(_OPEN), t["role"], F.lit(_CLOSE), t["text"], F.lit(_END))), "")
-    return rows.select("conv", "branch", text.alias("formatted"), spans.alias("loss_spans"))
+    return rows.select(F.col("conv.id").alias("conv"), "branch", text.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

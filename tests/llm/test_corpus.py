@@ -734,3 +734,16 @@ def test_circles_of_parents_and_repeated_nodes(spark):
     tree = spark.createDataFrame(rows, "conv long, node long, parent long, role string, text string, score double")
     got = {r.conv: [t.text for t in r.turns] for r in chat.read_back(chat.format_trees(tree)).collect()}
     assert got == {1: ["a", "b", "c"], 2: ["self"], 3: ["q", "no"]}
+
+
+def test_conversations_without_an_id_and_with_long_texts_are_kept(spark):
+    long = "<é\\turn>" * 125_000  # a megabyte
+    rows = [(None, 0, "user", "a", "x", 1, 2.0), (None, 1, "assistant", long, "x", 1, 2.0), (5, 0, "assistant", "b", "x", 1, 2.0), (5, None, None, None, "x", 1, 2.0)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, conv string, node int, score double")
+    got = {r.conv: (r.turns, r.loss_texts) for r in chat.read_back(chat.format_trees(chat.chain(turns), unique=True)).collect()}
+    assert got == {None: ([("user", "a"), ("assistant", long)], [long]), 5: ([("", ""), ("assistant", "b")], ["b"])}
+    # trees of the null conversation: branches, a missing parent and a circle
+    tree = [(None, 1, None, 1.0), (None, 2, 1, 5.0), (None, 3, 1, 9.0), (None, 4, 99, 0.0), (None, 7, 8, 1.0), (None, 8, 7, 1.0), (6, 1, None, 1.0)]
+    messages = spark.createDataFrame([(c, n, p, "user", f"m{n}", s) for c, n, p, s in tree], "conv long, node long, parent long, role string, text string, score double")
+    paths = {(r.conv, r.branch, r.depth): r.node for r in chat.best_paths(messages, 9).collect()}
+    assert paths == {(None, 1, 0): 1, (None, 1, 1): 3, (None, 2, 0): 1, (None, 2, 1): 2, (None, 3, 0): 7, (None, 3, 1): 8, (None, 4, 0): 4, (6, 1, 0): 1}
