@@ -121,6 +121,25 @@ def test_language_is_learned_without_the_held_out_rows(spark):
     assert "xx" not in model.labels and all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_scores_are_calibrated_and_fall_for_short_mixed_and_unknown_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null and lang is not null")
+    model = langid.fit(docs.where(~langid.held_out()))
+    assert langid.GRID[0] < model.temperature < langid.GRID[-1] and model.short < langid.SHORT[-1]
+    rows = docs.where(langid.held_out()).select("text", "lang").collect()
+    mean = []
+    for length in (4, 12, 10**9):
+        found = [(*langid.identify(r.text[:length], model), r.lang) for r in rows]
+        score, right = np.array([s for _, s, _ in found]), np.array([p == lang for p, _, lang in found])
+        bins = np.clip((score * 10).astype(int), 0, 9)
+        error = sum(abs(score[bins == b].mean() - right[bins == b].mean()) * (bins == b).mean() for b in set(bins.tolist()))
+        assert error < 0.05 or length == 4
+        mean.append(score.mean())
+    assert mean[0] < mean[1] < mean[2] and mean[0] < 0.95 < mean[2]
+    assert langid.identify("\u4f60\u597d", model)[1] < 0.8
+    apart = [next(r.text for r in rows if r.lang == lang and len(r.text) > 200)[:200] for lang in model.labels]
+    assert langid.identify(" ".join(apart), model)[1] < min(langid.identify(t, model)[1] for t in apart)
+
+
 def test_weights_are_sparse_and_temperature_is_positive(spark):
     model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))
     assert (model.weights == 0).mean() > 0.5 and model.temperature > 0
@@ -698,7 +717,8 @@ def test_document_frequencies_and_temperature_match_plain_ones(spark):
     logits = 6 * rng.standard_normal((400, 3)) + 4 * np.eye(3)[y]
     loss = lambda t: -np.mean([row[k] / t - np.log(np.exp(row / t).sum()) for row, k in zip(logits, y, strict=True)])
     best = min(np.arange(0.5, 15, 0.01), key=loss)
-    assert abs(langid.temperature(logits, y) / best - 1) < 0.03
+    got, _ = langid.temperature(logits, y, np.full(len(y), 10**12))  # so long that length makes no difference
+    assert abs(got / best - 1) < 0.03
 
 
 def test_large_draws_follow_the_hypergeometric_law():

@@ -11,7 +11,7 @@ from test_corpus import PLAIN, luhn, plain_components, plain_fingerprint
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from causa.llm import packing
+from causa.llm import langid, packing
 from causa.llm.common import saved
 
 SF = "/root/testdata/sf0.001"
@@ -87,3 +87,15 @@ def test_rows_with_one_id_in_different_groups_each_stay(spark):
     kept = corpus_pipeline.one_of_each(spark, docs, SF)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(5, said[0]), (5, said[1]), (6, said[2])])
+
+
+def test_language_stage_acts_on_its_threshold(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null")
+    doubtful = spark.createDataFrame([(-1, "你好", None, "s", 2)], docs.schema)
+    model = langid.fit(docs.where(~langid.held_out()))
+    label, score = langid.identify("你好", model)
+    assert label != langid.UNKNOWN and score < 0.9
+    both = docs.unionByName(doubtful)
+    for least, kept in ((score - 0.01, 1), (score + 0.01, 0)):
+        monkeypatch.setattr(corpus_pipeline, "LEAST_SCORE", least)
+        assert corpus_pipeline.known_language(spark, both, "").where("doc_id = -1").count() == kept
