@@ -344,6 +344,34 @@ def learning_cycle(spark, sf_dir):
     return evaluated(spark, sf_dir).select("rule_id", score.alias("score"), F.when(score >= learning.ACTIVE_AT, "active").when(score <= learning.DELETED_AT, "deleted").otherwise("shadow").alias("status"))
 
 
+ROUNDS = 3
+#: Rules that are deleted by hand: round, tenant, key.
+BY_HAND = ((1, 3, "FGTS"), (1, 4, "DSR"))
+
+
+def learning_inputs(spark, sf_dir):
+    """Of each case with items on both sides, by tenant and round: the hypotheses that the guard leaves, the cases, and the missing names."""
+    own = derived(spark, sf_dir, "cases").select("case_id", F.pmod("cust_id", F.lit(7)).cast("long").alias("tenant"), F.pmod("case_id", F.lit(ROUNDS)).cast("int").alias("round"))
+    both = own.join(derived(spark, sf_dir, "items").select("case_id").distinct(), "case_id", "left_semi").join(derived(spark, sf_dir, "calc").select("case_id").distinct(), "case_id", "left_semi")
+    guarded = cases.guard_missing(spark, sf_dir).select("case_id", text.canonical_name(F.col("name")).alias("rule_key"))
+    missed = cases.missing_of(spark, sf_dir).select("case_id", F.col("low").alias("name"))
+    rows = (both.join(guarded, "case_id").select("round", "tenant", "rule_key", "case_id"), both.select("round", "tenant", "case_id"), both.join(missed, "case_id").select("round", "tenant", "case_id", "name"))
+    return [files.kept(r, n) for r, n in zip(rows, ("hypotheses", "cases", "missed"), strict=True)]
+
+
+@query()
+def learning_rounds(spark, sf_dir):
+    """Rules of each tenant after rounds of hypotheses, trials on the round's cases and deletions by hand."""
+    inputs = learning_inputs(spark, sf_dir)
+    state, seen = spark.createDataFrame([], learning.STATE), None
+    for n in range(ROUNDS):
+        gone = spark.createDataFrame([(t, k) for r, t, k in BY_HAND if r == n], "tenant long, rule_key string")
+        state, met = learning.learning_round(n, state, *(i.where(F.col("round") == n).drop("round") for i in inputs), gone)
+        state, met = files.kept(state, "rules"), files.kept(met, "sightings")  # each round begins from what the one before wrote
+        seen = met if seen is None else seen.unionByName(met)
+    return learning.seen_cases(state, seen).select("tenant", "rule_key", "score", "status", "hits", "punished", "seen")
+
+
 @query("SELECT conv_id, turn, substr(text, 1, 300) AS attack, substr(answer, 1, 300) AS defence FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE role = 'user' AND text <> '' AND answer <> '' AND rn <= 8")
 def pattern_events(spark, sf_dir):
     """Attack and defence pairs among the first eight turns, both present, capped."""

@@ -23,6 +23,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """The rows written as a table in the shared folder and read back."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def read_mixed(spark: SparkSession, path: str) -> DataFrame:
     """(path, suffix, text) of the files of a folder: decoded by suffix, Latin-1 where UTF-8 doesn't fit."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
