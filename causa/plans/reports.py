@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from causa import catalogs
 from causa.functions import text
-from causa.operators import fields, learning
+from causa.operators import fields, learning, schemas
 from causa.plans import cases, legal_rules
 from causa.plans.normalise import CANON, q, sql_norm
 from causa.plans.registry import query
@@ -229,12 +229,26 @@ def quality_gate(spark, sf_dir):
     return rows.select("case_id", ((F.size(missing) == 0) & (F.col("n") >= 3)).alias("ok"), why.alias("why"))
 
 
-@query("SELECT status, source, count(*) AS n FROM (SELECT lang AS status, source FROM documents WHERE doc_id % 2 = 0 EXCEPT SELECT lang, source FROM documents WHERE doc_id % 2 = 1) GROUP BY ALL")
+_FIELDS = r"""SELECT version, path, string_agg(DISTINCT type, '|' ORDER BY type) AS type, max(records) AS records FROM (
+  SELECT version, path, type, count(DISTINCT case_id) AS records FROM (SELECT case_id, version, regexp_replace(t.fullkey, '\[[0-9]+\]', '[]', 'g') AS path,
+    case t.type when 'VARCHAR' then 'STRING' when 'UBIGINT' then 'BIGINT' else t.type end AS type FROM case_records, LATERAL (SELECT fullkey, type FROM json_tree(record)) t) GROUP BY ALL) GROUP BY version, path"""
+
+
+def record_fields(spark, sf_dir):
+    return schemas.fields(derived(spark, sf_dir, "case_records"))
+
+
+@query(f"""WITH f AS ({_FIELDS}) SELECT coalesce(a.path, b.path) AS path, case when a.path IS NULL then 'added' when b.path IS NULL then 'removed' else 'retyped' end AS change, a.type AS before, b.type AS after
+  FROM (SELECT * FROM f WHERE version = 1) a FULL JOIN (SELECT * FROM f WHERE version = 2) b ON a.path = b.path WHERE a.type IS DISTINCT FROM b.type""", "case_records")
 def schema_diff(spark, sf_dir):
-    """What one version has and the other doesn't, as sets of rows."""
-    docs = table(spark, sf_dir, "documents")
-    new, old = (docs.where(F.col("doc_id") % 2 == k).select(F.col("lang").alias("status"), "source") for k in (0, 1))
-    return new.subtract(old).groupBy("status", "source").agg(F.count(F.lit(1)).alias("n"))
+    """Fields that the second version of the case records adds, lacks or holds with another type."""
+    return schemas.diff(record_fields(spark, sf_dir), 1, 2)
+
+
+@query(f"SELECT version, count(*) AS paths, sha256(string_agg(path || ':' || type, chr(10) ORDER BY path || ':' || type)) AS digest FROM ({_FIELDS}) GROUP BY version", "case_records")
+def schema_versions(spark, sf_dir):
+    """A hash of the fields of each version of the case records."""
+    return schemas.digests(record_fields(spark, sf_dir))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'license') OR contains(lower(source), 'src1') OR contains(lower(lang), 'fr')")

@@ -99,8 +99,14 @@ SELECT doc_id, page_no, case when doc_id % 3 = 0 and page_no = 1 then 'SUMÁRIO'
   else text || ' ' || {pick("doc_id + page_no", _quoted("EXCELENTÍSSIMO SENHOR JUIZ", "Nestes termos", "CONTESTAÇÃO da reclamada", "Requer a improcedência", "RESUMO DO CÁLCULO", "PARECER TÉCNICO", "folha", "verso"))} end AS text
 FROM case_pages"""
 
+_CASE_RECORDS = f"""
+SELECT case_id, case_id % 2 + 1 AS version, case case_id % 2
+  when 0 then '{{"number":"' || number || '","reason":"' || reason || '","pay":{{"reais":' || cast(reais as string) || ',"terms":"' || pay || '"}},"dates":[{{"kind":"hired","on":"' || {dmy("hired_on")} || '"}},{{"kind":"left","on":"' || {dmy("left_on")} || '"}}]}}'
+  else '{{"pay":{{"terms":"' || pay || '","reais":"' || cast(reais as string) || '"}},"number":"' || number || '","dates":[{{"on":"' || {dmy("hired_on")} || '","kind":"hired","page":' || cast(case_id % 9 as string) || '}}],"deducts":' || case when deducts then 'true' else 'false' end || case when case_id % 3 = 0 then ',"note":{{"text":"' || deduction_note || '"}}' else '' end || '}}' end AS record
+FROM cases"""
+
 #: Name -> SQL over the supplied tables and other derived ones.
-DERIVED = {"case_dates": _CASE_DATES, "cases": _CASES, "texts": _TEXTS, "items": _ITEMS, "calc": _CALC, "case_pages": _CASE_PAGES, "dossier_pages": _DOSSIER_PAGES}
+DERIVED = {"case_dates": _CASE_DATES, "cases": _CASES, "texts": _TEXTS, "items": _ITEMS, "calc": _CALC, "case_pages": _CASE_PAGES, "dossier_pages": _DOSSIER_PAGES, "case_records": _CASE_RECORDS}
 _SUPPLIED = ("orders", "lineitem")
 
 
@@ -120,4 +126,5 @@ def with_needs(names: list[str]) -> list[str]:
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     read = {n: table(spark, sf_dir, n) if n in _SUPPLIED else derived(spark, sf_dir, n) for n in needs(name)}
-    return spark.sql(re.sub(r"FROM (\w+)", r"FROM {\1}", DERIVED[name]), **read)
+    plain = DERIVED[name].replace("{", "{{").replace("}", "}}")
+    return spark.sql(re.sub(r"FROM (\w+)", r"FROM {\1}", plain), **read)
