@@ -140,25 +140,30 @@ ALIASES = (
     ("insalubridade", "Adicional de Insalubridade"),
     ("fgts + 40%", "FGTS + Multa de 40%"),
 )
+# Patterns of citations, in the order in which they are looked for.
 CITATIONS = (
-    r"(?i)s[uú]mula\s+n[°º]?\s*\d+\s+(?:do\s+)?TST",
-    r"(?i)s[uú]mula\s+n[°º]?\s*\d+\s+(?:do\s+)?STF",
+    r"(?i)S[uú]mula\s+n[°º]?\s*\d+\s+(?:do\s+)?TST",
+    r"(?i)S[uú]mula\s+n[°º]?\s*\d+\s+(?:do\s+)?STF",
     r"(?i)OJ\s+n[°º]?\s*\d+",
     r"(?i)art(?:igo)?\.?\s*\d+[,\s\w]*(?:da\s+CLT|CLT)",
     r"(?i)ADC\s+\d+",
-    r"(?i)s[uú]mula\s+n[°º]?\s*\d+",
-    r"(?i)lei\s+n[°º]?\s*[\d\.]+",
-    r"(?i)decreto[- ]lei\s+n[°º]?\s*[\d\.]+",
+    r"(?i)S[uú]mula\s+n[°º]?\s*\d+",
+    r"(?i)Lei\s+n[°º]?\s*[\d\.]+",
+    r"(?i)Decreto[- ]Lei\s+n[°º]?\s*[\d\.]+",
 )
+# What a page holds that begins a decision, rules, is a cover of something else, or tells the kind of document.
 PAGE_FLAGS = {
-    "envelope": r"(?i)(fica v\. sa\. intimado|PROCURAÇÃO|ATA DE AUDIÊNCIA|NOTIFICAÇÃO JUDICIAL|relatório de assinaturas)",
-    "opening": r"(?i)(FUNDAMENTA[ÇC][AÃ]O|RELATÓRIO|VISTOS[,.]|ACÓRDÃO|EMENTA)",
-    "ruling": r"(?i)(DISPOSITIVO|ANTE O EXPOSTO|ISTO POSTO|PELO EXPOSTO|JULGO PROCEDENTE|JULGO PARCIALMENTE|JULGO IMPROCEDENTE|ACORDAM)",
-    "appeal": r"(?i)(VISTOS, RELATADOS E DISCUTIDOS|TURMA.*REGIONAL|DESEMBARGADOR)",
-    "settlement": r"(?i)(fase\s+de\s+liquida[çc][aã]o|homologa[çc][aã]o\s+de\s+c[aá]lculos|t[ií]tulo\s+executivo)",
-    "motion": r"(?i)(embargos\s+de\s+declara[çc][aã]o|efeito\s+infringente)",
-    "order": r"(?i)(cumpra-?se|requisi[çc][aã]o\s+de\s+pagamento|\bRPV\b|planilha\s+de\s+d[eé]bito)",
+    "envelope": r"(?i)(Fica V\. Sa\. intimado|INTIMAÇÃO\s*$|Certidão de Disponibilização|Certidão de Trânsito|CERTIDÃO\s*-\s*PJe|Certidão de comparecimento|Certidão de Distribuição|ATA DE AUDIÊNCIA|NOTIFICAÇÃO JUDICIAL|CARTA DE PREPOSIÇÃO|PROCURAÇÃO|Relatório de Assinaturas|DECLARAÇÃO DE HIPOSSUFICIÊNCIA|Sua Petição foi finalizada|SUMÁRIO\s*\nDocumentos)",
+    "opening": r"(?i)(FUNDAMENTA[ÇC][AÃ]O|RELATÓRIO|VISTOS[,.]|VISTOS, RELATADOS E DISCUTIDOS|ACÓRDÃO|EMENTA)",
+    "ruling": r"(?i)(DISPOSITIVO|ANTE O EXPOSTO|ISTO POSTO|PELO EXPOSTO|JULGO PROCEDENTE|JULGO PARCIALMENTE|JULGO IMPROCEDENTE|CONDENO A RECLAMADA|ACORDAM)",
+    "appeal": r"(?i)(VISTOS, RELATADOS E DISCUTIDOS|TURMA.*REGIONAL|DESEMBARGADOR|EMENTA\s*\n|ACÓRDÃO\s*\n)",
+    "settlement": r"(?i)(fase\s+de\s+liquida[çc][aã]o|homologa[çc][aã]o\s+de\s+c[aá]lculos|c[aá]lculos\s+apresentados\s+pela\s+contadoria|impugna[çc][aã]o\s+aos\s+c[aá]lculos|despacho\s+de\s+liquida[çc][aã]o|t[ií]tulo\s+executivo\b)",
+    "motion": r"(?i)(embargos\s+de\s+declara[çc][aã]o|efeito\s+infringente|embargante\b)",
+    "order": r"(?i)(fase\s+de\s+execu[çc][aã]o|cumpra-?se\b|requisi[çc][aã]o\s+de\s+pagamento|\bRPV\b|precat[oó]rio\b|planilha\s+de\s+d[eé]bito|BACENJUD|SISBAJUD|intime-?se\s+a\s+executad)",
 }
+# Wordings by which a clause grants or denies.
+GRANTED = r"(?i)\b(deferid[oa]s?|defiro|condenad[oa]|procedente|pagamento de|devo pagar|fica condenad[oa])\b"
+DENIED = r"(?i)(\bindeferid[oa]s?\b|\bindefiro\b|\bimprocedente\b|não há|não faz jus|não se reconhece|não reconheço|\bafasto\b|\brejeito\b)"
 # Names of pieces in a table of contents, the first that a line holds counts.
 CONTENTS_KINDS = (
     ("petition", r"(?iu)(peti[çc][aã]o\s+inicial|reclama[çc][aã]o\s+trabalhista|inicial)"),

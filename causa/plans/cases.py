@@ -50,8 +50,7 @@ def clauses_of(spark, sf_dir):
     return derived(spark, sf_dir, "texts").select("case_id", F.posexplode(parts).alias("pos", "clause")).select("case_id", (F.col("pos") + 1).cast("long").alias("pos"), F.trim("clause").alias("clause"))
 
 
-_GRANTED = r"(?i)\b(deferid[oa]s?|defiro|condenad[oa]|procedente|pagamento de)\b"
-_DENIED = r"(?i)(\bindeferid[oa]s?\b|\bindefiro\b|\bimprocedente\b|não há|não faz jus|não se reconhece|\bafasto\b|\brejeito\b)"
+_GRANTED, _DENIED = catalogs.GRANTED, catalogs.DENIED
 _STATUS = f"case when regexp_matches(clause, '{_GRANTED}') and regexp_matches(clause, '{_DENIED}') then 'partial' when regexp_matches(clause, '{_DENIED}') then 'denied' when regexp_matches(clause, '{_GRANTED}') then 'granted' end"
 _PHRASE = sql_first("clause", tuple(sorted(((p.replace("+", "\\+").replace(".", "\\."), p) for p, _ in catalogs.PHRASES if len(p) > 3), key=lambda e: -len(e[1]))), "NULL")
 
