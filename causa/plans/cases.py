@@ -201,7 +201,7 @@ _ITEM_SQL = {
 def _rule_sql(catalog=legal_rules.CATALOG, item_sql=_ITEM_SQL) -> str:
     parts = []
     for i, _, _, p, since, outs in catalog:
-        valid = f"hired_on >= date '{since}'" if since else "true"
+        valid = f"coalesce(hired_on >= date '{since}', true)" if since else "true"
         if i in item_sql:
             parts.append(f"SELECT x.case_id, {q(i)} AS rule_id, level, message, {p} AS priority FROM ({item_sql[i]}) x SEMI JOIN (SELECT case_id FROM cases WHERE {valid}) v ON v.case_id = x.case_id")
             continue
