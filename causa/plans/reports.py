@@ -11,7 +11,7 @@ from causa.operators import fields, learning, schemas
 from causa.plans import cases, legal_rules
 from causa.plans.normalise import CANON, q, sql_norm
 from causa.plans.registry import query
-from causa.sources import files
+from causa.sources import files, parameters
 from causa.sources.tables import derived, table
 
 
@@ -70,6 +70,40 @@ def param_asof(spark, sf_dir):
     return derived(spark, sf_dir, "cases").join(F.broadcast(wages), (F.col("filed_on") >= F.col("since")) & (F.col("filed_on") < F.col("until"))).select("case_id", "wage")
 
 
+def parameters_of(spark, sf_dir):
+    """The parameter records of the years, written as files and read back as one checked table."""
+    path = files.scratch(spark, "parameters")
+    derived(spark, sf_dir, "param_records").select("record").repartition("record").write.text(path, lineSep="\n")
+    return parameters.checked(parameters.rows(spark.read.text(path).select(F.col("value").alias("record"))))
+
+
+_PARAM_UNTIL = "case when y = last then NULL when y % 4 = 3 then make_date(y, 6, 30) else make_date(y, 12, 31) end"
+_BANDS = """SELECT y, last, 1 AS band, NULL AS low, 1000.0 + y % 10 * 10 AS high, 0.0 AS rate, 0.0 AS deduction FROM param_years UNION ALL SELECT y, last, 2, 1000.01 + y % 10 * 10, 2000.0, 0.075, 75.0 FROM param_years
+  UNION ALL SELECT y, last, 3, 2000.01, NULL, 0.15, 225.1 FROM param_years"""
+_BANDS_UNTIL = "case when y = last then NULL else make_date(y + 1, 1, 31) end"
+
+
+@query(f"SELECT 'minimum_wage' AS param, make_date(y, 1, 1) AS since, {_PARAM_UNTIL} AS until, NULL AS band, NULL AS low, NULL AS high, NULL AS rate, NULL AS deduction, 900.5 + 50 * (y - 2010) AS amount FROM param_years UNION ALL SELECT 'income_tax', make_date(y, 2, 1), {_BANDS_UNTIL}, band, low, high, rate, deduction, NULL FROM ({_BANDS})", "param_years")
+def param_files(spark, sf_dir):
+    """One table of parameters with validity, from records of two shapes."""
+    return parameters_of(spark, sf_dir).drop("terms")
+
+
+@query(f"SELECT case_id, 900.5 + 50 * (y - 2010) AS wage FROM cases LEFT JOIN param_years ON filed_on >= make_date(y, 1, 1) AND filed_on <= coalesce({_PARAM_UNTIL}, date '9999-12-31')", "cases param_years")
+def param_in_force(spark, sf_dir):
+    """Minimum wage in force when a case was filed; null in the half years that no record covers."""
+    facts = derived(spark, sf_dir, "cases").select("case_id", "filed_on")
+    return parameters.in_force(facts, parameters_of(spark, sf_dir), "filed_on", "minimum_wage").select("case_id", F.col("p_amount").alias("wage"))
+
+
+@query(f"SELECT case_id, band, reais * rate - deduction AS tax FROM cases LEFT JOIN ({_BANDS}) ON ruled_on >= make_date(y, 2, 1) AND ruled_on <= coalesce({_BANDS_UNTIL}, date '9999-12-31') AND (low IS NULL OR reais >= low) AND (high IS NULL OR reais <= high)", "cases param_years")
+def bracket_in_force(spark, sf_dir):
+    """Band and tax of an amount by the brackets in force on the day of the ruling, joined by bins of years."""
+    facts = derived(spark, sf_dir, "cases").select("case_id", "ruled_on", "reais")
+    found = parameters.in_force(facts, parameters_of(spark, sf_dir), "ruled_on", "income_tax", base="reais", small=0)
+    return found.select("case_id", F.col("p_band").alias("band"), (F.col("reais") * F.col("p_rate") - F.col("p_deduction")).alias("tax"))
+
+
 @query("SELECT d.doc_id, quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE toxic = 0")
 def gold_pairs(spark, sf_dir):
     gold = table(spark, sf_dir, "labels").where("toxic = 0").select("doc_id", "quality")

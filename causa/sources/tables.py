@@ -105,8 +105,18 @@ SELECT case_id, case_id % 2 + 1 AS version, case case_id % 2
   else '{{"pay":{{"terms":"' || pay || '","reais":"' || cast(reais as string) || '"}},"number":"' || number || '","dates":[{{"on":"' || {dmy("hired_on")} || '","kind":"hired","page":' || cast(case_id % 9 as string) || '}}],"deducts":' || case when deducts then 'true' else 'false' end || case when case_id % 3 = 0 then ',"note":{{"text":"' || deduction_note || '"}}' else '' end || '}}' end AS record
 FROM cases"""
 
+_PARAM_YEARS = "SELECT DISTINCT cast(year(filed_on) as int) AS y, cast((SELECT max(year(filed_on)) FROM case_dates) as int) AS last FROM case_dates"
+
+_PARAM_RECORDS = """
+SELECT y, 'wage' AS kind, '{"id":"minimum_wage_' || cast(y as string) || '","valor":' || cast(900 + 50 * (y - 2010) as string) || '.50,"vigencia":{"inicio":"' || cast(y as string) || '-01-01","fim":'
+  || case when y = last then 'null' when y % 4 = 3 then '"' || cast(y as string) || '-06-30"' else '"' || cast(y as string) || '-12-31"' end || '}}' AS record FROM param_years
+UNION ALL
+SELECT y, 'bands' AS kind, '{"faixas":[{"faixa":1,"base_calculo_ate":' || cast(1000 + y % 10 * 10 as string) || '.00,"aliquota":0.0,"deducao":0.0},{"faixa":2,"base_calculo_de":' || cast(1000 + y % 10 * 10 as string)
+  || '.01,"base_calculo_ate":2000.00,"aliquota":0.075,"deducao":75.00},{"faixa":3,"base_calculo_de":2000.01,"aliquota":0.15,"deducao":225.10}],"id":"income_tax_' || cast(y as string) || '","vigencia":{"inicio":"'
+  || cast(y as string) || '-02-01","fim":' || case when y = last then 'null' else '"' || cast(y + 1 as string) || '-01-31"' end || '}}' AS record FROM param_years"""
+
 #: Name -> SQL over the supplied tables and other derived ones.
-DERIVED = {"case_dates": _CASE_DATES, "cases": _CASES, "texts": _TEXTS, "items": _ITEMS, "calc": _CALC, "case_pages": _CASE_PAGES, "dossier_pages": _DOSSIER_PAGES, "case_records": _CASE_RECORDS}
+DERIVED = {"case_dates": _CASE_DATES, "cases": _CASES, "texts": _TEXTS, "items": _ITEMS, "calc": _CALC, "case_pages": _CASE_PAGES, "dossier_pages": _DOSSIER_PAGES, "case_records": _CASE_RECORDS, "param_years": _PARAM_YEARS, "param_records": _PARAM_RECORDS}
 _SUPPLIED = ("orders", "lineitem")
 
 
