@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from causa import catalogs
 from causa.functions import derive, text
+from causa.operators import phrases
 from causa.plans.registry import query
 from causa.sources.tables import derived, table
 
@@ -109,6 +110,18 @@ def phrase_key_list(spark, sf_dir):
     return rows.select("case_id", F.array_join(F.transform("names", lambda x: F.coalesce(text.phrase_key(x["name"]), x["name"])), "|").alias("item_keys"))
 
 
+_ITEM_FIRST = f"""SELECT doc_id, arg_min(item_id, cast(t <> p AS BIGINT) * 1000000000 + item_id) AS item_id FROM (SELECT doc_id, {sql_norm('text')} AS t FROM documents) d JOIN (SELECT item_id, {sql_norm('text')} AS p FROM benchmark) b
+  ON t = p OR CASE WHEN length(p) < 4 THEN contains(' ' || t || ' ', ' ' || p || ' ') ELSE contains(t, p) END OR (length(t) >= 4 AND contains(p, t)) WHERE t <> '' AND p <> '' GROUP BY doc_id"""
+
+
+@query(_ITEM_FIRST)
+def catalog_key(spark, sf_dir):
+    """First entry of a catalog table, here the benchmark's items, that a document holds whole or that holds the document."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = phrases.keys(docs, items.select(F.col("item_id").alias("rank"), F.col("text").alias("phrase"), F.col("item_id").alias("key")), "text")
+    return docs.select("doc_id", text.norm_text(F.col("text")).alias("plain")).join(found, "plain").select("doc_id", F.col("key").alias("item_id"))
+
+
 @query("""SELECT item_key, count(*) AS uses, string_agg(DISTINCT name, '|' ORDER BY name) AS variants FROM (SELECT name, """ + sql_phrase("name", catalogs.PHRASES) + """ AS item_key FROM items) WHERE item_key IS NOT NULL GROUP BY item_key""", "items")
 def key_variants(spark, sf_dir):
     names = derived(spark, sf_dir, "items").groupBy("name").agg(F.count(F.lit(1)).alias("n")).withColumn("item_key", text.phrase_key(F.col("name")))
