@@ -13,29 +13,31 @@ GRAM = 4
 
 
 def grams(c: Column, n: int = GRAM) -> Column:
-    """Distinct stretches of n code points; none where the text is shorter."""
-    return F.array_distinct(F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>")))
-
-
-def _rarest(rows: DataFrame, key: str, counts: DataFrame) -> DataFrame:
-    """The gram of each row that the counts know least; one that they don't know comes first."""
-    own = rows.select(key, F.explode("grams").alias("gram")).join(counts, "gram", "left")
-    return own.groupBy(key).agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    """Distinct stretches of n code points; none where the text is shorter. Letters are split once, as to take a
+    stretch by its place reads a text from its start."""
+    pieces = lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - n), lambda i: F.concat(*(F.get(x, i + k) for k in range(n))))
+    found = F.transform(F.array(F.split(c, "")), lambda x: F.when(F.size(x) >= n, pieces(x)))[0]
+    return F.array_distinct(F.coalesce(found, F.array().cast("array<string>")))
 
 
 def candidates(texts: DataFrame, catalog: DataFrame) -> DataFrame:
     """(id, rank) pairs of which one may hold the other, without a pair lost.
 
-    A text that holds a phrase holds the phrase's rarest gram, so each phrase has one entry; a phrase that holds a
-    text holds the text's rarest gram, so each text has one. Phrases shorter than a gram are joined as words.
+    A text that holds a phrase holds the phrase's rarest gram, so each phrase has one entry. A phrase that holds a text
+    holds all of its grams, so only texts whose grams the catalog knows are left, with one entry each. Phrases shorter
+    than a gram are joined as words. The grams of texts are cut once; those that no phrase has go before they are written.
     texts: id, plain, grams; catalog: rank, phrase, grams.
     """
-    text_grams = texts.select("id", F.explode("grams").alias("gram"))
     phrase_grams = catalog.select("rank", F.explode("grams").alias("gram"))
     in_catalog = phrase_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    in_texts = text_grams.join(in_catalog.select("gram"), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    holding = text_grams.join(_rarest(catalog, "rank", in_texts), "gram").select("id", "rank")
-    held = _rarest(texts, "id", in_catalog).join(phrase_grams, "gram").select("id", "rank")
+    cut = texts.select("id", F.size("grams").alias("all"), F.explode("grams").alias("gram"))
+    known = files.kept(cut.join(in_catalog, "gram"), "grams")
+    in_texts = known.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))
+    own = phrase_grams.join(in_texts, "gram", "left")  # a gram that no text has comes first, and its phrase meets none
+    entry = own.groupBy("rank").agg(F.min_by("gram", F.struct(F.coalesce("uses", F.lit(0)), "gram")).alias("gram"))
+    holding = known.join(entry, "gram").select("id", "rank")
+    whole = known.groupBy("id", "all").agg(F.count(F.lit(1)).alias("had"), F.min_by("gram", F.struct("n", "gram")).alias("gram")).where(F.col("had") == F.col("all"))
+    held = whole.join(phrase_grams, "gram").select("id", "rank")
     short = catalog.where(F.length("phrase") < GRAM).select("rank", F.col("phrase").alias("word"))
     words = texts.select("id", F.explode(F.array_distinct(F.split("plain", " "))).alias("word")).join(short, "word").select("id", "rank")
     pair = short.where("word like '% %'").select("rank", F.element_at(F.split("word", " "), 1).alias("word"))
