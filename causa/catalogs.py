@@ -209,3 +209,28 @@ GENERIC_FIELDS = (
     ("long_number", r"\b\d{12,19}\b", "medium"),
     ("license", r"(?i)(licen[sc]e[^\n]{0,80})", "medium"),
 )
+
+#: Wordings by priority: (pattern, label, tier). The fields are defined by these wordings and labels.
+DISMISSAL_REASONS = (
+    (r"\brescisão\s+indireta\b", "Rescisão indireta", "medium"),
+    (r"\b(?:dispensad[oa]|dispensou|demissão|demitiu)\b.{0,60}\bsem\s+justa\s+causa\b", "Sem justa causa", "medium"),
+    (r"\bcom\s+justa\s+causa\b", "Com justa causa", "medium"),
+    (r"\b(?:pedido\s+de\s+demissão|demitiu[-\s]+se|pediu\s+demissão)\b", "Pedido de demissão", "medium"),
+    (r"\btérmino\s+do\s+(?:prazo\s+do\s+)?contrato\b", "Término de contrato", "medium"),
+)
+CONTRACT_KINDS = (
+    (r"\b(?:contrato|per[íi]odo)\s+de\s+experi[eê]ncia\b", "Experiência", "high"),
+    (r"\bcontrato\s+(?:por|a)\s+prazo\s+determinado\b|\bprazo\s+determinado\b.{0,40}\bcontrato\b|\bcontrato\s+(?:de\s+trabalho\s+)?(?:com\s+)?prazo\s+determinado\b", "Prazo determinado", "high"),
+    (r"(?s)(?:pejotiza[çc][aã]o|contrato\s+de\s+pessoa\s+jur[ií]dica|CNPJ|MEI\b).{0,60}(?:reconhec|fraude|simula[çc][aã]o|disfarc)", "Pejotização reconhecida", "medium"),
+    (r"aut[oô]nomo\b.{0,80}reconhec", "Autônomo reconhecido", "medium"),
+    (r"\bv[íi]nculo\s+(?:de\s+)?emprego\b|\bCLT\b", "CLT", "medium"),
+)
+CASE_NUMBER = r"\d{7}-\d{2}\.\d{4}\.\d\.\d{2}\.\d{4}"
+NUMBER_LABEL = r"(?:Processo|Autos?|N[oº°]\.?|Nº\s+do\s+Processo)[:\s]+"
+PUBLISHED_ON = r"publicad[oa]\s+em\s+(\d{2}/\d{2}/\d{4})"
+SIGNED_ANY = r"(?is)assinado\s+(?:eletronicamente|digitalmente).*?em\s+(\d{2}/\d{2}/\d{4})"
+SPELLED_AFTER_CITY = r"(?iu)[A-ZÀÁÉÍÓÚ][a-zàáéíóú]+,\s+(\d{1,2}\s+de\s+[A-Za-zçÇ]+\s+de\s+\d{4})"
+NOTICE_DAYS = (
+    r"aviso\s+pr[eé]vio\s+(?:(?:indenizado|trabalhado|proporcional|integral)\s+)?(?:de\s+)?(\d+)\s*(?:\([^)]{1,20}\)\s*)?dias?",
+    r"(\d+)\s*(?:\([^)]{1,20}\)\s*)?dias?\s+de\s+aviso\s+pr[eé]vio",
+)

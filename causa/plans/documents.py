@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from causa import catalogs
 from causa.functions import text
-from causa.operators import fields, pages
+from causa.operators import fields, pages, tiered
 from causa.plans.normalise import q, sql_norm
 from causa.plans.registry import query
 from causa.sources.tables import derived, dmy, table
@@ -366,6 +366,22 @@ def extract_case_fields(spark, sf_dir):
     return t.select("case_id", *(fields.field(F.col("text"), p.replace("(?i)", "(?iu)", 1)).alias(n) for n, p, _ in LEGAL_FIELDS), free.alias("free_justice"))
 
 
+_TIERED = """SELECT case_id, case when case_id % 3 < 2 then number end AS number, case when case_id % 3 < 2 then case when case_id % 7 = 0 then 'medium' else 'high' end end AS number_tier,
+  case case_id % 4 when 0 then ruled_on when 1 then ruled_on when 2 then date '2024-03-12' end AS ruled, case when case_id % 4 < 3 then 'high' end AS ruled_tier,
+  ['Rescisão indireta', 'Sem justa causa', 'Com justa causa', 'Pedido de demissão', 'Término de contrato', NULL][cust_id % 6 + 1] AS reason, case when cust_id % 6 < 5 then 'medium' end AS reason_tier,
+  ['Experiência', 'Prazo determinado', 'Pejotização reconhecida', 'Autônomo reconhecido', 'CLT', NULL][(case_id + 1) % 6 + 1] AS contract, ['high', 'high', 'medium', 'medium', 'medium', NULL][(case_id + 1) % 6 + 1] AS contract_tier,
+  ['33 dias', '45 dias', NULL, NULL, '20 dias', NULL][(case_id + cust_id) % 6 + 1] AS notice, ['medium', 'medium', NULL, NULL, 'medium', NULL][(case_id + cust_id) % 6 + 1] AS notice_tier FROM tiered_texts"""
+
+
+@query(_TIERED, "tiered_texts")
+def extract_tiered(spark, sf_dir):
+    """Number, ruling date, reason, contract and notice with their tiers, by order of trust of their sources."""
+    t = F.col("text")
+    found = {"number": tiered.case_number(t), "ruled": tiered.ruling_date(t), "reason": tiered.by_priority(t, catalogs.DISMISSAL_REASONS), "contract": tiered.by_priority(t, catalogs.CONTRACT_KINDS), "notice": tiered.notice_days(t)}
+    rows = derived(spark, sf_dir, "tiered_texts").select("case_id", *(c.alias(n) for n, c in found.items()))
+    return rows.select("case_id", *(c for n in found for c in (F.col(f"{n}.value").alias(n), F.col(f"{n}.tier").alias(f"{n}_tier"))))
+
+
 _INTEREST_LABELS = ((r"(?i)juros pela SELIC", "SELIC"), (r"(?i)juros de 1% ao m", "1% ao mês"), (r"(?i)juros legais", "Juros legais"))
 
 

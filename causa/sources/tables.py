@@ -43,7 +43,7 @@ FROM orders"""
 
 _CASES = f"""
 SELECT case_id, cust_id, status, price, filed_on, hired_on, left_on, ruled_on, reais,
-  seq || '-' || lpad(cast((98 - (cast(seq || cast(year(filed_on) as string) || '504' || origin as bigint) % 97 * 3) % 97 + case when case_id % 7 = 0 then 1 else 0 end) % 100 as string), 2, '0')
+  seq || '-' || lpad(cast((98 - (cast(seq || cast(year(filed_on) as string) || '504' || origin as bigint) % 97) + case when case_id % 7 = 0 then 1 else 0 end) % 100 as string), 2, '0')
     || '.' || cast(year(filed_on) as string) || '.5.04.' || origin AS number,
   {pick("case_id", _quoted("TR", "IPCA-E", "SELIC", "IPCA-E e SELIC", "n/a"))} AS rate_index,
   {pick("case_id + cust_id", _quoted("juros de 1% ao mês", "juros pela SELIC", "juros legais", "-"))} AS interest,
@@ -105,6 +105,16 @@ SELECT case_id, case_id % 2 + 1 AS version, case case_id % 2
   else '{{"pay":{{"terms":"' || pay || '","reais":"' || cast(reais as string) || '"}},"number":"' || number || '","dates":[{{"on":"' || {dmy("hired_on")} || '","kind":"hired","page":' || cast(case_id % 9 as string) || '}}],"deducts":' || case when deducts then 'true' else 'false' end || case when case_id % 3 = 0 then ',"note":{{"text":"' || deduction_note || '"}}' else '' end || '}}' end AS record
 FROM cases"""
 
+_TIERED_TEXTS = f"""
+SELECT case_id, cust_id, number, filed_on, ruled_on,
+  case case_id % 3 when 0 then 'Ref. 0000001-11.2020.5.04.0001. Processo: ' || number when 1 then 'Visto ' || number || ' e 0000001-11.2020.5.04.0001' else 'sem registro' end || '. '
+  || case case_id % 4 when 0 then 'Assinado eletronicamente por A em ' || {dmy("ruled_on")} || '. Assinado digitalmente por B em ' || {dmy("filed_on")} || '. Publicado em 01/02/2020. ' when 1 then 'Publicada em ' || {dmy("ruled_on")} || '. Canoas, 1 de maio de 2020. '
+    when 2 then 'Canoas, 40 de maio de 2020. Esteio, 12  de Março de 2024. ' else '' end
+  || {pick("cust_id", _quoted("O pedido de demissão foi convertido em rescisão indireta. ", "Com justa causa, diz a ré; foi dispensado sem justa causa. ", "Sem justa causa, diz o autor; foi com justa causa. ", "Demitiu-se. ", "Término do prazo do contrato. ", "Sem notícia. "))}
+  || {pick("case_id + 1", _quoted("Período de experiência; vínculo de emprego. ", "Contrato de trabalho com prazo determinado. ", "Houve pejotização, que se reconhece como fraude. ", "Autônomo, vínculo que se reconhece. ", "Regido pela CLT. ", "Nada consta. "))}
+  || {pick("case_id + cust_id", _quoted("Aviso prévio proporcional de 33 (trinta e três) dias.", "São 45 dias de aviso previo.", "Aviso prévio de 120 dias, ou 30 dias de aviso prévio.", "Aviso prévio 19 dias.", "Aviso prévio de 20 dias.", "Sem aviso."))} AS text
+FROM cases"""
+
 _PARAM_YEARS = "SELECT DISTINCT cast(year(filed_on) as int) AS y, cast((SELECT max(year(filed_on)) FROM case_dates) as int) AS last FROM case_dates"
 
 _PARAM_RECORDS = """
@@ -116,7 +126,7 @@ SELECT y, 'bands' AS kind, '{"faixas":[{"faixa":1,"base_calculo_ate":' || cast(1
   || cast(y as string) || '-02-01","fim":' || case when y = last then 'null' else '"' || cast(y + 1 as string) || '-01-31"' end || '}}' AS record FROM param_years"""
 
 #: Name -> SQL over the supplied tables and other derived ones.
-DERIVED = {"case_dates": _CASE_DATES, "cases": _CASES, "texts": _TEXTS, "items": _ITEMS, "calc": _CALC, "case_pages": _CASE_PAGES, "dossier_pages": _DOSSIER_PAGES, "case_records": _CASE_RECORDS, "param_years": _PARAM_YEARS, "param_records": _PARAM_RECORDS}
+DERIVED = {"case_dates": _CASE_DATES, "cases": _CASES, "texts": _TEXTS, "items": _ITEMS, "calc": _CALC, "case_pages": _CASE_PAGES, "dossier_pages": _DOSSIER_PAGES, "case_records": _CASE_RECORDS, "tiered_texts": _TIERED_TEXTS, "param_years": _PARAM_YEARS, "param_records": _PARAM_RECORDS}
 _SUPPLIED = ("orders", "lineitem")
 
 
