@@ -96,10 +96,13 @@ def dmy(c: Column) -> Column:
 NUMBER = r"(\d{7})-(\d{2})\.(\d{4})\.(\d)\.(\d{2})\.(\d{4})"
 
 
-def check_digit_ok(c: Column) -> Column:
-    """Whether a case number's two digits are 98 minus the rest of it by 97; null without a number."""
+def check_digit_ok(c: Column, factor: int = 100) -> Column:
+    """Whether a case number's two digits are 98 minus the rest of it, times the factor, by 97; null without a number.
+
+    100 leaves the digits' own place free, as the public rule has it; 1 takes the rest as it stands.
+    """
     part = lambda n: F.regexp_extract(c, NUMBER, n)
-    rest = F.concat(part(1), *(part(i) for i in range(3, 7))).try_cast("decimal(20,0)") % 97
+    rest = F.concat(part(1), *(part(i) for i in range(3, 7))).try_cast("decimal(20,0)") * factor % 97
     return F.when(part(1) != "", F.lit(98) - rest == part(2).try_cast("int"))
 
 

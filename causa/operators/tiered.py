@@ -18,9 +18,9 @@ def _valued(value: Column, tier: Column | str) -> Column:
 
 
 def case_number(c: Column) -> Column:
-    """The first labelled number, else the first of all; high if its check digits are right, else medium."""
+    """The first labelled number, else the first of all; high if its check digits are 98 less the rest by 97, else medium."""
     found = F.coalesce(fields.field(c, f"(?iu){catalogs.NUMBER_LABEL}({catalogs.CASE_NUMBER})"), fields.field(c, catalogs.CASE_NUMBER))
-    return _valued(found, F.when(text.check_digit_ok(found), "high").otherwise("medium"))
+    return _valued(found, F.when(text.check_digit_ok(found, factor=1), "high").otherwise("medium"))
 
 
 def ruling_date(c: Column) -> Column:

@@ -366,7 +366,7 @@ def extract_case_fields(spark, sf_dir):
     return t.select("case_id", *(fields.field(F.col("text"), p.replace("(?i)", "(?iu)", 1)).alias(n) for n, p, _ in LEGAL_FIELDS), free.alias("free_justice"))
 
 
-_TIERED = """SELECT case_id, case when case_id % 3 < 2 then number end AS number, case when case_id % 3 < 2 then case when case_id % 7 = 0 then 'medium' else 'high' end end AS number_tier,
+_TIERED = """SELECT case_id, case when case_id % 3 < 2 then number end AS number, case when case_id % 3 < 2 then case when cast(substr(number, 9, 2) as int) = 98 - cast(substr(number, 1, 7) || substr(number, 12, 4) || substr(number, 17, 1) || substr(number, 19, 2) || substr(number, 22, 4) as bigint) % 97 then 'high' else 'medium' end end AS number_tier,
   case case_id % 4 when 0 then ruled_on when 1 then ruled_on when 2 then date '2024-03-12' end AS ruled, case when case_id % 4 < 3 then 'high' end AS ruled_tier,
   ['Rescisão indireta', 'Sem justa causa', 'Com justa causa', 'Pedido de demissão', 'Término de contrato', NULL][cust_id % 6 + 1] AS reason, case when cust_id % 6 < 5 then 'medium' end AS reason_tier,
   ['Experiência', 'Prazo determinado', 'Pejotização reconhecida', 'Autônomo reconhecido', 'CLT', NULL][(case_id + 1) % 6 + 1] AS contract, ['high', 'high', 'medium', 'medium', 'medium', NULL][(case_id + 1) % 6 + 1] AS contract_tier,
