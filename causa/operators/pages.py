@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causa import catalogs
+from causa.sources import files
 
 Anchors = Sequence[tuple[str, str, str | None]]
 
@@ -144,7 +145,7 @@ def contents(pages: DataFrame, kinds: Sequence[tuple[str, str]] = catalogs.CONTE
 
 def decisions(pages: DataFrame) -> DataFrame:
     """(doc_id, kind, first_page, last_page): the signed decision block, else the one by structure, else the surroundings of the last ruling."""
-    flags = page_flags(pages)
+    flags = files.kept(page_flags(pages), "flags")  # read four times, without the texts
     block = F.struct("first_page", "last_page")
     signed, built, last = (b.select("doc_id", block.alias(n)) for n, b in (("signed", decision_block(flags)), ("built", fallback_block(flags)), ("last", last_ruling_block(flags))))
     best = last.join(built, "doc_id", "left").join(signed, "doc_id", "left").select("doc_id", F.coalesce("signed", "built", "last").alias("b")).select("doc_id", "b.*")
@@ -155,9 +156,10 @@ def decisions(pages: DataFrame) -> DataFrame:
 
 def timeline(pages: DataFrame) -> DataFrame:
     """(doc_id, kind, origin, first_page, last_page): pieces by contents; by anchors where a document has none; the decision by its pages where neither names one."""
-    listed = contents(pages).withColumn("origin", F.lit("contents"))
+    # written once each: they are read again below, and a join on top of the union would rely on its partitions
+    listed = files.kept(contents(pages).withColumn("origin", F.lit("contents")), "contents")
     found = anchors(pages).join(listed.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("origin", F.lit("anchor"))
-    named = listed.unionByName(found)
+    named = files.kept(listed.unionByName(found), "named")
     decided = named.where("kind in ('sentence', 'appeal')").select("doc_id").distinct()
     block = decisions(pages.join(decided, "doc_id", "left_anti")).withColumn("origin", F.lit("block"))
     return named.unionByName(block).select("doc_id", "kind", "origin", "first_page", "last_page")

@@ -114,3 +114,18 @@ def test_timeline_takes_contents_then_anchors_then_the_block(spark):
         (1, "sentence", "contents", 2, 3), (2, "defence", "contents", 2, 5), (2, "sentence", "block", 3, 4), (3, "defence", "anchor", 1, 2), (3, "sentence", "block", 3, 4),
         (4, "sentence", "block", 1, 2), (5, "appeal", "block", 1, 2),
     ]
+
+
+def test_timeline_without_broadcasts(spark):
+    """Joins above a union must not count on the union's partitions."""
+    import causa.plans.queries  # noqa: F401
+    from causa.plans.registry import QUERIES
+
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        assert QUERIES["timeline"](spark, "/root/testdata/sf0.001").count() > 0
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
