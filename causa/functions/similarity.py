@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -40,6 +41,74 @@ def partial(a: str, b: str) -> float:
     return max((ratio(a, b[i : i + len(a)]) for i in range(len(b) - len(a) + 1)), default=100.0) if a else 0.0
 
 
+#: Code points that are compared at once.
+_CHUNK = 1 << 20
+
+
+def _codes(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _places(codes: np.ndarray, short: str) -> np.ndarray:
+    """For each code point the places in a string of at most 63 letters that have it, as bits."""
+    bits: dict[int, int] = {}
+    for i, x in enumerate(_codes(short).tolist()):
+        bits[x] = bits.get(x, 0) | 1 << i
+    known = np.array(sorted(bits), np.uint32)
+    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+    return np.where(known[at] == codes, np.array([bits[x] for x in sorted(bits)], np.uint64)[at], np.uint64(0))
+
+
+def _common_of(column, width: int, size: int) -> np.ndarray:
+    """_common() of one string of `size` letters with many of `width`; column(j): places of the letter j of each."""
+    row = full = np.uint64((1 << size) - 1)
+    for j in range(width):
+        hit = row & column(j)
+        row = ((row + hit) | (row - hit)) & full
+    return size - np.bitwise_count(row).astype(np.int64)
+
+
+def _near(lines: list[str], phrase: str, least: float) -> np.ndarray:
+    """partial() >= least of each line, for lines that aren't empty: all windows of all lines at once."""
+    m = len(phrase)
+    sizes = np.array([len(x) for x in lines])
+    out = np.zeros(len(lines), bool)
+    wide = np.flatnonzero(sizes >= m)
+    if len(wide):
+        places = _places(_codes("".join(lines[i] for i in wide)), phrase)
+        line = np.repeat(np.arange(len(wide)), sizes[wide])
+        met = np.concatenate([[0], np.cumsum(places != 0)])
+        starts = np.flatnonzero((line[: len(line) - m + 1] == line[m - 1 :]) & (200.0 * (met[m:] - met[:-m]) / (m + m) >= least))
+        common = _common_of(lambda j: places[starts + j], m, m)
+        out[wide[line[starts[200.0 * common / (m + m) >= least]]]] = True
+    for n in set(sizes[sizes < m].tolist()):
+        at = np.flatnonzero(sizes == n)
+        codes = _codes("".join(lines[i] for i in at)).reshape(len(at), n)
+        for k in range(m - n + 1):
+            places = _places(codes, phrase[k : k + n])
+            out[at] |= 200.0 * _common_of(lambda j, p=places: p[:, j], n, n) / (n + n) >= least
+    return out
+
+
+def resembles(line, phrase: str, least: float = 85):
+    """Whether partial_ratio of a line and one phrase is `least` or more; false for an empty or missing line."""
+
+    @F.pandas_udf("boolean")
+    def run(x: pd.Series) -> pd.Series:
+        codes, own = pd.factorize(x.where(x.notna(), "").astype(object))
+        found, part, held = [], [], 0
+        for n, s in enumerate(own, 1):
+            part.append(s)
+            held += len(s)
+            if held >= _CHUNK or n == len(own):
+                near = [partial(s, phrase) >= least for s in part] if len(phrase) > 63 else _near([s or "\0" for s in part], phrase, least)
+                found.append(np.asarray(near, bool) & np.array([s != "" for s in part]))
+                part, held = [], 0
+        return pd.Series(np.concatenate(found)[codes] if found else np.zeros(0, bool))
+
+    return run(line)
+
+
 def _pairwise(score, name: str):
     def column(a, b):
         @F.pandas_udf("double")

@@ -79,10 +79,9 @@ def stream_timeouts(spark, sf_dir):
 
 @query()
 def section_fuzzy(spark, sf_dir):
-    """First line of each document that resembles a synonym; similarity is scored on distinct pairs that can reach the threshold."""
-    synonyms = spark.createDataFrame([("terms", "licensed under the terms"), ("notice", "all rights reserved")], "section string, synonym string")
+    """First line of each document that resembles a synonym; all windows of a batch of lines are scored at once."""
+    synonyms = (("terms", "licensed under the terms"), ("notice", "all rights reserved"))
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", text.norm_text(F.col("line")).alias("line"))
-    near = lines.join(F.broadcast(synonyms), similarity.may_resemble(F.col("line"), F.col("synonym")))
-    scored = near.select("line", "section", "synonym").distinct().where(similarity.partial_ratio("line", "synonym") >= 85)
-    hit = near.join(scored, ["line", "section", "synonym"])
-    return hit.groupBy("doc_id", "section").agg(F.min("line_no").alias("line_no"))
+    near = lines.select("doc_id", "line_no", *(similarity.resembles(F.col("line"), s).alias(n) for n, s in synonyms))
+    first = near.groupBy("doc_id").agg(*(F.min(F.when(F.col(n), F.col("line_no"))).alias(n) for n, _ in synonyms))
+    return first.unpivot("doc_id", [n for n, _ in synonyms], "section", "line_no").where("line_no is not null")

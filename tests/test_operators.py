@@ -357,3 +357,14 @@ def test_amounts_by_variant_and_short_years(spark):
     assert float(values(spark, text.parse_money(F.col("v"), "digits"), ["R$ 1.234,56 !"])[0]) == 1234.56
     dates = values(spark, text.parse_date(F.col("v")), ["01/02/95", "1/2/20", "31/12/68", "01/01/69", "01/02/1995"])
     assert dates == [dt.date(1995, 2, 1), dt.date(2020, 2, 1), dt.date(2068, 12, 31), dt.date(1969, 1, 1), dt.date(1995, 2, 1)]
+
+
+def test_resembles_equals_the_plain_score(spark):
+    """Also for lines without a full window, wide letters and windows that would cross two lines."""
+    rng = random.Random(3)
+    phrase = "licensed under the terms"
+    lines = ["", "a", "licensed", "under the", "licensed under the terms", "licensed under", "the terms", "x licensed vnder the tems of", "licença sob os termos 😀", None, "z" * 40]
+    lines += ["".join(rng.choice(phrase) for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    lines += [(lambda t: t[:k] + rng.choice("xyz e") + t[k + rng.randint(0, 2) :])(f"so {phrase} of") for k in range(26) for _ in range(4)]
+    rows = spark.createDataFrame([(x,) for x in lines], "v string").coalesce(1).select("v", similarity.resembles(F.col("v"), phrase).alias("got")).collect()
+    assert [r.got for r in rows] == [bool(x) and similarity.partial(x, phrase) >= 85 for x in lines]
