@@ -359,6 +359,13 @@ def test_amounts_by_variant_and_short_years(spark):
     assert dates == [dt.date(1995, 2, 1), dt.date(2020, 2, 1), dt.date(2068, 12, 31), dt.date(1969, 1, 1), dt.date(1995, 2, 1)]
 
 
+def test_xml_files_are_read_once(spark):
+    from causa.plans import reports
+
+    found = reports.calc_critical_check(spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("XPathStringEvaluator") == 1
+
+
 def test_resembles_equals_the_plain_score(spark):
     """Also for lines without a full window, wide letters and windows that would cross two lines."""
     rng = random.Random(3)
