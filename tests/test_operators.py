@@ -375,3 +375,22 @@ def test_resembles_equals_the_plain_score(spark):
     lines += [(lambda t: t[:k] + rng.choice("xyz e") + t[k + rng.randint(0, 2) :])(f"so {phrase} of") for k in range(26) for _ in range(4)]
     rows = spark.createDataFrame([(x,) for x in lines], "v string").coalesce(1).select("v", similarity.resembles(F.col("v"), phrase).alias("got")).collect()
     assert [r.got for r in rows] == [bool(x) and similarity.partial(x, phrase) >= 85 for x in lines]
+
+
+def test_reflexes_that_are_unknown_silence_no_other_rule(spark):
+    bare = ("DSR", "deferida", "p", None, True, None, "DSR", "DSR")
+    got = alerts_of(spark, [{"items": [bare, item("Multa do art. 477", "Multa Art. 477 CLT", ["FGTS"])]}])[0]
+    assert got["ART_477_CLT"] == [("AVISO", "multa deferida")] and [x for x, _ in got["OJ_394_SDI1_TST_REFLEXOS_PROIBIDOS"]] == ["ERRO"]
+
+
+def test_rules_are_columns_before_they_are_exploded(spark):
+    found = rules.apply(spark.createDataFrame([], CASE), legal_rules.RULES)
+    made = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in x]
+    assert made and not any("CASE" in x or "RLIKE" in x for x in made)
+
+
+def test_values_of_texts_by_either_join(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None)], "n int, t string")
+    for few in (20_000, 1):
+        got = items.with_values(rows, "t", few, u=F.upper("t"))
+        assert sorted((r.n, r.t, r.u) for r in got.collect()) == [(1, "a", "A"), (2, "b", "B"), (3, "a", "A"), (4, None, None)]
