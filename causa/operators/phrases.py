@@ -45,20 +45,43 @@ def candidates(texts: DataFrame, catalog: DataFrame) -> DataFrame:
     return holding.unionByName(held).unionByName(words).unionByName(spaced).distinct()
 
 
+def by_words(texts: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(id, rank) pairs of texts and phrases of three words or more that they may hold, without a pair lost.
+
+    A text that holds such a phrase has each of its inner words whole, so each phrase has one entry, under the rarest.
+    texts: id, plain; catalog: rank, phrase.
+    """
+    split = F.split("phrase", " ")
+    inner = catalog.select("rank", F.explode(F.array_distinct(F.slice(split, F.lit(2), F.size(split) - 2))).alias("word"))
+    had = texts.select("id", F.explode(F.array_distinct(F.split("plain", " "))).alias("word"))
+    known = files.kept(had.join(inner.select("word").distinct(), "word", "left_semi"), "words")
+    uses = known.groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
+    entry = inner.join(uses, "word", "left").groupBy("rank").agg(F.min_by("word", F.struct(F.coalesce("uses", F.lit(0)), "word")).alias("word"))
+    return known.join(entry, "word").select("id", "rank")
+
+
 def keys(rows: DataFrame, catalog: DataFrame, column: str) -> DataFrame:
     """(plain, rank, key): for each different normalised text the phrase equal to it, else the first in rank that it
     holds or that holds it; texts without one have no row. As `text.phrase_key`, for catalogs of any size.
 
     catalog: rank (distinct), phrase, key. Phrases under four letters match whole words only, texts under four letters
     are held by no phrase. Nulls and empty phrases or texts match nothing; of equal phrases the first in rank counts.
-    Texts stay out of the exchange of grams: they go by a hash of 128 bits, and join again where a candidate is.
+    Phrases of three words or more are met by a whole inner word, others by grams.
+    Texts stay out of these exchanges: they go by a hash of 128 bits, and join again where a candidate is.
     """
     plain = rows.select(text.norm_text(F.col(column)).alias("plain")).where("plain <> ''").distinct()
     texts = files.kept(plain.select(F.md5("plain").alias("id"), "plain"), "texts")
     known = catalog.select("rank", "key", text.norm_text(F.col("phrase")).alias("phrase")).where("phrase <> ''")
     first = known.groupBy("phrase").agg(F.min_by(F.struct("rank", "key"), "rank").alias("f")).select("phrase", "f.*")
     first = files.kept(first, "phrases")
-    found = candidates(texts.withColumn("grams", grams(F.col("plain"))), first.withColumn("grams", grams(F.col("phrase"))))
+    gram_of = lambda t, c: t.withColumn("grams", grams(F.col(c)))
+    many = F.size(F.split("phrase", " ")) >= 3
+    longest = first.agg(F.max(F.length("phrase"))).first()[0] or 0
+    # a phrase holds no text longer than itself, so grams are cut of long texts only for phrases without an inner word
+    found = candidates(gram_of(texts.where(F.length("plain") <= longest), "plain"), gram_of(first, "phrase")).unionByName(by_words(texts, first.where(many)))
+    if not first.where(~many).isEmpty():
+        found = found.unionByName(candidates(gram_of(texts.where(F.length("plain") > longest), "plain"), gram_of(first.where(~many), "phrase")))
+    found = found.distinct()
     whole = F.contains(F.concat(F.lit(" "), F.col("plain"), F.lit(" ")), F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
     inside = F.when(F.length("phrase") < GRAM, whole).otherwise(F.contains("plain", "phrase")) | ((F.length("plain") >= GRAM) & F.contains("phrase", "plain"))
     near = found.join(texts, "id").join(first, "rank").where(inside).select("plain", "rank", "key", F.lit(1).alias("far"))

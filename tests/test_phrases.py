@@ -60,3 +60,16 @@ def test_empty_tables_and_repeated_phrases(spark):
     rows = found(spark, ["x", "abcd abcd"], [(2, "ABCD", "late"), (1, "abcd", "first"), (3, None, "null"), (4, "", "none"), (5, "x", "one"), (6, "a b", "two")]).collect()
     assert {(r.plain, r.key) for r in rows} == {("x", "one"), ("abcd abcd", "first")}
     assert [r.key for r in found(spark, ["z a b z"], [(6, "a b", "two")]).collect()] == ["two"]
+
+
+def test_long_texts_meet_long_phrases_without_grams(spark, monkeypatch):
+    cut, plain = [], phrases.candidates
+
+    def watched(texts, catalog):
+        cut.extend(r.plain for r in texts.select("plain").collect())
+        return plain(texts, catalog)
+
+    monkeypatch.setattr(phrases, "candidates", watched)
+    long = f"{'outra palavra ' * 20}xalfa beta gamay {'outra palavra ' * 20}".strip()
+    got = found(spark, [long, "beta gam", "alfa gama"], [(1, "alfa beta gama", "k")]).collect()
+    assert {r.plain for r in got} == {long, "beta gam"} and sorted(cut) == ["alfa gama", "beta gam"]
