@@ -12,15 +12,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causa import catalogs
+from causa.operators import items
 from causa.sources import files
 
 Anchors = Sequence[tuple[str, str, str | None]]
 
 
 def page_flags(pages: DataFrame, catalog: Mapping[str, str] = catalogs.PAGE_FLAGS) -> DataFrame:
-    """(doc_id, page_no, signed_on, one boolean per catalog entry)."""
+    """(doc_id, page_no, signed_on, one boolean per catalog entry); texts that many pages share are read once."""
     signed = F.try_to_date(F.regexp_extract("text", catalogs.SIGNED_ON, 1), "dd/MM/yyyy")
-    return pages.select("doc_id", "page_no", signed.alias("signed_on"), *(F.col("text").rlike(p.replace("(?i)", "(?iu)", 1)).alias(n) for n, p in catalog.items()))
+    found = {"signed_on": signed, **{n: F.col("text").rlike(p.replace("(?i)", "(?iu)", 1)) for n, p in catalog.items()}}
+    return items.with_shared_values(pages.select("doc_id", "page_no", "text"), "text", **found).select("doc_id", "page_no", *found)
 
 
 def islands(flags: DataFrame) -> DataFrame:

@@ -129,3 +129,15 @@ def test_timeline_without_broadcasts(spark):
     finally:
         for k in keys:
             spark.conf.unset(k)
+
+
+def test_shared_texts_are_read_once(spark):
+    rows = [(d, n, (None, "", "DISPOSITIVO Assinado eletronicamente por X em 01/02/2024", "PROCURAÇÃO", "VISTOS, etc.")[(d + n) % 5]) for d in range(20) for n in range(1, 9)]
+    frame_of = lambda r: spark.createDataFrame(r, "doc_id long, page_no int, text string")
+    shared = pages.page_flags(frame_of(rows))
+    plan = shared._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "rlike" not in plan and "broadcast" in plan  # of five texts the flags are read once, not 160 times
+    # texts that differ in every page stay where they are, and have the same flags
+    apart = pages.page_flags(frame_of([(d, n, None if t is None else f"{t}\n{d}.{n}") for d, n, t in rows]).unionByName(frame_of([(99, n, f"folha {n}" + "x" * 200_000) for n in range(1, 200)])))
+    assert "rlike" in apart._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted(map(repr, shared.collect())) == sorted(map(repr, apart.where("doc_id < 99").collect()))
