@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from causa import catalogs
 from causa.functions import derive, similarity, text
 from causa.operators import compare, fields, items, learning, pages, rules
 from causa.plans import legal_rules, queries  # noqa: F401
-from causa.plans.registry import QUERIES
+from causa.plans.registry import ORACLES, QUERIES
 from causa.sources import files
 
 
@@ -394,3 +396,23 @@ def test_values_of_texts_by_either_join(spark):
     for few in (20_000, 1):
         got = items.with_values(rows, "t", few, u=F.upper("t"))
         assert sorted((r.n, r.t, r.u) for r in got.collect()) == [(1, "a", "A"), (2, "b", "B"), (3, "a", "A"), (4, None, None)]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_check_digit_reads_the_number_once(spark):
+    df = spark.createDataFrame([("0001234-58.2023.5.04.0001",)], "v string").select(text.check_digit_ok(F.col("v")).alias("ok"))
+    assert plan_of(df).lower().count("regexp_extract(") == 1
+
+
+def test_rows_of_items_do_not_carry_the_whole_case():
+    conditions = [c for r in (*legal_rules.RULES, *legal_rules.STRICT_RULES) for c in (*(o[0] for o in r.outcomes), *(o[0] for o in r.item_outcomes))]
+    assert conditions and not [c for c in conditions if re.search(r"\bitems\b", c)]
+
+
+def test_repeated_items_without_period_or_key(spark):
+    rows = [item("Horas Extras"), item("Horas Extras"), item("FGTS", period=None), item("FGTS", period=None), item("Horas Extras", period=" X "), item("Horas Extras", period="x")]
+    found = alerts_of(spark, [{"items": rows}])[0]["CONSISTENCIA_VERBAS_DUPLICADAS"]
+    assert len(found) == 2, found
