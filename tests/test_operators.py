@@ -416,3 +416,15 @@ def test_repeated_items_without_period_or_key(spark):
     rows = [item("Horas Extras"), item("Horas Extras"), item("FGTS", period=None), item("FGTS", period=None), item("Horas Extras", period=" X "), item("Horas Extras", period="x")]
     found = alerts_of(spark, [{"items": rows}])[0]["CONSISTENCIA_VERBAS_DUPLICADAS"]
     assert len(found) == 2, found
+
+
+def test_backfill_cuts_only_texts_of_cases_without_items(spark, tmp_path):
+    for t, where in (("orders", "true"), ("lineitem", "l_orderkey % 5 <> 0")):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").where(where).write.parquet(f"{tmp_path}/{t}.parquet")
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df = QUERIES["item_backfill"](spark, str(tmp_path))
+    got = sorted(map(tuple, df.select("case_id", "pos", "item", "origin").collect()))
+    assert got == sorted(con.execute(f"SELECT case_id, pos, item, origin FROM ({ORACLES['item_backfill']})").fetchall()) and any(r[3] == "text" for r in got)
+    assert plan_of(df).index("Generate") < plan_of(df).index("LeftSemi")
