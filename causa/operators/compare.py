@@ -6,16 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causa.functions import similarity, text
+from causa.operators import items
+from causa.sources import files
 
 
 def missing_items(granted: DataFrame, calculated: DataFrame) -> DataFrame:
     """Granted items (case_id, item_no, name, canonical, low) without a calculated one of the case that has
     the same canonical name or contains the name or is contained in it.
 
-    Equal canonical names go by an equi-join first; only the rest is compared by containment, within the case.
+    Equal canonical names go by an equi-join first; only the rest is compared by containment, within the case. Names
+    repeat, so they are read once per different one.
     """
-    given = granted.select("case_id", "item_no", "name", text.canonical_name(F.col("name")).alias("canonical"), F.lower(F.trim("name")).alias("low"))
-    there = calculated.select("case_id", text.canonical_name(F.col("name")).alias("canonical"), F.lower(F.trim("name")).alias("calc_low"))
+    named = lambda rows: items.with_values(rows, "name", canonical=text.canonical_name(F.col("name")), low=F.lower(F.trim("name")))
+    given = named(granted.select("case_id", "item_no", "name")).select("case_id", "item_no", "name", "canonical", "low")
+    there = named(calculated.select("case_id", "name")).select("case_id", "canonical", F.col("low").alias("calc_low"))
     rest = given.join(there.select("case_id", "canonical").distinct(), ["case_id", "canonical"], "left_anti")
     low = there.select(F.col("case_id").alias("calc_case"), "calc_low").distinct()
     near = (F.col("case_id") == F.col("calc_case")) & (F.contains("calc_low", "low") | F.contains("low", "calc_low"))
@@ -23,12 +27,16 @@ def missing_items(granted: DataFrame, calculated: DataFrame) -> DataFrame:
 
 
 def drop_similar(missing: DataFrame, calculated: DataFrame, threshold: int = 85) -> DataFrame:
-    """Missing items none of the case's calculated names resembles; similarity is scored on distinct pairs of names."""
-    low = calculated.select("case_id", F.lower(F.trim("name")).alias("calc_low")).distinct()
-    pairs = missing.join(low, "case_id").select("low", "calc_low").distinct()
-    alike = pairs.where(similarity.token_set_ratio("low", "calc_low") >= threshold)
-    hit = missing.join(low, "case_id").join(alike, ["low", "calc_low"]).select("case_id", "item_no").distinct()
-    return missing.join(hit, ["case_id", "item_no"], "left_anti").select("case_id", "item_no", "name")
+    """Missing items none of the case's calculated names resembles; similarity is scored on distinct pairs of names.
+
+    Both sides are written first, as they are read twice: for the pairs, and to drop what resembles. Up to few pairs are broadcast.
+    """
+    missing = files.kept(missing.select("case_id", "item_no", "name", "low"), "missing")
+    low = files.kept(calculated.join(missing.select("case_id").distinct(), "case_id", "left_semi").select("case_id", F.lower(F.trim("name")).alias("calc_low")).distinct(), "calculated")
+    pairs = missing.select("case_id", "low").distinct().join(low, "case_id").select("low", "calc_low").distinct()
+    alike = files.kept(pairs.where(similarity.token_set_ratio("low", "calc_low") >= threshold), "alike")
+    hit = low.join(F.broadcast(alike) if alike.count() <= items.FEW else alike.hint("merge"), "calc_low").select("case_id", "low").distinct()
+    return missing.join(hit, ["case_id", "low"], "left_anti").select("case_id", "item_no", "name")
 
 
 def differs(said: Column, calculated: Column) -> Column:

@@ -418,6 +418,13 @@ def test_repeated_items_without_period_or_key(spark):
     assert len(found) == 2, found
 
 
+def test_missing_items_are_computed_once_to_drop_similar_ones(spark):
+    missing = spark.createDataFrame([(1, 1, "Bonus anual", "bonus anual"), (2, 1, "Outra", "outra"), (3, 1, "Sem lista", "sem lista")], "case_id long, item_no int, name string, low string")
+    got = compare.drop_similar(missing, spark.createDataFrame([(1, "Bonus anual pago"), (1, None), (2, "Vale"), (4, "Outra")], "case_id long, name string"))
+    assert {(r.case_id, r.name) for r in got.collect()} == {(2, "Outra"), (3, "Sem lista")}
+    assert "LogicalRDD" not in plan_of(got) and "LocalRelation" not in plan_of(got)
+
+
 def test_backfill_cuts_only_texts_of_cases_without_items(spark, tmp_path):
     for t, where in (("orders", "true"), ("lineitem", "l_orderkey % 5 <> 0")):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").where(where).write.parquet(f"{tmp_path}/{t}.parquet")
