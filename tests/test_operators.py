@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from causa import catalogs
-from causa.functions import derive, similarity, text
+from causa.functions import calculation, derive, similarity, text
 from causa.operators import compare, fields, items, learning, pages, rules
 from causa.plans import legal_rules, queries  # noqa: F401
 from causa.plans.registry import ORACLES, QUERIES
@@ -425,6 +425,16 @@ def test_missing_items_are_computed_once_to_drop_similar_ones(spark):
     assert "LogicalRDD" not in plan_of(got) and "LocalRelation" not in plan_of(got)
 
 
+def test_calculation_files_are_read_as_by_xpath(spark):
+    files_of = [
+        "<calculo><indice>SELIC</indice><divisor>220</divisor><verba><nome>A &amp; B </nome></verba><verba><nome> á<x>in</x>fim</nome><nome/></verba></calculo>",
+        "<calculo><divisor> 2<b>0</b> </divisor><divisor>1</divisor><c><verba><nome>D</nome></verba></c><nome>E</nome></calculo>", "<verba><nome>F</nome></verba>", "<calculo/>", None,
+    ]
+    df = spark.createDataFrame([(x,) for x in files_of], "xml string")
+    paths = [F.expr(e) for e in ("xpath_string(xml, '/calculo/indice')", "xpath_string(xml, '/calculo/divisor')", "xpath(xml, '//verba/nome/text()')")]
+    assert [tuple(r) for r in df.select(calculation.read(F.col("xml")).alias("c")).select("c.*").collect()] == [tuple(r) for r in df.select(*paths).collect()]
+
+
 def test_backfill_cuts_only_texts_of_cases_without_items(spark, tmp_path):
     for t, where in (("orders", "true"), ("lineitem", "l_orderkey % 5 <> 0")):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").where(where).write.parquet(f"{tmp_path}/{t}.parquet")
