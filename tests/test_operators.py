@@ -435,6 +435,11 @@ def test_calculation_files_are_read_as_by_xpath(spark):
     assert [tuple(r) for r in df.select(calculation.read(F.col("xml")).alias("c")).select("c.*").collect()] == [tuple(r) for r in df.select(*paths).collect()]
 
 
+def test_repeated_tails_are_sought_once(spark):
+    df = spark.createDataFrame([("x",)], "v string").select(text.cut_repeat(F.col("v"), catalogs.REPEAT_NOTICE, catalogs.REPEAT_RULING, catalogs.PAGE_LABEL).alias("kept"))
+    assert plan_of(df).lower().count("regexp_instr(") == 3
+
+
 def test_backfill_cuts_only_texts_of_cases_without_items(spark, tmp_path):
     for t, where in (("orders", "true"), ("lineitem", "l_orderkey % 5 <> 0")):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").where(where).write.parquet(f"{tmp_path}/{t}.parquet")
