@@ -18,19 +18,23 @@ def fields(records: DataFrame, json_col: str = "record", by: str = "version", de
     """
     spark = records.sparkSession
     value = F.try_parse_json(F.col(json_col))
-    level = records.where(F.col(json_col).isNotNull()).select(F.col(by).alias("version"), F.xxhash64(F.monotonically_increasing_id()).alias("row"), F.lit("$").alias("path"), value.alias("v"))
+    level = records.where(F.col(json_col).isNotNull()).select(F.col(by).alias("version"), F.xxhash64(F.monotonically_increasing_id()).alias("row"), F.lit("$").alias("path"), F.lit(False).alias("many"), value.alias("v"))
     kind = F.when(F.col("v").isNull(), "INVALID").otherwise(F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0))
     found = None
     for _ in range(deepest):
-        here = level.withColumn("type", kind)
-        each = here.groupBy("version", "path", "type", "row").agg(F.lit(1).alias("one")).groupBy("version", "path", "type").agg(F.count(F.lit(1)).alias("records"))
+        # opened once: it is counted, and opened again below; single values need not be written
+        typed = level.withColumn("type", kind).withColumn("v", F.when(F.col("type").isin("OBJECT", "ARRAY"), F.col("v")))
+        here = files.kept(typed, "level")
+        # a record has a path once, but for those that lead through an array: only these are told apart by their records
+        rows = here.groupBy("version", "path", "type", F.when(F.col("many"), F.col("row")).alias("row")).agg(F.count(F.lit(1)).alias("n"))
+        each = rows.groupBy("version", "path", "type").agg(F.sum(F.when(F.col("row").isNull(), F.col("n")).otherwise(1)).alias("records"))
         found = each if found is None else found.unionByName(each)
-        nested = files.kept(here.where("type in ('OBJECT', 'ARRAY')").select("version", "row", "path", "v"), "level")  # opened once, not once per level below
+        nested = here.where("v is not null").select("version", "row", "path", "many", "v")
         if nested.isEmpty():
             break
-        inner = spark.sql("SELECT version, row, path, e.key, e.value FROM {nested} AS n, LATERAL variant_explode(n.v) AS e", nested=nested)
+        inner = spark.sql("SELECT version, row, path, many, e.key, e.value FROM {nested} AS n, LATERAL variant_explode(n.v) AS e", nested=nested)
         step = F.when(F.col("key").isNull(), "[]").otherwise(F.concat(F.lit("."), F.col("key")))
-        level = inner.select("version", "row", F.concat("path", step).alias("path"), F.col("value").alias("v"))
+        level = inner.select("version", "row", F.concat("path", step).alias("path"), (F.col("many") | F.col("key").isNull()).alias("many"), F.col("value").alias("v"))
     return found.groupBy("version", "path").agg(F.array_join(F.array_sort(F.collect_set("type")), "|").alias("type"), F.max("records").alias("records")).select(F.col("version").alias(by), "path", "type", "records")
 
 

@@ -35,3 +35,12 @@ def test_hash_is_the_same_whatever_the_order(spark):
 def test_no_records(spark):
     assert known(spark).where("version = 9").count() == 0
     assert schemas.fields(spark.createDataFrame([], "version int, record string")).collect() == []
+
+
+def test_records_are_opened_once_per_level(spark):
+    rows = [(1, '{"a":{"b":[{"c":1},{"c":2},{"c":"x"}]},"d":[[1],[2,null]]}'), (1, '{"a":{"b":[]}}'), (2, "no json"), (2, None)]
+    found = schemas.fields(spark.createDataFrame(rows, "version int, record string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse_json" not in plan and "schema_of_variant" not in plan
+    got = {(r.version, r.path): (r.type, r.records) for r in found.collect()}
+    assert got[1, "$.a.b[].c"] == ("BIGINT|STRING", 1) and got[1, "$.a.b"] == ("ARRAY", 2) and got[1, "$.d[]"] == ("ARRAY", 1) and got[1, "$.d[][]"] == ("BIGINT|VOID", 1) and got[2, "$"] == ("INVALID", 1)
