@@ -83,3 +83,10 @@ def test_query_equals_a_plain_loop(spark, size):
     rounds = [([(t, k, c) for r, t, k, c in hypotheses if r == n], [(t, c) for r, t, c in cases if r == n], [(t, c, m) for r, t, c, m in missed if r == n], [(t, k) for r, t, k in reports.BY_HAND if r == n]) for n in range(reports.ROUNDS)]
     got = {tuple(r) for r in reports.learning_rounds(spark, folder).collect()}
     assert got == plain_rounds(rounds) and len(got) > 20
+
+
+def test_missing_items_are_computed_once(spark, monkeypatch):
+    calls, plain = [], reports.cases.missing_of
+    monkeypatch.setattr(reports.cases, "missing_of", lambda *a: calls.append(1) or plain(*a))
+    reports.learning_inputs(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
