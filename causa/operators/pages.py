@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causa import catalogs
@@ -16,12 +16,18 @@ from causa.operators import items
 from causa.sources import files
 
 Anchors = Sequence[tuple[str, str, str | None]]
+#: Different page texts that are broadcast with all that is read of them, if they are short together.
+MANY = 100_000
+
+
+def _flags(catalog: Mapping[str, str]) -> dict[str, Column]:
+    signed = F.try_to_date(F.regexp_extract("text", catalogs.SIGNED_ON, 1), "dd/MM/yyyy")
+    return {"signed_on": signed, **{n: F.col("text").rlike(p.replace("(?i)", "(?iu)", 1)) for n, p in catalog.items()}}
 
 
 def page_flags(pages: DataFrame, catalog: Mapping[str, str] = catalogs.PAGE_FLAGS) -> DataFrame:
     """(doc_id, page_no, signed_on, one boolean per catalog entry); texts that many pages share are read once."""
-    signed = F.try_to_date(F.regexp_extract("text", catalogs.SIGNED_ON, 1), "dd/MM/yyyy")
-    found = {"signed_on": signed, **{n: F.col("text").rlike(p.replace("(?i)", "(?iu)", 1)) for n, p in catalog.items()}}
+    found = _flags(catalog)
     return items.with_shared_values(pages.select("doc_id", "page_no", "text"), "text", **found).select("doc_id", "page_no", *found)
 
 
@@ -93,25 +99,52 @@ def block_text(block: DataFrame, pages: DataFrame, before: int = 3, cover: int =
     return rows.groupBy("doc_id").agg(joined.alias("text"))
 
 
+def _exploded(docs: DataFrame, slices: Column) -> DataFrame:
+    """A row per slice; projected before they are exploded, and exploded with nulls, so that no filter repeats the expression."""
+    return docs.select("doc_id", slices.alias("slices")).select("doc_id", F.explode_outer("slices").alias("s")).where("s is not null").select("doc_id", "s.*")
+
+
+def _anchor_marks(catalog: Anchors) -> dict[str, Column]:
+    return {f"{side}_{k}": F.col("text").rlike(p) for k, start, end in catalog for side, p in (("start", start), ("end", end)) if p}
+
+
+def _by_document(marks: DataFrame, *marked: Column | str, **facts: Column) -> DataFrame:
+    """(doc_id, pages, facts, sheets): a row per document with the last page's number and an array of its pages with their marks, in order."""
+    sheets = F.sort_array(F.collect_list(F.struct("page_no", *marked)))
+    return marks.groupBy("doc_id").agg(F.max("page_no").alias("pages"), *(c.alias(n) for n, c in facts.items()), sheets.alias("sheets"))
+
+
+def _anchor_facts(catalog: Anchors) -> dict[str, Column]:
+    """Of a document: the first page that begins each kind."""
+    return {f"first_{k}": F.min(F.when(F.col(f"start_{k}"), F.col("page_no"))) for k, _, _ in catalog}
+
+
+def _ends(catalog: Anchors) -> list[str]:
+    return [f"end_{k}" for k, _, end in catalog if end]
+
+
+def _anchor_slices(catalog: Anchors, reach: int, open_end: int) -> Column:
+    def piece(k: str, pattern: str | None) -> Column:
+        f = F.col(f"first_{k}")
+        if pattern is None:
+            last = F.least(f + open_end, "pages")
+        else:
+            ends = F.filter("sheets", lambda x: x[f"end_{k}"] & (x["page_no"] > f) & (x["page_no"] < f + reach))
+            last = F.coalesce(F.get(ends, F.lit(0))["page_no"], F.least(f + reach - 1, "pages"))
+        return F.when(f.isNotNull(), F.struct(F.lit(k).alias("kind"), f.alias("first_page"), last.alias("last_page")))
+
+    return F.array_compact(F.array(*(piece(k, end) for k, _, end in catalog)))
+
+
 def anchors(pages: DataFrame, catalog: Anchors = catalogs.ANCHORS, reach: int = 80, open_end: int = 30) -> DataFrame:
     """(doc_id, kind, first_page, last_page): each kind from the first page that matches its start.
 
     It ends at the first later page of the `reach` pages that matches its end, or with the last of them; a kind without
     an end pattern runs on for `open_end` pages more. All kinds come from one pass over the texts.
     """
-    doc = Window.partitionBy("doc_id")
-    marks = pages.select("doc_id", "page_no", *(F.col("text").rlike(p).alias(f"{side}_{k}") for k, start, end in catalog for side, p in (("start", start), ("end", end)) if p))
-    first = {f"first_{k}": F.min(F.when(F.col(f"start_{k}"), F.col("page_no"))).over(doc) for k, _, _ in catalog}
-    seen = marks.withColumns({**first, "pages": F.max("page_no").over(doc)})
-
-    def end(k: str, pattern: str | None):
-        f = F.col(f"first_{k}")
-        if pattern is None:
-            return F.max(F.least(f + open_end, "pages"))
-        return F.coalesce(F.min(F.when(F.col(f"end_{k}") & (F.col("page_no") > f) & (F.col("page_no") < f + reach), F.col("page_no"))), F.max(F.least(f + reach - 1, "pages")))
-
-    found = seen.groupBy("doc_id").agg(*(F.struct(F.lit(k).alias("kind"), F.max(f"first_{k}").alias("first_page"), end(k, p).alias("last_page")).alias(k) for k, _, p in catalog))
-    return found.select("doc_id", F.explode(F.array(*(k for k, _, _ in catalog))).alias("a")).select("doc_id", "a.*").where("first_page is not null")
+    marks = pages.select("doc_id", "page_no", *(c.alias(n) for n, c in _anchor_marks(catalog).items()))
+    docs = _by_document(marks, *_ends(catalog), **_anchor_facts(catalog))
+    return _exploded(docs, _anchor_slices(catalog, reach, open_end))
 
 
 def anchor_ranges(pages: DataFrame, start: str, end: str, reach: int = 80) -> DataFrame:
@@ -119,49 +152,150 @@ def anchor_ranges(pages: DataFrame, start: str, end: str, reach: int = 80) -> Da
     return anchors(pages, (("piece", start, end),), reach).drop("kind")
 
 
-def toc_slices(lines: DataFrame, kinds: Sequence[tuple[str, str]], reach: int = 8) -> DataFrame:
-    """(doc_id, kind, first_page, last_page) from lines (doc_id, pages, at, line) of a table of contents; `at` orders them.
+def _contents_marks(kinds: Sequence[tuple[str, str]]) -> dict[str, Column]:
+    """Whether a text has the heading of a table of contents, and its lines that are entries: (line_no, kind, page)."""
+
+    def entry(raw, i):
+        line = F.trim(raw, F.lit(" \t\r\x0b\x0c"))
+        page = F.regexp_extract(line, catalogs.CONTENTS_PAGE, 1).try_cast("int")
+        kind = F.coalesce(*(F.when(line.rlike(p), k) for k, p in kinds))
+        # the page and the kind are sought only in lines that end in a digit
+        named = F.when(F.right(line, F.lit(1)).between("0", "9") & (F.length(line) >= 5) & (page >= 1), kind)
+        return F.when(named.isNotNull(), F.struct(i.alias("line_no"), named.alias("kind"), page.alias("page")))
 
-    A line of five characters or more that ends in a page number is an entry of the first kind that it names. A kind
-    begins where its first entry says and ends `reach` pages after its last one, before the next kind's beginning and
-    with the file, but never before it begins. Of kinds that begin together, the one that is named first comes first.
+    return {"headed": F.col("text").rlike(catalogs.CONTENTS_HEADING), "entries": F.array_compact(F.transform(F.split("text", "\n"), entry))}
+
+
+def _head(first: int) -> tuple[Column, Column]:
+    """Of a document: whether its first pages have such a heading. Of a page: its entries, if it is one of them and has any."""
+    head = F.col("page_no") <= first
+    return F.bool_or(head & F.col("headed")), F.when(head & (F.size("entries") > 0), F.col("entries")).alias("entries")
+
+
+def _contents_slices(kinds: Sequence[tuple[str, str]], reach: int) -> Column:
+    """A kind begins where its first entry says and ends `reach` pages after its last one, before the next kind's beginning
+    and with the file, but never before it begins. Of kinds that begin together, the one that is named first comes first.
     """
-    line = F.trim(F.col("line"), F.lit(" \t\r\x0b\x0c"))
-    page = F.regexp_extract(line, catalogs.CONTENTS_PAGE, 1).try_cast("int")
-    kind = F.coalesce(*(F.when(line.rlike(p), k) for k, p in kinds))
-    entries = lines.where(F.length(line) >= 5).select("doc_id", "pages", "at", kind.alias("kind"), page.alias("page")).where("kind is not null and page >= 1")
-    found = entries.groupBy("doc_id", "pages", "kind").agg(F.min(F.struct("at", "page")).alias("first"), F.max("page").alias("last"))
-    following = F.lead("first.page").over(Window.partitionBy("doc_id").orderBy("first.page", "first.at"))
-    end = F.greatest(F.least(F.col("last") + reach, F.coalesce(following - 1, F.col("pages")), F.col("pages")), F.col("first.page"))
-    return found.select("doc_id", "kind", F.col("first.page").alias("first_page"), end.alias("last_page"))
+    lines = F.flatten(F.transform(F.filter("sheets", lambda p: p["entries"].isNotNull()), lambda p: F.transform(p["entries"], lambda e: F.struct(p["page_no"].alias("page_no"), e["line_no"].alias("line_no"), e["page"].alias("page"), e["kind"].alias("kind")))))
+
+    def piece(lines, k: str):
+        own = F.filter(lines, lambda e: e["kind"] == k)
+        first = F.array_min(own)
+        return F.when(F.size(own) > 0, F.struct(first["page"].alias("page"), first["page_no"].alias("page_no"), first["line_no"].alias("line_no"), F.array_max(F.transform(own, lambda e: e["page"])).alias("last"), F.lit(k).alias("kind")))
+
+    def end(found, x, i):
+        return F.greatest(F.least(x["last"] + reach, F.coalesce(F.get(found, i + 1)["page"] - 1, F.col("pages")), F.col("pages")), x["page"])
+
+    # a value that is read more than once is bound as an array of one, so that it is computed once
+    found = F.transform(F.array(lines), lambda e: F.sort_array(F.array_compact(F.array(*(piece(e, k) for k, _ in kinds)))))
+    return F.transform(found, lambda f: F.transform(f, lambda x, i: F.struct(x["kind"].alias("kind"), x["page"].alias("first_page"), end(f, x, i).alias("last_page"))))[0]
 
 
 def contents(pages: DataFrame, kinds: Sequence[tuple[str, str]] = catalogs.CONTENTS_KINDS, first: int = 15, reach: int = 8) -> DataFrame:
-    """Slices from the table of contents within the first pages; a document whose first pages have no such heading gives none."""
-    doc = Window.partitionBy("doc_id")
-    head = pages.select("doc_id", "page_no", F.when(F.col("page_no") <= first, F.col("text")).alias("text")).withColumn("pages", F.max("page_no").over(doc)).where(F.col("page_no") <= first)
-    head = head.withColumn("headed", F.bool_or(F.col("text").rlike(catalogs.CONTENTS_HEADING)).over(doc)).where("headed")
-    lines = head.select("doc_id", "pages", "page_no", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return toc_slices(lines.select("doc_id", "pages", F.struct("page_no", "line_no").alias("at"), "line"), kinds, reach)
-
-
-def decisions(pages: DataFrame) -> DataFrame:
-    """(doc_id, kind, first_page, last_page): the signed decision block, else the one by structure, else the surroundings of the last ruling."""
-    flags = files.kept(page_flags(pages), "flags")  # read four times, without the texts
-    block = F.struct("first_page", "last_page")
-    signed, built, last = (b.select("doc_id", block.alias(n)) for n, b in (("signed", decision_block(flags)), ("built", fallback_block(flags)), ("last", last_ruling_block(flags))))
-    best = last.join(built, "doc_id", "left").join(signed, "doc_id", "left").select("doc_id", F.coalesce("signed", "built", "last").alias("b")).select("doc_id", "b.*")
-    within = flags.join(best, "doc_id").where("page_no between first_page and last_page")
-    kind = F.when(F.col("kind") == "appeal", "appeal").otherwise("sentence")
-    return best.join(document_kind(within), "doc_id").select("doc_id", kind.alias("kind"), "first_page", "last_page")
-
-
-def timeline(pages: DataFrame) -> DataFrame:
-    """(doc_id, kind, origin, first_page, last_page): pieces by contents; by anchors where a document has none; the decision by its pages where neither names one."""
-    # written once each: they are read again below, and a join on top of the union would rely on its partitions
-    listed = files.kept(contents(pages).withColumn("origin", F.lit("contents")), "contents")
-    found = anchors(pages).join(listed.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("origin", F.lit("anchor"))
-    named = files.kept(listed.unionByName(found), "named")
-    decided = named.where("kind in ('sentence', 'appeal')").select("doc_id").distinct()
-    block = decisions(pages.join(decided, "doc_id", "left_anti")).withColumn("origin", F.lit("block"))
-    return named.unionByName(block).select("doc_id", "kind", "origin", "first_page", "last_page")
+    """(doc_id, kind, first_page, last_page) from the table of contents within the first pages.
+
+    A line of five characters or more that ends in a page number is an entry of the first kind that it names. A document
+    whose first pages have no such heading gives none.
+    """
+    head = F.col("page_no") <= first
+    marks = pages.select("doc_id", "page_no", *(F.when(head, c).alias(n) for n, c in _contents_marks(kinds).items()))
+    headed, entries = _head(first)
+    docs = _by_document(marks, entries, headed=headed).where("headed")
+    return _exploded(docs, _contents_slices(kinds, reach))
+
+
+_BLOCK = "struct<first_page:int,last_page:int>"
+_SIGNED = "struct<signed_on:date,first_page:int,last_page:int>"
+
+
+def _none(kind: str) -> Column:
+    return F.lit(None).cast(kind)
+
+
+def _row(**values) -> Column:
+    return F.struct(*(v.alias(n) for n, v in values.items()))
+
+
+def _signed_block(sheets) -> Column:
+    """decision_block() of the pages of one document, in one walk: a run is judged where the next one begins."""
+
+    def closed(a):
+        better = a["best"].isNull() | (a["signed_on"] > a["best"]["signed_on"])
+        fit = a["signed_on"].isNotNull() & a["ruling"] & ~a["covered"] & (a["covers"] * 2 <= a["pages"]) & better
+        return F.when(fit, _row(signed_on=a["signed_on"], first_page=a["first_page"], last_page=a["last_page"])).otherwise(a["best"])
+
+    def step(a, x):
+        cover = x["envelope"].cast("int")
+        goes_on = (x["signed_on"] == a["signed_on"]) & (x["page_no"] == a["last_page"] + 1)
+        longer = _row(signed_on=a["signed_on"], first_page=a["first_page"], last_page=x["page_no"], pages=a["pages"] + 1, covers=a["covers"] + cover, covered=a["covered"], ruling=a["ruling"] | x["ruling"], best=a["best"])
+        other = _row(signed_on=x["signed_on"], first_page=x["page_no"], last_page=x["page_no"], pages=F.lit(1), covers=cover, covered=x["envelope"], ruling=x["ruling"], best=closed(a))
+        return F.when(goes_on, longer).otherwise(other)
+
+    start = _row(signed_on=_none("date"), first_page=_none("int"), last_page=_none("int"), pages=F.lit(0), covers=_none("int"), covered=_none("boolean"), ruling=_none("boolean"), best=_none(_SIGNED))
+    found = F.transform(F.array(F.aggregate(sheets, start, step, closed)), lambda b: F.when(b.isNotNull(), _row(first_page=b["first_page"], last_page=b["last_page"])))
+    return found[0]
+
+
+def _built_block(sheets, longest: int = 60) -> Column:
+    """fallback_block() of the pages of one document, in one walk."""
+
+    def closed(a):
+        return F.when(a["ruling"], _row(first_page=a["first_page"], last_page=a["last_page"])).otherwise(a["found"])
+
+    def step(a, x):
+        begins = (x["opening"] | x["ruling"]) & ~x["envelope"]
+        inside = a["first_page"].isNotNull() & (a["pages"] < longest)
+        longer = _row(first_page=a["first_page"], last_page=x["page_no"], pages=a["pages"] + 1, ruling=a["ruling"] | x["ruling"], found=a["found"])
+        fresh = _row(first_page=x["page_no"], last_page=x["page_no"], pages=F.lit(1), ruling=x["ruling"], found=closed(a))
+        outside = _row(first_page=_none("int"), last_page=_none("int"), pages=F.lit(0), ruling=F.lit(False), found=closed(a))
+        pure = x["envelope"] & ~x["ruling"]
+        return F.when(pure.isNull(), a).when(~pure & inside, longer).when(~pure & begins, fresh).otherwise(outside)
+
+    start = _row(first_page=_none("int"), last_page=_none("int"), pages=F.lit(0), ruling=F.lit(False), found=_none(_BLOCK))
+    return F.aggregate(sheets, start, step, closed)
+
+
+def _last_block(sheets, back: int = 25, ahead: int = 5) -> Column:
+    """last_ruling_block() of the pages of one document."""
+    last_of = lambda test: F.array_max(F.transform(F.filter(sheets, test), lambda x: x["page_no"]))
+    low, high = (F.element_at(sheets, i)["page_no"] for i in (1, -1))
+
+    def around(r):
+        opened = last_of(lambda x: x["opening"] & ~x["envelope"] & (x["page_no"] <= r))
+        return _row(first_page=F.coalesce(F.when(opened >= r - back, opened), r, low), last_page=F.coalesce(F.least(r + ahead, high), high))
+
+    return F.transform(F.array(last_of(lambda x: x["ruling"])), around)[0]
+
+
+def _decision_slice() -> Column:
+    """The signed decision block, else the one by structure, else the surroundings of the last ruling, with its kind."""
+    sheets = F.col("sheets")
+
+    def named(b):
+        within = lambda test: F.exists(sheets, lambda x: x["page_no"].between(b["first_page"], b["last_page"]) & test(x))
+        appeal = F.coalesce(within(lambda x: x["appeal"]), F.lit(False)) & ~F.coalesce(within(lambda x: x["other"]), F.lit(False))
+        return _row(kind=F.when(appeal, "appeal").otherwise("sentence"), first_page=b["first_page"], last_page=b["last_page"])
+
+    return F.transform(F.array(F.coalesce(_signed_block(sheets), _built_block(sheets), _last_block(sheets))), named)[0]
+
+
+def timeline(pages: DataFrame, catalog: Anchors = catalogs.ANCHORS, kinds: Sequence[tuple[str, str]] = catalogs.CONTENTS_KINDS) -> DataFrame:
+    """(doc_id, kind, origin, first_page, last_page): pieces by contents; by anchors where a document has none; the decision by its pages where neither names one.
+
+    Texts are written once and all that is read of them is read in one pass, of equal texts once. Then a document is a
+    row with the flags and numbers of its pages, from which all of its pieces follow without a join.
+    """
+    found = {**_flags(catalogs.PAGE_FLAGS), **_anchor_marks(catalog), **_contents_marks(kinds)}
+    texts = files.kept(pages.select("doc_id", F.col("page_no").cast("int").alias("page_no"), "text"), "pages")
+    marks = items.with_shared_values(texts, "text", MANY, **found).select("doc_id", "page_no", *found)
+    other = F.col("motion") | F.col("settlement") | F.col("order")
+    headed, entries = _head(15)
+    docs = _by_document(marks, "signed_on", "envelope", "opening", "ruling", "appeal", other.alias("other"), *_ends(catalog), entries, headed=headed, **_anchor_facts(catalog))
+    piece = "array<struct<kind:string,first_page:int,last_page:int>>"
+    by_contents = F.coalesce(F.when(F.col("headed"), _contents_slices(kinds, 8)), F.array().cast(piece)).alias("listed")
+    docs = docs.select("*", by_contents).select("*", F.when(F.size("listed") == 0, _anchor_slices(catalog, 80, 30)).otherwise(F.array().cast(piece)).alias("anchored"))
+    decided = F.exists(F.concat("listed", "anchored"), lambda x: x["kind"].isin("sentence", "appeal"))
+    block = F.when(decided, F.array().cast(piece)).otherwise(F.array(_decision_slice()))
+    with_origin = lambda slices, origin: F.transform(slices, lambda x: _row(kind=x["kind"], origin=F.lit(origin), first_page=x["first_page"], last_page=x["last_page"]))
+    pieces = F.concat(with_origin("listed", "contents"), with_origin("anchored", "anchor"), with_origin(block, "block"))
+    return _exploded(docs, pieces)

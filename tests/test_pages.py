@@ -141,3 +141,37 @@ def test_shared_texts_are_read_once(spark):
     apart = pages.page_flags(frame_of([(d, n, None if t is None else f"{t}\n{d}.{n}") for d, n, t in rows]).unionByName(frame_of([(99, n, f"folha {n}" + "x" * 200_000) for n in range(1, 200)])))
     assert "rlike" in apart._jdf.queryExecution().optimizedPlan().toString().lower()
     assert sorted(map(repr, shared.collect())) == sorted(map(repr, apart.where("doc_id < 99").collect()))
+
+
+def by_operators(df):
+    """The decision of every document by the operators on tables of flags, each for itself."""
+    flags = pages.page_flags(df)
+    blocks = [{r.doc_id: (r.first_page, r.last_page) for r in b.collect()} for b in (pages.last_ruling_block(flags), pages.fallback_block(flags), pages.decision_block(flags))]
+    best = blocks[0] | blocks[1] | blocks[2]
+    within = {}
+    for r in flags.collect():
+        if best[r.doc_id][0] <= r.page_no <= best[r.doc_id][1]:
+            within.setdefault(r.doc_id, []).append(r)
+    kind = {d: "appeal" if any(r.appeal for r in rs) and not any(r.motion or r.settlement or r.order for r in rs) else "sentence" for d, rs in within.items()}
+    return {d: (kind[d], "block", *b) for d, b in best.items()}
+
+
+def test_timeline_decides_as_the_operators_on_flags(spark):
+    rng = random.Random(11)
+    some = [*TEXTS.values(), "folha", "folha", "DESEMBARGADOR", "embargante", "RPV", None]
+    dates = ["", *(f" Assinado eletronicamente por X em 0{n}/02/2024" for n in (1, 2, 3))]
+    rows = []
+    for d in range(120):
+        here = rng.choice(dates)
+        for n in range(1, rng.choice([2, 9, 200])):
+            here = rng.choice(dates) if rng.random() < 0.3 else here
+            t = rng.choice(some) if rng.random() < rng.choice([0.1, 0.9]) else "folha"
+            if rng.random() < 0.95:  # a page may be missing
+                rows.append((d, n, t and t + here))
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = pages.timeline(df)
+    got = {r.doc_id: (r.kind, r.origin, r.first_page, r.last_page) for r in found.where("origin = 'block'").collect()}
+    assert got == by_operators(df)
+    # equal texts are read once, and a document's pieces follow from one row
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan.upper() and "Window" not in plan and plan.count("Aggregate [doc_id") == 1 and plan.count("Join") == 1
