@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from causa import catalogs
 from causa.functions import calculation, derive, similarity, text
 from causa.operators import compare, fields, items, learning, pages, rules
-from causa.plans import legal_rules, queries  # noqa: F401
+from causa.plans import cases, legal_rules, queries  # noqa: F401
 from causa.plans.registry import ORACLES, QUERIES
 from causa.sources import files
 
@@ -450,3 +450,17 @@ def test_backfill_cuts_only_texts_of_cases_without_items(spark, tmp_path):
     got = sorted(map(tuple, df.select("case_id", "pos", "item", "origin").collect()))
     assert got == sorted(con.execute(f"SELECT case_id, pos, item, origin FROM ({ORACLES['item_backfill']})").fetchall()) and any(r[3] == "text" for r in got)
     assert plan_of(df).index("Generate") < plan_of(df).index("LeftSemi")
+
+
+def test_backfill_takes_what_is_granted_else_the_names_in_the_text(spark):
+    texts = [
+        (1, "Defiro o DSR.\nFérias vencidas; JULGO procedente o pedido de  aviso  prévio. Rejeito o dano moral."),
+        (2, "Indefiro as horas extras. Multa do art. 477 e horas extras, hora extra; 13º; contrato"),
+        (3, "Defiro em parte as FÉRIAS VENCIDAS, mas afasto a dobra;defiro 13º salário"), (4, "nada"), (5, None), (6, "Condenada ao contrato; devo pagar"),
+    ]
+    got = sorted(map(tuple, cases.items_in(spark.createDataFrame(texts, "case_id long, text string")).collect()))
+    assert got == [
+        (1, 1, "dsr", "text"), (1, 3, "aviso_previo_indenizado", "text"),
+        (2, 1, "Multa Art. 477 CLT", "alias"), (2, 2, "13º Salário Proporcional", "alias"), (2, 3, "Horas Extras", "alias"),
+        (3, 1, "ferias_vencidas", "text"), (3, 2, "decimo_terceiro", "text"),
+    ]
