@@ -464,3 +464,13 @@ def test_backfill_takes_what_is_granted_else_the_names_in_the_text(spark):
         (2, 1, "Multa Art. 477 CLT", "alias"), (2, 2, "13º Salário Proporcional", "alias"), (2, 3, "Horas Extras", "alias"),
         (3, 1, "ferias_vencidas", "text"), (3, 2, "decimo_terceiro", "text"),
     ]
+
+
+def test_rule_catalog_faults(spark):
+    fires = (("true", "INFO", "'x'"),)
+    made = [
+        rules.Rule("A", "t", "b", 10, fires), rules.Rule("B", "t", "b", 20, (), "2017-11-11", item_outcomes=(("array('x')", "INFO"),)), rules.Rule("", "", "", 0, ()),
+        rules.Rule("C", "t", "b", -1, fires, "2017-13-01"), rules.Rule("D", "t", "b", 10, fires, "11/11/2017"), rules.Rule("D", "u", None, 30, fires), rules.Rule("E", "t", "b", None, fires, "2017"),
+    ]
+    got = sorted((r.rule_id, r.faults) for r in rules.checked(rules.metadata(spark, made)).collect())
+    assert got == [("", "id,title,basis,priority,outcomes"), ("A", ""), ("B", ""), ("C", "priority,since"), ("D", "basis,repeated"), ("D", "since,repeated"), ("E", "priority,since")]
