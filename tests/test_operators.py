@@ -474,3 +474,15 @@ def test_rule_catalog_faults(spark):
     ]
     got = sorted((r.rule_id, r.faults) for r in rules.checked(rules.metadata(spark, made)).collect())
     assert got == [("", "id,title,basis,priority,outcomes"), ("A", ""), ("B", ""), ("C", "priority,since"), ("D", "basis,repeated"), ("D", "since,repeated"), ("E", "priority,since")]
+
+
+def test_calculation_files_are_read_wherever_a_value_stands(spark):
+    files_of = [
+        "<root><x><juros>A</juros></x><ParametrosDeAtualizacao><indiceTrabalhista> IPCAE </indiceTrabalhista><juros>TRD_SIMPLES</juros></ParametrosDeAtualizacao><Verba><nome> Férias </nome><nome>B</nome></Verba><nome>C</nome></root>",
+        "<root><ParametrosDeAtualizacao><juros/></ParametrosDeAtualizacao><a><indiceTrabalhista>TRD</indiceTrabalhista></a><y><valorCargaHorariaPadrao>220,50</valorCargaHorariaPadrao></y><i><nome>D</nome></i><nome> </nome><i><nome>D </nome><nome>E</nome></i></root>",
+        "<calculo><indice>SELIC</indice><divisor>x</divisor><verba><nome>F</nome></verba><verba><nome>G</nome></verba><verba><nome>F</nome></verba></calculo>", "<root/>", None,
+    ]
+    df = spark.createDataFrame([(x,) for x in files_of], "xml string").select(calculation.basics(F.col("xml")).alias("c")).select("c.*")
+    assert [tuple(r) for r in df.collect()] == [
+        ("IPCAE", "TRD_SIMPLES", None, ["Férias"]), ("TRD", None, 220.5, ["D", "E"]), ("SELIC", None, None, ["F", "G"]), (None, None, None, []), (None, None, None, None),
+    ]
